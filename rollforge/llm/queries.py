@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollforge.llm import chat, exact, packing, quality, rollup, toxicity, urls, warc
+from rollforge.llm import chat, exact, ngram_join, packing, quality, rollup, toxicity, urls, warc
 
 RULES = urls.host_rules(block=["net/", "example.com/de/"], allow=["example.net/en/", "org/fr/"])
 FREE = [urls.free_rule(r"(?i)://(?:[^/?#]*\.)?spam-farm\.", "spam", "farm"), urls.free_rule(r"(?i)[/.-]casino[/.-]", "casino")]
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.rolled_up(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -53,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_ngram_join": op3_ngram_join,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,

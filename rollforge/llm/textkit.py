@@ -104,7 +104,8 @@ def short_shingle(word_hashes: np.ndarray) -> np.ndarray:
     n = len(word_hashes)
     if n == 0:
         return np.zeros(0, np.uint64)
-    return mix((word_hashes * _SEEDS[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n) * np.uint64(0xC2B2AE3D27D4EB4F))
+    length = np.array([n], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mix((word_hashes * _SEEDS[:n]).sum(dtype=np.uint64, keepdims=True) + length)
 
 
 def shingles(column: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
