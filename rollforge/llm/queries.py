@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollforge.llm import chat, exact, ngram_join, packing, quality, rollup, toxicity, urls, warc
+from rollforge.llm import chat, decontaminate, exact, ngram_join, packing, quality, rollup, toxicity, urls, warc
 
 RULES = urls.host_rules(block=["net/", "example.com/de/"], allow=["example.net/en/", "org/fr/"])
 FREE = [urls.free_rule(r"(?i)://(?:[^/?#]*\.)?spam-farm\.", "spam", "farm"), urls.free_rule(r"(?i)[/.-]casino[/.-]", "casino")]
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.rolled_up(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_ngram_join": op3_ngram_join,
     "op4_chat_formatting": op4_chat_formatting,
