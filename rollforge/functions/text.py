@@ -31,10 +31,13 @@ def word_set(c: Column | str) -> Column:
 
 
 def ngrams(tokens: Column, n: int, drop_last: bool = False) -> Column:
-    """Joined n-grams; drop_last leaves out the final one."""
+    """Joined n-grams; drop_last leaves out the final one.
+
+    Shifted copies of the array are zipped: a lambda that cuts each n-gram out would compute the array anew each time.
+    """
     count = F.greatest(F.size(tokens) - (n if drop_last else n - 1), F.lit(0))
-    places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    shifted = [F.slice(tokens, F.lit(i + 1), count) for i in range(n)]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), shifted)
 
 
 def jaccard_of(a: Column, b: Column) -> Column:

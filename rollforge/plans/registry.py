@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["grading", "cleaning", "pairing", "evaluation", "training", "sources", "streams"]
+MODULES = ["grading", "cleaning", "pairing"]
 
 
 def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
