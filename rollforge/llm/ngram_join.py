@@ -8,8 +8,8 @@ they share at least T = ceil(3 (n + m) / 7) shingles. The search finds every lin
    share a posting. The order comes from a bounded sample of documents; it changes the cost only, never the result.
 3. Each node is first tried against the node that is smallest in most of its inverted lists. The links found so
    contract large groups of near copies without pairing them all.
-4. Of the pairs that remain in lists that span several classes, those whose number of common postings can still reach T
-   are searched: a query's partners, in blocks of at most BLOCK, form an inverted index over the query's shingles, and
+4. Of the pairs that remain in lists that span several classes, those that share enough postings are searched: sets that
+   share T shingles share LEAST of the first n - T + LEAST and m - T + LEAST of them, in the global order. A query's partners, in blocks of at most BLOCK, form an inverted index over the query's shingles, and
    DivideSkip merges the short lists by a heap, skips ahead, and probes the longest lists by binary search.
 5. Links become classes by star contraction; a class is named by its smallest doc_id.
 
@@ -36,7 +36,7 @@ from rollforge.llm.textkit import mix, shingle_sets
 
 K = 5
 SAMPLE_DOCS, SAMPLE_DF, MAX_FREQUENT, BLOCK, MAX_BROADCAST = 8000, 3, 100_000, 256, 1_000_000
-PROBE_WEIGHT = 0.02
+LEAST, PROBE_WEIGHT = 4, 0.02
 
 
 def needed(n: int, m: int) -> int:
@@ -61,6 +61,7 @@ class Order:
         self.frequent, self.counts = frequent[by_hash], counts[by_hash]
 
     def prefix(self, found: np.ndarray) -> np.ndarray:
+        """The first shingles of a set, in the order's sequence."""
         size = prefix_length(len(found))
         if not len(self.frequent):
             return found[:size]
@@ -164,7 +165,7 @@ def frequent_shingles(docs: DataFrame, rows: int, id_col: str, text_col: str) ->
 
 
 def postings(docs: DataFrame, order: Order, text_col: str) -> DataFrame:
-    """h, node, n: the prefix of every node; a task posts equal sets once as long as it remembers them."""
+    """h, node, n, place: the prefix of every node, numbered; a task posts equal sets once as long as it remembers them."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def post(batches):
@@ -182,9 +183,10 @@ def postings(docs: DataFrame, order: Order, text_col: str) -> DataFrame:
                 sizes.append(len(found))
                 lengths.append(len(shingle[-1]))
             flat = np.concatenate(shingle) if shingle else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], ["h", "node", "n"])
+            places = np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]) if lengths else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(places)], ["h", "node", "n", "place"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(post, "h long, node long, n int")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(post, "h long, node long, n int, place int")
 
 
 def _groups(batches) -> Iterator[tuple[int, list[tuple]]]:
@@ -235,13 +237,15 @@ def linked(docs: DataFrame, pairs: DataFrame, heads: DataFrame, id_col: str, tex
     return routed.mapInArrow(verify, "u long, v long").distinct()
 
 
-def _reachable(a: Column, b: Column, common: Column) -> Column:
-    """Whether sets of a and b shingles with that many common postings can still share T shingles.
+def _needed(n: Column, m: Column) -> Column:
+    """T of two set sizes, in whole numbers."""
+    return F.floor(((n + m) * 3 + 6) / 7).cast("int")
 
-    A common shingle is in both prefixes, or it lies behind the one that ends first in the order.
-    """
-    behind = F.greatest(F.ceil(a * 3 / 4), F.ceil(b * 3 / 4)) - 1
-    return common >= F.ceil((a + b) * 3 / 7) - behind
+
+def _least(n: Column, m: Column, t: Column) -> Column:
+    """How many shared postings sets of n and m shingles must have; fewer than LEAST where a whole prefix is shorter."""
+    posted = lambda x: x - F.floor((x * 3 + 3) / 4).cast("int") + 1
+    return F.least(F.lit(LEAST), posted(n) - n + t, posted(m) - m + t)
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,24 +255,29 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = frequent_shingles(docs, sets.count(), id_col, text_col)
     by_list = Window.partitionBy("h")
     lists = postings(docs, order, text_col).withColumn("center", F.min("node").over(by_list)).withColumn("far", F.max("node").over(by_list))
-    lists = written(lists.where("center <> far").select("h", "node", "n", "center"), "lists")
+    lists = written(lists.where("center <> far").select("h", "node", "n", "place", "center"), "lists")
     tries = lists.where("node <> center").groupBy("node", "center").count()
     tries = tries.groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("query"))
     first = written(linked(docs, tries.select("query", "node"), heads, id_col, text_col), "links")
     classes = written(components(first), "classes")
     # lists that span several classes still hold pairs to search
-    named = lists.hint("merge").join(classes.hint("merge"), "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("class"))
+    named = lists.hint("merge").join(classes.hint("merge"), "node", "left").select("h", "node", "n", "place", F.coalesce("component", "node").alias("class"))
     named = named.withColumn("low", F.min("class").over(by_list)).withColumn("high", F.max("class").over(by_list)).where("low <> high")
-    named = written(named.select("h", "node", "n", "class").distinct(), "open")
+    named = written(named.select("h", "node", "n", "place", "class").distinct(), "open")
     a, b = named.alias("a"), named.alias("b")
-    near = (F.col("a.class") < F.col("b.class")) & (F.col("a.n") * 4 >= F.col("b.n") * 3) & (F.col("b.n") * 4 >= F.col("a.n") * 3)
-    joined = a.hint("merge").join(b.hint("merge"), (F.col("a.h") == F.col("b.h")) & near)
-    pairs = joined.groupBy(F.col("a.node").alias("query"), F.col("b.node").alias("node"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("common"))
-    pairs = written(pairs.where(_reachable(F.col("n"), F.col("m"), F.col("common"))).select("query", "node"), "pairs")
-    rest = linked(docs, pairs, heads, id_col, text_col)
-    bonds = first.unionByName(rest)
-    final = written(components(bonds), "classes")
-    member = sets.where("n_shingles > 0").hint("merge").join(final.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
+    n, m = F.col("a.n"), F.col("b.n")
+    needed_, least = _needed(n, m), _least(n, m, _needed(n, m))
+    meets = (F.col("a.h") == F.col("b.h")) & (F.col("a.class") < F.col("b.class")) & (n * 4 >= m * 3) & (m * 4 >= n * 3)
+    meets &= (F.col("a.place") < n - needed_ + least) & (F.col("b.place") < m - needed_ + least)
+    joined = a.hint("merge").join(b.hint("merge"), meets)
+    pairs = joined.groupBy(F.col("a.node").alias("query"), F.col("b.node").alias("node"), n.alias("n"), m.alias("m")).agg(F.count("*").alias("common"))
+    pairs = written(pairs.where(F.col("common") >= _least(F.col("n"), F.col("m"), _needed(F.col("n"), F.col("m")))).select("query", "node"), "pairs")
+    rest = written(linked(docs, pairs, heads, id_col, text_col), "links")
+    # the second search links classes, not nodes: many links between two classes are one bond
+    class_of = lambda links, side: links.hint("merge").join(classes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_class")).hint("merge"), side, "left").withColumn(side, F.coalesce(f"{side}_class", side)).drop(f"{side}_class")
+    bonds = components(class_of(class_of(rest, "u"), "v").distinct()).select(F.col("node").alias("class"), F.col("component").alias("wider"))
+    member = sets.where("n_shingles > 0").hint("merge").join(classes.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
+    member = member.hint("merge").join(bonds.hint("merge"), "class", "left").select("doc_id", "n_shingles", F.coalesce("wider", "class").alias("class"))
     member = written(member, "members")
     names = member.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     full = member.hint("merge").join(names.hint("merge"), "class").select("doc_id", "n_shingles", "component_id")

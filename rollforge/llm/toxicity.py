@@ -138,23 +138,24 @@ def fit(features: list[np.ndarray], labels: np.ndarray, rounds: int = 60, l2: fl
     weights, labels = np.zeros(size, np.float32), np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         return Model(weights, -30.0)
-    sizes = np.array([len(f) for f in features])
-    flat = np.concatenate(features)
-    owner = np.repeat(np.arange(len(features)), sizes)
-    toxic = labels[owner] > 0.5
-    df = np.bincount(flat, minlength=size)
-    up = np.bincount(flat[toxic], minlength=size)
+    # a text has a feature once, so counts grow text by text without one long copy of all features
+    df, up = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for found, label in zip(features, labels, strict=True):
+        df[found] += 1
+        if label > 0.5:
+            up[found] += 1
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    ratio = np.log((up + smoothing) / (n1 + 2 * smoothing)) - np.log((df - up + smoothing) / (n0 + 2 * smoothing))
     used = np.flatnonzero(df >= MIN_TEXTS)
     if len(used) > MAX_FEATURES:
         strength = _evidence(up[used], df[used], n1, n0)
         used = np.sort(used[np.argsort(-strength, kind="stable")[:MAX_FEATURES]])
-    to_small = np.full(size, -1, np.int64)
+    ratio = np.log((up[used] + smoothing) / (n1 + 2 * smoothing)) - np.log((df[used] - up[used] + smoothing) / (n0 + 2 * smoothing))
+    to_small = np.full(size, -1, np.int32)
     to_small[used] = np.arange(len(used))
-    keep = to_small[flat] >= 0
-    flat, owner = to_small[flat[keep]].astype(np.int32), owner[keep].astype(np.int32)
-    ratio = ratio[used].astype(np.float32)
+    kept = [(x := to_small[found])[x >= 0] for found in features]
+    flat = np.concatenate(kept)
+    owner = np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in kept])
+    ratio = ratio.astype(np.float32)
     w, bias = np.zeros(len(used), np.float32), float(np.log(n1 / n0))
     first, second, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
@@ -184,11 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
     rows = training_rows(docs, labels, label, max_train, max_train_chars).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     features: list[np.ndarray] = []
-    held: list[list[np.ndarray]] = [[] for _ in rows]
-    for row, found in text_windows([r.text for r in rows]):
-        held[row].append(np.unique(found))
-    for parts in held:
-        features.append(np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0])
+    for begin in range(0, len(rows), 100):
+        held: list[list[np.ndarray]] = [[] for _ in rows[begin : begin + 100]]
+        for row, found in text_windows([r.text for r in rows[begin : begin + 100]]):
+            held[row].append(found)
+        features += [np.unique(np.concatenate(parts)) for parts in held]
     return fit(features, np.array([r.label for r in rows]))
 
 
