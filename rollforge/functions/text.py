@@ -17,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 
@@ -97,11 +102,14 @@ def sentences(c: Column | str) -> Column:
 
 
 def is_repetitive(c: Column | str, max_ratio: float = 0.3) -> Column:
-    found, tokens = sentences(c), words(c)
-    grams = ngrams(tokens, 5, drop_last=True)
-    few = F.size(F.array_distinct(found)) / F.nullif(F.size(found), F.lit(0)) < 1 - max_ratio
-    echo = (F.size(grams) > 0) & (F.size(F.array_distinct(grams)) / F.nullif(F.size(grams), F.lit(0)) < 0.5)
-    return F.when(F.size(found) < 3, False).when(few, True).when(F.size(tokens) < 20, False).otherwise(F.coalesce(echo, F.lit(False)))
+    """Few distinct sentences, or few distinct 5-grams; texts of fewer than 3 long sentences never are."""
+
+    def judge(found: Column, tokens: Column, grams: Column) -> Column:
+        few = F.size(F.array_distinct(found)) / F.nullif(F.size(found), F.lit(0)) < 1 - max_ratio
+        echo = (F.size(grams) > 0) & (F.size(F.array_distinct(grams)) / F.nullif(F.size(grams), F.lit(0)) < 0.5)
+        return F.when(F.size(found) < 3, False).when(few, True).when(F.size(tokens) < 20, False).otherwise(F.coalesce(echo, F.lit(False)))
+
+    return let(sentences(c), lambda found: let(words(c), lambda tokens: let(ngrams(tokens, 5, drop_last=True), lambda grams: judge(found, tokens, grams))))
 
 
 def path_hash(problem_id: Column | str, reasoning: Column | str) -> Column:

@@ -116,7 +116,7 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FACTS} SELECT problem_id, sample_idx, len(list_distinct(sents)) AS sentences, len(list_distinct(grams)) AS grams, len(list_distinct(string_split(t, chr(10))[1:4])) AS first_lines FROM f")
 def distinct_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = tx.ngrams(tx.words("reasoning"), 5, drop_last=True)
+    grams = tx.let(tx.words("reasoning"), lambda tokens: tx.ngrams(tokens, 5, drop_last=True))
     lines = F.slice(F.split("reasoning", "\n"), 1, 4)
     return _normal(spark, sf_dir).select(*KEY, F.size(F.array_distinct(tx.sentences("reasoning"))).cast("long").alias("sentences"), F.size(F.array_distinct(grams)).cast("long").alias("grams"), F.size(F.array_distinct(lines)).cast("long").alias("first_lines"))
 

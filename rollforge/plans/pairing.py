@@ -59,10 +59,10 @@ def both_sides_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ROLLOUTS}, s AS (SELECT *, coalesce(nullif(regexp_extract_all(reasoning, '{_CAND}', 1)[-1], ''), regexp_extract_all(reasoning, '{_CAND}', 2)[-1]) AS said FROM rollouts),
     w AS (SELECT problem_id, arg_min(reasoning, sample_idx) AS wrong_text FROM s WHERE coalesce(abs(try_cast(said AS DOUBLE) - try_cast({sql_truth('expected')} AS DOUBLE)) > 0.01, false) GROUP BY 1),
-    p AS (SELECT 'p' || o_orderkey AS problem_id, 'It is #### ' || o_totalprice::BIGINT AS solution, o_totalprice::BIGINT AS answer FROM orders)
+    p AS (SELECT 'p' || o_orderkey AS problem_id, 'It is #### ' || floor(o_totalprice)::BIGINT AS solution, floor(o_totalprice)::BIGINT AS answer FROM orders)
     SELECT problem_id, solution AS chosen, coalesce(wrong_text, 'Let me work through this step by step...' || chr(10) || chr(10) || 'After careful calculation, the answer is ' || (answer + 7) || '.') AS rejected FROM p LEFT JOIN w USING (problem_id)""")
 def preference_from_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.round("o_totalprice").cast("long").cast("string")
+    total = F.floor("o_totalprice").cast("long").cast("string")
     problems = read(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("problem_id"), F.concat(F.lit("It is #### "), total).alias("solution"), total.alias("answer"))
     return pairs.preference_from_benchmark(problems, rollouts(spark, sf_dir), grade.is_rejected_candidate("reasoning", "expected"))
 
