@@ -6,8 +6,9 @@ they share at least T = ceil(3 (n + m) / 7) shingles. The search finds every lin
 1. Texts with equal sets are one node (the set's 64-bit signature; two different sets share one with chance 2**-64).
 2. Each node posts the first n - ceil(3n/4) + 1 shingles of its set in one global order, rare ones first. Linked nodes
    share a posting. The order comes from a bounded sample of documents; it changes the cost only, never the result.
-3. Each node is first tried against the node that is smallest in most of its inverted lists. The links found so
-   contract large groups of near copies without pairing them all.
+3. Star rounds contract large groups of near copies without pairing them all: each node is tried against the node that
+   is first, by a hash, in most of its inverted lists, then those still apart against a few others of another class. These
+   rounds look at a share of the lists and only save work; step 4 does not rely on what they leave out.
 4. Of the pairs that remain in lists that span several classes, those that share enough postings are searched: sets that
    share T shingles share LEAST of the first n - T + LEAST and m - T + LEAST of them, in the global order. A query's partners, in blocks of at most BLOCK, form an inverted index over the query's shingles, and
    DivideSkip merges the short lists by a heap, skips ahead, and probes the longest lists by binary search.
@@ -31,12 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollforge.llm.components import components
-from rollforge.llm.shared import written
+from rollforge.llm.shared import slices, written
 from rollforge.llm.textkit import mix, shingle_sets
 
 K = 5
 SAMPLE_DOCS, SAMPLE_DF, MAX_FREQUENT, BLOCK, MAX_BROADCAST = 8000, 3, 100_000, 256, 1_000_000
 LEAST, PROBE_WEIGHT = 4, 0.02
+STAR_ROUNDS, STAR_SHARE, STAR_LEAST = ([1], [2, 3, 4], [5, 6, 7, 8]), 4, 2
 
 
 def needed(n: int, m: int) -> int:
@@ -138,7 +140,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, node."""
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, found in shingle_sets(batch.column(1), K):
                 sizes[row] = len(found)
@@ -153,7 +155,7 @@ def frequent_shingles(docs: DataFrame, rows: int, id_col: str, text_col: str) ->
     """The order's frequent end, from about SAMPLE_DOCS documents; its length has a fixed bound."""
 
     def explode(batches):
-        for batch in batches:
+        for batch in slices(batches, 200):
             found = [s for _, s in shingle_sets(batch.column(0), K)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.uint64)).cast(pa.int64(), safe=False)], ["h"])
 
@@ -170,7 +172,7 @@ def postings(docs: DataFrame, order: Order, text_col: str) -> DataFrame:
 
     def post(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             shingle, nodes, sizes, lengths = [], [], [], []
             for _, found in shingle_sets(batch.column(0), K):
                 if not len(found) or (node := signature(found)) in seen:
@@ -192,7 +194,7 @@ def postings(docs: DataFrame, order: Order, text_col: str) -> DataFrame:
 def _groups(batches) -> Iterator[tuple[int, list[tuple]]]:
     """Rows (query, salt, node, is_query, text) of one query and salt, which come together."""
     key, held = None, []
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:2] != key:
                 if held:
@@ -248,22 +250,46 @@ def _least(n: Column, m: Column, t: Column) -> Column:
     return F.least(F.lit(LEAST), posted(n) - n + t, posted(m) - m + t)
 
 
+def _open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Postings with their node's class, of lists that span several classes."""
+    by_list = Window.partitionBy("h")
+    named = lists.hint("merge").join(classes.hint("merge"), "node").select("h", "node", "n", "place", "class")
+    named = named.withColumn("low", F.min("class").over(by_list)).withColumn("high", F.max("class").over(by_list))
+    return named.where("low <> high").select("h", "node", "n", "place", "class")
+
+
+def _tries(named: DataFrame, seeds: list[int]) -> DataFrame:
+    """query, node: for each seed the node of another class that comes first in most of a node's lists, if in several."""
+    by_list = Window.partitionBy("h")
+    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), F.col("node").alias("center"), F.col("class").alias("center_class"))).over(by_list) for seed in seeds]
+    seen = named.select("node", "class", F.array(*firsts).alias("firsts")).select("node", "class", F.posexplode("firsts").alias("seed", "first"))
+    apart = seen.where(F.col("class") != F.col("first.center_class")).groupBy("node", "seed", F.col("first.center").alias("center")).count()
+    best = apart.groupBy("node", "seed").agg(F.max_by("center", F.struct("count", "center")).alias("query"), F.max("count").alias("common"))
+    return best.where(F.col("common") >= STAR_LEAST).select("query", "node").distinct()
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after links between their nodes: links become bonds of classes, however many there are."""
+    named = lambda df, side: df.hint("merge").join(classes.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class")).hint("merge"), side).drop(side).withColumnRenamed(f"{side}_class", side)
+    bonds = components(named(named(links, "u"), "v").distinct()).select(F.col("node").alias("class"), "component")
+    return classes.hint("merge").join(bonds.hint("merge"), "class", "left").select("node", F.coalesce("component", "class").alias("class"))
+
+
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
     sets = written(document_sets(docs, id_col, text_col), "sets")
     heads = written(sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("head")), "heads")
     order = frequent_shingles(docs, sets.count(), id_col, text_col)
     by_list = Window.partitionBy("h")
-    lists = postings(docs, order, text_col).withColumn("center", F.min("node").over(by_list)).withColumn("far", F.max("node").over(by_list))
-    lists = written(lists.where("center <> far").select("h", "node", "n", "place", "center"), "lists")
-    tries = lists.where("node <> center").groupBy("node", "center").count()
-    tries = tries.groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("query"))
-    first = written(linked(docs, tries.select("query", "node"), heads, id_col, text_col), "links")
-    classes = written(components(first), "classes")
+    lists = postings(docs, order, text_col).withColumn("low", F.min("node").over(by_list)).withColumn("high", F.max("node").over(by_list))
+    lists = written(lists.where("low <> high").select("h", "node", "n", "place"), "lists")
+    classes = written(lists.select("node").distinct().withColumn("class", F.col("node")), "classes")
+    for seeds in STAR_ROUNDS:
+        some = lists.where(F.pmod(F.col("h"), F.lit(STAR_SHARE)) == 0)
+        tries = written(_tries(_open_lists(some, classes), seeds), "tries")
+        classes = written(_merged(classes, written(linked(docs, tries, heads, id_col, text_col), "links")), "classes")
     # lists that span several classes still hold pairs to search
-    named = lists.hint("merge").join(classes.hint("merge"), "node", "left").select("h", "node", "n", "place", F.coalesce("component", "node").alias("class"))
-    named = named.withColumn("low", F.min("class").over(by_list)).withColumn("high", F.max("class").over(by_list)).where("low <> high")
-    named = written(named.select("h", "node", "n", "place", "class").distinct(), "open")
+    named = written(_open_lists(lists, classes).distinct(), "open")
     a, b = named.alias("a"), named.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
     needed_, least = _needed(n, m), _least(n, m, _needed(n, m))
@@ -273,11 +299,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = joined.groupBy(F.col("a.node").alias("query"), F.col("b.node").alias("node"), n.alias("n"), m.alias("m")).agg(F.count("*").alias("common"))
     pairs = written(pairs.where(F.col("common") >= _least(F.col("n"), F.col("m"), _needed(F.col("n"), F.col("m")))).select("query", "node"), "pairs")
     rest = written(linked(docs, pairs, heads, id_col, text_col), "links")
-    # the second search links classes, not nodes: many links between two classes are one bond
-    class_of = lambda links, side: links.hint("merge").join(classes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_class")).hint("merge"), side, "left").withColumn(side, F.coalesce(f"{side}_class", side)).drop(f"{side}_class")
-    bonds = components(class_of(class_of(rest, "u"), "v").distinct()).select(F.col("node").alias("class"), F.col("component").alias("wider"))
-    member = sets.where("n_shingles > 0").hint("merge").join(classes.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
-    member = member.hint("merge").join(bonds.hint("merge"), "class", "left").select("doc_id", "n_shingles", F.coalesce("wider", "class").alias("class"))
+    classes = written(_merged(classes, rest), "classes")
+    member = sets.where("n_shingles > 0").hint("merge").join(classes.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("class", "node").alias("class"))
     member = written(member, "members")
     names = member.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     full = member.hint("merge").join(names.hint("merge"), "class").select("doc_id", "n_shingles", "component_id")
