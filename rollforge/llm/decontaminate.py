@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollforge.llm.shared import slices
 from rollforge.llm.textkit import blocks, buffers, shingle_stream, short_shingle, words
 
 K, SIMILARITY, RADIUS, PARTS, PART_BITS = 5, 0.75, 19, 4, 16
@@ -172,7 +173,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     def finder(shared):
         def find(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 ids, rows = batch.column(0), []
                 for row, best in shared.value.matches(batch.column(1)):
                     rows += [(ids[row].as_py(), shared.value.ids[item], *found) for item, found in sorted(best.items())]
@@ -192,7 +193,7 @@ def drop_leaking_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     def keeper(shared):
         def keep(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 clean = np.ones(batch.num_rows, bool)
                 for row, _ in shared.value.matches(batch.column(place)):
                     clean[row] = False

@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollforge.llm.shared import slices
 from rollforge.llm.tokens import word_bpe
 
 WINDOW, GROUP_WINDOWS, MAX_PIECE, END_ID, SPARE = 2048, 64, 512, 1, 4
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -163,7 +164,7 @@ def pack_documents(
     def pack(batches):
         packer = Packer(window, group_windows, max_piece, TaskContext.get().partitionId() << 36, with_ids)
         coder, end = word_bpe(vocabulary), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             for ids, texts in text_blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for doc_id, coded in zip(ids, coder.encode(texts), strict=True):
                     packer.add(doc_id, coded + end)

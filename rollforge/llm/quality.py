@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollforge.llm.shared import slices
 from rollforge.llm.toxicity import held_out, training_rows
 
 MAX_TRAIN, MAX_TRAIN_CHARS, MAX_PAIRS, THRESHOLD = 4000, 20_000, 40_000, 0.7
@@ -98,7 +99,7 @@ def _raw_scores(docs: DataFrame, ranker: Ranker) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
 
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.raw(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "raw"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, raw double")
@@ -137,7 +138,7 @@ def score_quality(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
 
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = shared.value.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollforge.llm.packing import text_blocks
-from rollforge.llm.shared import new_path
+from rollforge.llm.shared import new_path, slices
 from rollforge.llm.tokens import word_bpe
 
 KEYS = ["source", "language", "version"]
@@ -119,7 +119,7 @@ def count_tokens(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, paths: d
         return [len(coder.encode_ordinary(t or "")) for t in texts]
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, sources, languages = (c.to_pylist() for c in batch.columns)
             for rows, block in text_blocks(list(range(len(ids))), texts):
                 for version in versions:

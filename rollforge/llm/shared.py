@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +43,18 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def rows_of(batch, name: str):
-    """A column of an Arrow batch as Python values."""
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that few texts are Python strings at a time.
+
+    When a task ends its worker lives on for the next one; freed memory goes back to the machine first.
+    """
+    try:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, rows):
+                yield batch.slice(begin, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass

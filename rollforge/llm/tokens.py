@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -19,7 +20,7 @@ VOCABULARY = "word_bpe_49k.json"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Printable ASCII without "<" (it opens special tokens) and Latin letters whose lower case is one stable letter.
 PLAIN = re.compile("[\x21-\x3b\x3d-\x7e¡-¬®-įı-ňŊ-ž]+")
-KEPT = 400_000
+KEPT = 150_000
 
 
 def default_vocabulary() -> str:
@@ -39,8 +40,7 @@ class WordBpe:
     """Ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: str | None = None):
-        path = vocabulary or default_vocabulary()
-        self.library = Tokenizer.from_file(path)
+        self.path = path = vocabulary or default_vocabulary()
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         vocab, letters = model["vocab"], _byte_letters()
@@ -55,6 +55,11 @@ class WordBpe:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Loaded when a chunk first needs it."""
+        return Tokenizer.from_file(self.path)
+
     def _slot_of(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollforge.llm.shared import slices
+
 BITS, ORDERS, WINDOW = 20, (3, 4, 5, 6), 256
 MAX_TRAIN, MAX_TRAIN_CHARS, THRESHOLD = 4000, 6000, 0.3
 MAX_FEATURES, MIN_TEXTS = 20_000, 4
@@ -199,7 +201,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = shared.value.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -212,7 +214,7 @@ def drop_toxic_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
     place = docs.columns.index(text_col)
 
     def keep(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = shared.value.scores(batch.column(place).to_pylist())
             yield batch.filter(pa.array(found < threshold))
 
