@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollforge.llm.packing import text_blocks
-from rollforge.llm.shared import new_path, slices
+from rollforge.llm.shared import new_path, slices, written
 from rollforge.llm.tokens import word_bpe
 
 KEYS = ["source", "language", "version"]
@@ -68,7 +68,8 @@ class TokenRollup:
         if self.committed(batch):
             return False
         columns = ["doc_id", *KEYS, "tokens"]
-        changes = changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), *KEYS, F.col("tokens").cast("long").alias("tokens"))
+        # written once: additions and removals both read the changes, whose counting may be long
+        changes = written(changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), *KEYS, F.col("tokens").cast("long").alias("tokens")), "changes")
         added = changes.where(F.col("op").isin("insert", "revise")).select(*columns, F.lit(1).alias("sign"))
         rows = added
         if self.batches():
@@ -77,8 +78,8 @@ class TokenRollup:
             rows = added.unionByName(taken.select(*columns, (-F.col("copies")).alias("sign")))
         ledger = f"{self.path}/ledger/{batch}"
         rows.write.mode("overwrite").parquet(ledger)
-        written = self.spark.read.schema(LEDGER).parquet(ledger)
-        sums = written.groupBy(*KEYS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
+        kept = self.spark.read.schema(LEDGER).parquet(ledger)
+        sums = kept.groupBy(*KEYS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         sums.write.mode("overwrite").parquet(f"{self.path}/delta/{batch}")
         return True
 
