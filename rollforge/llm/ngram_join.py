@@ -36,9 +36,9 @@ from rollforge.llm.shared import slices, written
 from rollforge.llm.textkit import mix, shingle_sets
 
 K = 5
-SAMPLE_DOCS, SAMPLE_DF, MAX_FREQUENT, BLOCK, MAX_BROADCAST = 8000, 3, 100_000, 256, 1_000_000
+SAMPLE_DOCS, SAMPLE_DF, MAX_FREQUENT, BLOCK, MAX_BROADCAST = 32_000, 3, 400_000, 256, 1_000_000
 LEAST, PROBE_WEIGHT = 4, 0.02
-STAR_ROUNDS, STAR_SHARE, STAR_LEAST = ([1], [2, 3, 4], [5, 6, 7, 8]), 4, 2
+STAR_ROUNDS, STAR_SHARE, STAR_LEAST = ([1], [2, 3, 4, 5], [*range(6, 14)], [*range(14, 22)]), 4, 2
 
 
 def needed(n: int, m: int) -> int:
@@ -162,8 +162,8 @@ def frequent_shingles(docs: DataFrame, rows: int, id_col: str, text_col: str) ->
     step = max(1, rows // SAMPLE_DOCS)
     sample = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(step)) == 0).select(F.col(text_col).cast("string"))
     counts = sample.mapInArrow(explode, "h long").groupBy("h").count().where(F.col("count") >= SAMPLE_DF)
-    top = counts.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).collect()
-    return Order(np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64))
+    top = counts.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).toArrow()
+    return Order(top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy())
 
 
 def postings(docs: DataFrame, order: Order, text_col: str) -> DataFrame:
@@ -268,11 +268,16 @@ def _tries(named: DataFrame, seeds: list[int]) -> DataFrame:
     return best.where(F.col("common") >= STAR_LEAST).select("query", "node").distinct()
 
 
-def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes after links between their nodes: links become bonds of classes, however many there are."""
+def _merged(classes: DataFrame, pairs: DataFrame, docs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Classes after the pairs that link: links become bonds of classes, however many there are."""
+    if pairs.isEmpty():
+        return classes
+    links = written(linked(docs, pairs, heads, id_col, text_col), "links")
+    if links.isEmpty():
+        return classes
     named = lambda df, side: df.hint("merge").join(classes.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class")).hint("merge"), side).drop(side).withColumnRenamed(f"{side}_class", side)
     bonds = components(named(named(links, "u"), "v").distinct()).select(F.col("node").alias("class"), "component")
-    return classes.hint("merge").join(bonds.hint("merge"), "class", "left").select("node", F.coalesce("component", "class").alias("class"))
+    return written(classes.hint("merge").join(bonds.hint("merge"), "class", "left").select("node", F.coalesce("component", "class").alias("class")), "classes")
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,7 +292,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for seeds in STAR_ROUNDS:
         some = lists.where(F.pmod(F.col("h"), F.lit(STAR_SHARE)) == 0)
         tries = written(_tries(_open_lists(some, classes), seeds), "tries")
-        classes = written(_merged(classes, written(linked(docs, tries, heads, id_col, text_col), "links")), "classes")
+        classes = _merged(classes, tries, docs, heads, id_col, text_col)
     # lists that span several classes still hold pairs to search
     named = written(_open_lists(lists, classes).distinct(), "open")
     a, b = named.alias("a"), named.alias("b")
@@ -298,8 +303,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = a.hint("merge").join(b.hint("merge"), meets)
     pairs = joined.groupBy(F.col("a.node").alias("query"), F.col("b.node").alias("node"), n.alias("n"), m.alias("m")).agg(F.count("*").alias("common"))
     pairs = written(pairs.where(F.col("common") >= _least(F.col("n"), F.col("m"), _needed(F.col("n"), F.col("m")))).select("query", "node"), "pairs")
-    rest = written(linked(docs, pairs, heads, id_col, text_col), "links")
-    classes = written(_merged(classes, rest), "classes")
+    classes = _merged(classes, pairs, docs, heads, id_col, text_col)
     member = sets.where("n_shingles > 0").hint("merge").join(classes.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("class", "node").alias("class"))
     member = written(member, "members")
     names = member.groupBy("class").agg(F.min("doc_id").alias("component_id"))
