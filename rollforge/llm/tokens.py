@@ -21,6 +21,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Printable ASCII without "<" (it opens special tokens) and Latin letters whose lower case is one stable letter.
 PLAIN = re.compile("[\x21-\x3b\x3d-\x7e¡-¬®-įı-ňŊ-ž]+")
 KEPT = 150_000
+#: Longer chunks go to the library, whose work does not grow with the square of a word's length.
+LONG = 64
 
 
 def default_vocabulary() -> str:
@@ -152,7 +154,7 @@ class WordBpe:
             rank[k, h] = self._rank(made[more], ids[k + 1, h])
 
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if PLAIN.fullmatch(c)]
+        plain = [c for c in chunks if len(c) <= LONG and PLAIN.fullmatch(c)]
         pieces = [PIECES.findall(c.lower()) for c in plain]
         if len(self.piece_ids) > KEPT:
             self.piece_ids = {}
