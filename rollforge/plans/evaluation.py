@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollforge import jobs
 from rollforge.functions import grade
 from rollforge.functions import text as tx
 from rollforge.operators import evals, metrics, search
@@ -234,3 +235,14 @@ def detail_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("said"))
     return metrics.annotate_errors(rows, "said").select("l_orderkey", "l_linenumber", "value", F.coalesce(F.col("value") > 3, F.lit(False)).alias("is_correct"), "error")
+
+
+@query(f"{_FIRST}, n AS (SELECT problem_id, arg_max(ev_answer, votes * 1000 - first_idx) AS answer FROM (SELECT problem_id, pv AS ev_answer, count(*) AS votes, min(sample_idx) AS first_idx FROM graded WHERE pv IS NOT NULL GROUP BY 1, 2) GROUP BY 1), t AS (SELECT problem_id, min(expected)::DOUBLE AS truth FROM graded GROUP BY 1) SELECT 'pass@' || k AS method, count_if(first_correct < k) AS solved FROM p, (VALUES (1), (4), (8)) v(k) GROUP BY k UNION ALL SELECT 'verifier_guided', count(first_correct) FROM p WHERE first_correct < 64 UNION ALL SELECT 'majority', count_if(abs(answer - truth) < 0.001) FROM n JOIN t USING (problem_id)")
+def job_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.evaluate(problems(spark, sf_dir), rollouts(spark, sf_dir), KS)
+
+
+@query(f"{_FIRST} SELECT 'pass@' || k AS metric, round(count_if(first_correct < k) / 1000, 6) AS base, round(count_if(first_correct < k) / 1000, 6) AS candidate, 0.0::DOUBLE AS delta FROM p, (VALUES (1), (4)) v(k) GROUP BY k")
+def job_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passed = evals.pass_at_k(problems(spark, sf_dir), graded(spark, sf_dir), [1, 4]).select(F.concat(F.lit("pass@"), F.col("k").cast("string")).alias("method"), F.col("passed").alias("solved"))
+    return jobs.compare(passed, passed, 1000).select("metric", F.round("base", 6).alias("base"), F.round("candidate", 6).alias("candidate"), "delta")

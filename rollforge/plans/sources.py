@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollforge import jobs
 from rollforge.operators import metrics, pairs
 from rollforge.plans.derived import ANSWERS, answers, read
 from rollforge.plans.grading import GRADED, graded
@@ -176,3 +177,24 @@ def collect_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.where("is_correct").write.mode("append").parquet(path)
     rows.where("not is_correct").write.mode("append").parquet(path)
     return spark.read.parquet(path).groupBy("problem_id").agg(F.count("*").alias("n"))
+
+
+def _echo():
+    return lambda prompts: [f"Step 1: read {len(p)} signs. Step 2: think about them for a while longer. #### {len(p) % 7}" for p in prompts]
+
+
+@query("SELECT 'all' AS part, 2 * count(*) AS n FROM part UNION ALL SELECT 'stats', 1")
+def job_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as problems through the whole job, with a stand-in generator."""
+    path, p = place(spark, "job"), read(spark, sf_dir, "part")
+    named = p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("problem"), (F.col("p_size") % 7).cast("string").alias("answer"))
+    jobs.generate(spark, named, _echo, 2, path)
+    sized = lambda part: spark.read.json(f"{path}/{part}").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+    return sized("all").unionByName(sized("stats"))
+
+
+@query()
+def preprocess_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File to file; the chain itself is tested against a plain model."""
+    path = place(spark, "preprocess")
+    return jobs.preprocess_jsonl(spark, _written(spark, sf_dir), f"{path}/samples", f"{path}/pairs")
