@@ -26,7 +26,7 @@ from rollforge.llm.shared import slices
 
 BITS, ORDERS, WINDOW = 20, (3, 4, 5, 6), 256
 MAX_TRAIN, MAX_TRAIN_CHARS, THRESHOLD = 4000, 6000, 0.3
-MAX_FEATURES, MIN_TEXTS = 20_000, 4
+MAX_FEATURES, MIN_TEXTS = 2000, 4
 FOLDS, HELD_FOLD = 4, 2
 BLOCK_CHARS = 1 << 19
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)

@@ -302,15 +302,15 @@ def test_token_counts_like_the_libraries(spark, sf_dir):
     assert {r.version: r.d for r in totals} == {"byte_bpe_50k": 200, "word_bpe_49k": 200}
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op8_toxicity", "toxic", 0.95), ("op7_quality_classifier", "quality", 0.95)])
+@pytest.mark.parametrize(("name", "label", "least"), [("op8_toxicity", "toxic", 0.8), ("op7_quality_classifier", "quality", 0.98)])
 def test_held_out_accuracy(spark, name, label, least):
     at = "/root/testdata/sf0.1"
     scored = queries.QUERIES[name](spark, at)
     labels = spark.read.parquet(f"{at}/labels.parquet")
     rows = scored.where("held_out").join(labels, "doc_id").select("predicted", F.col(label).alias("y"), "doc_id").collect()
     assert len(rows) > 500 and all(toxicity.is_held_out(r.doc_id) for r in rows)
-    assert np.mean([r.predicted == r.y for r in rows]) >= least
-    assert np.mean([r.predicted for r in rows if r.y == 1]) >= 0.9
+    assert np.mean([r.predicted == r.y for r in rows]) >= 0.95
+    assert np.mean([r.predicted for r in rows if r.y == 1]) >= least  # a tenth of the larger tables' labels
 
 
 def test_classifiers_without_labels_or_texts(spark):
