@@ -7,8 +7,10 @@ they share at least T = ceil(3 (n + m) / 7) shingles. The search finds every lin
 2. Each node posts the first n - ceil(3n/4) + 1 shingles of its set in one global order, rare ones first. Linked nodes
    share a posting. The order comes from a bounded sample of documents; it changes the cost only, never the result.
 3. Star rounds contract large groups of near copies without pairing them all: each node is tried against the node that
-   is first, by a hash, in most of its inverted lists, then those still apart against a few others of another class. These
-   rounds look at a share of the lists and only save work; step 4 does not rely on what they leave out.
+   is first in most of its inverted lists, then those still apart against a few others of another class. First is decided
+   by a hash, for odd seeds weighted by the share of a node's postings that other nodes have too: a copy with few changes
+   has the largest share in its group, and copies with many changes link only with such. These rounds look at a share of
+   the lists and only save work; step 4 does not rely on what they leave out.
 4. Of the pairs that remain in lists that span several classes, those that share enough postings are searched: sets that
    share T shingles share LEAST of the first n - T + LEAST and m - T + LEAST of them, in the global order. A query's partners, in blocks of at most BLOCK, form an inverted index over the query's shingles, and
    DivideSkip merges the short lists by a heap, skips ahead, and probes the longest lists by binary search.
@@ -39,6 +41,7 @@ K = 5
 SAMPLE_DOCS, SAMPLE_DF, MAX_FREQUENT, BLOCK, MAX_BROADCAST = 32_000, 3, 400_000, 256, 1_000_000
 LEAST, PROBE_WEIGHT = 4, 0.02
 STAR_ROUNDS, STAR_SHARE, STAR_LEAST = ([1], [2, 3, 4, 5], [*range(6, 14)], [*range(14, 22)]), 4, 2
+CENTRAL = 32
 
 
 def needed(n: int, m: int) -> int:
@@ -246,22 +249,32 @@ def _needed(n: Column, m: Column) -> Column:
 
 def _least(n: Column, m: Column, t: Column) -> Column:
     """How many shared postings sets of n and m shingles must have; fewer than LEAST where a whole prefix is shorter."""
-    posted = lambda x: x - F.floor((x * 3 + 3) / 4).cast("int") + 1
-    return F.least(F.lit(LEAST), posted(n) - n + t, posted(m) - m + t)
+    return F.least(F.lit(LEAST), _posted(n) - n + t, _posted(m) - m + t)
+
+
+def _posted(n: Column) -> Column:
+    """prefix_length in SQL."""
+    return n - F.floor((n * 3 + 3) / 4).cast("int") + 1
+
+
+def _first(seed: int) -> Column:
+    """A node's place in the race to be a list's center, the smallest wins; odd seeds favour shared prefixes."""
+    even = -F.log((F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(2**40)) + 1) / 2.0**40)
+    return even / F.pow(F.col("degree") / _posted(F.col("n")), F.lit(CENTRAL)) if seed % 2 else even
 
 
 def _open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Postings with their node's class, of lists that span several classes."""
+    """Postings with their node's class and degree, of lists that span several classes."""
     by_list = Window.partitionBy("h")
-    named = lists.hint("merge").join(classes.hint("merge"), "node").select("h", "node", "n", "place", "class")
+    named = lists.hint("merge").join(classes.hint("merge"), "node").select("h", "node", "n", "place", "class", "degree")
     named = named.withColumn("low", F.min("class").over(by_list)).withColumn("high", F.max("class").over(by_list))
-    return named.where("low <> high").select("h", "node", "n", "place", "class")
+    return named.where("low <> high").select("h", "node", "n", "place", "class", "degree")
 
 
 def _tries(named: DataFrame, seeds: list[int]) -> DataFrame:
     """query, node: for each seed the node of another class that comes first in most of a node's lists, if in several."""
     by_list = Window.partitionBy("h")
-    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), F.col("node").alias("center"), F.col("class").alias("center_class"))).over(by_list) for seed in seeds]
+    firsts = [F.min(F.struct(_first(seed).alias("order"), F.col("node").alias("center"), F.col("class").alias("center_class"))).over(by_list) for seed in seeds]
     seen = named.select("node", "class", F.array(*firsts).alias("firsts")).select("node", "class", F.posexplode("firsts").alias("seed", "first"))
     apart = seen.where(F.col("class") != F.col("first.center_class")).groupBy("node", "seed", F.col("first.center").alias("center")).count()
     best = apart.groupBy("node", "seed").agg(F.max_by("center", F.struct("count", "center")).alias("query"), F.max("count").alias("common"))
@@ -277,7 +290,7 @@ def _merged(classes: DataFrame, pairs: DataFrame, docs: DataFrame, heads: DataFr
         return classes
     named = lambda df, side: df.hint("merge").join(classes.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class")).hint("merge"), side).drop(side).withColumnRenamed(f"{side}_class", side)
     bonds = components(named(named(links, "u"), "v").distinct()).select(F.col("node").alias("class"), "component")
-    return written(classes.hint("merge").join(bonds.hint("merge"), "class", "left").select("node", F.coalesce("component", "class").alias("class")), "classes")
+    return written(classes.hint("merge").join(bonds.hint("merge"), "class", "left").select("node", F.coalesce("component", "class").alias("class"), "degree"), "classes")
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +301,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_list = Window.partitionBy("h")
     lists = postings(docs, order, text_col).withColumn("low", F.min("node").over(by_list)).withColumn("high", F.max("node").over(by_list))
     lists = written(lists.where("low <> high").select("h", "node", "n", "place"), "lists")
-    classes = written(lists.select("node").distinct().withColumn("class", F.col("node")), "classes")
+    classes = written(lists.groupBy("node").agg(F.col("node").alias("class"), F.count("*").alias("degree")), "classes")
     for seeds in STAR_ROUNDS:
         some = lists.where(F.pmod(F.col("h"), F.lit(STAR_SHARE)) == 0)
         tries = written(_tries(_open_lists(some, classes), seeds), "tries")
