@@ -11,9 +11,10 @@ they share at least T = ceil(3 (n + m) / 7) shingles. The search finds every lin
    by a hash, for odd seeds weighted by the share of a node's postings that other nodes have too: a copy with few changes
    has the largest share in its group, and copies with many changes link only with such. These rounds look at a share of
    the lists and only save work; step 4 does not rely on what they leave out.
-4. Of the pairs that remain in lists that span several classes, those that share enough postings are searched: sets that
-   share T shingles share LEAST of the first n - T + LEAST and m - T + LEAST of them, in the global order. A query's partners, in blocks of at most BLOCK, form an inverted index over the query's shingles, and
-   DivideSkip merges the short lists by a heap, skips ahead, and probes the longest lists by binary search.
+4. Of the pairs that remain in lists that span several classes, all that can still link are searched: sets that share T
+   shingles share one of the first n - T + 1 and m - T + 1 of them, in the global order. A query's partners, in blocks of
+   at most BLOCK, form an inverted index over the query's shingles, and DivideSkip merges the short lists by a heap, skips
+   ahead, and probes the longest lists by binary search.
 5. Links become classes by star contraction; a class is named by its smallest doc_id.
 
 No step caps lists, candidates or texts. A text with fewer than five words is one shingle, a text without words (or a
@@ -39,7 +40,7 @@ from rollforge.llm.textkit import mix, shingle_sets
 
 K = 5
 SAMPLE_DOCS, SAMPLE_DF, MAX_FREQUENT, BLOCK, MAX_BROADCAST = 32_000, 3, 400_000, 256, 1_000_000
-LEAST, PROBE_WEIGHT = 4, 0.02
+PROBE_WEIGHT = 0.02
 STAR_ROUNDS, STAR_SHARE, STAR_LEAST = ([1], [2, 3, 4, 5], [*range(6, 14)], [*range(14, 22)]), 4, 2
 CENTRAL = 32
 
@@ -247,11 +248,6 @@ def _needed(n: Column, m: Column) -> Column:
     return F.floor(((n + m) * 3 + 6) / 7).cast("int")
 
 
-def _least(n: Column, m: Column, t: Column) -> Column:
-    """How many shared postings sets of n and m shingles must have; fewer than LEAST where a whole prefix is shorter."""
-    return F.least(F.lit(LEAST), _posted(n) - n + t, _posted(m) - m + t)
-
-
 def _posted(n: Column) -> Column:
     """prefix_length in SQL."""
     return n - F.floor((n * 3 + 3) / 4).cast("int") + 1
@@ -310,12 +306,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = written(_open_lists(lists, classes).distinct(), "open")
     a, b = named.alias("a"), named.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
-    needed_, least = _needed(n, m), _least(n, m, _needed(n, m))
+    needed_ = _needed(n, m)
     meets = (F.col("a.h") == F.col("b.h")) & (F.col("a.class") < F.col("b.class")) & (n * 4 >= m * 3) & (m * 4 >= n * 3)
-    meets &= (F.col("a.place") < n - needed_ + least) & (F.col("b.place") < m - needed_ + least)
+    meets &= (F.col("a.place") <= n - needed_) & (F.col("b.place") <= m - needed_)
     joined = a.hint("merge").join(b.hint("merge"), meets)
-    pairs = joined.groupBy(F.col("a.node").alias("query"), F.col("b.node").alias("node"), n.alias("n"), m.alias("m")).agg(F.count("*").alias("common"))
-    pairs = written(pairs.where(F.col("common") >= _least(F.col("n"), F.col("m"), _needed(F.col("n"), F.col("m")))).select("query", "node"), "pairs")
+    pairs = written(joined.select(F.col("a.node").alias("query"), F.col("b.node").alias("node")).distinct(), "pairs")
     classes = _merged(classes, pairs, docs, heads, id_col, text_col)
     member = sets.where("n_shingles > 0").hint("merge").join(classes.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("class", "node").alias("class"))
     member = written(member, "members")
