@@ -57,15 +57,26 @@ def read_mbpp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.mbpp(rows).select("id", "problem_idx", "problem", "answer", "metadata.test_code", F.size("metadata.challenge_tests").cast("long").alias("challenges"))
 
 
-@query("SELECT 'math_train_' || o_orderkey AS id, o_orderkey AS problem_idx, o_custkey::VARCHAR AS problem, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE '' END AS answer FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND o_orderstatus = 'F' AND o_orderkey < 1000")
-def read_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The subset limits the rows that are looked at; the reader's filters come after it."""
+def _math(spark: SparkSession, sf_dir: str, subset: int | None = None) -> DataFrame:
+    """Orders as competition problems of the least priority with status F."""
     o = read(spark, sf_dir, "orders")
     least = o.agg(F.min("o_orderpriority")).first()[0]
     text = F.col("o_custkey").cast("string")
     solution = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("so \\boxed{"), text, F.lit("}"))).otherwise("unknown")
     rows = o.select(F.col("o_orderkey").alias("idx"), text.alias("problem"), solution.alias("solution"), F.col("o_orderpriority").alias("level"), F.col("o_orderstatus").alias("type"))
-    return readers.math(rows, "train", level=least, subject="F", subset=1000).select("id", "problem_idx", "problem", "answer")
+    return readers.math(rows, "train", level=least, subject="F", subset=subset).select("id", "problem_idx", "problem", "answer")
+
+
+@query("SELECT 'math_train_' || o_orderkey AS id, o_orderkey AS problem_idx, o_custkey::VARCHAR AS problem, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE '' END AS answer FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND o_orderstatus = 'F' AND o_orderkey < 1000")
+def read_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subset limits the rows that are looked at; the reader's filters come after it. read_math_whole has no subset."""
+    return _math(spark, sf_dir, 1000)
+
+
+@query("SELECT 'math_train_' || o_orderkey AS id, o_orderkey AS problem_idx, o_custkey::VARCHAR AS problem, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE '' END AS answer FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND o_orderstatus = 'F'")
+def read_math_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that fits level and type: the reader's default."""
+    return _math(spark, sf_dir)
 
 
 @query("SELECT 'gsm8k_test_' || o_orderkey AS id FROM orders")

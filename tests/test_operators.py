@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from rollforge.functions import text as tx
 from rollforge.operators import clean, encode, evals, pairs, search, training
+from rollforge.plans import registry
+from rollforge.sources import readers
 
 
 def jaccard(a, b):
@@ -132,3 +134,18 @@ def test_coalesced_fields_take_the_first_that_is_there(spark):
     df = spark.createDataFrame([(None, "r", "i")], "reasoning string, response string, id string")
     row = clean.coalesce_fields(df, {"text": ["reasoning", "response"], "problem_id": ["problem_id", "id"], "none": ["nothing"]}).first()
     assert (row.text, row.problem_id, row.none) == ("r", "i", "")
+
+
+def test_a_math_subset_counts_rows_before_the_filters(spark):
+    rows = spark.createDataFrame([(0, "L1"), (1, "L2"), (2, "L1"), (3, "L2"), (1500, "L2")], "idx long, level string").selectExpr("idx", "'p' AS problem", "'so \\\\boxed{7}' AS solution", "level", "'F' AS type")
+    ids = lambda **options: sorted(r.problem_idx for r in readers.math(rows, level="L2", subject="F", **options).collect())
+    assert (ids(), ids(subset=3), ids(subset=2, limit_after_filter=True)) == ([1, 3, 1500], [1], [1, 3])
+
+
+def test_whole_math_reads_past_the_subset(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_orderstatus").collect()
+    least = min(r.o_orderpriority for r in orders)
+    want = {r.o_orderkey for r in orders if (r.o_orderpriority, r.o_orderstatus) == (least, "F")}
+    registry.load()
+    got = {r.problem_idx for r in registry.QUERIES["read_math_whole"](spark, sf_dir).collect()}
+    assert got == want and max(got) >= 1000
