@@ -140,8 +140,13 @@ def search(query: np.ndarray, partners: list[np.ndarray]) -> list[tuple[int, int
     return [(i, n) for i, n in sorted(found.items()) if n >= wanted[i]]
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: 64 bits of doc_id and text; either may be null."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, node."""
+    """doc_id, row (64 bits of doc_id and text, see row_key), n_shingles, node."""
 
     def sets(batches):
         for batch in slices(batches):
@@ -150,9 +155,9 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sizes[row] = len(found)
                 if len(found):
                     nodes[row] = signature(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(nodes)], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(nodes)], ["doc_id", "row", "n_shingles", "node"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sets, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row")).mapInArrow(sets, "doc_id long, row long, n_shingles long, node long")
 
 
 def frequent_shingles(docs: DataFrame, rows: int, id_col: str, text_col: str) -> Order:
@@ -210,23 +215,23 @@ def _groups(batches) -> Iterator[tuple[int, list[tuple]]]:
 
 
 def linked(docs: DataFrame, pairs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (query, node) those that link, as u, v. heads: node, head (the doc_id whose text is read for it)."""
+    """Of pairs (query, node) those that link, as u, v. heads: node, head (the row, as row_key has it, whose text is read for it)."""
     sizes = pairs.groupBy("query").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     parts = pairs.hint("merge").join(sizes.hint("merge"), "query").select("query", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("salt"), "node", F.lit(False).alias("is_query"))
     own = sizes.select("query", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.col("query").alias("node"), F.lit(True).alias("is_query"))
     heads = heads.withColumnRenamed("node", "head_node")
     wanted = written(parts.unionByName(own).hint("merge").join(heads.hint("merge"), F.col("node") == F.col("head_node")).select("query", "salt", "node", "is_query", "head"), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(row_key(id_col, text_col).alias("own_row"), F.col(text_col).cast("string").alias("text"))
     # few enough rows, counted, are sent to every task so that texts move once; more are joined by shuffling both sides
     few = wanted.count() <= MAX_BROADCAST
-    routed = texts.join(F.broadcast(wanted), F.col("own_id") == F.col("head")) if few else texts.hint("merge").join(wanted.hint("merge"), F.col("own_id") == F.col("head"))
+    routed = texts.join(F.broadcast(wanted), F.col("own_row") == F.col("head")) if few else texts.hint("merge").join(wanted.hint("merge"), F.col("own_row") == F.col("head"))
     routed = routed.select("query", "salt", "node", "is_query", "text").repartition("query", "salt").sortWithinPartitions("query", "salt", F.desc("is_query"), "node")
 
     def verify(batches):
         u, v = [], []
         for query, rows in _groups(batches):
             found = [s for _, s in shingle_sets(pa.array([r[4] for r in rows], pa.string()), K)]
-            # a repeated doc_id may bring another text, which has another signature
+            # another row with the same key would bring another text, which has another signature
             nodes = [r[2] if len(s) and signature(s) == r[2] else None for r, s in zip(rows, found, strict=True)]
             main = next((s for r, s, node in zip(rows, found, nodes, strict=True) if r[3] and node is not None), None)
             if main is None:
@@ -291,8 +296,13 @@ def _merged(classes: DataFrame, pairs: DataFrame, docs: DataFrame, heads: DataFr
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
+    return classed_rows(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def classed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """similarity_classes with row, and first: the (doc_id, row) that its class is kept by, null ids last."""
     sets = written(document_sets(docs, id_col, text_col), "sets")
-    heads = written(sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("head")), "heads")
+    heads = written(sets.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("head")), "heads")
     order = frequent_shingles(docs, sets.count(), id_col, text_col)
     by_list = Window.partitionBy("h")
     lists = postings(docs, order, text_col).withColumn("low", F.min("node").over(by_list)).withColumn("high", F.max("node").over(by_list))
@@ -312,8 +322,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = a.hint("merge").join(b.hint("merge"), meets)
     pairs = written(joined.select(F.col("a.node").alias("query"), F.col("b.node").alias("node")).distinct(), "pairs")
     classes = _merged(classes, pairs, docs, heads, id_col, text_col)
-    member = sets.where("n_shingles > 0").hint("merge").join(classes.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("class", "node").alias("class"))
+    member = sets.where("n_shingles > 0").hint("merge").join(classes.hint("merge"), "node", "left").select("doc_id", "row", "n_shingles", F.coalesce("class", "node").alias("class"))
     member = written(member, "members")
-    names = member.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    full = member.hint("merge").join(names.hint("merge"), "class").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    own = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "row")
+    names = member.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min(own).alias("first"))
+    full = member.hint("merge").join(names.hint("merge"), "class").select("doc_id", "row", "n_shingles", "component_id", "first")
+    return full.unionByName(sets.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), own.alias("first")))

@@ -78,6 +78,17 @@ def test_ngram_join_of_nothing_and_of_repeated_rows(spark):
     assert [(r.doc_id, r.component_id) for r in ngram_join.similarity_classes(df).collect()] == [(3, 3)] * 3
 
 
+def test_ngram_join_links_through_rows_with_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    bridge = " ".join(base)
+    left, right = " ".join(["l1", "l2", "l3", "l4", "l5", *base[5:]]), " ".join([*base[:55], "r1", "r2", "r3", "r4", "r5"])
+    texts, ids = [left, bridge, right, *(f"{'n ' * 8} {i}" for i in "ab")], [4, None, 7, None, None]
+    model = classes_model(texts)
+    assert model[0][1] == model[1][1] == model[2][1] and len(shingles(left) & shingles(right)) < 0.75 * len(shingles(left) | shingles(right))
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.similarity_classes(documents(spark, texts, ids)).collect()), key=str)
+    assert got == sorted([(4, 4), (None, 4), (7, 4), (None, None), (None, None)], key=str)
+
+
 def test_divide_skip_counts_exactly():
     rng = random.Random(3)
     for _ in range(200):
@@ -371,5 +382,3 @@ def test_exact_stage_keeps_one_of_identical_rows(spark, sf_dir):
 
     df = documents(spark, ["same", "same", "other", "same", "third"], [4, 4, 4, 2, 5])
     assert sorted((r.doc_id, r.text) for r in stages.drop_copies(spark, df, sf_dir).collect()) == [(4, "other"), (4, "same"), (5, "third")]
-
-
