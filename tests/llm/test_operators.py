@@ -382,3 +382,21 @@ def test_exact_stage_keeps_one_of_identical_rows(spark, sf_dir):
 
     df = documents(spark, ["same", "same", "other", "same", "third"], [4, 4, 4, 2, 5])
     assert sorted((r.doc_id, r.text) for r in stages.drop_copies(spark, df, sf_dir).collect()) == [(4, "other"), (4, "same"), (5, "third")]
+
+
+
+
+def test_stages_tell_repeated_and_null_ids_apart(spark, sf_dir):
+    from rollforge.llm import stages
+
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    df = documents(spark, ["x", "y", "y", "y", "z", "z", "u", None, "", "n"], [5, 5, 9, None, None, None, None, 2, 2, 2])
+    got = rows(stages.drop_copies(spark, df, sf_dir))
+    assert len(got) == 6 and [r for r in got if r[1]] == sorted([(2, "n"), (5, "x"), (9, "y"), (None, "u"), (None, "z")], key=str)
+    base = [f"w{i}" for i in range(60)]
+    near, far = [" ".join([*base[:-1], f"e{i}"]) for i in range(4)], [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    df = documents(spark, [near[0], near[1], far[0], near[2], far[1], f"{far[1]} more", far[2], None, None], [3, 5, 5, None, None, None, None, None, None])
+    got = rows(stages.drop_near_copies(spark, df, sf_dir))
+    assert [r for r in got if r[0] is not None] == sorted([(3, near[0]), (5, far[0])], key=str)
+    nulls = [t for i, t in got if i is None]
+    assert len(nulls) == 4 and nulls.count(None) == 2 and far[2] in nulls and len({far[1], f"{far[1]} more"} & set(nulls)) == 1
