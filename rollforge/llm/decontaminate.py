@@ -4,7 +4,8 @@ Every benchmark item is a multiset of 5-word shingles, weighted by their counts,
 document is looked at through windows of an item's own length in words. A window can only be similar if it shares a
 shingle with an item, so windows are laid where one occurs, in line with its place in the item; all others are left out
 without loss. Each window's SimHash is looked up in four 16-bit blocks: fingerprints within RADIUS bits differ by at
-most RADIUS // 4 bits in some block, so probing every value that near in each block finds all of them. Each candidate is
+most RADIUS // 4 bits in some block, so probing every value that near in each block finds all of them. A similar window
+can be further away, so the items whose shingles laid the window are candidates at any distance, too. Each candidate is
 verified by the exact weighted Jaccard similarity of the two multisets.
 
 Items are read in blocks of a bounded size (BLOCK_CHARS), so what is sent to tasks does not grow with the benchmark; a
@@ -123,7 +124,7 @@ class Benchmark:
         raw, offsets = buffers(column)
         for i, j in blocks(offsets):
             hashes, _, _, at = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            starts: dict[int, set[tuple[int, int]]] = defaultdict(set)
+            starts: dict[int, dict[tuple[int, int], set[int]]] = defaultdict(lambda: defaultdict(set))
             for k, known in self.places.items():
                 stream = gram_stream(hashes, k)
                 likely = np.flatnonzero(self.maps[k][(stream >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
@@ -134,24 +135,27 @@ class Benchmark:
                         continue
                     for item, offset in known.get(h, ()):
                         size = min(self.lengths[item], last - first)
-                        starts[row].add((min(max(first, place - offset), last - size), size))
+                        starts[row][(min(max(first, place - offset), last - size), size)].add(item)
             for row in sorted(starts):
                 best = self._best(hashes, int(at[row]), starts[row])
                 if best:
                     yield i + row, best
 
-    def _best(self, hashes: np.ndarray, first: int, windows: set[tuple[int, int]]) -> dict[int, tuple[float, int, int, int]]:
+    def _best(self, hashes: np.ndarray, first: int, windows: dict[tuple[int, int], set[int]]) -> dict[int, tuple[float, int, int, int]]:
         best: dict[int, tuple[float, int, int, int]] = {}
-        for start, size in sorted(windows):
+        for (start, size), named in sorted(windows.items()):
             own = hashes[start : start + size]
             stream = shingle_stream(own, K) if size >= K else short_shingle(own)
             found, counts = np.unique(stream, return_counts=True)
             held = dict(zip(found.tolist(), counts.tolist(), strict=True))
-            for item, distance in self.index.near(simhash(found, counts)):
+            mark = simhash(found, counts)
+            near = dict(self.index.near(mark))
+            for item in sorted(near.keys() | named):
                 other = self.counts[item]
-                both = sum(min(n, other[h]) for h, n in held.items() if h in other)
+                both = sum(min(held[h], other[h]) for h in held.keys() & other.keys())
                 share = both / (sum(held.values()) + sum(other.values()) - both)
                 if share >= SIMILARITY and (item not in best or share > best[item][0]):
+                    distance = near[item] if item in near else (mark ^ int(self.index.prints[item])).bit_count()
                     best[item] = (share, start - first, size, distance)
         return best
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,14 @@ def test_decontamination_finds_passages_and_leaves_others(spark):
     assert decontaminate.find_leaks(documents(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_edited_passage_at_the_threshold():
+    items = [[f"w{i}x{j}" for j in range(39)] for i in range(3000)]
+    texts = [" ".join([*item[:19], "changed", *item[20:]]) for item in items]  # 30 of 35 shingles are left: 30 / 40
+    got = {row: found for row, found in decontaminate.Benchmark([(i, " ".join(item)) for i, item in enumerate(items)]).matches(pa.array(texts))}
+    assert {row: {i: f[0] for i, f in found.items()} for row, found in got.items()} == {i: {i: 0.75} for i in range(len(items))}
+    assert max(found[row][3] for row, found in got.items()) > decontaminate.RADIUS
+
+
 def test_hamming_index_finds_all_within_the_radius():
     rng = random.Random(6)
     prints = [rng.getrandbits(64) for _ in range(300)]
