@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -35,30 +37,40 @@ def ucb_rank(nodes: DataFrame, c: float = 1.414, plus_one: bool = False) -> Data
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("problem_id", "parent_id").orderBy(F.desc("ucb"), "node_id")))
 
 
-def reward_by_node(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """df as a table, so that a deep tree's plan does not grow with its levels."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reward_by_node(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Visits and value of each node with all its descendants.
 
     Each level's sums go up to the parents in one aggregation, from the deepest level on, so no path is ever unfolded.
+    Levels go on until one is empty; a max_depth that leaves rows below it is an error.
     """
-    level = nodes.where("parent_id is null").select("problem_id", "node_id", F.lit(0).alias("depth"))
-    levels = [level]
+    shared = nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-levels-')}"
+    place = f"{shared.rstrip('/')}/levels-{uuid.uuid4().hex}"
+    levels = [_written(nodes.where("parent_id is null").select("problem_id", "node_id"), f"{place}/0")]
     slim = nodes.select("problem_id", "node_id", "parent_id")
-    for depth in range(1, max_depth):
+    while True:
         above = levels[-1].select("problem_id", F.col("node_id").alias("parent_id"))
-        level = slim.join(above, ["problem_id", "parent_id"]).select("problem_id", "node_id", F.lit(depth).alias("depth"))
+        level = _written(slim.join(above, ["problem_id", "parent_id"]).select("problem_id", "node_id"), f"{place}/{len(levels)}")
         if level.isEmpty():
             break
+        if max_depth is not None and len(levels) >= max_depth:
+            raise ValueError(f"the tree is deeper than {max_depth} levels")
         levels.append(level)
     own = nodes.select("problem_id", "node_id", "parent_id", "visits", "value")
     done: list[DataFrame] = []
     carried = None
-    for level in reversed(levels):
-        rows = own.join(level.select("problem_id", "node_id"), ["problem_id", "node_id"])
+    for depth, level in reversed(list(enumerate(levels))):
+        rows = own.join(level, ["problem_id", "node_id"])
         if carried is not None:
             sums = carried.groupBy("problem_id", F.col("parent_id").alias("node_id")).agg(F.sum("visits").alias("v"), F.sum("value").alias("s"))
             rows = rows.join(sums, ["problem_id", "node_id"], "left").select("problem_id", "node_id", "parent_id", (F.col("visits") + F.coalesce("v", F.lit(0))).alias("visits"), (F.col("value") + F.coalesce("s", F.lit(0.0))).alias("value"))
-        done.append(rows)
-        carried = rows
+        carried = _written(rows, f"{place}/sums-{depth}")
+        done.append(carried)
     return reduce(DataFrame.unionByName, done).select("problem_id", "node_id", "visits", "value")
 
 

@@ -149,3 +149,11 @@ def test_whole_math_reads_past_the_subset(spark, sf_dir):
     registry.load()
     got = {r.problem_idx for r in registry.QUERIES["read_math_whole"](spark, sf_dir).collect()}
     assert got == want and max(got) >= 1000
+
+
+def test_rewards_come_up_from_any_depth(spark):
+    nodes = spark.createDataFrame([("p", i, i - 1 if i else None, 1, 0.5) for i in range(70)], "problem_id string, node_id long, parent_id long, visits long, value double")
+    got = {r.node_id: (r.visits, r.value) for r in search.reward_by_node(nodes).collect()}
+    assert got == {i: (70 - i, (70 - i) / 2) for i in range(70)}
+    with pytest.raises(ValueError, match="deeper"):
+        search.reward_by_node(nodes, max_depth=3)
