@@ -2,9 +2,10 @@
 
 A text's features are the distinct n-grams of 3 to 6 characters of its lower-cased words (each word between blanks),
 hashed to 2**20 places. Each feature counts as its log-count ratio between toxic and other labelled texts, and logistic
-regression learns one weight for each scaled feature. Fitting reads a bounded sample of the labelled rows: at most
-max_train of them (smallest hash of doc_id first), of at most max_train_chars characters each. Scoring reads every
-whole text and moves nothing between tasks.
+regression learns one weight for each scaled feature that it keeps: the MAX_FEATURES with the most evidence among those
+in at least MIN_TEXTS sampled texts. All others, rarer toxic n-grams too, weigh nothing. Fitting reads a
+bounded sample of the labelled rows: at most max_train of them (smallest hash of doc_id first), of at most
+max_train_chars characters each. Scoring reads every whole text and moves nothing between tasks.
 
 A text's score is the highest over its windows of WINDOW words, which overlap by half: a long text with one toxic
 passage scores as that passage does. Null and empty texts score as a text without features does (the bias alone).
