@@ -101,15 +101,28 @@ def sentences(c: Column | str) -> Column:
     return F.transform(F.filter(F.transform(F.split(col(c), r"[.!?\n]"), strip), lambda s: F.length(s) > 20), F.lower)
 
 
+def gram_hashes(tokens: Column, n: int, drop_last: bool = False) -> Column:
+    """64-bit hashes of the n-grams, for counting distinct ones without building their texts."""
+    count = F.greatest(F.size(tokens) - (n if drop_last else n - 1), F.lit(0))
+    shifted = [F.slice(tokens, F.lit(i + 1), count).alias(f"w{i}") for i in range(n)]
+    return F.transform(F.arrays_zip(*shifted), lambda gram: F.xxhash64(gram))
+
+
 def is_repetitive(c: Column | str, max_ratio: float = 0.3) -> Column:
-    """Few distinct sentences, or few distinct 5-grams; texts of fewer than 3 long sentences never are."""
+    """Few distinct sentences, or few distinct 5-grams; texts of fewer than 3 long sentences never are.
+
+    5-grams are counted by 64-bit hashes, and only where the sentences do not decide.
+    """
+
+    def echo(tokens: Column, grams: Column) -> Column:
+        return (F.size(tokens) >= 20) & (F.size(grams) > 0) & (F.size(F.array_distinct(grams)) / F.nullif(F.size(grams), F.lit(0)) < 0.5)
 
-    def judge(found: Column, tokens: Column, grams: Column) -> Column:
+    def judge(found: Column) -> Column:
         few = F.size(F.array_distinct(found)) / F.nullif(F.size(found), F.lit(0)) < 1 - max_ratio
-        echo = (F.size(grams) > 0) & (F.size(F.array_distinct(grams)) / F.nullif(F.size(grams), F.lit(0)) < 0.5)
-        return F.when(F.size(found) < 3, False).when(few, True).when(F.size(tokens) < 20, False).otherwise(F.coalesce(echo, F.lit(False)))
+        repeated = let(words(c), lambda tokens: let(gram_hashes(tokens, 5, drop_last=True), lambda grams: echo(tokens, grams)))
+        return F.when(F.size(found) < 3, False).when(few, True).otherwise(F.coalesce(repeated, F.lit(False)))
 
-    return let(sentences(c), lambda found: let(words(c), lambda tokens: let(ngrams(tokens, 5, drop_last=True), lambda grams: judge(found, tokens, grams))))
+    return let(sentences(c), judge)
 
 
 def path_hash(problem_id: Column | str, reasoning: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,23 @@ from rollforge.functions import hooks
 from rollforge.operators import clean, encode, evals, grading, metrics, pairs
 from rollforge.sources import readers, sinks
 
+IN_ORDER = ["sample_idx", "read_at"]
+PROBLEMS = "id string, problem string, answer string"
+STORED = "problem_id string, sample_idx long, reasoning string, expected string"
+
 
 def preprocess_jsonl(spark: SparkSession, source: str, out: str, pairs_out: str | None = None, config: clean.Config = clean.Config()) -> DataFrame:
-    """File to file: cleaned samples, and ranked pairs of them if asked. Gives the counts by reject reason."""
-    samples = readers.samples_jsonl(spark, source).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record").withColumn("confidence", F.col("verification_confidence"))
-    kept = clean.preprocess(samples, config)
-    sinks.write_samples_jsonl(kept, out)
-    if pairs_out:
-        kept = spark.read.schema(kept.schema).json(out)
-        pairs.smart_pair_join(kept, config.min_diversity, config.max_pairs).write.mode("overwrite").json(pairs_out)
-    return clean.reason_stats(clean.with_reasons(samples, config))
+    """File to file: cleaned samples, and ranked pairs of them if asked. Gives the run's counts (name, n).
+
+    Files need neither problem_id nor sample_idx: id stands in for the one, the reading order for the other.
+    """
+    kept, counts = clean.preprocess_counted(readers.samples_in_order(spark, source), config, IN_ORDER)
+    sinks.write_samples_jsonl(kept.drop("read_at"), out)
+    if not pairs_out:
+        return counts
+    made = pairs.smart_pair_join(spark.read.schema(kept.drop("read_at").schema).json(out), config.min_diversity, config.max_pairs)
+    made.write.mode("overwrite").json(pairs_out)
+    return counts.unionByName(spark.read.schema(made.schema).json(pairs_out).agg(F.count("*").alias("n")).select(F.lit("pairs_created").alias("name"), "n"))
 
 
 def generate(spark: SparkSession, problems: DataFrame, make: Callable, paths: int, out: str, config: clean.Config = clean.Config()) -> None:
@@ -30,7 +38,7 @@ def generate(spark: SparkSession, problems: DataFrame, make: Callable, paths: in
     said = hooks.generator_hook(asked, make)
     # texts are generated once: every later step reads them back
     said.write.mode("overwrite").parquet(f"{out}/generated")
-    rows = spark.read.schema(said.schema).parquet(f"{out}/generated")
+    rows = spark.read.schema(said.schema).parquet(f"{out}/generated").drop("prompt")
     graded = grading.verify_batch(rows).withColumn("confidence", F.col("verification_confidence"))
     cleaned = clean.preprocess(graded, config)
     sinks.write_result_bundle(graded, cleaned, pairs.pair_join(graded), pairs.smart_pair_join(cleaned, config.min_diversity, config.max_pairs), metrics.generation_stats(graded), out)
@@ -53,6 +61,39 @@ def compare(base: DataFrame, candidate: DataFrame, problems: int) -> DataFrame:
     return evals.compare_runs(runs.select("run", F.col("method").alias("metric"), (F.col("solved") / problems).alias("value")), "base", "candidate")
 
 
+def training_files(spark: SparkSession, samples: str, pairs_path: str, out: str) -> None:
+    """What a trainer takes over: prompt and completion of correct samples, and prompt, chosen and rejected of pairs."""
+    encode.to_sft_format(readers.samples_jsonl(spark, samples)).write.mode("overwrite").json(f"{out}/sft")
+    pairs.to_dpo_format(readers.pairs_required_keys(spark, pairs_path)).write.mode("overwrite").json(f"{out}/dpo")
+
+
+def loaded(name: str) -> Callable:
+    """The function that "module:function" names."""
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function)
+
+
+def read_problems(spark: SparkSession, path: str, most: int | None) -> DataFrame:
+    rows = spark.read.schema(PROBLEMS).json(path)
+    return rows if most is None else rows.orderBy("id").limit(most)
+
+
+def run_pipeline(spark: SparkSession, found: argparse.Namespace) -> None:
+    """Phases with skips: generate, or go on from samples that are there; clean and pair; hand over to training; evaluate."""
+    samples = found.samples or f"{found.output}/all"
+    if not found.samples and not found.skip_generation:
+        generate(spark, read_problems(spark, found.problems, found.subset_size), loaded(found.generator), found.num_paths, found.output)
+    if not found.skip_preprocess:
+        counts = preprocess_jsonl(spark, samples, f"{found.output}/samples", f"{found.output}/pairs")
+        counts.write.mode("overwrite").json(f"{found.output}/counts")
+    if not found.skip_training_files:
+        training_files(spark, f"{found.output}/samples", f"{found.output}/pairs", f"{found.output}")
+    if not found.skip_eval:
+        wanted = STORED.replace("expected string", "expected string, expected_answer string")
+        rows = spark.read.schema(wanted).json(samples).select("problem_id", "sample_idx", "reasoning", F.coalesce("expected", "expected_answer").alias("expected"))
+        evaluate(rows.select("problem_id").distinct(), rows, found.k).write.mode("overwrite").json(f"{found.output}/evaluation")
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="rollforge")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -63,6 +104,13 @@ def main(args: list[str] | None = None) -> None:
     one.add_argument("--min-length", type=int, default=clean.Config.min_chars)
     one.add_argument("--max-length", type=int, default=clean.Config.max_chars)
     one.add_argument("--dedup-threshold", type=float, default=clean.Config.dedup_threshold)
+    making = argparse.ArgumentParser(add_help=False)
+    making.add_argument("--problems", help="JSON lines with id, problem and answer")
+    making.add_argument("--generator", help="module:function that makes a function from prompts to texts")
+    making.add_argument("--num-paths", type=int, default=10)
+    making.add_argument("--subset-size", type=int)
+    making.add_argument("--output", required=True)
+    commands.add_parser("generate", parents=[making])
     two = commands.add_parser("evaluate")
     two.add_argument("--samples", required=True)
     two.add_argument("--output", required=True)
@@ -72,28 +120,26 @@ def main(args: list[str] | None = None) -> None:
     three.add_argument("--candidate", required=True)
     three.add_argument("--problems", type=int, required=True)
     three.add_argument("--output", required=True)
-    four = commands.add_parser("pipeline")
-    four.add_argument("--samples", required=True)
-    four.add_argument("--output", required=True)
-    four.add_argument("--skip-preprocess", action="store_true")
+    four = commands.add_parser("pipeline", parents=[making])
+    four.add_argument("--samples", help="go on from these samples (JSON lines) instead of generating")
+    four.add_argument("--k", type=int, nargs="+", default=[1, 4, 8])
+    for phase in ("generation", "preprocess", "training-files", "eval"):
+        four.add_argument(f"--skip-{phase}", action="store_true")
     found = parser.parse_args(args)
     spark = SparkSession.builder.appName(f"rollforge {found.command}").getOrCreate()
-    stored = "problem_id string, sample_idx long, reasoning string, expected string"
     if found.command == "preprocess":
         config = clean.Config(min_chars=found.min_length, max_chars=found.max_length, dedup_threshold=found.dedup_threshold)
         preprocess_jsonl(spark, found.input, found.output, found.pairs_output, config).write.mode("overwrite").json(f"{found.output}-stats")
+    elif found.command == "generate":
+        generate(spark, read_problems(spark, found.problems, found.subset_size), loaded(found.generator), found.num_paths, found.output)
     elif found.command == "evaluate":
-        samples = spark.read.schema(stored).json(found.samples)
+        samples = spark.read.schema(STORED).json(found.samples)
         evaluate(samples.select("problem_id").distinct(), samples, found.k).write.mode("overwrite").json(found.output)
     elif found.command == "compare":
         read = lambda path: spark.read.schema("method string, solved long").json(path)
         compare(read(found.base), read(found.candidate), found.problems).write.mode("overwrite").json(found.output)
     else:
-        if not found.skip_preprocess:
-            preprocess_jsonl(spark, found.samples, f"{found.output}/samples", f"{found.output}/pairs")
-        samples = readers.samples_jsonl(spark, f"{found.output}/samples")
-        encode.to_sft_format(samples).write.mode("overwrite").json(f"{found.output}/sft")
-        readers.pairs_required_keys(spark, f"{found.output}/pairs").write.mode("overwrite").json(f"{found.output}/dpo")
+        run_pipeline(spark, found)
 
 
 if __name__ == "__main__":

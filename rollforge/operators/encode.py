@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,23 +50,20 @@ def vocabulary(texts: DataFrame, text: str, size: int) -> DataFrame:
     return top.select("word", F.row_number().over(Window.orderBy(F.desc("count"), "word")).alias("id"))
 
 
-def vocabulary_map(vocab: DataFrame) -> dict[str, int]:
-    """A bounded vocabulary as a dict for encode_words."""
-    return {r["word"]: r["id"] for r in vocab.collect()}
-
-
-def encode_words(text: Column | str, ids: dict[str, int]) -> Column:
-    """Word ids; 0 for words that are not in the vocabulary."""
-    known = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]) if ids else F.create_map().cast("map<string,int>")
-    return F.transform(words(text), lambda w: F.coalesce(F.try_element_at(known, w), F.lit(0)))
+def encoded(rows: DataFrame, key: list[str], texts: dict[str, str], vocab: DataFrame) -> DataFrame:
+    """rows with an id array for each text column ({text column: id column}); a null text gives null, unknown words 0.
 
-
-def encoded(rows: DataFrame, key: list[str], text: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
-    """Word ids of each text by joining its words to the vocabulary, whose size is bounded where it is made."""
-    tokens = rows.select(*key, F.posexplode(words(text)).alias("place", "word"))
-    known = tokens.join(F.broadcast(vocab), "word", "left").select(*key, "place", F.coalesce("id", F.lit(0)).alias("id"))
-    lists = known.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias(out))
-    return rows.join(lists, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
+    All texts' words meet the vocabulary in one join; its size is bounded where it is made, so it goes to every task.
+    """
+    said = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(t).alias("text")) for i, t in enumerate(texts)]))
+    tokens = rows.select(*key, said.alias("said")).select(*key, "said.field", F.posexplode(words("said.text")).alias("place", "word"))
+    known = tokens.join(F.broadcast(vocab), "word", "left").select(*key, "field", "place", F.coalesce("id", F.lit(0)).alias("id"))
+    lists = known.groupBy(*[F.col(k).alias(f"own_{k}") for k in key]).agg(F.array_sort(F.collect_list(F.struct("field", "place", "id"))).alias("coded"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in key])
+    joined = rows.hint("merge").join(lists.hint("merge"), same, "left")
+    none = F.array().cast("array<int>")
+    of = lambda i: F.transform(F.filter("coded", lambda x: x["field"] == i), lambda x: x["id"])
+    return joined.select(*rows.columns, *[F.when(F.col(t).isNotNull(), F.coalesce(of(i), none)).alias(out) for i, (t, out) in enumerate(texts.items())])
 
 
 def encode_pair(prompt: Column, response: Column, max_prompt: int = 512, max_length: int = 2048) -> Column:
@@ -85,16 +84,27 @@ def encode_reward_text(prompt: Column | str, response: Column | str) -> Column:
     return F.concat_ws("\n", col(prompt), col(response))
 
 
-def tokenize_pairs(rows: DataFrame, ids: dict[str, int], max_length: int = 2048) -> DataFrame:
-    """prompt, chosen and rejected as id arrays; a row without one of them passes with nulls."""
-    cut = lambda c, n: F.slice(encode_words(c, ids), 1, n)
-    return rows.withColumns({"prompt_input_ids": cut("prompt", max_length // 2), "chosen_input_ids": cut("chosen", max_length), "rejected_input_ids": cut("rejected", max_length)})
+def tokenize_batch(rows: DataFrame, key: list[str], vocab: DataFrame, max_length: int = 2048) -> DataFrame:
+    """Rows with input_ids and attention_mask of their text, else reasoning; key names a row."""
+    given = [F.col(c) for c in ("text", "reasoning") if c in rows.columns]
+    coded = encoded(rows.withColumn("text_", F.coalesce(*given, F.lit(""))), key, {"text_": "input_ids"}, vocab).drop("text_")
+    return coded.withColumn("input_ids", F.slice("input_ids", 1, max_length)).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+
+
+def tokenize_pairs(rows: DataFrame, key: list[str], vocab: DataFrame, max_length: int = 2048) -> DataFrame:
+    """Rows with prompt, chosen and rejected as id arrays, the prompt up to half the length; a row that lacks one of them passes with nulls."""
+    names = {"prompt": max_length // 2, "chosen": max_length, "rejected": max_length}
+    coded = encoded(rows, key, {c: f"{c}_input_ids" for c in names}, vocab)
+    whole = F.col("prompt").isNotNull() & F.col("chosen").isNotNull() & F.col("rejected").isNotNull()
+    return coded.withColumns({f"{c}_input_ids": F.when(whole, F.slice(f"{c}_input_ids", 1, n)) for c, n in names.items()})
 
 
 def collate_batch(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row per batch_id: a format tag and lists of lists, in the rows' places."""
+    """One row per batch_id: a format tag and lists of lists, in the rows' places. Rows without a mask have an empty one."""
     pairs = {"chosen_input_ids", "rejected_input_ids"} <= set(rows.columns)
-    lists = ["prompt_input_ids", "chosen_input_ids", "rejected_input_ids"] if pairs else ["input_ids"]
+    lists = ["prompt_input_ids", "chosen_input_ids", "rejected_input_ids"] if pairs else ["input_ids", "attention_mask"]
+    if not pairs and "attention_mask" not in rows.columns:
+        rows = rows.withColumn("attention_mask", F.array().cast("array<int>"))
     held = F.array_sort(F.collect_list(F.struct("place", *lists)))
     out = rows.groupBy(*by, "batch_id").agg(held.alias("held"), F.count("*").alias("n_rows"))
     return out.select(*by, "batch_id", "n_rows", F.lit("dpo" if pairs else "standard").alias("format"), *[F.col("held")[c].alias(c) for c in lists])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollforge.functions.text import strip
+from rollforge.operators.ordinals import numbered
 
 
 def judge_tests(runs: DataFrame) -> DataFrame:
@@ -20,9 +21,10 @@ def judge_tests(runs: DataFrame) -> DataFrame:
 def pass_at_k(problems: DataFrame, samples: DataFrame, ks: list[int]) -> DataFrame:
     """k, n_problems, passed, pass_rate: any correct among the first k samples. Problems without samples count as failed.
 
-    One aggregation finds each problem's first correct sample; every k then reads that number.
+    One aggregation finds each problem's first correct sample; every k then reads that number. No filter on the verdict
+    comes before it: pushed below the grading, it would compute the verdict twice.
     """
-    first = samples.where("is_correct").groupBy("problem_id").agg(F.min("sample_idx").alias("first_correct"))
+    first = samples.groupBy("problem_id").agg(F.min(F.when(F.col("is_correct"), F.col("sample_idx"))).alias("first_correct"))
     per = problems.select("problem_id").join(first, "problem_id", "left")
     hits = per.agg(F.count("*").alias("n_problems"), *[F.count_if(F.col("first_correct") < k).alias(f"k{k}") for k in ks])
     rows = hits.select("n_problems", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("passed")) for k in ks])).alias("r"))
@@ -35,24 +37,38 @@ def k_cross_join(results: DataFrame, ks: list[int]) -> DataFrame:
 
 
 def vote_counts(samples: DataFrame) -> DataFrame:
-    """problem_id, answer, votes, first_idx, weight of each distinct answer."""
-    return samples.where("answer is not null").groupBy("problem_id", "answer").agg(F.count("*").alias("votes"), F.min("sample_idx").alias("first_idx"), F.sum("score").alias("weight"))
+    """problem_id, answer, votes, first_idx, weight and best_idx (its best path) of each distinct answer; empty answers are none."""
+    best = F.max_by("sample_idx", F.struct("score", -F.col("sample_idx")))
+    answer = F.nullif("answer", F.lit("")) if samples.schema["answer"].dataType.typeName() == "string" else F.col("answer")
+    return samples.groupBy("problem_id", answer.alias("answer")).agg(F.count("*").alias("votes"), F.min("sample_idx").alias("first_idx"), F.sum("score").alias("weight"), best.alias("best_idx"), F.max("score").alias("top"))
 
 
-def majority_vote(samples: DataFrame) -> DataFrame:
-    """problem_id, answer, votes, n_answers, confidence: the most frequent answer, the first seen of equals."""
-    best = F.struct("votes", -F.col("first_idx"))
+def _voted(samples: DataFrame, by: Column, path: str) -> DataFrame:
+    """The answer that is first by a struct, with its path; a problem without any answer keeps its best path."""
+    some = F.col("answer").isNotNull()
+    only = lambda c: F.when(some, c)
+    picked = lambda c: F.max_by(only(F.col(c)), only(by))
     return vote_counts(samples).groupBy("problem_id").agg(
-        F.max_by("answer", best).alias("answer"), F.max("votes").alias("votes"), F.sum("votes").alias("n_answers"), F.round(F.max("votes") / F.sum("votes"), 6).alias("confidence")
-    )
+        picked("answer").alias("answer"), F.coalesce(F.max(only(F.col("votes"))), F.lit(0)).alias("votes"), F.coalesce(F.sum(only(F.col("votes"))), F.lit(0)).alias("n_answers"),
+        F.max(only(F.round("weight", 9))).alias("weight"), F.coalesce(picked(path), F.max_by("best_idx", F.struct("top", -F.col("best_idx")))).alias("best_idx"),
+    )
+
+
+def majority_vote(samples: DataFrame) -> DataFrame:
+    """problem_id, answer, votes, n_answers, confidence, best_idx: the most frequent answer, the first seen of equals, and its first path.
+
+    Without any answer the answer and the confidence are null and best_idx is the path with the best score.
+    """
+    voted = _voted(samples, F.struct("votes", -F.col("first_idx")), "first_idx")
+    return voted.select("problem_id", "answer", "votes", "n_answers", F.round(F.try_divide("votes", "n_answers"), 6).alias("confidence"), "best_idx")
 
 
 def weighted_vote(samples: DataFrame) -> DataFrame:
-    """problem_id, answer, weight and the answer's best path: the answer with the largest sum of scores."""
-    counts = vote_counts(samples)
-    best = counts.groupBy("problem_id").agg(F.max_by("answer", F.struct(F.round("weight", 9), -F.col("first_idx"))).alias("answer"), F.max(F.round("weight", 9)).alias("weight"))
-    paths = samples.groupBy("problem_id", "answer").agg(F.max_by("sample_idx", F.struct("score", -F.col("sample_idx"))).alias("best_idx"))
-    return best.join(paths, ["problem_id", "answer"])
+    """problem_id, answer, weight, best_idx: the answer with the largest sum of scores, and its best path.
+
+    Without any answer the answer and the weight are null and best_idx is the path with the best score.
+    """
+    return _voted(samples, F.struct(F.round("weight", 9), -F.col("first_idx")), "best_idx").select("problem_id", "answer", "weight", "best_idx")
 
 
 def best_of_n(samples: DataFrame) -> DataFrame:
@@ -68,7 +84,7 @@ def score_paths(reward: Column, is_correct: Column) -> Column:
 
 def verifier_guided_budget(problems: DataFrame, samples: DataFrame, batch: int = 8, most: int = 64) -> DataFrame:
     """problem_id, solved, used: samples drawn in batches until one is correct or the budget is gone."""
-    first = samples.where(F.col("is_correct") & (F.col("sample_idx") < most)).groupBy("problem_id").agg(F.min("sample_idx").alias("at"))
+    first = samples.groupBy("problem_id").agg(F.min(F.when(F.col("is_correct") & (F.col("sample_idx") < most), F.col("sample_idx"))).alias("at"))
     used = F.coalesce(F.lit(batch) * F.ceil((F.col("at") + 1) / batch), F.lit(most)).cast("long")
     return problems.select("problem_id").join(first, "problem_id", "left").select("problem_id", F.col("at").isNotNull().alias("solved"), used.alias("used"))
 
@@ -106,14 +122,13 @@ def best_method(metrics: DataFrame) -> DataFrame:
 def latency_summary(log: DataFrame, by: list[str], seconds: str = "seconds", min_p95: int = 21, min_p99: int = 101, exact: bool = True) -> DataFrame:
     """Rows, throughput, mean, median, p95 and p99 in milliseconds; high percentiles are 0 below a least number of rows.
 
-    Exact nearest ranks come from a ranked window that Spark sorts and spills; exact=False takes approximate ones in
+    Exact nearest ranks come from row numbers that no single task has to make; exact=False takes approximate ones in
     one aggregation.
     """
     if exact:
-        order = Window.partitionBy(*by)
-        ranked = log.withColumn("place", F.row_number().over(order.orderBy(seconds)) - 1).withColumn("n", F.count("*").over(order))
-        at = lambda p: F.max(F.when(F.col("place") == F.floor(F.col("n") * p), F.col(seconds)))
-        middle = F.avg(F.when(F.col("place").between(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)), F.col(seconds)))
+        ranked = numbered(log.select(*by, seconds), by, [seconds])
+        at = lambda p: F.max(F.when(F.col("place") == F.floor(F.col("place_n") * p), F.col(seconds)))
+        middle = F.avg(F.when(F.col("place").between(F.floor((F.col("place_n") - 1) / 2), F.floor(F.col("place_n") / 2)), F.col(seconds)))
     else:
         ranked = log
         at = lambda p: F.percentile_approx(seconds, p, 10_000)

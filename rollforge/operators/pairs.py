@@ -6,40 +6,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollforge.functions import text as tx
+from rollforge.sources.scratch import written
 
 
-def _sides(samples: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-    """Correct and incorrect rows with their word sets, computed before any row meets another."""
-    base = samples.select("problem_id", "sample_idx", "is_correct", "reasoning", tx.word_set("reasoning").alias("tokens"), *more)
-    named = lambda df, p: df.select("problem_id", *[F.col(c).alias(f"{p}_{c}") for c in ("sample_idx", "reasoning", "tokens", *more)])
-    return named(base.where("is_correct"), "c"), named(base.where(~F.coalesce(F.col("is_correct"), F.lit(False))), "r")
+#: About as many pairs as one task makes; a problem with more is dealt out over several.
+PAIRS_PER_TASK = 1_000_000
+# The rejected text where a benchmark's problem has no wrong sample.
+MADE_UP = "Let me work through this step by step...\n\nAfter careful calculation, the answer is "
+
+
+def _held(samples: DataFrame) -> DataFrame:
+    """samples graded and split into words once, as a written table: row_, problem_id, sample_idx, ok, confidence, tokens and the texts.
+
+    Read back, the two sides of a join take only the columns that they need, and no verdict is computed again.
+    """
+    given = [F.col(c) for c in ("prompt", "problem") if c in samples.columns]
+    sure = [F.col(c) for c in ("confidence", "verification_confidence") if c in samples.columns]
+    return written(
+        samples.select(
+            F.monotonically_increasing_id().alias("row_"), "problem_id", "sample_idx", F.coalesce("is_correct", F.lit(False)).alias("ok"), F.coalesce(*sure, F.lit(0.0)).alias("confidence"),
+            tx.word_set(F.coalesce("reasoning", F.lit(""))).alias("tokens"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), F.coalesce(*given, F.lit("")).alias("prompt"),
+        ),
+        "sides",
+    )
+
+
+def _meet(held: DataFrame, *more: str) -> DataFrame:
+    """Every correct row of a problem with every incorrect one: problem_id, c_ and r_ columns. Only ids and the columns asked for move.
+
+    The chosen rows of a problem with very many pairs are dealt out over several tasks, and its rejected ones go to each.
+    """
+    right, wrong = F.count_if("ok"), F.count_if(~F.col("ok"))
+    sizes = held.groupBy("problem_id").agg(right.alias("c"), wrong.alias("r")).where("c > 0 and r > 0")
+    parts = F.least(F.ceil(F.col("c").cast("double") * F.col("r") / PAIRS_PER_TASK), F.col("c")).cast("int")
+    sizes = sizes.select("problem_id", parts.alias("parts"))
+    side = lambda p, flag: held.where(flag).select("problem_id", *[F.col(c).alias(f"{p}_{c}") for c in ("row_", "sample_idx", *more)]).hint("merge").join(sizes.hint("merge"), "problem_id")
+    chosen = side("c", F.col("ok")).withColumn("part", F.pmod(F.xxhash64("c_row_"), F.col("parts")).cast("int")).drop("parts")
+    rejected = side("r", ~F.col("ok")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return chosen.hint("merge").join(rejected.hint("merge"), ["problem_id", "part"]).drop("part")
+
+
+def _with_texts(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs with prompt, chosen and rejected, which only now move."""
+    side = lambda p, *names: held.select(F.col("row_").alias(f"{p}_row_"), *[F.col(a).alias(b) for a, b in names]).hint("merge")
+    return pairs.hint("merge").join(side("c", ("reasoning", "chosen"), ("prompt", "prompt")), "c_row_").hint("merge").join(side("r", ("reasoning", "rejected")), "r_row_")
 
 
 def rejection_pairs(samples: DataFrame) -> DataFrame:
     """All correct x incorrect of a problem: problem_id, c_idx, r_idx."""
-    chosen, rejected = _sides(samples)
-    return chosen.join(rejected, "problem_id").select("problem_id", F.col("c_sample_idx").alias("c_idx"), F.col("r_sample_idx").alias("r_idx"))
+    return _meet(_held(samples)).select("problem_id", F.col("c_sample_idx").alias("c_idx"), F.col("r_sample_idx").alias("r_idx"))
 
 
-def _diverse(samples: DataFrame, least: float, empty: float, *more: str) -> DataFrame:
-    chosen, rejected = _sides(samples, *more)
-    both = chosen.join(rejected, "problem_id").withColumn("diversity_score", tx.diversity_of(F.col("c_tokens"), F.col("r_tokens"), empty))
-    return both.where(F.col("diversity_score") >= least)
+def _diverse(held: DataFrame, least: float, empty: float, *more: str) -> DataFrame:
+    both = _meet(held, "tokens", *more)
+    return both.withColumn("diversity_score", tx.diversity_of(F.col("c_tokens"), F.col("r_tokens"), empty)).drop("c_tokens", "r_tokens").where(F.col("diversity_score") >= least)
 
 
 def pair_join(samples: DataFrame, least: float = 0.1) -> DataFrame:
-    """Correct x incorrect with at least that diversity; empty texts have none."""
-    found = _diverse(samples, least, 0.0)
-    return found.select("problem_id", F.col("c_sample_idx").alias("c_idx"), F.col("r_sample_idx").alias("r_idx"), F.col("c_reasoning").alias("chosen"), F.col("r_reasoning").alias("rejected"), "diversity_score")
+    """Correct x incorrect with at least that diversity, with prompt and both texts; empty texts have none."""
+    held = _held(samples)
+    found = _with_texts(_diverse(held, least, 0.0), held)
+    return found.select("problem_id", F.col("c_sample_idx").alias("c_idx"), F.col("r_sample_idx").alias("r_idx"), "prompt", "chosen", "rejected", "diversity_score")
 
 
 def smart_pair_join(samples: DataFrame, least: float = 0.2, most: int = 5) -> DataFrame:
-    """The most diverse pairs of each problem: by diversity, both confidences, and sample order. Empty texts count as 1."""
-    found = _diverse(samples, least, 1.0, "confidence")
-    order = Window.partitionBy("problem_id").orderBy(F.desc("diversity_score"), F.desc_nulls_last("c_confidence"), F.desc_nulls_last("r_confidence"), "c_sample_idx", "r_sample_idx")
+    """The most diverse pairs of each problem, with the chosen sample's prompt and both texts. Empty texts count as 1.
+
+    Equal pairs go by the chosen row's confidence and place, then the rejected row's. Rows are ranked by ids and word
+    sets; only the pairs that stay fetch their texts.
+    """
+    held = _held(samples)
+    found = _diverse(held, least, 1.0, "confidence")
+    side = lambda p: [F.desc(f"{p}_confidence"), F.asc_nulls_last(f"{p}_sample_idx"), F.col(f"{p}_row_")]
+    order = Window.partitionBy("problem_id").orderBy(F.desc("diversity_score"), *side("c"), *side("r"))
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return best.select(
-        "problem_id", "rank", F.col("c_sample_idx").alias("c_idx"), F.col("r_sample_idx").alias("r_idx"), F.col("c_reasoning").alias("chosen"), F.col("r_reasoning").alias("rejected"),
+    return _with_texts(best, held).select(
+        "problem_id", "rank", F.col("c_sample_idx").alias("c_idx"), F.col("r_sample_idx").alias("r_idx"), "prompt", "chosen", "rejected",
         "diversity_score", F.col("c_confidence").alias("chosen_confidence"), F.col("r_confidence").alias("rejected_confidence"),
     )
 
@@ -55,7 +97,8 @@ def confidence_rank(samples: DataFrame) -> DataFrame:
 
 def capped_pairs(samples: DataFrame, per_side: int = 2) -> DataFrame:
     """The first few of each side, paired. Each side is cut before rows meet."""
-    few = ranked(samples.select("problem_id", "sample_idx", "is_correct"), ["problem_id", "is_correct"], [F.col("sample_idx")]).where(F.col("rank") <= per_side)
+    slim = samples.select("problem_id", "sample_idx", "is_correct")
+    few = ranked(slim, ["problem_id", "is_correct"], [F.col("sample_idx")]).where(F.col("rank") <= per_side)
     chosen = few.where("is_correct").select("problem_id", F.col("sample_idx").alias("c_idx"))
     return chosen.join(few.where("not is_correct").select("problem_id", F.col("sample_idx").alias("r_idx")), "problem_id")
 
@@ -70,7 +113,7 @@ def preference_from_benchmark(problems: DataFrame, samples: DataFrame, wrong: Co
     """problem_id, chosen (the benchmark's solution), rejected (the first wrong sample, else the truth plus 7 in words)."""
     first = samples.where(wrong).groupBy("problem_id").agg(F.min_by("reasoning", "sample_idx").alias("wrong_text"))
     off = F.coalesce((F.col("answer").try_cast("double").cast("long") + 7).cast("string"), F.lit("999"))
-    made = F.concat(F.lit("Let me work through this step by step...\n\nAfter careful calculation, the answer is "), off, F.lit("."))
+    made = F.concat(F.lit(MADE_UP), off, F.lit("."))
     return problems.join(first, "problem_id", "left").select("problem_id", F.col("solution").alias("chosen"), F.coalesce("wrong_text", made).alias("rejected"))
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollforge.functions.text import has_answer_marker
+from rollforge.sources.scratch import remove, written
+
+# The weight of exploration in the upper confidence bound.
+EXPLORATION = 1.41
 
 
 def beam_prune(candidates: DataFrame, width: int) -> DataFrame:
@@ -24,7 +26,7 @@ def beam_prune(candidates: DataFrame, width: int) -> DataFrame:
     return best.withColumn("done", (F.col("rank") == 1) & has_answer_marker("response"))
 
 
-def ucb_rank(nodes: DataFrame, c: float = 1.414, plus_one: bool = False) -> DataFrame:
+def ucb_rank(nodes: DataFrame, c: float = EXPLORATION, plus_one: bool = False) -> DataFrame:
     """Children by upper confidence bound under each parent; unvisited ones come first.
 
     plus_one takes the logarithm of the parent's visits plus one, as one family of searches does.
@@ -37,25 +39,18 @@ def ucb_rank(nodes: DataFrame, c: float = 1.414, plus_one: bool = False) -> Data
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("problem_id", "parent_id").orderBy(F.desc("ucb"), "node_id")))
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    """df as a table, so that a deep tree's plan does not grow with its levels."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def reward_by_node(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Visits and value of each node with all its descendants.
 
     Each level's sums go up to the parents in one aggregation, from the deepest level on, so no path is ever unfolded.
-    Levels go on until one is empty; a max_depth that leaves rows below it is an error.
+    Levels go on until one is empty; a max_depth that leaves rows below it is an error. Every level is written, so plans
+    do not grow with the tree's depth.
     """
-    shared = nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-levels-')}"
-    place = f"{shared.rstrip('/')}/levels-{uuid.uuid4().hex}"
-    levels = [_written(nodes.where("parent_id is null").select("problem_id", "node_id"), f"{place}/0")]
     slim = nodes.select("problem_id", "node_id", "parent_id")
+    levels = [written(slim.where("parent_id is null").select("problem_id", "node_id"), "level")]
     while True:
         above = levels[-1].select("problem_id", F.col("node_id").alias("parent_id"))
-        level = _written(slim.join(above, ["problem_id", "parent_id"]).select("problem_id", "node_id"), f"{place}/{len(levels)}")
+        level = written(slim.join(above, ["problem_id", "parent_id"]).select("problem_id", "node_id"), "level")
         if level.isEmpty():
             break
         if max_depth is not None and len(levels) >= max_depth:
@@ -64,24 +59,31 @@ def reward_by_node(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     own = nodes.select("problem_id", "node_id", "parent_id", "visits", "value")
     done: list[DataFrame] = []
     carried = None
-    for depth, level in reversed(list(enumerate(levels))):
+    for level in reversed(levels):
         rows = own.join(level, ["problem_id", "node_id"])
         if carried is not None:
             sums = carried.groupBy("problem_id", F.col("parent_id").alias("node_id")).agg(F.sum("visits").alias("v"), F.sum("value").alias("s"))
             rows = rows.join(sums, ["problem_id", "node_id"], "left").select("problem_id", "node_id", "parent_id", (F.col("visits") + F.coalesce("v", F.lit(0))).alias("visits"), (F.col("value") + F.coalesce("s", F.lit(0.0))).alias("value"))
-        carried = _written(rows, f"{place}/sums-{depth}")
+        carried = written(rows, "sums")
         done.append(carried)
+    remove(*levels)
     return reduce(DataFrame.unionByName, done).select("problem_id", "node_id", "visits", "value")
 
 
+def _prefix_hashes(tokens: Column) -> Column:
+    """A hash of every prefix, each made from the one before it."""
+    begun = F.array(F.lit(0).cast("long"))
+    return F.slice(F.aggregate(tokens, begun, lambda s, t: F.concat(s, F.array(F.xxhash64(F.element_at(s, -1), t)))), F.lit(2), F.size(tokens))
+
+
 def longest_prefix_join(queries: DataFrame, stored: DataFrame) -> DataFrame:
     """query_id, matched, hit: the longest stored token sequence that starts each query.
 
-    Prefixes meet stored sequences by length and hash; the tokens themselves confirm the hash.
+    Prefixes meet stored sequences by length and hash alone; only what meets is fetched and confirmed token by token.
     """
-    lengths = F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.size("tokens")))
-    tried = queries.select("query_id", "tokens", F.explode(lengths).alias("n")).select("query_id", "n", F.slice("tokens", 1, F.col("n")).alias("prefix"))
-    keyed = tried.withColumn("h", F.xxhash64("prefix"))
-    known = stored.select(F.size("tokens").alias("m"), F.xxhash64("tokens").alias("g"), F.col("tokens").alias("held")).distinct()
-    found = keyed.hint("merge").join(known.hint("merge"), (F.col("h") == F.col("g")) & (F.col("n") == F.col("m")) & (F.col("prefix") == F.col("held"))).groupBy("query_id").agg(F.max("n").alias("best"))
-    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("best", F.lit(0)).alias("matched"), F.col("best").isNotNull().alias("hit"))
+    tried = queries.select("query_id", F.posexplode(_prefix_hashes(F.col("tokens"))).alias("at", "h")).select("query_id", (F.col("at") + 1).alias("n"), "h")
+    known = stored.where(F.size("tokens") > 0).select(F.size("tokens").alias("n"), F.element_at(_prefix_hashes(F.col("tokens")), -1).alias("h"), F.col("tokens").alias("held")).distinct()
+    met = tried.hint("merge").join(known.hint("merge"), ["n", "h"])
+    sure = met.hint("merge").join(queries.select("query_id", "tokens").hint("merge"), "query_id").where(F.slice("tokens", F.lit(1), F.col("n")) == F.col("held"))
+    found = sure.groupBy("query_id").agg(F.max("n").alias("best"))
+    return queries.select("query_id").hint("merge").join(found.hint("merge"), "query_id", "left").select("query_id", F.coalesce("best", F.lit(0)).alias("matched"), F.col("best").isNotNull().alias("hit"))

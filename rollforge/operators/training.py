@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollforge.operators.ordinals import numbered
+
 
 def group_responses(rows: DataFrame) -> DataFrame:
     """prompt, chosen[], rejected[] in sample order; prompts that have both. rows: prompt, idx, is_chosen, response."""
@@ -76,12 +80,14 @@ def training_flags(summary: DataFrame) -> DataFrame:
 
 
 def series_downsample(log: DataFrame, by: list[str], value: str, width: int) -> DataFrame:
-    """Every (n div width)-th point, at most width of them, scaled to 0..1 over all points."""
-    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("step")
-    marked = log.select(*by, "step", F.col(value).alias("value"), (F.row_number().over(order) - 1).alias("place"), F.count("*").over(group).alias("n"), F.min(value).over(group).alias("low"), F.max(value).over(group).alias("high"))
-    stride = F.greatest(F.floor(F.col("n") / width), F.lit(1))
+    """Every (n div width)-th point, at most width of them, scaled to 0..1 over all points of the series."""
+    marked = numbered(log.select(*by, "step", F.col(value).alias("value")), by, ["step"])
+    stride = F.greatest(F.floor(F.col("place_n") / width), F.lit(1))
     kept = marked.where((F.col("place") % stride == 0) & (F.col("place") / stride < width))
-    return kept.select(*by, "step", "value", F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)).alias("scaled"))
+    ends = log.groupBy(*[F.col(c).alias(f"own_{c}") for c in by]).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in by])
+    scaled = F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    return kept.hint("merge").join(ends.hint("merge"), same).select(*by, "step", "value", scaled.alias("scaled"))
 
 
 def batch_assign(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
@@ -91,12 +97,9 @@ def batch_assign(rows: DataFrame, by: list[str], order: list[str], size: int) ->
 
 
 def positional_split(rows: DataFrame, ordinal: str, share: float = 0.9) -> DataFrame:
-    """split: train for the first share of rows by their ordinal 0, 1, ..., eval for the rest.
-
-    The row count is one aggregate that is joined to the rows; no window over all of them is needed.
-    """
-    total = rows.agg(F.floor(F.count("*") * share).alias("cut"))
-    return rows.crossJoin(F.broadcast(total)).withColumn("split", F.when(F.col(ordinal) < F.col("cut"), "train").otherwise("eval")).drop("cut")
+    """split: train for the first share of rows by their ordinal, eval for the rest. Ordinals may have gaps or repeat."""
+    placed = numbered(rows, [], [ordinal])
+    return placed.withColumn("split", F.when(F.col("place") < F.floor(F.col("place_n") * share), "train").otherwise("eval")).drop("place", "place_n")
 
 
 def running_totals(counts: DataFrame, order: str, values: list[str]) -> DataFrame:

@@ -84,21 +84,39 @@ def preprocess_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.reason_stats(clean.with_reasons(samples(spark, sf_dir)))
 
 
-@query()
-def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain; its greedy pass is tested against a plain model."""
-    return clean.preprocess(samples(spark, sf_dir)).select(*KEY, "reasoning")
+def sql_fold(rows: str) -> str:
+    """CTEs fold and kept (problem_id, sample_idx): the pass in order over rows (problem_id, sample_idx, confidence, s), one row of each problem a round."""
+    both = "len(list_intersect(k.s, w.s))"
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY sample_idx) AS i FROM {rows}),
+  fold AS (SELECT DISTINCT problem_id, 0::BIGINT AS i, []::STRUCT(idx BIGINT, conf DOUBLE, s VARCHAR[])[] AS held FROM o UNION ALL
+    SELECT problem_id, i, CASE WHEN hit IS NULL THEN list_append(held, me) WHEN me.conf > hit.conf THEN list_append(list_filter(held, lambda k: k.idx <> hit.idx), me) ELSE held END
+    FROM (SELECT f.problem_id, w.i, held, struct_pack(idx := w.sample_idx, conf := w.confidence, s := w.s) AS me,
+                 list_filter(held, lambda k: len(k.s) > 0 AND len(w.s) > 0 AND {both} / (len(k.s) + len(w.s) - {both}) > 0.85)[1] AS hit
+          FROM fold f JOIN o w ON w.problem_id = f.problem_id AND w.i = f.i + 1)),
+  kept AS (SELECT problem_id, unnest(held).idx AS sample_idx FROM fold JOIN (SELECT problem_id, max(i) AS i FROM fold GROUP BY 1) USING (problem_id, i))"""
 
 
-@query()
-def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.dedup_greedy(answers(spark, sf_dir))
+CLEANED = f"{FACTS}, passed AS (SELECT problem_id, sample_idx, is_correct, confidence, problem, t, list_distinct(words) AS s FROM marked WHERE quality_reason IS NULL AND length_reason IS NULL), {sql_fold('passed')}, cleaned AS (SELECT p.* FROM passed p JOIN kept USING (problem_id, sample_idx))"
+SMART_OF_CLEANED = """cj AS (SELECT c.problem_id, c.sample_idx AS c_idx, r.sample_idx AS r_idx, c.confidence AS cc, r.confidence AS rc, c.problem AS prompt, c.t AS chosen, r.t AS rejected,
+    CASE WHEN len(c.s) = 0 OR len(r.s) = 0 THEN 1 ELSE 1 - len(list_intersect(c.s, r.s)) / (len(c.s) + len(r.s) - len(list_intersect(c.s, r.s))) END AS d FROM cleaned c JOIN cleaned r ON c.problem_id = r.problem_id AND c.is_correct AND NOT r.is_correct),
+  csmart AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY d DESC, cc DESC, c_idx, rc DESC, r_idx) AS rank FROM cj WHERE d >= 0.2) WHERE rank <= 5)"""
+
+
+@query(f"WITH RECURSIVE {CLEANED} SELECT problem_id, sample_idx, t AS reasoning FROM cleaned")
+def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain."""
+    return clean.preprocess(samples(spark, sf_dir)).select(*KEY, "reasoning")
 
 
 _SETS = f"{ANSWERS}, w AS (SELECT problem_id, sample_idx, list_distinct(list_filter(regexp_split_to_array(lower(reasoning), '\\s+'), lambda x: x <> '')) AS s FROM answers)"
 _JAC = "len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))"
 
 
+@query(f"WITH RECURSIVE {_SETS.replace('sample_idx, list_distinct', 'sample_idx, confidence, list_distinct')}, {sql_fold('w')} SELECT problem_id, sample_idx FROM kept")
+def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.dedup_greedy(answers(spark, sf_dir)).select(*KEY)
+
+
 @query(f"WITH {_SETS} SELECT a.problem_id, a.sample_idx AS a_idx, b.sample_idx AS b_idx, round({_JAC}, 6) AS similarity FROM w a JOIN w b ON a.problem_id = b.problem_id AND a.sample_idx < b.sample_idx WHERE len(a.s) > 0 AND len(b.s) > 0 AND {_JAC} > 0.85")
 def near_dup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.near_duplicates(answers(spark, sf_dir)).select("problem_id", "a_idx", "b_idx", F.round("similarity", 6).alias("similarity"))

@@ -11,17 +11,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollforge.operators.ordinals import numbered
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that comes in fewer splits than there are cores, dealt out over all of them; larger ones are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_of(parts: list) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """problem_id, problem_idx, sample_idx, reasoning, expected, confidence, price."""
+    """problem_id, problem_idx, sample_idx, problem, reasoning, expected, confidence, price, quantity."""
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
     order = Window.partitionBy("l_orderkey")
     place = F.row_number().over(order.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
@@ -38,13 +46,13 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = items.withColumn("sample_idx", place).withColumn("best", F.max("l_quantity").over(order))
     return out.select(
-        F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("problem_id"), F.col("l_orderkey").alias("problem_idx"), "sample_idx", said.alias("reasoning"),
+        F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("problem_id"), F.col("l_orderkey").alias("problem_idx"), "sample_idx", text_of(["What is the largest quantity of order ", F.col("l_orderkey"), "?"]).alias("problem"), said.alias("reasoning"),
         F.col("best").cast("long").cast("string").alias("expected"), F.round("l_discount", 2).alias("confidence"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"),
     )
 
 
 ROLLOUTS = """r0 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, max(l_quantity) OVER (PARTITION BY l_orderkey) AS best, l_quantity::BIGINT::VARCHAR AS q FROM lineitem),
-rollouts AS (SELECT 'p' || l_orderkey AS problem_id, l_orderkey AS problem_idx, i AS sample_idx,
+rollouts AS (SELECT 'p' || l_orderkey AS problem_id, l_orderkey AS problem_idx, i AS sample_idx, 'What is the largest quantity of order ' || l_orderkey || '?' AS problem,
   CASE i % 7 WHEN 0 THEN 'Step 1: we take ' || l_partkey || ' parts.' || chr(10) || 'Step 2: so we have ' || q || ' units.' || chr(10) || '#### ' || q
    WHEN 1 THEN 'First we count the parts. The answer is ' || q || '.' WHEN 2 THEN 'We get \\boxed{' || q || '}' WHEN 3 THEN 'Then look again. Therefore, ' || q || ' dollars.'
    WHEN 4 THEN q || ' + 0 = ' || q WHEN 5 THEN '1) Half is not it.' || chr(10) || '2) #### ' || q || ',000 is wrong' || chr(10) || '#### $' || q || '.00'
@@ -55,7 +63,7 @@ rollouts AS (SELECT 'p' || l_orderkey AS problem_id, l_orderkey AS problem_idx,
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """problem_id (source), sample_idx (doc_id), problem, reasoning, is_correct, confidence."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     right = F.coalesce(F.col("quality") == 1, F.lit(False))
     return docs.join(labels, "doc_id", "left").select(
         F.col("source").alias("problem_id"), F.col("doc_id").alias("sample_idx"), F.concat(F.lit("Write about "), "lang").alias("problem"), F.col("text").alias("reasoning"),
@@ -80,10 +88,9 @@ chats AS (SELECT conv_id, turn, text AS prompt, response FROM c0 WHERE role = 'u
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """worker, step, loss, margin, kl, seconds: an event log read as one training log per event type."""
-    events = read(spark, sf_dir, "events")
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    events = numbered(read(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value", "user_id"), ["event_type"], ["ts", "event_id"])
     return events.select(
-        F.col("event_type").alias("worker"), F.row_number().over(order).alias("step"), F.col("value").alias("loss"), (F.col("value") - 50).alias("margin"),
+        F.col("event_type").alias("worker"), (F.col("place") + 1).alias("step"), F.col("value").alias("loss"), (F.col("value") - 50).alias("margin"),
         (F.col("user_id") % 10 / 10.0).alias("kl"), (F.col("value") / 1000).alias("seconds"),
     )
 

@@ -12,6 +12,7 @@ from rollforge.operators import evals, metrics, search
 from rollforge.plans.derived import ANSWERS, CHATS, STEPS, answers, chats, read, rollouts, steps
 from rollforge.plans.grading import _MARKED, GRADED, SQL_REWARDS, graded
 from rollforge.plans.registry import query
+from rollforge.sources.scratch import new_path
 
 KS = [1, 4, 8]
 _PROBLEMS = "problems AS (SELECT 'p' || o_orderkey AS problem_id, o_orderpriority AS level, o_orderstatus AS type FROM orders)"
@@ -30,7 +31,8 @@ def voters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VOTERS = f"voters AS (SELECT problem_id, sample_idx, expected, {_MARKED} AS answer, round(confidence * 10 + quantity / 100, 4) AS score FROM rollouts)"
-_COUNTS = f"WITH {GRADED}, {_VOTERS}, v AS (SELECT problem_id, answer, count(*) AS votes, min(sample_idx) AS first_idx, round(sum(score), 9) AS weight FROM voters WHERE answer IS NOT NULL GROUP BY 1, 2)"
+_COUNTS = f"""WITH {GRADED}, {_VOTERS}, v AS (SELECT problem_id, answer, count(*) AS votes, min(sample_idx) AS first_idx, round(sum(score), 9) AS weight FROM voters WHERE answer <> '' GROUP BY 1, 2),
+  best AS (SELECT problem_id, arg_max(sample_idx, row(score, -sample_idx)) AS best_idx FROM voters GROUP BY 1)"""
 
 
 @query(f"{_FIRST} SELECT k, count(*) AS n_problems, count_if(first_correct < k) AS passed, round(count_if(first_correct < k) / count(*), 6) AS pass_rate FROM p, (VALUES (1), (4), (8)) t(k) GROUP BY k")
@@ -48,12 +50,15 @@ def join_paths_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return problems(spark, sf_dir).join(graded(spark, sf_dir).select("problem_id", "sample_idx", "is_correct"), "problem_id", "left").select("problem_id", "level", "sample_idx", "is_correct")
 
 
-@query(f"{_COUNTS} SELECT problem_id, arg_max(answer, votes * 1000 - first_idx) AS answer, max(votes) AS votes, sum(votes)::BIGINT AS n_answers, round(max(votes) / sum(votes), 6) AS confidence FROM v GROUP BY 1")
+_MAJORITY = f"{_COUNTS}, m AS (SELECT problem_id, arg_max(answer, row(votes, -first_idx)) AS answer, arg_max(first_idx, row(votes, -first_idx)) AS idx, max(votes) AS votes, sum(votes)::BIGINT AS n_answers, max(votes) / sum(votes) AS confidence FROM v GROUP BY 1)"
+
+
+@query(f"{_MAJORITY} SELECT b.problem_id, answer, coalesce(votes, 0) AS votes, coalesce(n_answers, 0) AS n_answers, round(confidence, 6) AS confidence, coalesce(idx, best_idx) AS best_idx FROM best b LEFT JOIN m USING (problem_id)")
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.majority_vote(voters(spark, sf_dir))
 
 
-@query(f"{_COUNTS}, m AS (SELECT problem_id, arg_max(answer, votes * 1000 - first_idx) AS answer, max(votes) / sum(votes) AS confidence FROM v GROUP BY 1), t AS (SELECT DISTINCT problem_id, expected FROM voters) SELECT count(*) AS n_problems, count_if(answer = expected) AS correct, round(avg(confidence), 6) AS mean_confidence FROM t LEFT JOIN m USING (problem_id)")
+@query(f"{_MAJORITY}, t AS (SELECT DISTINCT problem_id, expected FROM voters) SELECT count(*) AS n_problems, count_if(answer = expected) AS correct, round(avg(confidence), 6) AS mean_confidence FROM t LEFT JOIN m USING (problem_id)")
 def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = voters(spark, sf_dir)
     truth = rows.select("problem_id", "expected").distinct()
@@ -61,7 +66,7 @@ def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.join(voted, "problem_id", "left").agg(F.count("*").alias("n_problems"), F.count_if(F.col("answer") == F.col("expected")).alias("correct"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query(f"{_COUNTS}, b AS (SELECT problem_id, arg_max(answer, row(weight, -first_idx)) AS answer, max(weight) AS weight FROM v GROUP BY 1) SELECT b.problem_id, b.answer, round(b.weight, 6) AS weight, arg_max(x.sample_idx, row(x.score, -x.sample_idx)) AS best_idx FROM b JOIN voters x ON b.problem_id = x.problem_id AND b.answer = x.answer GROUP BY ALL")
+@query(f"{_COUNTS}, w AS (SELECT problem_id, arg_max(answer, row(weight, -first_idx)) AS answer, max(weight) AS weight FROM v GROUP BY 1), p AS (SELECT w.problem_id, w.answer, w.weight, arg_max(x.sample_idx, row(x.score, -x.sample_idx)) AS idx FROM w JOIN voters x ON w.problem_id = x.problem_id AND w.answer = x.answer GROUP BY ALL) SELECT b.problem_id, answer, round(weight, 6) AS weight, coalesce(idx, best_idx) AS best_idx FROM best b LEFT JOIN p USING (problem_id)")
 def weighted_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.weighted_vote(voters(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
@@ -76,9 +81,9 @@ def score_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(spark, sf_dir).select("problem_id", "sample_idx", F.round(evals.score_paths(F.col("confidence"), F.col("is_correct")), 6).alias("score"))
 
 
-@query(f"WITH {GRADED}, {_PROBLEMS}, f AS (SELECT problem_id, min(sample_idx) FILTER (WHERE is_correct AND sample_idx < 6) AS first_at FROM graded GROUP BY 1) SELECT problem_id, first_at IS NOT NULL AS solved, coalesce(2 * ceil((first_at + 1) / 2), 6)::BIGINT AS used FROM problems LEFT JOIN f USING (problem_id)")
+@query(f"WITH {GRADED}, {_PROBLEMS}, f AS (SELECT problem_id, min(sample_idx) FILTER (WHERE is_correct AND sample_idx < 64) AS first_at FROM graded GROUP BY 1) SELECT problem_id, first_at IS NOT NULL AS solved, coalesce(8 * ceil((first_at + 1) / 8), 64)::BIGINT AS used FROM problems LEFT JOIN f USING (problem_id)")
 def verifier_guided_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evals.verifier_guided_budget(problems(spark, sf_dir), graded(spark, sf_dir).select("problem_id", "sample_idx", "is_correct"), batch=2, most=6)
+    return evals.verifier_guided_budget(problems(spark, sf_dir), graded(spark, sf_dir).select("problem_id", "sample_idx", "is_correct"))
 
 
 @query(f"WITH {GRADED} SELECT problem_id, min(sample_idx) FILTER (WHERE is_correct AND sample_idx < 3) AS sample_idx FROM graded GROUP BY 1")
@@ -207,7 +212,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.lit(0).alias("problem_id"), F.col("c_custkey").alias("node_id"), F.when(F.col("c_custkey") >= 50, F.floor(F.col("c_custkey") / 7)).alias("parent_id"), (F.col("c_custkey") % 5).alias("visits"), F.col("c_acctbal").alias("value"))
 
 
-@query(f"WITH {_NODES}, u AS (SELECT n.node_id, n.parent_id, CASE WHEN n.visits = 0 THEN 'Infinity'::DOUBLE ELSE round(n.value / n.visits + 1.414 * sqrt(ln(greatest(p.visits, 1)) / n.visits), 6) END AS ucb FROM nodes n JOIN nodes p ON n.parent_id = p.node_id), r AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY ucb DESC, node_id) AS rank FROM u) SELECT node_id, parent_id, CASE WHEN isinf(ucb) THEN NULL ELSE ucb END AS ucb, rank FROM r")
+@query(f"WITH {_NODES}, u AS (SELECT n.node_id, n.parent_id, CASE WHEN n.visits = 0 THEN 'Infinity'::DOUBLE ELSE round(n.value / n.visits + 1.41 * sqrt(ln(greatest(p.visits, 1)) / n.visits), 6) END AS ucb FROM nodes n JOIN nodes p ON n.parent_id = p.node_id), r AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY ucb DESC, node_id) AS rank FROM u) SELECT node_id, parent_id, CASE WHEN isinf(ucb) THEN NULL ELSE ucb END AS ucb, rank FROM r")
 def ucb_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.ucb_rank(_nodes(spark, sf_dir))
     return found.select("node_id", "parent_id", F.when(F.col("ucb") != float("inf"), F.col("ucb")).alias("ucb"), "rank")
@@ -242,7 +247,14 @@ def job_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.evaluate(problems(spark, sf_dir), rollouts(spark, sf_dir), KS)
 
 
-@query(f"{_FIRST} SELECT 'pass@' || k AS metric, round(count_if(first_correct < k) / 1000, 6) AS base, round(count_if(first_correct < k) / 1000, 6) AS candidate, 0.0::DOUBLE AS delta FROM p, (VALUES (1), (4)) v(k) GROUP BY k")
+@query(f"WITH {GRADED}, {_PROBLEMS}, p AS (SELECT problem_id, min(sample_idx) FILTER (WHERE is_correct AND sample_idx % 2 = 0) AS a, min(sample_idx) FILTER (WHERE is_correct) AS b FROM problems LEFT JOIN graded USING (problem_id) GROUP BY 1) SELECT 'pass@' || k AS metric, round(count_if(a < k) / 1000, 6) AS base, round(count_if(b < k) / 1000, 6) AS candidate, round((count_if(b < k) - count_if(a < k)) / 10, 4) AS delta FROM p, (VALUES (1), (4)) v(k) GROUP BY k")
 def job_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passed = evals.pass_at_k(problems(spark, sf_dir), graded(spark, sf_dir), [1, 4]).select(F.concat(F.lit("pass@"), F.col("k").cast("string")).alias("method"), F.col("passed").alias("solved"))
-    return jobs.compare(passed, passed, 1000).select("metric", F.round("base", 6).alias("base"), F.round("candidate", 6).alias("candidate"), "delta")
+    """Two runs through the job's files: one has every other sample only."""
+    asked, rows = problems(spark, sf_dir), graded(spark, sf_dir).select("problem_id", "sample_idx", "is_correct")
+    place = new_path(spark, "compare")
+    for run, samples in (("base", rows.where("sample_idx % 2 = 0")), ("candidate", rows)):
+        passed = evals.pass_at_k(asked, samples, [1, 4])
+        passed.select(F.concat(F.lit("pass@"), F.col("k").cast("string")).alias("method"), F.col("passed").alias("solved")).write.json(f"{place}/{run}")
+    jobs.main(["compare", "--base", f"{place}/base", "--candidate", f"{place}/candidate", "--problems", "1000", "--output", f"{place}/report"])
+    found = spark.read.schema("metric string, base double, candidate double, delta double").json(f"{place}/report")
+    return found.select("metric", F.round("base", 6).alias("base"), F.round("candidate", 6).alias("candidate"), "delta")

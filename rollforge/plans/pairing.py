@@ -12,19 +12,19 @@ from rollforge.plans.grading import GRADED, SQL_REWARDS, _CAND, graded, sql_trut
 from rollforge.plans.registry import query
 
 _SIDES = f"""{GRADED}, s AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(reasoning), '\\s+'), lambda x: x <> '')) AS t FROM graded),
-  j AS (SELECT c.problem_id, c.sample_idx AS c_idx, r.sample_idx AS r_idx, c.reasoning AS chosen, r.reasoning AS rejected, c.confidence AS cc, r.confidence AS rc, 1 - len(list_intersect(c.t, r.t)) / (len(c.t) + len(r.t) - len(list_intersect(c.t, r.t))) AS d
+  j AS (SELECT c.problem_id, c.sample_idx AS c_idx, r.sample_idx AS r_idx, c.problem AS prompt, c.reasoning AS chosen, r.reasoning AS rejected, c.confidence AS cc, r.confidence AS rc, 1 - len(list_intersect(c.t, r.t)) / (len(c.t) + len(r.t) - len(list_intersect(c.t, r.t))) AS d
         FROM s c JOIN s r ON c.problem_id = r.problem_id AND c.is_correct AND NOT r.is_correct)"""
 
 
-@query(f"WITH {_SIDES} SELECT problem_id, c_idx, r_idx, chosen, rejected, round(d, 6) AS diversity_score FROM j WHERE d >= 0.1")
+@query(f"WITH {_SIDES} SELECT problem_id, c_idx, r_idx, prompt, chosen, rejected, round(d, 6) AS diversity_score FROM j WHERE d >= 0.1")
 def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_join(graded(spark, sf_dir)).withColumn("diversity_score", F.round("diversity_score", 6))
 
 
-_SMART = f"{_SIDES}, smart AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY d DESC, cc DESC, rc DESC, c_idx, r_idx) AS rank FROM j WHERE d >= 0.2)"
+_SMART = f"{_SIDES}, smart AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY d DESC, cc DESC, c_idx, rc DESC, r_idx) AS rank FROM j WHERE d >= 0.2)"
 
 
-@query(f"WITH {_SMART} SELECT problem_id, rank, c_idx, r_idx, chosen, rejected, round(d, 6) AS diversity_score, cc AS chosen_confidence, rc AS rejected_confidence FROM smart WHERE rank <= 5")
+@query(f"WITH {_SMART} SELECT problem_id, rank, c_idx, r_idx, prompt, chosen, rejected, round(d, 6) AS diversity_score, cc AS chosen_confidence, rc AS rejected_confidence FROM smart WHERE rank <= 5")
 def smart_pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.smart_pair_join(graded(spark, sf_dir)).withColumn("diversity_score", F.round("diversity_score", 6))
 
@@ -73,6 +73,6 @@ def rejudge_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.rejudge_rewards(pairs.capped_pairs(graded(spark, sf_dir)), rewards)
 
 
-@query(f"WITH {_SMART} SELECT problem_id AS prompt, chosen, rejected FROM smart WHERE rank <= 5")
+@query(f"WITH {_SMART} SELECT prompt, chosen, rejected FROM smart WHERE rank <= 5")
 def to_dpo_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.to_dpo_format(pairs.smart_pair_join(graded(spark, sf_dir)).withColumnRenamed("problem_id", "problem"))
+    return pairs.to_dpo_format(pairs.smart_pair_join(graded(spark, sf_dir)))

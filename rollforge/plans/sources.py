@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollforge import jobs
-from rollforge.operators import metrics, pairs
+from rollforge.operators import clean, metrics, pairs
 from rollforge.plans.derived import ANSWERS, answers, read
 from rollforge.plans.grading import GRADED, graded
+from rollforge.plans.cleaning import CLEANED, SMART_OF_CLEANED, samples
 from rollforge.plans.pairing import _SMART
 from rollforge.plans.registry import query
 from rollforge.sources import readers, sinks
-
-
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which executors and driver share; a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-tables-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from rollforge.sources.scratch import new_path
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +31,7 @@ _ANSWER = "CASE WHEN o_orderkey % 3 = 0 THEN 'Add up.' || chr(10) || floor(o_tot
 
 @query(f"SELECT 'gsm8k_train_' || o_orderkey AS id, o_orderkey AS problem_idx, 'What does customer ' || o_custkey || ' pay?' AS problem, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '1' END || floor(o_totalprice)::BIGINT AS answer, {_ANSWER} AS full_solution FROM orders WHERE o_orderkey < 1000000000")
 def read_gsm8k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = place(spark, "gsm8k")
+    path = new_path(spark, "gsm8k")
     _questions(spark, sf_dir).write.json(path)
     rows = spark.read.schema("idx long, question string, answer string").json(path)
     return readers.gsm8k(rows, "train").select("id", "problem_idx", "problem", "answer", "metadata.full_solution")
@@ -57,26 +52,24 @@ def read_mbpp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.mbpp(rows).select("id", "problem_idx", "problem", "answer", "metadata.test_code", F.size("metadata.challenge_tests").cast("long").alias("challenges"))
 
 
-def _math(spark: SparkSession, sf_dir: str, subset: int | None = None) -> DataFrame:
-    """Orders as competition problems of the least priority with status F."""
+_MATH = "SELECT 'math_train_' || o_orderkey AS id, o_orderkey AS problem_idx, o_custkey::VARCHAR AS problem, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE '' END AS answer FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND o_orderstatus = 'F'"
+
+
+@query(_MATH)
+def read_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as competition problems: every row of the least priority with status F."""
     o = read(spark, sf_dir, "orders")
     least = o.agg(F.min("o_orderpriority")).first()[0]
     text = F.col("o_custkey").cast("string")
     solution = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("so \\boxed{"), text, F.lit("}"))).otherwise("unknown")
     rows = o.select(F.col("o_orderkey").alias("idx"), text.alias("problem"), solution.alias("solution"), F.col("o_orderpriority").alias("level"), F.col("o_orderstatus").alias("type"))
-    return readers.math(rows, "train", level=least, subject="F", subset=subset).select("id", "problem_idx", "problem", "answer")
-
-
-@query("SELECT 'math_train_' || o_orderkey AS id, o_orderkey AS problem_idx, o_custkey::VARCHAR AS problem, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE '' END AS answer FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND o_orderstatus = 'F' AND o_orderkey < 1000")
-def read_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The subset limits the rows that are looked at; the reader's filters come after it. read_math_whole has no subset."""
-    return _math(spark, sf_dir, 1000)
+    return readers.math(rows, "train", level=least, subject="F").select("id", "problem_idx", "problem", "answer")
 
 
-@query("SELECT 'math_train_' || o_orderkey AS id, o_orderkey AS problem_idx, o_custkey::VARCHAR AS problem, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE '' END AS answer FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND o_orderstatus = 'F'")
+@query(_MATH)
 def read_math_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row that fits level and type: the reader's default."""
-    return _math(spark, sf_dir)
+    """The same reader by the benchmark's name."""
+    return read_math(spark, sf_dir)
 
 
 @query("SELECT 'gsm8k_test_' || o_orderkey AS id FROM orders")
@@ -102,7 +95,7 @@ def subset_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
-    path = place(spark, "samples")
+    path = new_path(spark, "samples")
     rows = answers(spark, sf_dir).select("problem_id", "sample_idx", "problem", "reasoning", F.when(F.col("sample_idx") % 5 != 0, F.col("is_correct")).alias("is_correct"))
     sinks.write_samples_jsonl(rows, path)
     return path
@@ -125,31 +118,31 @@ def write_samples_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANSWERS} SELECT problem AS prompt, reasoning AS chosen FROM answers WHERE sample_idx % 3 <> 0")
 def read_pairs_required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = place(spark, "pairs")
+    path = new_path(spark, "pairs")
     rows = answers(spark, sf_dir).select(F.col("problem").alias("prompt"), F.col("reasoning").alias("chosen"), F.when(F.col("sample_idx") % 3 != 0, "no").alias("rejected"))
     rows.write.json(path)
     return readers.pairs_required_keys(spark, path).select("prompt", "chosen")
 
 
-@query(f"WITH {_SMART} SELECT 'all' AS part, (SELECT count(*) FROM graded) AS n UNION ALL SELECT 'correct', (SELECT count_if(is_correct) FROM graded) UNION ALL SELECT 'incorrect', (SELECT count_if(NOT is_correct) FROM graded) UNION ALL SELECT 'filtered', (SELECT count_if(is_correct) FROM graded) UNION ALL SELECT 'dpo_pairs', (SELECT count(*) FROM smart WHERE rank <= 5) UNION ALL SELECT 'full_pairs', (SELECT count(*) FROM smart WHERE rank <= 5) UNION ALL SELECT 'stats', 1")
+@query(f"WITH RECURSIVE {CLEANED}, {SMART_OF_CLEANED} SELECT 'all' AS part, (SELECT count(*) FROM samples) AS n, NULL::VARCHAR AS texts UNION ALL SELECT 'correct', (SELECT count_if(is_correct) FROM samples), NULL UNION ALL SELECT 'incorrect', (SELECT count_if(NOT is_correct) FROM samples), NULL UNION ALL SELECT 'filtered', (SELECT count(*) FROM cleaned), NULL UNION ALL SELECT 'dpo_pairs', count(*), md5(string_agg(md5(prompt || chosen || rejected), '' ORDER BY md5(prompt || chosen || rejected))) FROM csmart UNION ALL SELECT 'full_pairs', count(*), NULL FROM csmart UNION ALL SELECT 'stats', 1, NULL")
 def write_result_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each output of a run, read back."""
-    path, rows = place(spark, "bundle"), graded(spark, sf_dir)
-    sinks.write_result_bundle(rows, rows.where("is_correct"), pairs.pair_join(rows), pairs.smart_pair_join(rows), metrics.generation_stats(rows), path)
-    sized = lambda part, df: df.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+    """Rows of each output of a run, read back, and a digest of the preference texts."""
+    path, rows = new_path(spark, "bundle"), samples(spark, sf_dir)
+    cleaned = clean.preprocess(rows)
+    sinks.write_result_bundle(rows, cleaned, pairs.pair_join(rows), pairs.smart_pair_join(cleaned), metrics.generation_stats(rows), path)
+    sized = lambda part, df: df.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n", F.lit(None).cast("string").alias("texts"))
     split = spark.read.json(f"{path}/by_verdict")
-    parts = [sized(p, spark.read.json(f"{path}/{p}")) for p in ("all", "filtered", "dpo_pairs", "full_pairs", "stats")]
+    parts = [sized(p, spark.read.json(f"{path}/{p}")) for p in ("all", "filtered", "full_pairs", "stats")]
     parts += [sized(v, split.where(F.col("verdict") == v)) for v in ("correct", "incorrect")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    marks = spark.read.schema("prompt string, chosen string, rejected string").json(f"{path}/dpo_pairs").select(F.md5(F.concat("prompt", "chosen", "rejected")).alias("m"))
+    parts.append(marks.agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("m")), "")).alias("texts")).select(F.lit("dpo_pairs").alias("part"), "n", "texts"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT o_orderpriority AS step_name, count(*) AS n FROM orders WHERE o_orderpriority <= '3-MEDIUM' GROUP BY 1")
 def checkpoint_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps are order priorities; the snapshot holds the first three."""
-    path = place(spark, "snapshots")
+    path = new_path(spark, "snapshots")
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("step_name"), F.substring("o_orderpriority", 1, 1).cast("int").alias("step"))
     o.write.partitionBy("step").parquet(path)
     return sinks.snapshot(spark, path, 3).groupBy("step_name").agg(F.count("*").alias("n"))
@@ -159,7 +152,7 @@ def checkpoint_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = graded(spark, sf_dir)
     summary = rows.groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("correct"))
-    path = place(spark, "report")
+    path = new_path(spark, "report")
     sinks.eval_report(summary, rows.select("problem_id", "sample_idx", "is_correct"), ["problem_id"]).write.json(path)
     back = spark.read.json(path).withColumn("r", F.from_json("report", "n long, correct long, details array<struct<sample_idx:long,is_correct:boolean>>"))
     return back.select("problem_id", "r.n", "r.correct", F.size("r.details").cast("long").alias("details"))
@@ -167,7 +160,7 @@ def write_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SMART} SELECT problem_id, c_idx, r_idx FROM smart WHERE rank <= 5")
 def preference_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, key = place(spark, "cache"), {"dataset": "rollouts", "n": 5}
+    root, key = new_path(spark, "cache"), {"dataset": "rollouts", "n": 5}
     make = lambda: pairs.smart_pair_join(graded(spark, sf_dir))
     sinks.preference_cache(spark, root, key, make)
     return sinks.preference_cache(spark, root, key, make).select("problem_id", "c_idx", "r_idx")
@@ -175,7 +168,7 @@ def preference_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id AS step, value AS loss FROM events", name="append_training_log")
 def append_and_read_training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, log = place(spark, "log"), read(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    path, log = new_path(spark, "log"), read(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss"))
     sinks.append_training_log(log.where("step % 2 = 0"), path)
     sinks.append_training_log(log.where("step % 2 = 1"), path)
     return readers.training_log(spark, path).select("step", "loss")
@@ -184,28 +177,55 @@ def append_and_read_training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ANSWERS} SELECT problem_id, count(*) AS n FROM answers GROUP BY 1")
 def collect_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches appended to one table."""
-    path, rows = place(spark, "datasets"), answers(spark, sf_dir).select("problem_id", "sample_idx", "is_correct")
+    path, rows = new_path(spark, "datasets"), answers(spark, sf_dir).select("problem_id", "sample_idx", "is_correct")
     rows.where("is_correct").write.mode("append").parquet(path)
     rows.where("not is_correct").write.mode("append").parquet(path)
     return spark.read.parquet(path).groupBy("problem_id").agg(F.count("*").alias("n"))
 
 
-def _echo():
+def echo():
+    """A stand-in generator."""
     return lambda prompts: [f"Step 1: read {len(p)} signs. Step 2: think about them for a while longer. #### {len(p) % 7}" for p in prompts]
 
 
 @query("SELECT 'all' AS part, 2 * count(*) AS n FROM part UNION ALL SELECT 'stats', 1")
 def job_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as problems through the whole job, with a stand-in generator."""
-    path, p = place(spark, "job"), read(spark, sf_dir, "part")
+    """Parts as problems through the whole command."""
+    path, p = new_path(spark, "job"), read(spark, sf_dir, "part")
     named = p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("problem"), (F.col("p_size") % 7).cast("string").alias("answer"))
-    jobs.generate(spark, named, _echo, 2, path)
+    named.write.json(f"{path}/problems")
+    jobs.main(["generate", "--problems", f"{path}/problems", "--generator", "rollforge.plans.sources:echo", "--num-paths", "2", "--output", path])
     sized = lambda part: spark.read.json(f"{path}/{part}").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
     return sized("all").unionByName(sized("stats"))
 
 
-@query()
+def _samples_file(spark: SparkSession, sf_dir: str) -> str:
+    """Samples as a run's file, with the expected answer of the rows that end in one."""
+    path = new_path(spark, "run")
+    rows = samples(spark, sf_dir).withColumnRenamed("confidence", "verification_confidence")
+    sinks.write_samples_jsonl(rows.select("problem_id", "sample_idx", "problem", "reasoning", "is_correct", "verification_confidence", F.lit("42").alias("expected_answer")), f"{path}/in")
+    return path
+
+
+@query(f"WITH RECURSIVE {CLEANED}, {SMART_OF_CLEANED} SELECT 'input_samples' AS name, count(*) AS n FROM samples UNION ALL SELECT 'filtered_' || coalesce(quality_reason, length_reason), count(*) FROM marked WHERE coalesce(quality_reason, length_reason) IS NOT NULL GROUP BY 1 UNION ALL SELECT 'dedup_removed', (SELECT count(*) FROM passed) - (SELECT count(*) FROM cleaned) UNION ALL SELECT 'output_samples', count(*) FROM cleaned UNION ALL SELECT 'pairs_created', count(*) FROM csmart")
 def preprocess_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File to file; the chain itself is tested against a plain model."""
-    path = place(spark, "preprocess")
-    return jobs.preprocess_jsonl(spark, _written(spark, sf_dir), f"{path}/samples", f"{path}/pairs")
+    """File to file: the run's counts."""
+    path = _samples_file(spark, sf_dir)
+    return jobs.preprocess_jsonl(spark, f"{path}/in", f"{path}/samples", f"{path}/pairs")
+
+
+@query(f"WITH RECURSIVE {CLEANED} SELECT problem_id, sample_idx, t AS reasoning FROM cleaned")
+def job_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command's output rows, read back."""
+    path = _samples_file(spark, sf_dir)
+    jobs.main(["preprocess", "--input", f"{path}/in", "--output", f"{path}/samples"])
+    return spark.read.schema("problem_id string, sample_idx long, reasoning string").json(f"{path}/samples")
+
+
+@query(f"WITH RECURSIVE {CLEANED}, {SMART_OF_CLEANED} SELECT 'samples' AS part, count(*) AS n FROM cleaned UNION ALL SELECT 'sft', count_if(is_correct) FROM cleaned UNION ALL SELECT 'pairs', count(*) FROM csmart UNION ALL SELECT 'dpo', count(*) FROM csmart UNION ALL SELECT 'evaluation', 5")
+def job_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each output of the command that goes on from existing samples: cleaned, paired, handed over, evaluated."""
+    path = _samples_file(spark, sf_dir)
+    jobs.main(["pipeline", "--samples", f"{path}/in", "--output", path])
+    sized = lambda part: spark.read.json(f"{path}/{part}").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+    return reduce(DataFrame.unionByName, map(sized, ("samples", "sft", "pairs", "dpo", "evaluation")))

@@ -2,48 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollforge.functions import hooks
 from rollforge.functions.text import eval_step_count
 from rollforge.operators import encode
+from rollforge.operators.grading import verify_batch
 from rollforge.plans.derived import CHATS, ROLLOUTS, chats, read, rollouts
 from rollforge.plans.grading import GRADED, graded
 from rollforge.plans.registry import query
-from rollforge.plans.sources import place
+from rollforge.sources.scratch import new_path
 from rollforge.streaming import envelopes, pipelines
 
-MESSAGE = "key string, value string, topic string"
+ROLLOUT = "problem_id string, sample_idx long, reasoning string, expected string"
+BROKEN = "problem_idx % 97 = 0"
+
+
+def _wrapped(rows: DataFrame, partition: Column | None = None) -> DataFrame:
+    return envelopes.wrap(rows, F.lit("raw_reasoning"), F.struct("problem_id", "sample_idx", "reasoning", "expected"), "problem_id", F.col("problem_idx") + 1700000000.5, partition)
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rollouts as raw messages; every 97th is no JSON."""
-    rows = rollouts(spark, sf_dir)
-    wrapped = envelopes.wrap(rows, F.lit("reasoning_path"), F.struct("problem_id", "sample_idx", "reasoning", "expected"), "problem_id", F.col("problem_idx") + 1700000000.5)
-    broken = F.pmod(F.crc32(F.col("value").cast("binary")), F.lit(97)) == 0
-    return wrapped.withColumn("value", F.when(broken, F.substring("value", 2, 40)).otherwise(F.col("value")))
+    """Rollouts as raw messages; those of every 97th problem are no JSON."""
+    broken = F.substring("key", 2, 20).cast("long") % 97 == 0
+    return _wrapped(rollouts(spark, sf_dir)).withColumn("value", F.when(broken, F.substring("value", 2, 40)).otherwise(F.col("value")))
+
+
+def _opened(messages: DataFrame, data: str) -> DataFrame:
+    """key, topic, type and the data's fields of messages."""
+    return messages.withColumn("e", F.from_json("value", f"type string, data struct<{data}>, timestamp double")).select("key", "topic", "e.type", "e.data.*")
 
 
 def _source(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """rows as files, read as a stream a few files at a time."""
-    path = place(spark, "topic")
+    path = new_path(spark, "topic")
     rows.repartition(4).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    path = place(spark, "out")
-    pipelines.run_available(stream, path, place(spark, "offsets"))
+    path = new_path(spark, "out")
+    pipelines.run_available(stream, path, new_path(spark, "offsets"))
     return spark.read.schema(stream.schema).parquet(path)
 
 
-@query(f"WITH {ROLLOUTS} SELECT problem_id AS key, problem_id, sample_idx, reasoning, 'reasoning_path' AS type, 'reasoning-raw' AS topic FROM rollouts")
+@query(f"WITH {ROLLOUTS} SELECT problem_id AS key, problem_id, sample_idx, reasoning, expected, 'raw_reasoning' AS type, 'raw_reasoning_data' AS topic FROM rollouts")
 def wrap_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rollouts(spark, sf_dir)
-    wrapped = envelopes.wrap(rows, F.lit("reasoning_path"), F.struct("problem_id", "sample_idx", "reasoning"), "problem_id", F.col("problem_idx") + 0.5)
-    back = wrapped.withColumn("e", F.from_json("value", "type string, data struct<problem_id:string,sample_idx:long,reasoning:string>"))
-    return back.select("key", "e.data.*", "e.type", "topic")
+    return _opened(_wrapped(rollouts(spark, sf_dir)), "problem_id:string,sample_idx:long,reasoning:string,expected:string")
 
 
 @query(f"WITH {ROLLOUTS} SELECT problem_id, sample_idx, reasoning FROM rollouts")
@@ -55,35 +61,41 @@ def unwrap_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.unwrap(rows.select(value.alias("value")), "problem_id string, sample_idx long, reasoning string").select("data.*")
 
 
-@query()
+@query(f"WITH {ROLLOUTS} SELECT problem_id AS key, 'raw_reasoning_data' AS topic, (problem_idx % 4)::INTEGER AS partition, sample_idx AS offset, CASE WHEN NOT {BROKEN} THEN 'raw_reasoning' END AS type, CASE WHEN NOT {BROKEN} THEN sample_idx END AS sample_idx, {BROKEN} AS bad FROM rollouts")
 def kafka_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoding of a topic's rows as the source gives them, with broken messages marked."""
-    stream = _source(spark, _messages(spark, sf_dir))
-    return _run(spark, envelopes.unwrap(stream, pipelines.PATH)).select("key", "topic", "type", "bad", "data.sample_idx")
+    """The reader's decoding of a topic's records, binary as the source gives them; broken ones are marked."""
+    number = F.substring("key", 2, 20).cast("long")
+    sample = F.regexp_extract("value", r'"sample_idx":(\d+)', 1)
+    held = _wrapped(rollouts(spark, sf_dir)).withColumns({"partition": (number % 4).cast("int"), "offset": sample.cast("long")})
+    held = held.withColumn("value", F.when(number % 97 == 0, F.substring("value", 2, 40)).otherwise(F.col("value")))
+    records = held.select(F.col("key").cast("binary"), F.col("value").cast("binary"), "topic", "partition", "offset")
+    return _run(spark, envelopes.decode(_source(spark, records), ROLLOUT)).select("key", "topic", "partition", "offset", "type", "data.sample_idx", "bad")
 
 
-@query()
+@query(f"WITH {ROLLOUTS} SELECT problem_id AS key, 'raw_reasoning_data' AS topic, (problem_idx % 3)::INTEGER AS partition, 'raw_reasoning' AS type, sample_idx, reasoning FROM rollouts")
 def kafka_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the sink would send: key, value, topic."""
-    return _messages(spark, sf_dir)
+    """What a stream hands to the sink, with an explicit partition: written by a stream of the same columns."""
+    rows = rollouts(spark, sf_dir).select("problem_id", "problem_idx", "sample_idx", "reasoning", "expected")
+    sent = _run(spark, _wrapped(_source(spark, rows), F.col("problem_idx") % 3))
+    return sent.withColumn("e", F.from_json("value", "type string, data struct<sample_idx:long,reasoning:string>")).select("key", "topic", "partition", "e.type", "e.data.sample_idx", "e.data.reasoning")
 
 
-@query()
+@query(f"WITH {GRADED} SELECT problem_id AS key, 'verified_paths' AS topic, 'verified_path' AS type, problem_id, sample_idx, reasoning, is_correct, CASE WHEN status = 'incorrect' THEN 0.0 ELSE 1.0 END::DOUBLE AS verification_confidence FROM graded WHERE NOT {BROKEN}")
 def stream_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against the batch result in tests, as the broken messages depend on a checksum of the text."""
-    return _run(spark, pipelines.stream_verify(_source(spark, _messages(spark, sf_dir))))
+    out = _run(spark, pipelines.stream_verify(_source(spark, _messages(spark, sf_dir))))
+    return _opened(out, "problem_id:string,sample_idx:long,reasoning:string,is_correct:boolean,verification_confidence:double")
 
 
-@query()
+@query(f"WITH {GRADED} SELECT problem_id AS key, 'training_data' AS topic, 'training_sample' AS type, problem_id, sample_idx, reasoning FROM graded WHERE is_correct AND NOT {BROKEN}")
 def stream_to_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     verified = pipelines.stream_verify(_messages(spark, sf_dir))
-    return _run(spark, pipelines.stream_to_training(_source(spark, verified)))
+    return _opened(_run(spark, pipelines.stream_to_training(_source(spark, verified))), "problem_id:string,sample_idx:long,reasoning:string")
 
 
-@query("SELECT topic, sum(n)::BIGINT AS n FROM (SELECT 'reasoning-raw' AS topic, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'reasoning-verified', count(*) FROM orders WHERE o_orderkey % 2 = 1) GROUP BY 1")
+@query("SELECT topic, sum(n)::BIGINT AS n FROM (SELECT 'raw_reasoning_data' AS topic, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'verified_paths', count(*) FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT 'training_data', count(*) FROM orders WHERE o_orderkey % 3 = 2) GROUP BY 1")
 def stage_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders")
-    topic = F.when(F.col("o_orderkey") % 2 == 0, envelopes.stage_route("generation")).otherwise(envelopes.stage_route("verification"))
+    o, kind = read(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
+    topic = F.when(kind == 0, envelopes.stage_route("raw")).when(kind == 1, envelopes.stage_route("verified")).otherwise(envelopes.stage_route("training"))
     return o.groupBy(topic.alias("topic")).agg(F.count("*").alias("n"))
 
 
@@ -91,9 +103,9 @@ def stage_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_micro_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro-batches written under their ids by foreachBatch; all rows arrive once."""
     events = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    path = place(spark, "batches")
+    path = new_path(spark, "batches")
     writer = pipelines.process_each(lambda batch: batch.withColumn("error", F.when(F.col("value").isNull(), "no value")), path)
-    _source(spark, events).writeStream.foreachBatch(writer).option("checkpointLocation", place(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    _source(spark, events).writeStream.foreachBatch(writer).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
@@ -107,14 +119,14 @@ def stream_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS key, count(*) AS items, ceil(count(*) / 50.0)::BIGINT AS least_batches FROM events GROUP BY 1")
 def stream_batcher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full batches of 50 come from the stream; what a key still holds at the end is flushed as one shorter batch."""
+    """Batches of 50; the end of the source, a row without an item for each key, flushes what a key still holds."""
     events = read(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("item"))
-    full = _run(spark, pipelines.stream_batcher(_source(spark, events), "key", "item", 50, idle_ms=None))
-    out = full.select("key", F.explode("items").alias("item"))
-    left = events.join(out, ["key", "item"], "left_anti")
-    rest = left.groupBy("key").agg(F.collect_list("item").alias("items"))
-    both = full.select("key", "items").unionByName(rest)
-    return both.groupBy("key").agg(F.sum(F.size("items")).alias("items"), F.count("*").alias("least_batches"))
+    path = new_path(spark, "topic")
+    events.repartition(4).write.parquet(path)
+    events.select("key", F.lit(None).cast("string").alias("item")).distinct().coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = _run(spark, pipelines.stream_batcher(stream, "key", "item", 50, idle_ms=None))
+    return out.groupBy("key").agg(F.sum(F.size("items")).alias("items"), F.count("*").alias("least_batches"))
 
 
 @query("SELECT event_type AS type, count_if(value >= 5) AS processed, count_if(value < 5) AS errors FROM events GROUP BY 1")
@@ -126,9 +138,9 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.select(F.when(F.col("value") < 5, bad).otherwise(good).alias("value"), "event_type")
     stream = _source(spark, rows)
     flagged = envelopes.unwrap(stream, "x string").groupBy(F.col("event_type").alias("type")).agg(F.count_if(~F.col("bad")).alias("processed"), F.count_if("bad").alias("errors"))
-    path = place(spark, "counts")
+    path = new_path(spark, "counts")
     last = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    flagged.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", place(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    flagged.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
 
 
@@ -168,10 +180,11 @@ def scorer_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hooks.scorer_hook(chats(spark, sf_dir), eval_step_count("response")).select("conv_id", "turn", "score")
 
 
-@query(f"WITH {GRADED} SELECT problem_id, sample_idx FROM graded WHERE is_correct")
+@query(f"WITH {GRADED} SELECT problem_id AS key, 'verified_paths' AS topic, 'verified_path' AS type, problem_id, sample_idx FROM graded WHERE is_correct AND NOT {BROKEN}")
 def processor_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = hooks.processor_hook(lambda rows: rows.where("is_correct"))
-    return graded(spark, sf_dir).transform(keep).select("problem_id", "sample_idx")
+    """A user's step between two topics: it grades and leaves out what is not correct."""
+    keep = hooks.processor_hook(ROLLOUT, lambda rows: verify_batch(rows).where("is_correct"), lambda _: F.struct("problem_id", "sample_idx"), "verified")
+    return _opened(_messages(spark, sf_dir).transform(keep), "problem_id:string,sample_idx:long")
 
 
 @query("SELECT o_custkey::VARCHAR AS key, count(*) AS n FROM orders GROUP BY 1")
@@ -179,5 +192,3 @@ def key_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any column can be the key of a message."""
     o = read(spark, sf_dir, "orders")
     return envelopes.wrap(o, F.lit("training_sample"), F.struct("o_orderkey"), F.col("o_custkey"), F.lit(0.0)).groupBy("key").agg(F.count("*").alias("n"))
-
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollforge.operators import encode, training
@@ -133,14 +133,33 @@ def to_sft_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VOCAB = f"WITH {CHATS}, w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(response), '\\s+'), lambda x: x <> '')) AS word FROM chats), vocab AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS id FROM w GROUP BY 1 ORDER BY 2 LIMIT 2000)"
-_IDS = lambda c: f"(SELECT list(coalesce(id, 0) ORDER BY place) FROM (SELECT unnest(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> ''), 1) AS place) LEFT JOIN vocab USING (word))"
 
 
-@query(f"{_VOCAB}, t AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(prompt), '\\s+'), lambda x: x <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(lower(prompt), '\\s+'), lambda x: x <> ''), 1) AS place FROM chats) SELECT c.conv_id, c.turn, coalesce((SELECT string_agg(coalesce(id, 0), ',' ORDER BY place) FROM t LEFT JOIN vocab USING (word) WHERE t.conv_id = c.conv_id AND t.turn = c.turn), '') AS ids FROM chats c")
+def _sql_ids(column: str, most: int) -> str:
+    """CTEs w_ and i_ of a column: its words, and its ids as text, cut to a length."""
+    words = f"list_filter(regexp_split_to_array(lower({column}), '\\s+'), lambda x: x <> '')"
+    return f"""w_{column} AS (SELECT conv_id, turn, unnest({words}) AS word, generate_subscripts({words}, 1) AS place FROM rows_),
+      i_{column} AS (SELECT conv_id, turn, string_agg(coalesce(id, 0), ',' ORDER BY place) FILTER (WHERE place <= {most}) AS {column}_ids FROM w_{column} LEFT JOIN vocab USING (word) GROUP BY 1, 2)"""
+
+
+def _joined(c: Column | str) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query(f"{_VOCAB}, rows_ AS (SELECT * FROM chats), {_sql_ids('response', 2048)} SELECT c.conv_id, c.turn, coalesce(response_ids, '') AS ids, CASE WHEN response_ids IS NULL THEN 0 ELSE len(string_split(response_ids, ',')) END AS mask FROM chats c LEFT JOIN i_response USING (conv_id, turn)")
 def tokenize_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chats(spark, sf_dir)
-    found = encode.encoded(rows, ["conv_id", "turn"], "prompt", encode.vocabulary(rows, "response", 2000))
-    return found.select("conv_id", "turn", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    found = encode.tokenize_batch(rows.withColumnRenamed("response", "text"), ["conv_id", "turn"], encode.vocabulary(rows, "response", 2000))
+    return found.select("conv_id", "turn", _joined("input_ids").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).cast("long").alias("mask"))
+
+
+@query(f"{_VOCAB}, rows_ AS (SELECT conv_id, turn, prompt, response AS chosen, CASE WHEN conv_id % 5 > 0 THEN prompt || ' ' || response END AS rejected FROM chats), {_sql_ids('prompt', 1024)}, {_sql_ids('chosen', 2048)}, {_sql_ids('rejected', 2048)} SELECT r.conv_id, r.turn, CASE WHEN rejected IS NOT NULL THEN coalesce(prompt_ids, '') END AS prompt_ids, CASE WHEN rejected IS NOT NULL THEN coalesce(chosen_ids, '') END AS chosen_ids, CASE WHEN rejected IS NOT NULL THEN coalesce(rejected_ids, '') END AS rejected_ids FROM rows_ r LEFT JOIN i_prompt USING (conv_id, turn) LEFT JOIN i_chosen USING (conv_id, turn) LEFT JOIN i_rejected USING (conv_id, turn)")
+def tokenize_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a reply and a worse one; a fifth lacks the worse one and passes without ids."""
+    rows = chats(spark, sf_dir)
+    made = rows.select("conv_id", "turn", "prompt", F.col("response").alias("chosen"), F.when(F.col("conv_id") % 5 > 0, F.concat("prompt", F.lit(" "), "response")).alias("rejected"))
+    found = encode.tokenize_pairs(made, ["conv_id", "turn"], encode.vocabulary(rows, "response", 2000))
+    return found.select("conv_id", "turn", *[_joined(f"{c}_input_ids").alias(f"{c}_ids") for c in ("prompt", "chosen", "rejected")])
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,27 +171,26 @@ def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CODES = "list_transform(regexp_split_to_array({}, ''), lambda x: ascii(x))"
 
 
-@query(f"WITH {ROLLOUTS}, e AS (SELECT problem_id, sample_idx, {_CODES.format('problem_id')}[1:4] AS p, {_CODES.format('reasoning')} AS r FROM rollouts), c AS (SELECT *, r[1:32 - len(p)] AS k FROM e) SELECT problem_id, sample_idx, array_to_string(list_concat(p, k), ',') AS input_ids, (len(p) + len(k))::BIGINT AS mask, array_to_string(list_concat(list_transform(p, lambda x: -100), k), ',') AS labels FROM c")
+@query(f"WITH {ROLLOUTS}, e AS (SELECT problem_id, sample_idx, {_CODES.format('problem_id')}[1:512] AS p, {_CODES.format('reasoning')} AS r FROM rollouts), c AS (SELECT *, r[1:2048 - len(p)] AS k FROM e) SELECT problem_id, sample_idx, array_to_string(list_concat(p, k), ',') AS input_ids, (len(p) + len(k))::BIGINT AS mask, array_to_string(list_concat(list_transform(p, lambda x: -100), k), ',') AS labels FROM c")
 def encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    coded = _lengths(spark, sf_dir).withColumn("e", encode.encode_pair(F.col("prompt"), F.col("response"), 4, 32))
-    return coded.select("problem_id", "sample_idx", joined(F.col("e.input_ids")).alias("input_ids"), F.aggregate("e.attention_mask", F.lit(0), lambda a, b: a + b).cast("long").alias("mask"), joined(F.col("e.labels")).alias("labels"))
+    coded = _lengths(spark, sf_dir).withColumn("e", encode.encode_pair(F.col("prompt"), F.col("response")))
+    return coded.select("problem_id", "sample_idx", _joined("e.input_ids").alias("input_ids"), F.aggregate("e.attention_mask", F.lit(0), lambda a, b: a + b).cast("long").alias("mask"), _joined("e.labels").alias("labels"))
 
 
-@query(f"WITH {ROLLOUTS} SELECT problem_id, sample_idx, problem_id || chr(10) || reasoning AS text, array_to_string(list_resize({_CODES.format('problem_id || chr(10) || reasoning')}, 24, 0), ',') AS ids FROM rollouts")
+@query(f"WITH {ROLLOUTS} SELECT problem_id, sample_idx, problem_id || chr(10) || reasoning AS text, md5(array_to_string(list_resize({_CODES.format('problem_id || chr(10) || reasoning')}, 2048, 0), ',')) AS ids FROM rollouts")
 def encode_reward_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = encode.encode_reward_text("problem_id", "reasoning")
     rows = rollouts(spark, sf_dir).select("problem_id", "sample_idx", text.alias("text"))
     codes = F.transform(F.split("text", ""), lambda x: F.ascii(x))
-    return rows.select("problem_id", "sample_idx", "text", F.array_join(F.transform(encode.pad(codes, 24), lambda x: x.cast("string")), ",").alias("ids"))
+    return rows.select("problem_id", "sample_idx", "text", F.md5(_joined(encode.pad(codes, 2048))).alias("ids"))
 
 
-@query(f"WITH {ROLLOUTS}, b AS (SELECT problem_id, sample_idx, (row_number() OVER (PARTITION BY problem_id ORDER BY sample_idx) - 1) // 4 AS batch_id, array_to_string({_CODES.format('problem_id')}, ',') AS ids FROM rollouts) SELECT problem_id, batch_id, count(*) AS n_rows, 'standard' AS format, string_agg(ids, ';' ORDER BY sample_idx) AS input_ids FROM b GROUP BY 1, 2")
+@query(f"WITH {ROLLOUTS}, b AS (SELECT problem_id, sample_idx, (row_number() OVER (PARTITION BY problem_id ORDER BY sample_idx) - 1) // 4 AS batch_id, array_to_string({_CODES.format('problem_id')}, ',') AS ids FROM rollouts) SELECT problem_id, batch_id, count(*) AS n_rows, 'standard' AS format, string_agg(ids, ';' ORDER BY sample_idx) AS input_ids, string_agg(regexp_replace(ids, '\\d+', '1', 'g'), ';' ORDER BY sample_idx) AS attention_mask FROM b GROUP BY 1, 2")
 def collate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training.batch_assign(_lengths(spark, sf_dir).withColumnRenamed("prompt", "input_ids").drop("response"), ["problem_id"], ["sample_idx"], 4)
-    found = encode.collate_batch(rows, ["problem_id"])
-    flat = F.array_join(F.transform("input_ids", lambda x: F.array_join(F.transform(x, lambda y: y.cast("string")), ",")), ";")
-    return found.select("problem_id", "batch_id", "n_rows", "format", flat.alias("input_ids"))
+    coded = _lengths(spark, sf_dir).withColumnRenamed("prompt", "input_ids").drop("response").withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+    found = encode.collate_batch(training.batch_assign(coded, ["problem_id"], ["sample_idx"], 4), ["problem_id"])
+    flat = lambda c: F.array_join(F.transform(c, _joined), ";").alias(c)
+    return found.select("problem_id", "batch_id", "n_rows", "format", flat("input_ids"), flat("attention_mask"))
 
 
 _MARKS = " OR ".join(f"starts_with(substr(reasoning, i + 1), {m})" for m in ["chr(10)", "'Step'", "'Therefore'", "'So,'", "'Thus,'"])
@@ -185,11 +203,11 @@ def step_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.size("at") > 0).select("problem_id", "sample_idx", F.array_join(F.transform("at", lambda x: x.cast("string")), ",").alias("offsets"))
 
 
-@query(f"WITH {ROLLOUTS}, {_STEPS_AT}, w AS (SELECT problem_id, sample_idx, i, 1 + len(list_filter(regexp_split_to_array(substr(reasoning, 1, i), '\\s+'), lambda x: x <> '')) AS place, 1 + len(list_filter(regexp_split_to_array(reasoning, '\\s+'), lambda x: x <> '')) AS n FROM steps_at) SELECT problem_id, sample_idx, string_agg(place, ',' ORDER BY i) AS places FROM w WHERE place < least(n, 6) GROUP BY 1, 2")
+@query(f"WITH {ROLLOUTS}, {_STEPS_AT}, w AS (SELECT problem_id, sample_idx, i, 1 + len(list_filter(regexp_split_to_array(substr(reasoning, 1, i), '\\s+'), lambda x: x <> '')) AS place, 1 + len(list_filter(regexp_split_to_array(reasoning, '\\s+'), lambda x: x <> '')) AS n FROM steps_at) SELECT problem_id, sample_idx, string_agg(place, ',' ORDER BY i) AS places FROM w WHERE place < least(n, 2048) GROUP BY 1, 2")
 def step_rewards_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt is one token; sequences are cut at six."""
+    """The prompt is one token; sequences are cut at 2048."""
     rows = rollouts(spark, sf_dir).select("problem_id", "sample_idx", "reasoning", encode.step_boundaries("reasoning").alias("at"))
-    n = F.least(F.size(F.filter(F.split("reasoning", r"\s+"), lambda w: w != "")) + 1, F.lit(6))
+    n = F.least(F.size(F.filter(F.split("reasoning", r"\s+"), lambda w: w != "")) + 1, F.lit(2048))
     rows = rows.withColumn("n", n).withColumn("places", encode.step_rewards_align("reasoning", F.col("at"), F.col("n"), F.lit(1)))
     return rows.where(F.size("places") > 0).select("problem_id", "sample_idx", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
 

@@ -1,7 +1,7 @@
 """Benchmarks, samples and logs as DataFrames with explicit schemas.
 
-Rows have no order in Spark, so readers that depend on one add it: files are numbered by their own idx column where
-they have one, else by reading order.
+Rows have no order in Spark, so readers that depend on one add it: by the files' own idx or sample_idx columns where
+they have them, else by read_at, the place in the files.
 """
 
 from __future__ import annotations
@@ -111,6 +111,16 @@ def samples_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA) -
     return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
+def samples_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """Samples with reading order: problem_id from id, reasoning from response where missing, and read_at. Lines that are no JSON are left out."""
+    raw = samples_jsonl(spark, path, SAMPLE_SCHEMA + ", id string, prompt string, response string")
+    read_at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("nth"))
+    rows = raw.select("*", read_at.alias("read_at")).where(F.col("_corrupt_record").isNull())
+    first = lambda *names: F.coalesce(*names, F.lit(""))
+    rows = rows.withColumns({"problem_id": first("problem_id", "id"), "reasoning": first("reasoning", "response"), "problem": first("problem", "prompt")})
+    return rows.drop("_corrupt_record", "id", "response", "prompt")
+
+
 def samples_json_or_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA) -> DataFrame:
     """.json holds one array, anything else a row per line; keeps correct rows, a missing flag counts as correct."""
     rows = spark.read.schema(schema).option("multiLine", path.rstrip("/").endswith(".json")).json(path)

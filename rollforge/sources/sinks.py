@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollforge.operators.pairs import to_dpo_format
 from rollforge.sources.readers import LOG_SCHEMA
 
 
@@ -28,9 +29,12 @@ def write_result_bundle(samples: DataFrame, filtered: DataFrame, raw_pairs: Data
         samples.write.mode("overwrite").json(f"{path}/all")
         samples.withColumn("verdict", F.when(F.col("is_correct"), "correct").otherwise("incorrect")).write.mode("overwrite").partitionBy("verdict").json(f"{path}/by_verdict")
         filtered.write.mode("overwrite").json(f"{path}/filtered")
-        pairs = raw_pairs if smart_pairs.isEmpty() else smart_pairs
-        pairs.select("problem_id", "chosen", "rejected").write.mode("overwrite").json(f"{path}/dpo_pairs")
-        pairs.write.mode("overwrite").json(f"{path}/full_pairs")
+        smart_pairs.write.mode("overwrite").json(f"{path}/full_pairs")
+        pairs = samples.sparkSession.read.schema(smart_pairs.schema).json(f"{path}/full_pairs")
+        if pairs.isEmpty():
+            raw_pairs.write.mode("overwrite").json(f"{path}/full_pairs")
+            pairs = samples.sparkSession.read.schema(raw_pairs.schema).json(f"{path}/full_pairs")
+        to_dpo_format(pairs).write.mode("overwrite").json(f"{path}/dpo_pairs")
         stats.write.mode("overwrite").json(f"{path}/stats")
     finally:
         samples.unpersist()

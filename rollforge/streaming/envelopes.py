@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Message types, their topics, and the sink's producer settings.
-TOPICS = {"reasoning_path": "reasoning-raw", "verified_path": "reasoning-verified", "training_sample": "training-data"}
-STAGES = {"generation": "reasoning-raw", "verification": "reasoning-verified", "training": "training-data"}
+# Topics by message type and by stage, the stages' message types, and the producer's settings.
+TOPICS = {"raw_reasoning": "raw_reasoning_data", "verified_path": "verified_paths", "training_sample": "training_data"}
+STAGES = {"raw": "raw_reasoning_data", "verified": "verified_paths", "training": "training_data"}
+TYPES = {"raw": "raw_reasoning", "verified": "verified_path", "training": "training_sample"}
+PRODUCER = {"kafka.acks": "all", "kafka.retries": "3", "kafka.batch.size": "16384", "kafka.linger.ms": "10", "kafka.compression.type": "gzip"}
 ENVELOPE = "type string, data string, timestamp double"
-PRODUCER = {"kafka.acks": "all", "kafka.compression.type": "gzip", "kafka.linger.ms": "10"}
 
 
 def stage_route(stage: str) -> str:
@@ -19,12 +20,13 @@ def stage_route(stage: str) -> str:
     return STAGES[stage]
 
 
-def wrap(rows: DataFrame, kind: Column | str, data: Column, key: Column | str, at: Column) -> DataFrame:
-    """key, value and topic of each row; at: epoch seconds."""
+def wrap(rows: DataFrame, kind: Column | str, data: Column, key: Column | str, at: Column, partition: Column | None = None) -> DataFrame:
+    """key, value and topic of each row, and its partition where one is given; at: epoch seconds."""
     kind = F.col(kind) if isinstance(kind, str) else kind
     topic = F.create_map(*[F.lit(x) for pair in TOPICS.items() for x in pair])[kind]
     value = F.to_json(F.struct(kind.alias("type"), data.alias("data"), at.cast("double").alias("timestamp")))
-    return rows.select((F.col(key) if isinstance(key, str) else key).cast("string").alias("key"), value.alias("value"), topic.alias("topic"))
+    more = [] if partition is None else [partition.cast("int").alias("partition")]
+    return rows.select((F.col(key) if isinstance(key, str) else key).cast("string").alias("key"), value.alias("value"), topic.alias("topic"), *more)
 
 
 def unwrap(messages: DataFrame, schema: str, value: str = "value") -> DataFrame:
@@ -42,18 +44,34 @@ def unwrap(messages: DataFrame, schema: str, value: str = "value") -> DataFrame:
     return step.select(*messages.columns, F.col("envelope_.type").alias("type"), "data", sent.alias("sent_at"), bad.alias("bad"))
 
 
-def kafka_source(spark: SparkSession, servers: str, topics: list[str], group: str | None = None, per_trigger: int = 500) -> DataFrame:
-    """A stream of the topics from their beginning; offsets live in the query's checkpoint. Needs Spark's Kafka package."""
-    options = {"kafka.bootstrap.servers": servers, "subscribe": ",".join(topics), "startingOffsets": "earliest", "maxOffsetsPerTrigger": str(per_trigger)}
-    return spark.readStream.format("kafka").options(**options, **({"kafka.group.id": group} if group else {})).load()
+def decode(records: DataFrame, schema: str) -> DataFrame:
+    """A topic's records (key, value, topic, partition, offset as the source gives them) with type, data, sent_at and bad."""
+    text = records.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "topic", "partition", "offset")
+    return unwrap(text, schema)
 
 
-def kafka_batch(spark: SparkSession, servers: str, topics: list[str], most: int | None = None) -> DataFrame:
+def source_options(servers: list[str], topics: list[str], group: str | None = None, per_trigger: int | None = 500) -> dict[str, str]:
+    """Options of a topic reader that begins with the earliest record."""
+    found = {"kafka.bootstrap.servers": ",".join(servers), "subscribe": ",".join(topics), "startingOffsets": "earliest"}
+    found |= {"maxOffsetsPerTrigger": str(per_trigger)} if per_trigger else {}
+    return found | ({"kafka.group.id": group} if group else {})
+
+
+def sink_options(servers: list[str], checkpoint: str) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": ",".join(servers), "checkpointLocation": checkpoint, **PRODUCER}
+
+
+def kafka_source(spark: SparkSession, servers: list[str], topics: list[str], schema: str, group: str | None = None, per_trigger: int = 500) -> DataFrame:
+    """A decoded stream of the topics; offsets live in the query's checkpoint. Needs Spark's Kafka package."""
+    return decode(spark.readStream.format("kafka").options(**source_options(servers, topics, group, per_trigger)).load(), schema)
+
+
+def kafka_batch(spark: SparkSession, servers: list[str], topics: list[str], schema: str, most: int | None = None) -> DataFrame:
     """What the topics hold now, or the first messages of it."""
-    rows = spark.read.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": ",".join(topics), "startingOffsets": "earliest"}).load()
-    return rows if most is None else rows.limit(most)
+    rows = spark.read.format("kafka").options(**source_options(servers, topics, None, None)).load()
+    return decode(rows if most is None else rows.limit(most), schema)
 
 
-def kafka_sink(rows: DataFrame, servers: str, checkpoint: str):
-    """Starts writing key, value and topic columns."""
-    return rows.writeStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "checkpointLocation": checkpoint}, **PRODUCER).start()
+def kafka_sink(rows: DataFrame, servers: list[str], checkpoint: str):
+    """Starts writing key, value and topic columns, to a row's partition where there is such a column."""
+    return rows.writeStream.format("kafka").options(**sink_options(servers, checkpoint)).start()

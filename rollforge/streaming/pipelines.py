@@ -9,24 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rollforge.functions.hooks import processor_hook
 from rollforge.operators.grading import verify_batch
-from rollforge.streaming.envelopes import unwrap, wrap
+from rollforge.streaming.envelopes import unwrap
 
 PATH = "problem_id string, sample_idx long, reasoning string, expected string"
 
 
 def stream_verify(messages: DataFrame) -> DataFrame:
     """Raw paths, graded, as messages for the verified topic; broken messages and paths without text are dropped."""
-    paths = unwrap(messages, PATH).where(~F.col("bad") & F.col("data.reasoning").isNotNull()).select("data.*", "sent_at")
-    judged = verify_batch(paths)
-    data = F.struct("problem_id", "sample_idx", "reasoning", "is_correct", "verification_confidence")
-    return wrap(judged, F.lit("verified_path"), data, "problem_id", F.unix_micros("sent_at") / 1e6)
+    data = lambda _: F.struct("problem_id", "sample_idx", "reasoning", "is_correct", "verification_confidence")
+    return processor_hook(PATH, lambda rows: verify_batch(rows.where(F.col("reasoning").isNotNull())), data, "verified")(messages)
 
 
 def stream_to_training(messages: DataFrame) -> DataFrame:
     """Verified correct paths as training messages."""
-    rows = unwrap(messages, "problem_id string, sample_idx long, reasoning string, is_correct boolean").where("data.is_correct").select("data.*", "sent_at")
-    return wrap(rows, F.lit("training_sample"), F.struct("problem_id", "sample_idx", "reasoning"), "problem_id", F.unix_micros("sent_at") / 1e6)
+    data = lambda _: F.struct("problem_id", "sample_idx", "reasoning")
+    return processor_hook("problem_id string, sample_idx long, reasoning string, is_correct boolean", lambda rows: rows.where("is_correct"), data, "training")(messages)
 
 
 def dead_letters(messages: DataFrame) -> DataFrame:
@@ -56,10 +55,10 @@ def bridge(messages: DataFrame, process: Callable[[DataFrame], DataFrame]) -> Da
 
 
 def stream_batcher(rows: DataFrame, key: str, value: str, size: int, idle_ms: int | None = 1000) -> DataFrame:
-    """key, batch_no, items: full batches as they fill; what is left when a key is idle comes as a shorter batch.
+    """key, batch_no, items: full batches as they fill, and a shorter one of what is left when a key is flushed.
 
-    State holds less than one batch for each key. rows: a stream. Without idle_ms nothing is flushed, so that a run over
-    what is available can end.
+    A row with a null value flushes its key, as the end of a source does; so does a key that is idle for idle_ms. State
+    holds less than one batch for each key. rows: a stream.
     """
 
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,9 +70,12 @@ def stream_batcher(rows: DataFrame, key: str, value: str, size: int, idle_ms: in
                 out.append((k[0], number, held))
             state.remove()
         else:
+            ended = False
             for part in parts:
-                held += part[value].tolist()
-            while len(held) >= size:
+                found = part[value].tolist()
+                ended = ended or any(x is None for x in found)
+                held += [x for x in found if x is not None]
+            while len(held) >= size or (ended and held):
                 out.append((k[0], number, held[:size]))
                 number, held = number + 1, held[size:]
             state.update((number, held))

@@ -1,11 +1,16 @@
+import json
 import math
 import random
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from rollforge import jobs
 from rollforge.functions import text as tx
 from rollforge.operators import clean, encode, evals, pairs, search, training
+from rollforge.operators.ordinals import numbered
 from rollforge.plans import registry
 from rollforge.sources import readers
 
@@ -49,6 +54,108 @@ def test_dedup_greedy_like_the_plain_pass(spark, seed):
     assert got == greedy_model(rows)
 
 
+def test_dedup_keeps_rows_without_keys_and_repeated_keys(spark):
+    schema = "problem_id string, sample_idx long, reasoning string, confidence double, row_ string, tokens string"
+    texts = ["a b c d e f g", "a b c d e f g", "k l m n", "o p q r", "o p q r"]
+    rows = [(None, None, texts[0], 0.5), (None, None, texts[1], 0.9), ("", 3, texts[2], None), ("p", 3, texts[3], 0.1), ("p", 3, texts[4], 0.1)]
+    df = spark.createDataFrame([(*r, "own", "own") for r in rows], schema).coalesce(1)
+    got = sorted(((r.problem_id or "", r.reasoning, r.confidence) for r in clean.dedup_greedy(df).collect()), key=str)
+    assert got == [("", "a b c d e f g", 0.9), ("", "k l m n", None), ("p", "o p q r", 0.1)]
+    assert clean.dedup_greedy(df).columns == df.columns
+
+
+def cleaned_model(lines):
+    """The plain pass over samples that all pass the filters, in reading order."""
+    kept = []
+    for i, line in enumerate(lines):
+        key = line.get("problem_id", line.get("id", ""))
+        same = next((k for k in kept if k[0] == key and jaccard(k[2], line["reasoning"]) > 0.85), None)
+        if same is not None and line.get("verification_confidence", 0) > same[3]:
+            kept.remove(same)
+            same = None
+        if same is None:
+            kept.append((key, i, line["reasoning"], line.get("verification_confidence", 0)))
+    return sorted((k[0], k[2]) for k in kept)
+
+
+def long_text(seed, changed=0):
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(80)]
+    for i in range(changed):
+        words[i] = f"changed{seed}x{i}"
+    return "Step 1: look. Step 2: add. " + " ".join(words) + " The answer is 4"
+
+
+def test_preprocess_job_keeps_rows_without_sample_idx(spark, tmp_path):
+    lines = [{"problem_id": f"p{i % 3}", "problem": "What?", "reasoning": long_text(i // 4, i % 4 and 2), "is_correct": i % 2 == 0, "verification_confidence": (i * 7 % 5) / 5} for i in range(24)]
+    lines += [{"id": "only-id", "response": long_text(50)}, {"reasoning": long_text(51)}, {"reasoning": long_text(51)}]
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines) + "{no json\n")
+    jobs.main(["preprocess", "--input", f"file://{tmp_path}/in.jsonl", "--output", f"file://{tmp_path}/out", "--pairs-output", f"file://{tmp_path}/pairs"])
+    got = sorted((r.problem_id, r.reasoning) for r in spark.read.json(f"file://{tmp_path}/out").collect())
+    lines[24]["reasoning"] = lines[24]["response"]
+    assert got == cleaned_model(lines)
+    stats = {r.name: r.n for r in spark.read.json(f"file://{tmp_path}/out-stats").collect()}
+    assert stats["input_samples"] == 27 and stats["output_samples"] == len(got) == 27 - stats["dedup_removed"]
+    assert stats["pairs_created"] > 0 and {r.prompt for r in spark.read.json(f"file://{tmp_path}/pairs").collect()} == {"What?"}
+
+
+def test_pipeline_job_from_problems_to_training_files(spark, tmp_path):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import tests
+    (tmp_path / "problems.jsonl").write_text("".join(json.dumps({"id": f"q{i}", "problem": f"What is {i}?", "answer": str(i % 2)}) + "\n" for i in range(6)))
+    jobs.main(["pipeline", "--problems", f"file://{tmp_path}/problems.jsonl", "--generator", f"{__name__}:made", "--num-paths", "4", "--output", f"file://{tmp_path}/run"])
+    read = lambda part: spark.read.json(f"file://{tmp_path}/run/{part}").collect()
+    assert len(read("all")) == 24 and len(read("sft")) == 12
+    assert len(read("dpo")) > 0 and all(r.prompt.startswith("What is") for r in read("dpo"))
+    assert {r.method: r.solved for r in read("evaluation")}["pass@4"] == 6
+    jobs.main(["pipeline", "--samples", f"file://{tmp_path}/run/all", "--output", f"file://{tmp_path}/again", "--skip-eval"])
+    assert len(spark.read.json(f"file://{tmp_path}/again/sft").collect()) == 12
+
+
+def made():
+    """A generator whose answers are right in every other text."""
+    count = iter(range(10_000))
+    return lambda prompts: [long_text(1000 + hash((p, n)) % 10_000) + f"\n#### {n % 2}" for p in prompts for n in [next(count)]]
+
+
+def test_grading_compiles_whole(spark, sf_dir):
+    registry.load()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.codegen.fallback", "spark.sql.codegen.factoryMode")}
+    try:
+        spark.conf.set("spark.sql.codegen.fallback", "false")
+        spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+        for name in ("smart_pair_join", "pass_at_k", "grade_math", "grade_gsm8k", "verify_batch", "majority_vote", "verifier_guided_budget", "job_evaluate"):
+            registry.QUERIES[name](spark, sf_dir).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_numbers_in_large_groups(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", None]), rng.randrange(40), i, "own") for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v long, i long, part string").repartition(5)
+    got = {r.i: (r.place, r.place_n) for r in numbered(df, ["k"], ["v", "i"]).collect()}
+    want = {}
+    for k in ("a", None):
+        own = sorted((v, i) for g, v, i, _ in rows if g == k)
+        want |= {i: (n, len(own)) for n, (_, i) in enumerate(own)}
+    assert got == want and numbered(df, [], ["i"]).where("place <> i").count() == 0
+    assert numbered(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_positions_split_with_gaps(spark):
+    df = spark.createDataFrame([(i * 10 + 5,) for i in range(20)], "n long")
+    assert sorted(r.n for r in training.positional_split(df, "n").where("split = 'eval'").collect()) == [185, 195]
+
+
+def test_pairs_of_a_large_problem_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PAIRS_PER_TASK", 7)
+    rows = [("p", i, i % 3 == 0, f"text {i} " + "w " * (i % 5), (i % 4) / 4) for i in range(40)] + [("q", 0, True, "x", 0.1), ("q", 1, None, "y", 0.1)]
+    df = spark.createDataFrame(rows, "problem_id string, sample_idx long, is_correct boolean, reasoning string, confidence double")
+    got = sorted((r.problem_id, r.c_idx, r.r_idx) for r in pairs.rejection_pairs(df).collect())
+    assert got == sorted([("p", i, j) for i in range(0, 40, 3) for j in range(40) if j % 3] + [("q", 0, 1)])
+
+
 def test_dedup_of_nothing_and_of_empty_texts(spark):
     schema = "problem_id string, sample_idx long, reasoning string, confidence double"
     assert clean.dedup_greedy(spark.createDataFrame([], schema)).count() == 0
@@ -84,8 +191,10 @@ def test_empty_texts_differ_between_pair_rules(spark):
 def test_votes_and_ties(spark):
     rows = [("p", 0, "a", 1.0), ("p", 1, "b", 2.0), ("p", 2, "b", 0.1), ("p", 3, "a", 0.1), ("p", 4, None, 9.0), ("q", 0, None, 1.0)]
     df = spark.createDataFrame(rows, "problem_id string, sample_idx long, answer string, score double")
-    assert [(r.problem_id, r.answer, r.votes, r.confidence) for r in evals.majority_vote(df).collect()] == [("p", "a", 2, 0.5)]
-    assert [(r.answer, r.best_idx) for r in evals.weighted_vote(df).collect()] == [("b", 1)]
+    assert sorted((r.problem_id, r.answer, r.votes, r.confidence, r.best_idx) for r in evals.majority_vote(df).collect()) == [("p", "a", 2, 0.5, 0), ("q", None, 0, None, 0)]
+    assert sorted((r.problem_id, r.answer, r.best_idx) for r in evals.weighted_vote(df).collect()) == [("p", "b", 1), ("q", None, 0)]
+    none = spark.createDataFrame([("p", 0, "", 1.0), ("p", 1, None, 3.0), ("p", 2, None, 3.0)], df.schema)
+    assert [(r.answer, r.n_answers, r.best_idx) for r in evals.majority_vote(none).collect()] == [(None, 0, 1)]
     assert {(r.problem_id, r.best_idx) for r in evals.best_of_n(df).collect()} == {("p", 4), ("q", 0)}
 
 
@@ -130,6 +239,17 @@ def test_prefixes(spark):
     assert {(r.query_id, r.matched, r.hit) for r in search.longest_prefix_join(queries, stored).collect()} == {(1, 2, True), (2, 0, False), (3, 0, False)}
 
 
+def test_encoding_cuts_and_pads(spark):
+    rows = spark.createDataFrame([(1, "a b c d", "a a", "b"), (2, "a", None, "b"), (3, "", "x", "a")], "k int, prompt string, chosen string, rejected string")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "word string, id int")
+    got = {r.k: (r.prompt_input_ids, r.chosen_input_ids, r.rejected_input_ids) for r in encode.tokenize_pairs(rows, ["k"], vocab, 4).collect()}
+    assert got == {1: ([1, 2], [1, 1], [2]), 2: (None, None, None), 3: ([], [0], [1])}
+    one = encode.tokenize_batch(rows.withColumnRenamed("prompt", "text"), ["k"], vocab, 3).orderBy("k").collect()
+    assert [(r.input_ids, r.attention_mask) for r in one] == [([1, 2, 3], [1, 1, 1]), ([1], [1]), ([], [])]
+    batch = encode.collate_batch(spark.createDataFrame([(0, 0, [1, 2]), (0, 1, [3])], "batch_id int, place int, input_ids array<int>"), []).first()
+    assert (batch.format, batch.input_ids, batch.attention_mask) == ("standard", [[1, 2], [3]], [[], []])
+
+
 def test_coalesced_fields_take_the_first_that_is_there(spark):
     df = spark.createDataFrame([(None, "r", "i")], "reasoning string, response string, id string")
     row = clean.coalesce_fields(df, {"text": ["reasoning", "response"], "problem_id": ["problem_id", "id"], "none": ["nothing"]}).first()
@@ -152,8 +272,8 @@ def test_whole_math_reads_past_the_subset(spark, sf_dir):
 
 
 def test_rewards_come_up_from_any_depth(spark):
-    nodes = spark.createDataFrame([("p", i, i - 1 if i else None, 1, 0.5) for i in range(70)], "problem_id string, node_id long, parent_id long, visits long, value double")
+    nodes = spark.createDataFrame([("p", i, i - 1 if i else None, 1, 0.5) for i in range(40)], "problem_id string, node_id long, parent_id long, visits long, value double")
     got = {r.node_id: (r.visits, r.value) for r in search.reward_by_node(nodes).collect()}
-    assert got == {i: (70 - i, (70 - i) / 2) for i in range(70)}
+    assert got == {i: (40 - i, (40 - i) / 2) for i in range(40)}
     with pytest.raises(ValueError, match="deeper"):
         search.reward_by_node(nodes, max_depth=3)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rollforge.plans import registry, streams
 from rollforge.streaming import envelopes, pipelines
@@ -11,10 +12,25 @@ def rows(df):
 def test_stream_verify_is_the_batch_result(spark, sf_dir):
     registry.load()
     batch = pipelines.stream_verify(streams._messages(spark, sf_dir))
-    assert rows(streams.stream_verify(spark, sf_dir)) == rows(batch)
+    opened = streams._opened(batch, "problem_id:string,sample_idx:long,reasoning:string,is_correct:boolean,verification_confidence:double")
+    assert rows(streams.stream_verify(spark, sf_dir)) == rows(opened)
     assert pipelines.dead_letters(streams._messages(spark, sf_dir)).count() + batch.count() == streams._messages(spark, sf_dir).count()
 
 
+def test_options_of_the_topic_reader_and_writer():
+    read = envelopes.source_options(["a:1", "b:2"], ["raw_reasoning_data", "verified_paths"], "readers")
+    assert read == {"kafka.bootstrap.servers": "a:1,b:2", "subscribe": "raw_reasoning_data,verified_paths", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "500", "kafka.group.id": "readers"}
+    assert "maxOffsetsPerTrigger" not in envelopes.source_options(["a:1"], ["t"], None, None)
+    sent = envelopes.sink_options(["a:1"], "/there")
+    assert (sent["kafka.acks"], sent["kafka.compression.type"], sent["checkpointLocation"]) == ("all", "gzip", "/there")
+
+
+def test_an_explicit_partition_goes_with_the_message(spark):
+    df = spark.createDataFrame([("p", 7)], "problem_id string, n int")
+    out = envelopes.wrap(df, F.lit("raw_reasoning"), F.struct("n"), "problem_id", F.lit(0.0), F.col("n"))
+    assert out.columns == ["key", "value", "topic", "partition"] and out.first().partition == 7
+
+
 def test_full_batches_have_the_size(spark, sf_dir):
     registry.load()
     got = {r.key: (r.items, r.least_batches) for r in streams.stream_batcher(spark, sf_dir).collect()}
@@ -22,7 +38,7 @@ def test_full_batches_have_the_size(spark, sf_dir):
 
 
 def test_routes():
-    assert envelopes.stage_route("verification") == "reasoning-verified"
+    assert [envelopes.stage_route(s) for s in ("raw", "verified", "training")] == ["raw_reasoning_data", "verified_paths", "training_data"]
     with pytest.raises(ValueError):
         envelopes.stage_route("nowhere")
 
