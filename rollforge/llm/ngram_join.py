@@ -3,15 +3,17 @@
 Two texts link when their sets of distinct 5-word shingles have a Jaccard similarity of 0.75 or more, that is, when
 they share at least T = ceil(3 (n + m) / 7) shingles. The search finds every link it needs for the classes:
 
-1. Texts with equal sets are one node (the set's 64-bit signature; two different sets share one with chance 2**-64).
+1. Texts with equal sets are one node: the set's 64-bit signature. A second, independent one is compared with it; sets
+   that share the first only (some 3 pairs among 10**10 sets) get other nodes, so sets are told apart by 128 bits.
 2. Each node posts the first n - ceil(3n/4) + 1 shingles of its set in one global order, rare ones first. Linked nodes
-   share a posting. The order comes from a bounded sample of documents; it changes the cost only, never the result.
+   share a posting. The order comes from a bounded sample of documents; it changes the cost only, never the result. A
+   list that the sample shows to be long is dealt out over several parts, anew in each round, so no task holds it.
 3. Star rounds contract large groups of near copies without pairing them all: each node is tried against the node that
    is first in most of its inverted lists, then those still apart against a few others of another class. First is decided
    by a hash, for odd seeds weighted by the share of a node's postings that other nodes have too: a copy with few changes
    has the largest share in its group, and copies with many changes link only with such. These rounds look at a share of
    the lists and only save work; step 4 does not rely on what they leave out.
-4. Of the pairs that remain in lists that span several classes, all that can still link are searched: sets that share T
+4. Of the pairs that remain in lists that span several classes (whole ones, not parts), all that can still link are searched: sets that share T
    shingles share one of the first n - T + 1 and m - T + 1 of them, in the global order. A query's partners, in blocks of
    at most BLOCK, form an inverted index over the query's shingles, and DivideSkip merges the short lists by a heap, skips
    ahead, and probes the longest lists by binary search.
@@ -34,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollforge.llm.components import components
-from rollforge.llm.shared import slices, written
+from rollforge.llm.shared import remove, slices, written
 from rollforge.llm.textkit import mix, shingle_sets
+from rollforge.operators.components import components
 
 K = 5
-SAMPLE_DOCS, SAMPLE_DF, MAX_FREQUENT, BLOCK, MAX_BROADCAST = 32_000, 3, 400_000, 256, 1_000_000
+SAMPLE_DOCS, SAMPLE_DF, MAX_FREQUENT, BLOCK = 32_000, 3, 400_000, 256
+#: Rows sent to every task take about ROW_BYTES each there; more than MAX_BROADCAST bytes are shuffled instead.
+ROW_BYTES, MAX_BROADCAST = 128, 64 << 20
+PART_ROWS, QUERY_PARTS = 50_000, 16
 PROBE_WEIGHT = 0.02
 STAR_ROUNDS, STAR_SHARE, STAR_LEAST = ([1], [2, 3, 4, 5], [*range(6, 14)], [*range(14, 22)]), 4, 2
 CENTRAL = 32
@@ -50,9 +55,16 @@ def needed(n: int, m: int) -> int:
     return -(-3 * (n + m) // 7)
 
 
-def signature(found: np.ndarray) -> int:
-    """64 bits of a set of shingle hashes, as a signed number."""
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(found)) + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
+def signature(found: np.ndarray, turn: int = 0) -> int:
+    """64 bits of a set of shingle hashes, as a signed number; each turn gives others."""
+    begun = mix(found ^ np.uint64(0xD6E8FEB86659FD93 * turn & 0xFFFFFFFFFFFFFFFF))
+    return int(mix(np.array([np.bitwise_xor.reduce(begun) + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
+
+
+def node_of(found: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """A set's node: its signature, or another one where different sets share that (shared)."""
+    first = signature(found)
+    return signature(found, 2) if first in shared else first
 
 
 def prefix_length(n: int) -> int:
@@ -62,9 +74,19 @@ def prefix_length(n: int) -> int:
 class Order:
     """The global order of shingles: those that are not frequent in the sample by hash, then the others by count."""
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray):
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, share: float = 1.0):
+        """share: the sample's share of all documents, by which a shingle's list is as long as its count tells."""
         by_hash = np.argsort(frequent)
         self.frequent, self.counts = frequent[by_hash], counts[by_hash]
+        self.parts = np.maximum(1, np.ceil(self.counts / share / PART_ROWS)).astype(np.int32) if len(counts) else np.zeros(0, np.int32)
+
+    def parts_of(self, found: np.ndarray) -> np.ndarray:
+        """Over how many parts each shingle's list is dealt."""
+        if not len(self.frequent):
+            return np.ones(len(found), np.int32)
+        at = np.searchsorted(self.frequent, found)
+        at[at == len(self.frequent)] = 0
+        return np.where(self.frequent[at] == found, self.parts[at], 1).astype(np.int32)
 
     def prefix(self, found: np.ndarray) -> np.ndarray:
         """The first shingles of a set, in the order's sequence."""
@@ -145,19 +167,41 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row (64 bits of doc_id and text, see row_key), n_shingles, node."""
+def document_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, frozenset[int]]:
+    """doc_id, row (64 bits of doc_id and text, see row_key), n_shingles, node as a written table; and the signatures that different sets share."""
 
     def sets(batches):
         for batch in slices(batches):
-            sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            sizes, nodes, checks = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for row, found in shingle_sets(batch.column(1), K):
                 sizes[row] = len(found)
                 if len(found):
-                    nodes[row] = signature(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(nodes)], ["doc_id", "row", "n_shingles", "node"])
+                    nodes[row], checks[row] = signature(found), signature(found, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(nodes), pa.array(checks)], ["doc_id", "row", "n_shingles", "node", "check"])
+
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row"))
+    held = written(chosen.mapInArrow(sets, "doc_id long, row long, n_shingles long, node long, check long"), "sets")
+    clashes = held.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node")
+    shared = frozenset(r.node for r in clashes.collect())
+    return (held.drop("check"), shared) if not shared else (_renamed(held, docs, shared, id_col, text_col), shared)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row")).mapInArrow(sets, "doc_id long, row long, n_shingles long, node long")
+
+def _renamed(held: DataFrame, docs: DataFrame, shared: frozenset[int], id_col: str, text_col: str) -> DataFrame:
+    """The sets with other nodes for those whose signature is shared: only their texts are read again."""
+
+    def rename(batches):
+        for batch in slices(batches):
+            nodes = np.zeros(batch.num_rows, np.int64)
+            for row, found in shingle_sets(batch.column(1), K):
+                nodes[row] = node_of(found, shared) if len(found) else 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes)], ["own_row", "new_node"])
+
+    rows = held.where(F.col("node").isin(list(shared)) & (F.col("n_shingles") > 0)).select(F.col("row").alias("own_row")).distinct()
+    texts = docs.select(row_key(id_col, text_col).alias("own_row"), F.col(text_col).cast("string").alias("text"))
+    # equal rows have one key and one text
+    found = texts.hint("merge").join(rows.hint("merge"), "own_row", "left_semi").mapInArrow(rename, "own_row long, new_node long").distinct()
+    joined = held.hint("merge").join(found.hint("merge"), F.col("row") == F.col("own_row"), "left")
+    return written(joined.select("doc_id", "row", "n_shingles", F.coalesce("new_node", "node").alias("node")), "sets")
 
 
 def frequent_shingles(docs: DataFrame, rows: int, id_col: str, text_col: str) -> Order:
@@ -172,11 +216,11 @@ def frequent_shingles(docs: DataFrame, rows: int, id_col: str, text_col: str) ->
     sample = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(step)) == 0).select(F.col(text_col).cast("string"))
     counts = sample.mapInArrow(explode, "h long").groupBy("h").count().where(F.col("count") >= SAMPLE_DF)
     top = counts.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).toArrow()
-    return Order(top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy())
+    return Order(top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy(), 1 / step)
 
 
-def postings(docs: DataFrame, order: Order, text_col: str) -> DataFrame:
-    """h, node, n, place: the prefix of every node, numbered; a task posts equal sets once as long as it remembers them."""
+def postings(docs: DataFrame, order: Order, shared_signatures: frozenset[int], text_col: str) -> DataFrame:
+    """h, node, n, place, parts: the prefix of every node, numbered; a task posts equal sets once as long as it remembers them."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def post(batches):
@@ -184,7 +228,7 @@ def postings(docs: DataFrame, order: Order, text_col: str) -> DataFrame:
         for batch in slices(batches):
             shingle, nodes, sizes, lengths = [], [], [], []
             for _, found in shingle_sets(batch.column(0), K):
-                if not len(found) or (node := signature(found)) in seen:
+                if not len(found) or (node := node_of(found, shared_signatures)) in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
@@ -195,9 +239,9 @@ def postings(docs: DataFrame, order: Order, text_col: str) -> DataFrame:
                 lengths.append(len(shingle[-1]))
             flat = np.concatenate(shingle) if shingle else np.zeros(0, np.uint64)
             places = np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]) if lengths else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(places)], ["h", "node", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(places), pa.array(shared.value.parts_of(flat))], ["h", "node", "n", "place", "parts"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(post, "h long, node long, n int, place int")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(post, "h long, node long, n int, place int, parts int")
 
 
 def _groups(batches) -> Iterator[tuple[int, list[tuple]]]:
@@ -214,16 +258,19 @@ def _groups(batches) -> Iterator[tuple[int, list[tuple]]]:
         yield key[0], held
 
 
-def linked(docs: DataFrame, pairs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (query, node) those that link, as u, v. heads: node, head (the row, as row_key has it, whose text is read for it)."""
-    sizes = pairs.groupBy("query").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    parts = pairs.hint("merge").join(sizes.hint("merge"), "query").select("query", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("salt"), "node", F.lit(False).alias("is_query"))
+def linked(docs: DataFrame, pairs: DataFrame, heads: DataFrame, shared: frozenset[int], id_col: str, text_col: str) -> DataFrame:
+    """Of pairs (query, node) those that link, as u, v, written. heads: node, head (the row, as row_key has it, whose text is read for it)."""
+    sizes = written(pairs.groupBy("query").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    # only queries with many partners are looked up, each under QUERY_PARTS keys, so that no task gets all its partners
+    large = sizes.where("blocks > 1").select("query", "blocks", F.explode(F.sequence(F.lit(0), F.lit(QUERY_PARTS - 1))).alias("part"))
+    parts = pairs.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(QUERY_PARTS)).cast("int")).hint("merge").join(large.hint("merge"), ["query", "part"], "left")
+    parts = parts.select("query", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int").alias("salt"), "node", F.lit(False).alias("is_query"))
     own = sizes.select("query", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.col("query").alias("node"), F.lit(True).alias("is_query"))
     heads = heads.withColumnRenamed("node", "head_node")
     wanted = written(parts.unionByName(own).hint("merge").join(heads.hint("merge"), F.col("node") == F.col("head_node")).select("query", "salt", "node", "is_query", "head"), "wanted")
     texts = docs.select(row_key(id_col, text_col).alias("own_row"), F.col(text_col).cast("string").alias("text"))
     # few enough rows, counted, are sent to every task so that texts move once; more are joined by shuffling both sides
-    few = wanted.count() <= MAX_BROADCAST
+    few = wanted.count() * ROW_BYTES <= MAX_BROADCAST
     routed = texts.join(F.broadcast(wanted), F.col("own_row") == F.col("head")) if few else texts.hint("merge").join(wanted.hint("merge"), F.col("own_row") == F.col("head"))
     routed = routed.select("query", "salt", "node", "is_query", "text").repartition("query", "salt").sortWithinPartitions("query", "salt", F.desc("is_query"), "node")
 
@@ -232,7 +279,7 @@ def linked(docs: DataFrame, pairs: DataFrame, heads: DataFrame, id_col: str, tex
         for query, rows in _groups(batches):
             found = [s for _, s in shingle_sets(pa.array([r[4] for r in rows], pa.string()), K)]
             # another row with the same key would bring another text, which has another signature
-            nodes = [r[2] if len(s) and signature(s) == r[2] else None for r, s in zip(rows, found, strict=True)]
+            nodes = [r[2] if len(s) and node_of(s, shared) == r[2] else None for r, s in zip(rows, found, strict=True)]
             main = next((s for r, s, node in zip(rows, found, nodes, strict=True) if r[3] and node is not None), None)
             if main is None:
                 continue
@@ -245,7 +292,9 @@ def linked(docs: DataFrame, pairs: DataFrame, heads: DataFrame, id_col: str, tex
                 u, v = [], []
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return routed.mapInArrow(verify, "u long, v long").distinct()
+    links = written(routed.mapInArrow(verify, "u long, v long").distinct(), "links")
+    remove(sizes, wanted)
+    return links
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -264,17 +313,27 @@ def _first(seed: int) -> Column:
     return even / F.pow(F.col("degree") / _posted(F.col("n")), F.lit(CENTRAL)) if seed % 2 else even
 
 
+def _part(turn: int) -> Column:
+    """The part of its list that a posting is in; every turn deals anew."""
+    return F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int")
+
+
+def _classed(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    return lists.hint("merge").join(classes.hint("merge"), "node")
+
+
 def _open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Postings with their node's class and degree, of lists that span several classes."""
-    by_list = Window.partitionBy("h")
-    named = lists.hint("merge").join(classes.hint("merge"), "node").select("h", "node", "n", "place", "class", "degree")
-    named = named.withColumn("low", F.min("class").over(by_list)).withColumn("high", F.max("class").over(by_list))
-    return named.where("low <> high").select("h", "node", "n", "place", "class", "degree")
+    """Postings with their node's class, of lists that span several classes; a list's classes are aggregated before they meet it."""
+    named = _classed(lists, classes)
+    several = named.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("h")
+    return named.hint("merge").join(several.hint("merge"), "h", "left_semi").select("h", "node", "n", "place", "class").distinct()
 
 
-def _tries(named: DataFrame, seeds: list[int]) -> DataFrame:
+def _tries(lists: DataFrame, classes: DataFrame, seeds: list[int]) -> DataFrame:
     """query, node: for each seed the node of another class that comes first in most of a node's lists, if in several."""
-    by_list = Window.partitionBy("h")
+    by_list = Window.partitionBy("h", "part")
+    named = _classed(lists, classes).withColumn("part", _part(seeds[0]))
+    named = named.withColumn("low", F.min("class").over(by_list)).withColumn("high", F.max("class").over(by_list)).where("low <> high")
     firsts = [F.min(F.struct(_first(seed).alias("order"), F.col("node").alias("center"), F.col("class").alias("center_class"))).over(by_list) for seed in seeds]
     seen = named.select("node", "class", F.array(*firsts).alias("firsts")).select("node", "class", F.posexplode("firsts").alias("seed", "first"))
     apart = seen.where(F.col("class") != F.col("first.center_class")).groupBy("node", "seed", F.col("first.center").alias("center")).count()
@@ -282,16 +341,18 @@ def _tries(named: DataFrame, seeds: list[int]) -> DataFrame:
     return best.where(F.col("common") >= STAR_LEAST).select("query", "node").distinct()
 
 
-def _merged(classes: DataFrame, pairs: DataFrame, docs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Classes after the pairs that link: links become bonds of classes, however many there are."""
+def _merged(classes: DataFrame, pairs: DataFrame, find) -> DataFrame:
+    """Classes after the pairs that link (as find tells): links become bonds of classes, however many there are."""
     if pairs.isEmpty():
         return classes
-    links = written(linked(docs, pairs, heads, id_col, text_col), "links")
+    links = find(pairs)
     if links.isEmpty():
         return classes
     named = lambda df, side: df.hint("merge").join(classes.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class")).hint("merge"), side).drop(side).withColumnRenamed(f"{side}_class", side)
     bonds = components(named(named(links, "u"), "v").distinct()).select(F.col("node").alias("class"), "component")
-    return written(classes.hint("merge").join(bonds.hint("merge"), "class", "left").select("node", F.coalesce("component", "class").alias("class"), "degree"), "classes")
+    after = written(classes.hint("merge").join(bonds.hint("merge"), "class", "left").select("node", F.coalesce("component", "class").alias("class"), "degree"), "classes")
+    remove(classes, links)
+    return after
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,19 +362,23 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def classed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """similarity_classes with row, and first: the (doc_id, row) that its class is kept by, null ids last."""
-    sets = written(document_sets(docs, id_col, text_col), "sets")
+    sets, shared = document_sets(docs, id_col, text_col)
     heads = written(sets.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("head")), "heads")
     order = frequent_shingles(docs, sets.count(), id_col, text_col)
-    by_list = Window.partitionBy("h")
-    lists = postings(docs, order, text_col).withColumn("low", F.min("node").over(by_list)).withColumn("high", F.max("node").over(by_list))
-    lists = written(lists.where("low <> high").select("h", "node", "n", "place"), "lists")
+    find = lambda pairs: linked(docs, pairs, heads, shared, id_col, text_col)
+    by_list = Window.partitionBy("h", "part")
+    lists = postings(docs, order, shared, text_col).withColumn("part", _part(0))
+    lists = lists.withColumn("low", F.min("node").over(by_list)).withColumn("high", F.max("node").over(by_list))
+    # a list of one node links nothing; of a list in parts every posting stays
+    lists = written(lists.where("low <> high or parts > 1").select("h", "node", "n", "place", "parts"), "lists")
     classes = written(lists.groupBy("node").agg(F.col("node").alias("class"), F.count("*").alias("degree")), "classes")
     for seeds in STAR_ROUNDS:
-        some = lists.where(F.pmod(F.col("h"), F.lit(STAR_SHARE)) == 0)
-        tries = written(_tries(_open_lists(some, classes), seeds), "tries")
-        classes = _merged(classes, tries, docs, heads, id_col, text_col)
+        tries = written(_tries(lists.where(F.pmod(F.col("h"), F.lit(STAR_SHARE)) == 0), classes, seeds), "tries")
+        classes = _merged(classes, tries, find)
+        remove(tries)
     # lists that span several classes still hold pairs to search
-    named = written(_open_lists(lists, classes).distinct(), "open")
+    named = written(_open_lists(lists, classes), "open")
+    remove(lists)
     a, b = named.alias("a"), named.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
     needed_ = _needed(n, m)
@@ -321,9 +386,11 @@ def classed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     meets &= (F.col("a.place") <= n - needed_) & (F.col("b.place") <= m - needed_)
     joined = a.hint("merge").join(b.hint("merge"), meets)
     pairs = written(joined.select(F.col("a.node").alias("query"), F.col("b.node").alias("node")).distinct(), "pairs")
-    classes = _merged(classes, pairs, docs, heads, id_col, text_col)
+    classes = _merged(classes, pairs, find)
+    remove(named, pairs, heads)
     member = sets.where("n_shingles > 0").hint("merge").join(classes.hint("merge"), "node", "left").select("doc_id", "row", "n_shingles", F.coalesce("class", "node").alias("class"))
     member = written(member, "members")
+    remove(classes)
     own = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "row")
     names = member.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min(own).alias("first"))
     full = member.hint("merge").join(names.hint("merge"), "class").select("doc_id", "row", "n_shingles", "component_id", "first")

@@ -10,8 +10,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rollforge.llm import chat, components, decontaminate, exact, ngram_join, packing, quality, queries, rollup, toxicity, urls, warc
+from rollforge.llm import chat, decontaminate, exact, ngram_join, packing, quality, queries, rollup, toxicity, urls, warc
 from rollforge.llm.tokens import word_bpe
+from rollforge.operators import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
