@@ -5,8 +5,13 @@ rows; deletions take all live rows of a doc_id and version; revisions replace th
 ledger rows, and the batch's sums by source, language and tokenizer version become its delta. Totals are the sums of
 all committed deltas, so they never read a document again.
 
-A commit writes the ledger rows first and the delta last; the delta's _SUCCESS file makes it count. A batch that was cut
-off is written anew, a committed one is skipped when it is sent again, so retries never count twice.
+Ledger rows lie in BUCKETS folders by a hash of doc_id. A commit reads the buckets that its deletions and revisions fall
+in, and of those only the rows of their documents; a small batch does not read the whole history.
+
+Every attempt of a commit writes its ledger rows and its delta under a name of its own; the marker file that names the
+attempt is created last, and only one attempt of a batch can create it. So a batch that was cut off is written anew, a
+committed one is skipped when it is sent again, and of two writers of one batch one counts. Writers of different batches
+have to take turns, as a batch's removals depend on those before it.
 
 Null sources and languages are groups of their own; null text counts as empty. Repeated rows of an insertion are
 counted each. Deleting what is not live changes nothing; revising it inserts it. Within a batch deletions and revisions
@@ -16,19 +21,27 @@ act on what earlier batches left. An empty batch commits an empty delta. Other c
 from __future__ import annotations
 
 import re
+import uuid
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollforge.llm.packing import text_blocks
-from rollforge.llm.shared import new_path, slices, written
+from rollforge.llm.shared import new_path, remove, slices, written
 from rollforge.llm.tokens import word_bpe
 
 KEYS = ["source", "language", "version"]
 LEDGER = "doc_id long, source string, language string, version string, tokens long, sign int"
 DELTA = "source string, language string, version string, docs long, tokens long"
 VERSIONS = ("byte_bpe_50k", "word_bpe_49k")
+BUCKETS = 64
+
+
+def _bucket(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
 
 
 class TokenRollup:
@@ -37,29 +50,60 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or new_path(spark, "rollup")
 
-    def _there(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-    def batches(self) -> list[str]:
-        """Names of committed batches."""
-        jvm = self.spark.sparkContext._jvm
-        top = jvm.org.apache.hadoop.fs.Path(f"{self.path}/delta")
-        files = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in files.listStatus(top)] if files.exists(top) else []
-        return sorted(n for n in names if self.committed(n))
+    def _files(self, path: str):
+        """A Hadoop path and the file system that holds it."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def batches(self) -> dict[str, str]:
+        """Committed batches, each with the attempt that counts."""
+        top, files = self._files(f"{self.path}/commits")
+        names = sorted(s.getPath().getName() for s in files.listStatus(top)) if files.exists(top) else []
+        return {n: self._attempt(n) for n in names if not n.startswith((".", "_"))}
+
+    def _attempt(self, batch: str) -> str:
+        where, files = self._files(f"{self.path}/commits/{batch}")
+        stream = files.open(where)
+        try:
+            return bytes(b & 0xFF for b in iter(stream.read, -1)).decode()
+        finally:
+            stream.close()
 
     def committed(self, batch: str) -> bool:
-        return self._there(f"{self.path}/delta/{batch}/_SUCCESS")
+        where, files = self._files(f"{self.path}/commits/{batch}")
+        return files.exists(where)
+
+    def _publish(self, batch: str, attempt: str) -> bool:
+        """Creates the batch's marker, unless another attempt has done so."""
+        where, files = self._files(f"{self.path}/commits/{batch}")
+        try:
+            stream = files.create(where, False)
+        except Py4JJavaError:
+            if self.committed(batch):
+                return False
+            raise
+        stream.write(bytearray(attempt.encode()))
+        stream.close()
+        return True
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{b}" for b in self.batches()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def live(self) -> DataFrame:
-        """Rows that are counted now, with how often each is."""
-        return self._read("ledger", LEDGER).groupBy("doc_id", *KEYS, "tokens").agg(F.sum("sign").cast("int").alias("copies")).where("copies > 0")
+        paths = [f"{self.path}/{kind}/{b}-{attempt}" for b, attempt in self.batches().items()]
+        parts = [self.spark.read.schema(schema).parquet(p) for p in paths]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+
+    def live(self, rows: DataFrame | None = None) -> DataFrame:
+        """Rows that are counted now, with how often each is; of the whole ledger or of the rows given."""
+        rows = self._read("ledger", LEDGER) if rows is None else rows
+        return rows.groupBy("doc_id", *KEYS, "tokens").agg(F.sum("sign").cast("int").alias("copies")).where("copies > 0")
+
+    def _removals(self, changes: DataFrame) -> DataFrame:
+        """The live rows that deletions and revisions take, as ledger rows."""
+        gone = changes.where(F.col("op").isin("delete", "revise")).select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), _bucket(F.col("doc_id")).alias("gone_bucket")).distinct()
+        gone = written(gone, "gone")
+        touched = sorted(r.gone_bucket for r in gone.select("gone_bucket").distinct().collect())  # BUCKETS numbers at most
+        rows = self._read("ledger", LEDGER + ", bucket int").where(F.col("bucket").isin(touched))
+        same = (F.col("bucket") == F.col("gone_bucket")) & F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.col("version").eqNullSafe(F.col("gone_version"))
+        return self.live(rows.hint("merge").join(gone.hint("merge"), same, "left_semi")).select("doc_id", *KEYS, "tokens", (-F.col("copies")).alias("sign"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """False if the batch was committed before; its changes are not read then."""
@@ -67,21 +111,19 @@ class TokenRollup:
             raise ValueError(f"batch name {batch!r}")
         if self.committed(batch):
             return False
-        columns = ["doc_id", *KEYS, "tokens"]
         # written once: additions and removals both read the changes, whose counting may be long
         changes = written(changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), *KEYS, F.col("tokens").cast("long").alias("tokens")), "changes")
-        added = changes.where(F.col("op").isin("insert", "revise")).select(*columns, F.lit(1).alias("sign"))
-        rows = added
+        rows = changes.where(F.col("op").isin("insert", "revise")).select("doc_id", *KEYS, "tokens", F.lit(1).alias("sign"))
         if self.batches():
-            gone = changes.where(F.col("op").isin("delete", "revise")).select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).distinct()
-            taken = self.live().hint("merge").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.col("version").eqNullSafe(F.col("gone_version")))
-            rows = added.unionByName(taken.select(*columns, (-F.col("copies")).alias("sign")))
-        ledger = f"{self.path}/ledger/{batch}"
-        rows.write.mode("overwrite").parquet(ledger)
+            rows = rows.unionByName(self._removals(changes))
+        attempt = uuid.uuid4().hex
+        ledger = f"{self.path}/ledger/{batch}-{attempt}"
+        rows.withColumn("bucket", _bucket(F.col("doc_id"))).repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(ledger)
         kept = self.spark.read.schema(LEDGER).parquet(ledger)
         sums = kept.groupBy(*KEYS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/delta/{batch}")
-        return True
+        sums.write.parquet(f"{self.path}/delta/{batch}-{attempt}")
+        remove(changes)
+        return self._publish(batch, attempt)
 
     def totals(self) -> DataFrame:
         """source, language, version, docs, tokens; groups that fell to nothing are left out."""
@@ -133,12 +175,17 @@ def count_tokens(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, paths: d
     return rows.mapInArrow(count, "doc_id long, source string, language string, version string, tokens long")
 
 
+ESTIMATE = "four_chars"
+
+
 def rolled_up(docs: DataFrame, versions: tuple[str, ...] = VERSIONS) -> DataFrame:
-    """Totals of a corpus that is first counted by an estimate (a token for four characters), then revised exactly."""
+    """Totals of a corpus that is first counted by an estimate (a token for four characters) under each version and one of its own,
+    then revised exactly; at last the estimate's own version is withdrawn by deletions."""
     rollup = TokenRollup(docs.sparkSession)
-    estimate = docs.select(F.lit("insert").alias("op"), "doc_id", "source", F.col("lang").alias("language"), F.explode(F.array(*map(F.lit, versions))).alias("version"), F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).alias("tokens"))
-    rollup.commit("0-estimate", estimate)
+    named = docs.select("doc_id", "source", F.col("lang").alias("language"), F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).alias("tokens"))
+    rollup.commit("0-estimate", named.withColumn("op", F.lit("insert")).withColumn("version", F.explode(F.array(*map(F.lit, (*versions, ESTIMATE))))))
     exact = count_tokens(docs, versions).withColumn("op", F.lit("revise"))
     rollup.commit("1-exact", exact)
     rollup.commit("1-exact", exact)  # sent again, as a retry would: it counts once
+    rollup.commit("2-withdrawn", named.withColumn("op", F.lit("delete")).withColumn("version", F.lit(ESTIMATE)))
     return rollup.totals()
