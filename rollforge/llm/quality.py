@@ -4,8 +4,8 @@ A text's features are shares and averages over the whole text (letters, capitals
 distinct and repeated words, repeated lines) and their squares, standardised. From labelled rows every pair of a good
 and a poor text is a preference; a bounded sample of texts (max_train) and of pairs (max_pairs) is drawn by hashes of
 doc_id. The chance that one text is preferred is the logistic function of the difference of their scores, so logistic
-loss on feature differences gives the weights. The cut is a quantile of the scores of all labelled rows outside the
-held-out fold: the share of poor ones among them. A logistic curve through the cut at 0.7 maps scores to 0 to 1.
+loss on feature differences gives the weights. Every text is scored once, and the scores are written. The cut is an
+exact quantile of the scores of all labelled rows outside the held-out fold: the share of poor ones among them. A logistic curve through the cut at 0.7 maps scores to 0 to 1.
 
 Null and empty texts have all features 0 and are scored like any other. Repeated rows are scored each. Without labelled
 rows of both classes every score is 0.5. An empty table gives no rows. Other columns are not read.
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollforge.llm.shared import slices
+from rollforge.llm.shared import remove, slices, written
 from rollforge.llm.toxicity import held_out, training_rows
+from rollforge.operators.ordinals import numbered
 
 MAX_TRAIN, MAX_TRAIN_CHARS, MAX_PAIRS, THRESHOLD = 4000, 20_000, 40_000, 0.7
 _CLASSES = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 blank, 5 line end, 6 sentence mark, 7 sign, 8 beyond ASCII
@@ -71,10 +72,6 @@ class Ranker:
     def raw(self, texts: list[str | None]) -> np.ndarray:
         return ((matrix(texts) - self.mean) / self.scale) @ self.weights
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        at = np.log(THRESHOLD / (1 - THRESHOLD)) if self.weights.any() else 0.0
-        return 1.0 / (1.0 + np.exp(-np.clip((self.raw(texts) - self.cut) / self.spread + at, -30, 30)))
-
 
 def fit(x: np.ndarray, labels: np.ndarray, max_pairs: int = MAX_PAIRS, rounds: int = 400, l2: float = 1e-3) -> Ranker:
     """Weights from (good, poor) pairs; the cut is set by the caller."""
@@ -95,51 +92,56 @@ def fit(x: np.ndarray, labels: np.ndarray, max_pairs: int = MAX_PAIRS, rounds: i
     return Ranker(mean, scale, w)
 
 
-def _raw_scores(docs: DataFrame, ranker: Ranker) -> DataFrame:
+def raw_scores(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, raw of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
 
     def score(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.raw(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shared.value.raw(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "held_out", "raw"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, raw double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out")).mapInArrow(score, "doc_id long, held_out boolean, raw double")
 
 
-def with_cut(ranker: Ranker, docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ranker:
-    """The cut over the scores of all labelled rows outside the held-out fold.
+def with_cut(ranker: Ranker, scored: DataFrame, labels: DataFrame, label: str = "quality") -> Ranker:
+    """The cut over the scores of all labelled rows outside the held-out fold. scored: doc_id, raw (a written table).
 
-    Between the two classes' scores at the quantile the cut lies in the middle of the widest gap nearby, so that texts
-    of one kind are not split by it.
+    The quantiles are exact: scores are numbered in order, and every thousandth is read. Between the two classes' scores
+    at the quantile the cut lies in the middle of the widest gap nearby, so that texts of one kind are not split by it.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("label")).dropna().where(~held_out("label_id")).groupBy("label_id").agg(F.max("label").alias("label"))
-    scored = _raw_scores(docs, ranker).hint("merge").join(known.hint("merge"), F.col("doc_id") == F.col("label_id"))
-    share = F.avg((F.col("label") == 0).cast("double"))
-    grid = [i / 1000 for i in range(1001)]
-    row = scored.agg(share.alias("poor"), F.percentile_approx("raw", grid, 20_000).alias("marks"), F.stddev_pop("raw").alias("spread")).first()
-    if row is None or row.marks is None:
+    judged = scored.select("doc_id", "raw").hint("merge").join(known.hint("merge"), F.col("doc_id") == F.col("label_id")).select("raw", "label")
+    placed = written(numbered(judged, [], ["raw"]), "placed")
+    row = placed.agg(F.avg((F.col("label") == 0).cast("double")).alias("poor"), F.stddev_pop("raw").alias("spread"), F.count("*").alias("n")).first()
+    if not row.n:
         return ranker
-    marks, near = np.array(row.marks), round(row.poor * 1000)
-    low, high = max(0, near - 15), min(1000, near + 15)
+    step = (F.col("place_n") - 1) / 1000.0
+    nearest = placed.where(F.floor(F.ceil(F.col("place") / F.greatest(step, F.lit(1e-12))) * step) == F.col("place")) if row.n > 1001 else placed
+    marks = np.array([r.raw for r in nearest.orderBy("place").select("raw").collect()])
+    share = lambda x: min(len(marks) - 1, max(0, round(x * (len(marks) - 1))))
+    low, high = share(row.poor - 0.015), share(row.poor + 0.015)
     gaps = np.diff(marks[low : high + 1])
-    k = low + int(gaps.argmax()) if len(gaps) else near
-    cut = float((marks[k] + marks[min(1000, k + 1)]) / 2)
+    k = low + int(gaps.argmax()) if len(gaps) else share(row.poor)
+    cut = float((marks[k] + marks[min(len(marks) - 1, k + 1)]) / 2)
+    remove(placed)
     return Ranker(ranker.mean, ranker.scale, ranker.weights, cut, max(1e-6, float(row.spread or 1.0) / 4))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, max_train_chars: int = MAX_TRAIN_CHARS) -> Ranker:
+    """The weights; with_cut sets the cut."""
     rows = training_rows(docs, labels, label, max_train, max_train_chars).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    ranker = fit(matrix([r.text for r in rows]), np.array([r.label for r in rows]))
-    return with_cut(ranker, docs, labels, label) if ranker.weights.any() else ranker
-
-
-def score_quality(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranker)
-
-    def score(batches):
-        for batch in slices(batches):
-            found = shared.value.scores(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out")).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return fit(matrix([r.text for r in rows]), np.array([r.label for r in rows]))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", max_train: int = MAX_TRAIN, max_train_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted. Every text is read once for its raw score, which is written."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ranker = train(named, labels, label, max_train, max_train_chars)
+    raw = written(raw_scores(named, ranker), "raw")
+    if ranker.weights.any():
+        ranker = with_cut(ranker, raw, labels, label)
+    at = float(np.log(THRESHOLD / (1 - THRESHOLD))) if ranker.weights.any() else 0.0
+    margin = F.least(F.greatest((F.col("raw") - ranker.cut) / ranker.spread + at, F.lit(-30.0)), F.lit(30.0))
+    scored = raw.select("doc_id", "held_out", (1 / (1 + F.exp(-margin))).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

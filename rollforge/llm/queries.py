@@ -41,8 +41,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +51,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.capture_histories(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +74,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE,
     "op9_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
-        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS n, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url FROM pages),
+        u AS (SELECT *, lower(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE url END) AS rest FROM p),
+        k AS (SELECT *, array_to_string(list_reverse(string_split(split_part(split_part(rest, '/', 1), ':', 1), '.')), ',') || ')' || CASE WHEN instr(rest, '/') > 0 THEN split_part(substr(rest, instr(rest, '/')), '#', 1) ELSE '' END AS url_key,
+                     strftime(make_timestamp((page_id + 1577836800) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at, min(page_id) OVER (PARTITION BY html) AS first_id FROM u)
         SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f""",
+               CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to, url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS position FROM k""",
     "op5_url_filters": """
         WITH p AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         q AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
