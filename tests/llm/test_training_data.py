@@ -281,7 +281,7 @@ def test_warc_round_trip(spark):
         raw = (html or "").encode()
         assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
     assert {p: (r.record_type, r.refers_to) for p, r in table.items()} == {1: ("response", None), 2: ("revisit", 1), 3: ("revisit", 1), None: ("revisit", 1), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
-    order = [(r.url_key, r.captured_at) for r in sorted(got, key=lambda r: (r.key_range, r.position))]
+    order = [(r.url_key, r.captured_at) for r in sorted(got, key=lambda r: r.position)]
     assert order == sorted(order)
     assert warc.capture_histories(df.limit(0)).count() == 0
 
@@ -323,7 +323,7 @@ def test_token_counts_like_the_libraries(spark, sf_dir):
     assert {r.version: r.d for r in totals} == {"byte_bpe_50k": 200, "word_bpe_49k": 200}
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op8_toxicity", "toxic", 0.8), ("op7_quality_classifier", "quality", 0.98)])
+@pytest.mark.parametrize(("name", "label", "least"), [("op8_toxicity", "toxic", 0.9), ("op7_quality_classifier", "quality", 0.98)])
 def test_held_out_accuracy(spark, name, label, least):
     at = "/root/testdata/sf0.1"
     scored = queries.QUERIES[name](spark, at)
@@ -339,7 +339,7 @@ def test_classifiers_without_labels_or_texts(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     tox = toxicity.score_toxicity(docs, toxicity.train(docs, none)).collect()
     assert all(r.score < 1e-9 and r.predicted == 0 for r in tox) and len(tox) == 4
-    good = quality.score_quality(docs, quality.train(docs, none)).collect()
+    good = quality.score_quality(docs, none).collect()
     assert {r.score for r in good} == {0.5}
     empty = documents(spark, [])
     assert toxicity.score_toxicity(empty, toxicity.train(empty, none)).count() == 0
