@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollforge.functions.text import col, strip
 
-# Answer patterns in order of priority, units, and number forms.
+# Answer patterns in order of priority, units, number forms, rewrites of answers, and code fences.
 ANSWER_CASCADE = [
     r"\\boxed\{([^}]+)\}",
     r"####\s*(.+?)(?:\n|$)",
@@ -35,6 +35,12 @@ STRICT_CASCADE = [
     r"[Ss]o[,:\s]+.*?(-?\d+\.?\d*)\s*$",
 ]
 LENIENT_CASCADE = [r"####\s*(-?\d+\.?\d*)", r"\\boxed\{([^}]+)\}", r"answer[:\s]+(-?\d+\.?\d*)", r"=\s*(-?\d+\.?\d*)\s*$"]
+CURRENCY, FRACTION, THOUSANDS, COMMAND, BRACES = r"[\$£€]", "\\frac", r"(\d),(\d)", r"\\[a-zA-Z]+", r"[{}]"
+LONE_NUMBER = r"(?d)^[^\d]*(-?\d+\.?\d*)[^\d]*$"
+CANDIDATE = r"(?d)####\s*(-?\d+\.?\d*)|[Aa]nswer.*?(-?\d+\.?\d*)"
+MARKED_ANSWER = r"answer is[:\s]*(-?\d+\.?\d*)"
+FENCES = [r"(?s)```{language}\n(.*?)```", r"(?s)```\n(.*?)```", r"(?s)```(.*?)```"]
+OPEN_FENCE, CLOSE_FENCE = r"^```python\n?", r"\n?```$"
 PLAIN_FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -44,7 +50,7 @@ def last_hit(c: Column, pattern: str, flags: str = "(?d)") -> Column:
 
 def number(c: Column) -> Column:
     """A plain decimal number, or null; underscores and type suffixes are no numbers."""
-    return F.when(c.rlike(PLAIN_FLOAT), strip(c).try_cast("double"))
+    return F.when(c.rlike(PLAIN_FLOAT), c.try_cast("double"))
 
 
 def extract_final_answer(c: Column | str) -> Column:
@@ -60,10 +66,10 @@ def extract_gsm8k_answer(c: Column | str) -> Column:
 
 
 def normalize_answer(c: Column | str) -> Column:
-    out = F.regexp_replace(strip(F.coalesce(col(c), F.lit(""))), r"[\$£€]", "")
-    out = F.replace(F.regexp_replace(out, "(?i)" + UNITS, ""), F.lit("\\frac"), F.lit(""))
-    out = F.regexp_replace(out, r"(\d),(\d)", "$1$2")
-    out = F.regexp_replace(F.regexp_replace(out, r"\\[a-zA-Z]+", ""), r"[{}]", "")
+    out = F.regexp_replace(strip(F.coalesce(col(c), F.lit(""))), CURRENCY, "")
+    out = F.replace(F.regexp_replace(out, "(?i)" + UNITS, ""), F.lit(FRACTION), F.lit(""))
+    out = F.regexp_replace(out, THOUSANDS, "$1$2")
+    out = F.regexp_replace(F.regexp_replace(out, COMMAND, ""), BRACES, "")
     return strip(out)
 
 
@@ -100,7 +106,7 @@ def grade_strict(response: Column | str, truth: Column | str) -> Column:
     text, want = _without_signs(response), truth_number(F.regexp_replace(col(truth), " ", "")).try_cast("double")
     near = [F.abs(last_hit(text, p, "(?dim)").try_cast("double") - want) < 0.01 for p in STRICT_CASCADE]
     line = strip(F.try_element_at(F.split(strip(text), "\n"), F.lit(-1)))
-    lone = F.nullif(F.regexp_extract(line, r"(?d)^[^\d]*(-?\d+\.?\d*)[^\d]*$", 1), F.lit(""))
+    lone = F.nullif(F.regexp_extract(line, LONE_NUMBER, 1), F.lit(""))
     near.append(F.abs(lone.try_cast("double") - want) < 0.01)
     return reduce(Column.__or__, [F.coalesce(x, F.lit(False)) for x in near])
 
@@ -118,7 +124,7 @@ def grade_lenient(response: Column | str, truth: Column | str) -> Column:
 
 def extract_marked_number(response: Column | str) -> Column:
     """The last number after ####, else after "answer is"."""
-    return F.coalesce(last_hit(col(response), r"####\s*(-?\d+\.?\d*)"), last_hit(F.lower(col(response)), r"answer is[:\s]*(-?\d+\.?\d*)"))
+    return F.coalesce(last_hit(col(response), STRICT_CASCADE[0]), last_hit(F.lower(col(response)), MARKED_ANSWER))
 
 
 def grade_extracted(response: Column | str, truth: Column | str) -> Column:
@@ -136,7 +142,7 @@ def partial_credit_reward(response: Column | str, truth: Column | str) -> Column
 
 def is_rejected_candidate(response: Column | str, truth: Column | str) -> Column:
     """Whether the last number after #### or "answer" differs from the truth by more than 0.01."""
-    pattern = F.lit(r"(?d)####\s*(-?\d+\.?\d*)|[Aa]nswer.*?(-?\d+\.?\d*)")
+    pattern = F.lit(CANDIDATE)
     hits = F.arrays_zip(F.regexp_extract_all(col(response), pattern, F.lit(1)).alias("a"), F.regexp_extract_all(col(response), pattern, F.lit(2)).alias("b"))
     said = F.try_element_at(F.transform(hits, lambda h: F.coalesce(F.nullif(h["a"], F.lit("")), h["b"])), F.lit(-1))
     return F.coalesce(F.abs(said.try_cast("double") - truth_number(truth).try_cast("double")) > 0.01, F.lit(False))
@@ -156,14 +162,13 @@ def check_equation(step: Column | str) -> Column:
 
 def extract_code(c: Column | str, language: str = "python") -> Column:
     """The first fenced block: with the language's tag, bare, or any; else the whole text."""
-    fences = [rf"(?s)```{language}\n(.*?)```", r"(?s)```\n(.*?)```", r"(?s)```(.*?)```"]
-    hits = [F.try_element_at(F.regexp_extract_all(col(c), F.lit(p), F.lit(1)), F.lit(1)) for p in fences]
+    hits = [F.try_element_at(F.regexp_extract_all(col(c), F.lit(p.replace("{language}", language)), F.lit(1)), F.lit(1)) for p in FENCES]
     return strip(F.coalesce(*hits, col(c)))
 
 
 def clean_code(c: Column | str) -> Column:
     """Without fences, and up to the next function on the first function's level."""
-    bare = F.regexp_replace(F.regexp_replace(col(c), r"^```python\n?", ""), r"\n?```$", "")
+    bare = F.regexp_replace(F.regexp_replace(col(c), OPEN_FENCE, ""), CLOSE_FENCE, "")
     indent = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))
     begins = lambda x: F.startswith(strip(x), F.lit("def "))
     start = F.struct(F.lit(-1).alias("level"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("kept"))

@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The marker patterns that define a reasoning step and an answer.
+# The marker patterns that define a reasoning step and an answer, and the rewrites that normalise a text.
 STEP_MARKERS = [r"step\s*\d+", r"\d+\)", r"\d+\.", r"first|second|third|then|next|finally", r"let's|we can|we need|we have"]
 ANSWER_MARKERS = [r"(?:the\s+)?(?:final\s+)?answer\s*(?:is|:)", r"therefore|thus|so|hence", r"=\s*[\d.]+\s*$", r"\\boxed\{", r"####"]
+NEWLINES, SPACES, AFTER_MATH, BEFORE_MATH = r"\n{3,}", r" {2,}", r"\$\$\s*", r"\s*\$\$"
+SPEAKER, SPECIAL, INSTRUCTION = r"(?i)^(Assistant:|AI:|Response:)\s*", r"(?d)<\|.*?\|>", r"(?s)\[INST\].*?\[/INST\]"
 EVAL_STEP_MARKERS = [r"step\s*\d+", r"^\d+\.", r"first|second|third|then|next|finally"]
 
 
@@ -23,7 +25,8 @@ def let(value: Column, use) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Without the white space that a pattern's \\s means at both ends."""
+    return F.btrim(col(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def words(c: Column | str) -> Column:
@@ -63,13 +66,13 @@ def diversity_of(a: Column, b: Column, empty: float) -> Column:
 def normalize_reasoning(c: Column | str, whitespace: bool = True, math: bool = True, artifacts: bool = True) -> Column:
     out = col(c)
     if whitespace:
-        out = strip(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r" {2,}", " "))
+        out = strip(F.regexp_replace(F.regexp_replace(out, NEWLINES, "\n\n"), SPACES, " "))
     if math:
-        out = F.regexp_replace(F.regexp_replace(out, r"\$\$\s*", r"\$\$"), r"\s*\$\$", r"\$\$")
+        out = F.regexp_replace(F.regexp_replace(out, AFTER_MATH, r"\$\$"), BEFORE_MATH, r"\$\$")
     if artifacts:
-        out = F.regexp_replace(out, r"(?i)^(Assistant:|AI:|Response:)\s*", "")
-        out = F.regexp_replace(out, r"(?d)<\|.*?\|>", "")
-        out = F.regexp_replace(out, r"(?s)\[INST\].*?\[/INST\]", "")
+        out = F.regexp_replace(out, SPEAKER, "")
+        out = F.regexp_replace(out, SPECIAL, "")
+        out = F.regexp_replace(out, INSTRUCTION, "")
     return out
 
 

@@ -132,6 +132,15 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(*KEY, F.round(tx.jaccard_of(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(tx.diversity_of(F.col("a"), F.col("b"), 0.0), 6).alias("diversity"))
 
 
+@query(f"WITH {_SETS} SELECT a.problem_id, a.sample_idx AS a_idx, b.sample_idx AS b_idx, round(CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0 ELSE 1 - {_JAC.replace('/ (', '/ nullif(')[:-1]}, 0) END::DOUBLE, 6) AS raw_diversity, round(CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 1 ELSE 1 - {_JAC.replace('/ (', '/ nullif(')[:-1]}, 0) END::DOUBLE, 6) AS ranked_diversity FROM w a JOIN w b ON a.problem_id = b.problem_id AND b.sample_idx = a.sample_idx + 20")
+def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two responses of a problem: texts without words differ by 0 among raw pairs and by 1 among ranked ones."""
+    base = answers(spark, sf_dir).select(*KEY, tx.word_set("reasoning").alias("s"))
+    a, b = base.select("problem_id", F.col("sample_idx").alias("a_idx"), F.col("s").alias("a")), base.select("problem_id", F.col("sample_idx").alias("b_idx"), F.col("s").alias("b"))
+    met = a.hint("merge").join(b.withColumn("before", F.col("b_idx") - 20).hint("merge"), (F.col("a_idx") == F.col("before")) & (a.problem_id == b.problem_id)).drop(b.problem_id)
+    return met.select("problem_id", "a_idx", "b_idx", F.round(tx.diversity_of(F.col("a"), F.col("b"), 0.0), 6).alias("raw_diversity"), F.round(tx.diversity_of(F.col("a"), F.col("b"), 1.0), 6).alias("ranked_diversity"))
+
+
 @query(f"WITH {FACTS} SELECT problem_id, sample_idx, len(list_distinct(sents)) AS sentences, len(list_distinct(grams)) AS grams, len(list_distinct(string_split(t, chr(10))[1:4])) AS first_lines FROM f")
 def distinct_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = tx.let(tx.words("reasoning"), lambda tokens: tx.ngrams(tokens, 5, drop_last=True))

@@ -174,6 +174,15 @@ def append_and_read_training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.training_log(spark, path).select("step", "loss")
 
 
+@query("SELECT event_id AS step, round(value, 6) AS loss, round(value - 50, 6) AS reward_margin, round((user_id % 10) / 10.0, 6)::DOUBLE AS kl_divergence, NULL::DOUBLE AS ratio_mean FROM events")
+def read_training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log's rows by its schema; fields that a run did not write are null."""
+    path, e = new_path(spark, "log"), read(spark, sf_dir, "events")
+    sinks.append_training_log(e.select(F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.col("value") - 50).alias("reward_margin"), (F.col("user_id") % 10 / 10.0).alias("kl_divergence"), F.lit("x").alias("note")), path)
+    found = readers.training_log(spark, path)
+    return found.select("step", *[F.round(c, 6).alias(c) for c in ("loss", "reward_margin", "kl_divergence", "ratio_mean")])
+
+
 @query(f"WITH {ANSWERS} SELECT problem_id, count(*) AS n FROM answers GROUP BY 1")
 def collect_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches appended to one table."""
