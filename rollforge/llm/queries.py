@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollforge.llm import chat, decontaminate, exact, ngram_join, packing, quality, rollup, toxicity, urls, warc
+from rollforge.llm import chat, decontaminate, exact, hyperlang, ngram_join, packing, quality, rollup, stripes, toxicity, trie, urls, warc
 
 RULES = urls.host_rules(block=["net/", "example.com/de/"], allow=["example.net/en/", "org/fr/"])
 FREE = [urls.free_rule(r"(?i)://(?:[^/?#]*\.)?spam-farm\.", "spam", "farm"), urls.free_rule(r"(?i)[/.-]casino[/.-]", "casino")]
@@ -58,6 +58,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return hyperlang.identify(docs, hyperlang.train(docs))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripes.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -69,10 +82,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_language_id": op12_language_id,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
+    "op13_collocations": stripes.ORACLE,
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS n, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url FROM pages),
         u AS (SELECT *, lower(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE url END) AS rest FROM p),
