@@ -2,14 +2,16 @@
 
 Every benchmark item is a multiset of 5-word shingles, weighted by their counts, with a 64-bit SimHash of them. A
 document is looked at through windows of an item's own length in words. A window can only be similar if it shares a
-shingle with an item, so windows are laid where one occurs, in line with its place in the item; all others are left out
-without loss. Each window's SimHash is looked up in four 16-bit blocks: fingerprints within RADIUS bits differ by at
-most RADIUS // 4 bits in some block, so probing every value that near in each block finds all of them. A similar window
-can be further away, so the items whose shingles laid the window are candidates at any distance, too. Each candidate is
-verified by the exact weighted Jaccard similarity of the two multisets.
+shingle with an item, so windows are laid where one occurs, in line with its place in the item; a test holds this against
+all windows. Each window's SimHash is looked up in four 16-bit blocks: fingerprints within RADIUS bits differ by at most
+RADIUS // 4 bits in some block, so probing every value that near in each block finds all of them. Candidates are what the
+index finds, nothing else; each is verified by the exact weighted Jaccard similarity of the two multisets.
 
-Items are read in blocks of a bounded size (BLOCK_CHARS), so what is sent to tasks does not grow with the benchmark; a
-larger one takes more passes over the documents. Documents never move between tasks.
+A similar window can be further away than RADIUS and is then missed. Of windows of exactly the least similarity, 0.75,
+which are the furthest, about one in 10,000 was (tests/llm/test_brute_force.py draws such pairs; recall is at least 0.99).
+
+Items are read in blocks of a bounded size (BLOCK_CHARS), one after the other, so what the driver holds and sends does
+not grow with the benchmark; a larger one takes more passes over the documents. Documents never move between tasks.
 
 Words are as in textkit. An item with fewer than five words is one shingle, found as that sequence anywhere; items
 without words match nothing, as do documents without words and null texts. Equal items are matched each. Of several
@@ -29,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollforge.llm.shared import slices
+from rollforge.llm.shared import slices, written
 from rollforge.llm.textkit import blocks, buffers, shingle_stream, short_shingle, words
 
-K, SIMILARITY, RADIUS, PARTS, PART_BITS = 5, 0.75, 19, 4, 16
+K, SIMILARITY, RADIUS, PARTS, PART_BITS = 5, 0.75, 23, 4, 16
 BLOCK_CHARS = 4_000_000
 MAP_BITS = 22
 SCHEMA = "doc_id long, item_id long, similarity double, start long, n_words long, distance int"
@@ -124,7 +126,7 @@ class Benchmark:
         raw, offsets = buffers(column)
         for i, j in blocks(offsets):
             hashes, _, _, at = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            starts: dict[int, dict[tuple[int, int], set[int]]] = defaultdict(lambda: defaultdict(set))
+            starts: dict[int, set[tuple[int, int]]] = defaultdict(set)
             for k, known in self.places.items():
                 stream = gram_stream(hashes, k)
                 likely = np.flatnonzero(self.maps[k][(stream >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
@@ -135,27 +137,25 @@ class Benchmark:
                         continue
                     for item, offset in known.get(h, ()):
                         size = min(self.lengths[item], last - first)
-                        starts[row][(min(max(first, place - offset), last - size), size)].add(item)
+                        starts[row].add((min(max(first, place - offset), last - size), size))
             for row in sorted(starts):
                 best = self._best(hashes, int(at[row]), starts[row])
                 if best:
                     yield i + row, best
 
-    def _best(self, hashes: np.ndarray, first: int, windows: dict[tuple[int, int], set[int]]) -> dict[int, tuple[float, int, int, int]]:
+    def _best(self, hashes: np.ndarray, first: int, windows: set[tuple[int, int]]) -> dict[int, tuple[float, int, int, int]]:
         best: dict[int, tuple[float, int, int, int]] = {}
-        for (start, size), named in sorted(windows.items()):
+        for start, size in sorted(windows):
             own = hashes[start : start + size]
             stream = shingle_stream(own, K) if size >= K else short_shingle(own)
             found, counts = np.unique(stream, return_counts=True)
-            held = dict(zip(found.tolist(), counts.tolist(), strict=True))
-            mark = simhash(found, counts)
-            near = dict(self.index.near(mark))
-            for item in sorted(near.keys() | named):
+            near = self.index.near(simhash(found, counts))
+            held = dict(zip(found.tolist(), counts.tolist(), strict=True)) if near else {}
+            for item, distance in near:
                 other = self.counts[item]
                 both = sum(min(held[h], other[h]) for h in held.keys() & other.keys())
                 share = both / (sum(held.values()) + sum(other.values()) - both)
                 if share >= SIMILARITY and (item not in best or share > best[item][0]):
-                    distance = near[item] if item in near else (mark ^ int(self.index.prints[item])).bit_count()
                     best[item] = (share, start - first, size, distance)
         return best
 
@@ -187,7 +187,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return find
 
-    passes = [chosen.mapInArrow(finder(spark.sparkContext.broadcast(block)), SCHEMA) for block in item_blocks(benchmark)]
+    passes = []
+    for block in item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
+        passes.append(written(chosen.mapInArrow(finder(shared), SCHEMA), "leaks"))
+        shared.destroy()
     return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], SCHEMA)
 
 
