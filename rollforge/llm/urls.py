@@ -6,6 +6,9 @@ A URL's tokens fetch the rules that are indexed under them, and only those rules
 Of the host rules that fit, the longest (host and path together) decides; without one the free patterns decide: block
 if any fits, else allow.
 
+Rules are configuration: a list that the caller holds and every task gets. Line feeds and other odd characters in a URL
+are characters like any other.
+
 Null URLs and URLs without "://" have an empty host and path; free patterns still see the whole URL. Repeated rows are
 judged each. An empty table gives no rows. Other columns are not read.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[A-Za-z0-9]+"
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, n_candidates int"
-#: Rules are configuration; beyond this many they are judged in several passes over the column, never dropped.
-RULES_PER_PASS = 100_000
+#: Stands between host and path; a host ends and a path is cut before it, so neither holds it.
+BETWEEN = "#"
 
 
 @dataclass(frozen=True)
@@ -39,8 +43,8 @@ class Rule:
         return self.pattern or f"{self.host}{self.path}"
 
     def expression(self) -> str:
-        """Matches host and path joined by a line feed, or the whole URL for a free pattern."""
-        return self.pattern or rf"(?:\A|\.){re.escape(self.host)}\n{re.escape(self.path)}"
+        """Matches host and path with BETWEEN in between, or the whole URL for a free pattern."""
+        return self.pattern or rf"(?s)\A(?:.*\.)?{re.escape(self.host)}{BETWEEN}{re.escape(self.path)}"
 
     def tokens(self) -> list[str]:
         """Tokens every fitting URL has: those of the literals that cannot be the cut end of a longer token."""
@@ -87,6 +91,12 @@ def index_rules(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[int
     return dict(index)
 
 
+@lru_cache(maxsize=100_000)
+def compiled(expression: str) -> re.Pattern:
+    """A rule is compiled when it is first fetched; a worker keeps it."""
+    return re.compile(expression)
+
+
 def parts(url: str | None) -> tuple[str, str]:
     """Host with A-Z lower-cased, and path."""
     _, found, rest = (url or "").partition("://")
@@ -101,26 +111,23 @@ def parts(url: str | None) -> tuple[str, str]:
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, the deciding host rule or null, verdict, and how many rules ran."""
     index = index_rules(rules, token_counts(pages, rules, url_col))
-    spark = pages.sparkSession
-    passes = [spark.sparkContext.broadcast((rules[i : i + RULES_PER_PASS], {t: [r - i for r in own if i <= r < i + RULES_PER_PASS] for t, own in index.items()})) for i in range(0, len(rules), RULES_PER_PASS)]
+    shared = pages.sparkSession.sparkContext.broadcast((rules, index))
 
     def judge(batches):
-        tried = [(b.value[0], b.value[1], [re.compile(r.expression()) for r in b.value[0]]) for b in passes]
+        own, lookup = shared.value
         word = re.compile(TOKEN)
         for batch in batches:
             out = []
             for page_id, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host, path = parts(url)
-                joined, best, blocked, ran = f"{host}\n{path}", None, False, 0
-                tokens = {"", *(t.lower() for t in word.findall(url or ""))}
-                for own, lookup, compiled in tried:
-                    for token in tokens:
-                        for i in lookup.get(token, ()):
-                            rule, ran = own[i], ran + 1
-                            if rule.pattern:
-                                blocked = blocked or bool(compiled[i].search(url or ""))
-                            elif compiled[i].search(joined) and (best is None or (len(rule.name), rule.name) > (len(best.name), best.name)):
-                                best = rule
+                joined, best, blocked, ran = f"{host}{BETWEEN}{path}", None, False, 0
+                for token in {"", *(t.lower() for t in word.findall(url or ""))}:
+                    for i in lookup.get(token, ()):
+                        rule, ran = own[i], ran + 1
+                        if rule.pattern:
+                            blocked = blocked or bool(compiled(rule.pattern).search(url or ""))
+                        elif compiled(rule.expression()).match(joined) and (best is None or (len(rule.name), rule.name) > (len(best.name), best.name)):
+                            best = rule
                 verdict = best.verdict if best else "block" if blocked else "allow"
                 out.append((page_id, host, path, best.name if best else None, verdict, ran))
             columns = list(zip(*out, strict=True)) or [()] * 6
