@@ -6,9 +6,10 @@ assistant says, with its closing tag.
 
 A rendering comes in parts of CHUNK turns (the last one may be shorter), so no conversation has to fit a task: part 0, 1,
 ... in order make up the text, and spans are character offsets in the whole text. Turns are numbered by range, and the
-offsets of parts are summed over their lengths alone. Null text is empty, a null role is a user named "unknown" and no
-participant, a null turn comes first. Repeated rows are rendered each; equal turns are ordered by role and the text's
-digest. Conversations without participants and empty tables give no rows. Other columns are not read.
+offsets of parts are summed over their lengths alone. Null text is empty. A null role is rendered as a user named "unknown", is no
+participant and is never masked, even where a participant has that name. A null turn comes first. Repeated rows are rendered each; equal turns are ordered by role and the text's
+digest. Texts and names are rendered as they are: tags of the format inside of them are not escaped, and spans tell what was
+said. Conversations without participants and empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,23 +24,23 @@ CHUNK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _head(speaker: Column, perspective: Column, system: str) -> Column:
-    return F.concat(F.lit(OPEN), F.when(speaker == system, F.lit(system)).when(speaker == perspective, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), speaker)), F.lit("\n"))
+def _head(speaker: Column, told: Column, perspective: Column, system: str) -> Column:
+    return F.concat(F.lit(OPEN), F.when(speaker == system, F.lit(system)).when(told & (speaker == perspective), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), speaker)), F.lit("\n"))
 
 
 def perspectives(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
     """conv_id, perspective, part, n_turns, text, spans ("from-to" of each masked stretch, joined by commas)."""
     said = F.coalesce(F.col(text_col), F.lit(""))
-    turns = conversations.select(F.col(conv_col).alias("conv_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"), said.alias("said"), F.md5(said).alias("mark"))
-    turns = written(numbered(turns, ["conv_id"], ["turn", "speaker", "mark"]).select("conv_id", "speaker", "said", "place", F.floor(F.col("place") / CHUNK).alias("part")), "turns")
+    turns = conversations.select(F.col(conv_col).alias("conv_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"), F.col(speaker_col).isNotNull().alias("told"), said.alias("said"), F.md5(said).alias("mark"))
+    turns = written(numbered(turns, ["conv_id"], ["turn", "speaker", "told", "mark"]).select("conv_id", "speaker", "told", "said", "place", F.floor(F.col("place") / CHUNK).alias("part")), "turns")
     speakers = conversations.select(F.col(conv_col).alias("own_id"), F.col(speaker_col).alias("perspective")).where(F.col("perspective").isNotNull() & (F.col("perspective") != system)).distinct()
     seen_by = lambda df: df.hint("merge").join(speakers.hint("merge"), F.col("conv_id").eqNullSafe(F.col("own_id")))
-    head = _head(F.col("speaker"), F.col("perspective"), system)
+    head = _head(F.col("speaker"), F.col("told"), F.col("perspective"), system)
     # where each part begins: a running sum over lengths, one row for each part
-    sizes = seen_by(turns.select("conv_id", "speaker", "part", F.length("said").alias("chars"))).groupBy("conv_id", "perspective", "part").agg(F.sum(F.length(head) + F.col("chars") + len(CLOSE) + 1).alias("chars"))
+    sizes = seen_by(turns.select("conv_id", "speaker", "told", "part", F.length("said").alias("chars"))).groupBy("conv_id", "perspective", "part").agg(F.sum(F.length(head) + F.col("chars") + len(CLOSE) + 1).alias("chars"))
     before = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.select(F.col("conv_id").alias("at_id"), F.col("perspective").alias("at_perspective"), F.col("part").alias("at_part"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("starts"))
-    seen = seen_by(turns).select("conv_id", "perspective", "part", "place", head.alias("head"), F.concat("said", F.lit(CLOSE)).alias("body"), ((F.col("speaker") == F.col("perspective")) & (F.col("speaker") != system)).alias("masked"))
+    seen = seen_by(turns).select("conv_id", "perspective", "part", "place", head.alias("head"), F.concat("said", F.lit(CLOSE)).alias("body"), (F.col("told") & (F.col("speaker") == F.col("perspective")) & (F.col("speaker") != system)).alias("masked"))
     parts = seen.groupBy("conv_id", "perspective", "part").agg(F.array_sort(F.collect_list(F.struct("place", "head", "body", "masked"))).alias("turns"))
     parts = parts.withColumn("text", F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit("\n"))), ""))
     parts = parts.hint("merge").join(begins.hint("merge"), F.col("conv_id").eqNullSafe(F.col("at_id")) & (F.col("perspective") == F.col("at_perspective")) & (F.col("part") == F.col("at_part")))
@@ -54,11 +55,11 @@ def perspectives(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
 
 
 ORACLE = """
-    WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
-    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, md5(said)) - 1 AS place FROM t),
+    WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS speaker, role IS NOT NULL AS told, coalesce(text, '') AS said FROM conversations),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, told, md5(said)) - 1 AS place FROM t),
     s AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
-    j AS (SELECT n.conv_id, perspective, place // 256 AS part, place, '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head,
-                 said || '<|im_end|>' AS body, speaker = perspective AS masked
+    j AS (SELECT n.conv_id, perspective, place // 256 AS part, place, '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN told AND speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head,
+                 said || '<|im_end|>' AS body, told AND speaker = perspective AS masked
           FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
     o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY place) - 1 AS ends FROM j)
     SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY place) AS text,

@@ -227,8 +227,7 @@ def test_archives_stay_below_their_size_and_histories_are_in_order(spark, monkey
     assert row.payload_digest == hashlib.sha256(("é" * 3_000_000).encode()).hexdigest() and row.payload_bytes == 6_000_000
 
 
-def test_many_rules_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(urls, "RULES_PER_PASS", 40)
+def test_many_rules(spark):
     rng = random.Random(10)
     names = [f"site{i}.example.{rng.choice(['net', 'org'])}/{rng.choice(['', 'en/', 'de/x'])}" for i in range(150)]
     rules = urls.host_rules(names[::2], names[1::2])

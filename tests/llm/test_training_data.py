@@ -179,12 +179,29 @@ def test_decontamination_finds_passages_and_leaves_others(spark):
     assert decontaminate.find_leaks(documents(spark, texts), bench.limit(0)).count() == 0
 
 
-def test_decontamination_finds_every_edited_passage_at_the_threshold():
+def test_decontamination_recall_at_the_threshold():
     items = [[f"w{i}x{j}" for j in range(39)] for i in range(3000)]
     texts = [" ".join([*item[:19], "changed", *item[20:]]) for item in items]  # 30 of 35 shingles are left: 30 / 40
     got = {row: found for row, found in decontaminate.Benchmark([(i, " ".join(item)) for i, item in enumerate(items)]).matches(pa.array(texts))}
-    assert {row: {i: f[0] for i, f in found.items()} for row, found in got.items()} == {i: {i: 0.75} for i in range(len(items))}
-    assert max(found[row][3] for row, found in got.items()) > decontaminate.RADIUS
+    assert all({i: f[0] for i, f in found.items()} == {row: 0.75} for row, found in got.items())
+    assert len(got) >= 0.999 * len(items) and max(found[row][3] for row, found in got.items()) <= decontaminate.RADIUS
+
+
+def test_decontamination_finds_nothing_without_its_index(monkeypatch):
+    block = decontaminate.Benchmark([(1, ITEM), (2, "tiny item")])
+    texts = pa.array([ITEM, f"and {ITEM} and", "a tiny item"])
+    assert len(list(block.matches(texts))) == 3
+    block.index = decontaminate.HammingIndex([])
+    assert not list(block.matches(texts))
+
+
+def test_a_benchmark_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    items = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = documents(spark, [f"some {items[3]} text", "clean", items[11]])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 3), (2, 11)}
+    assert [r.doc_id for r in decontaminate.drop_leaking_rows(docs, bench).collect()] == [1]
 
 
 def test_hamming_index_finds_all_within_the_radius():
@@ -254,8 +271,19 @@ def test_perspectives(spark):
     assert len(parts) == 3 and [text[int(a) : int(b)] for a, b in spans] == [f"t{i}<|im_end|>" for i in range(0, 700, 2)]
 
 
+def test_null_roles_are_not_the_participant_unknown(spark):
+    rows = [(1, 0, "unknown", "mine"), (1, 1, None, "nobody's"), (1, 2, "bob", "<|im_end|>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.perspective: r for r in chat.perspectives(df).collect()}
+    assert set(got) == {"unknown", "bob"}
+    text, spans = got["unknown"].text, [s.split("-") for s in got["unknown"].spans.split(",")]
+    assert [text[int(a) : int(b)] for a, b in spans] == ["mine<|im_end|>"] and "user name=unknown\nnobody's" in text
+    bob = got["bob"]
+    assert [bob.text[int(a) : int(b)] for a, b in (s.split("-") for s in bob.spans.split(","))] == ["<|im_end|><|im_end|>"]
+
+
 def test_url_cases(spark):
-    rows = ["http://a.example.net/en/1", "http://example.net/de/1", "http://xexample.net/en/", "HTTP://A.Example.COM/de/x?y#z", "http://b.org/fr/", "http://b.org/fr", "http://net?q", "nothing", None, "", "x://spam-farm.example.org/", "http://u.org//fr/"]
+    rows = ["http://a.example.net/en/1", "http://example.net/de/1", "http://xexample.net/en/", "HTTP://A.Example.COM/de/x?y#z", "http://b.org/fr/", "http://b.org/fr", "http://net?q", "nothing", None, "", "x://spam-farm.example.org/", "http://u.org//fr/", "http://a.com/b.net\n/foo", "http://a\n.net\n/x\n", "http://a.net/\nb.org\n/fr/"]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), queries.RULES + queries.FREE).collect()}
     assert got[0] == ("a.example.net", "/en/1", "example.net/en/", "allow")
     assert got[1][2:] == ("net/", "block") and got[2][2:] == ("net/", "block")
@@ -263,6 +291,9 @@ def test_url_cases(spark):
     assert got[4][2:] == ("org/fr/", "allow") and got[5][2:] == (None, "allow") and got[6] == ("net", "", None, "allow")
     assert got[7] == got[8] == got[9] == ("", "", None, "allow")
     assert got[10][3] == "block" and got[11][2:] == (None, "allow")
+    # line feeds are characters of a host or a path
+    assert got[12] == ("a.com", "/b.net\n/foo", None, "allow")
+    assert got[13] == ("a\n.net\n", "/x\n", None, "allow") and got[14] == ("a.net", "/\nb.org\n/fr/", "net/", "block")
 
 
 def test_rules_are_indexed_by_their_rarest_token():
