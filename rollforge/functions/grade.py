@@ -1,7 +1,6 @@
-"""Answer extraction and grading as columns; nothing here leaves the JVM.
+"""Answer extraction and grading as columns; but for check_equation_algebra nothing here leaves the JVM.
 
-Patterns use ASCII classes and (?d), so only a line feed ends a line. Algebraic equality is not decided here: such
-answers grade incorrect unless a user's verifier says otherwise.
+Patterns use ASCII classes and (?d), so only a line feed ends a line.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rollforge.functions.algebra import same_expression
 from rollforge.functions.text import col, strip
 
 # Answer patterns in order of priority, units, number forms, rewrites of answers, and code fences.
@@ -160,6 +160,13 @@ def check_equation(step: Column | str) -> Column:
     return F.when(F.size(parts) == 1, "unknown").when(F.size(parts) > 2, "parse_error").otherwise(judged)
 
 
+def check_equation_algebra(step: Column | str) -> Column:
+    """check_equation, with the two sides of other equations compared as expressions; what is none stays unknown."""
+    plain, parts = check_equation(step), F.split(col(step), "=")
+    same = same_expression(strip(parts[0]), strip(F.get(parts, F.lit(1))), (plain == "unknown") & (F.size(parts) == 2))
+    return F.when(same, "correct").when(~same, "incorrect").otherwise(plain)
+
+
 def extract_code(c: Column | str, language: str = "python") -> Column:
     """The first fenced block: with the language's tag, bare, or any; else the whole text."""
     hits = [F.try_element_at(F.regexp_extract_all(col(c), F.lit(p.replace("{language}", language)), F.lit(1)), F.lit(1)) for p in FENCES]

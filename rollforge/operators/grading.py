@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollforge.functions import grade
+from rollforge.functions.algebra import same_expression
 
 STEP = "_step_"
 
@@ -32,14 +33,19 @@ def with_number_comparison(df: DataFrame, predicted: str, expected: str, toleran
     return _dropped(step.withColumn("closeness", F.when(F.col("is_equal"), 1.0).otherwise(grade.closeness(p, e))))
 
 
-def with_math_verdict(df: DataFrame, predicted: str, expected: str, out: str = "verdict") -> DataFrame:
-    """out: struct(status, expected, predicted, confidence); equal text without case is correct, else equal numbers."""
+def with_math_verdict(df: DataFrame, predicted: str, expected: str, out: str = "verdict", algebra: bool = False) -> DataFrame:
+    """out: struct(status, expected, predicted, confidence); equal text without case is correct, else equal numbers.
+
+    With algebra, what is neither is compared as expressions (functions/algebra.py); texts that are none stay incorrect.
+    """
     whole = lambda c: F.coalesce(F.nullif(grade.extract_final_answer(c), F.lit("")), F.col(c))
     step = df.withColumns({f"{STEP}pa": whole(predicted), f"{STEP}ea": whole(expected)})
     step = step.withColumns({f"{STEP}pn": grade.normalize_answer(f"{STEP}pa"), f"{STEP}en": grade.normalize_answer(f"{STEP}ea")})
     step = with_number_comparison_kept(step, f"{STEP}pn", f"{STEP}en")
     right = (F.lower(f"{STEP}pn") == F.lower(f"{STEP}en")) | F.col(f"{STEP}equal")
     step = step.withColumn(f"{STEP}ok", F.coalesce(right, F.lit(False)))
+    if algebra:
+        step = step.withColumn(f"{STEP}ok", F.col(f"{STEP}ok") | F.coalesce(same_expression(F.col(f"{STEP}pn"), F.col(f"{STEP}en"), ~F.col(f"{STEP}ok")), F.lit(False)))
     ok = F.col(f"{STEP}ok")
     verdict = F.struct(F.when(ok, "correct").otherwise("incorrect").alias("status"), F.col(f"{STEP}en").alias("expected"), F.col(f"{STEP}pn").alias("predicted"), F.when(ok, 1.0).otherwise(0.0).alias("confidence"))
     return _dropped(step.withColumn(out, verdict))

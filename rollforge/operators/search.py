@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,50 +39,101 @@ def ucb_rank(nodes: DataFrame, c: float = EXPLORATION, plus_one: bool = False) -
 
 
 def reward_by_node(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Visits and value of each node with all its descendants.
+    """Visits and value of each node with all its descendants, for the nodes that hang on a root.
 
-    Each level's sums go up to the parents in one aggregation, from the deepest level on, so no path is ever unfolded.
-    Levels go on until one is empty; a max_depth that leaves rows below it is an error. Every level is written, so plans
-    do not grow with the tree's depth.
+    Pointer doubling: a node's pointer goes 1, 2, 4, ... levels up, and its sums hold the descendants that are nearer
+    than that. In a round each node adds the sums of the nodes that point to it and takes the pointer of the one that it
+    points to, so a chain of any depth takes log2(depth) + 1 rounds. Nodes below a parent that is not there, or in a
+    circle, have no root. More than max_depth levels are an error. Every round is a written table.
     """
-    slim = nodes.select("problem_id", "node_id", "parent_id")
-    levels = [written(slim.where("parent_id is null").select("problem_id", "node_id"), "level")]
-    while True:
-        above = levels[-1].select("problem_id", F.col("node_id").alias("parent_id"))
-        level = written(slim.join(above, ["problem_id", "parent_id"]).select("problem_id", "node_id"), "level")
-        if level.isEmpty():
-            break
-        if max_depth is not None and len(levels) >= max_depth:
-            raise ValueError(f"the tree is deeper than {max_depth} levels")
-        levels.append(level)
-    own = nodes.select("problem_id", "node_id", "parent_id", "visits", "value")
-    done: list[DataFrame] = []
-    carried = None
-    for level in reversed(levels):
-        rows = own.join(level, ["problem_id", "node_id"])
-        if carried is not None:
-            sums = carried.groupBy("problem_id", F.col("parent_id").alias("node_id")).agg(F.sum("visits").alias("v"), F.sum("value").alias("s"))
-            rows = rows.join(sums, ["problem_id", "node_id"], "left").select("problem_id", "node_id", "parent_id", (F.col("visits") + F.coalesce("v", F.lit(0))).alias("visits"), (F.col("value") + F.coalesce("s", F.lit(0.0))).alias("value"))
-        carried = written(rows, "sums")
-        done.append(carried)
-    remove(*levels)
-    return reduce(DataFrame.unionByName, done).select("problem_id", "node_id", "visits", "value")
-
-
-def _prefix_hashes(tokens: Column) -> Column:
-    """A hash of every prefix, each made from the one before it."""
-    begun = F.array(F.lit(0).cast("long"))
-    return F.slice(F.aggregate(tokens, begun, lambda s, t: F.concat(s, F.array(F.xxhash64(F.element_at(s, -1), t)))), F.lit(2), F.size(tokens))
+    key = ["problem_id", "node_id"]
+    have = nodes.select(F.col("problem_id").alias("p"), F.col("node_id").alias("n"))
+    there = nodes.hint("merge").join(have.hint("merge"), (F.col("problem_id") == F.col("p")) & (F.col("parent_id") == F.col("n")), "left")
+    up = F.when(F.col("n").isNotNull(), F.col("parent_id"))
+    state = written(there.select(*key, "visits", F.col("value").cast("double").alias("value"), up.alias("up"), (F.col("parent_id").isNotNull() & F.col("n").isNull()).alias("lost"), up.isNotNull().cast("long").alias("depth")), "nodes")
+    n, reach = state.count(), 1
+    while reach <= n and not state.where("up is not null").isEmpty():
+        moving = state.where("up is not null")
+        sums = moving.groupBy(F.col("problem_id").alias("p"), F.col("up").alias("u")).agg(F.sum("visits").alias("more_visits"), F.sum("value").alias("more_value"))
+        ahead = state.select(F.col("problem_id").alias("p"), F.col("node_id").alias("u"), F.col("up").alias("next"), F.col("lost").alias("next_lost"), F.col("depth").alias("next_depth"))
+        moved = moving.hint("merge").join(ahead.hint("merge"), (F.col("problem_id") == F.col("p")) & (F.col("up") == F.col("u")))
+        moved = moved.select(*key, "visits", "value", F.col("next").alias("up"), (F.col("lost") | F.col("next_lost")).alias("lost"), (F.col("depth") + F.col("next_depth")).alias("depth"))
+        after = moved.unionByName(state.where("up is null")).hint("merge").join(sums.hint("merge"), (F.col("problem_id") == F.col("p")) & (F.col("node_id") == F.col("u")), "left")
+        before, state = state, written(after.select(*key, (F.col("visits") + F.coalesce("more_visits", F.lit(0))).alias("visits"), (F.col("value") + F.coalesce("more_value", F.lit(0.0))).alias("value"), "up", "lost", "depth"), "nodes")
+        remove(before)
+        reach *= 2
+    rooted = state.where("up is null and not lost")
+    if max_depth is not None and not rooted.where(F.col("depth") >= max_depth).isEmpty():
+        raise ValueError(f"the tree is deeper than {max_depth} levels")
+    return rooted.select(*key, "visits", "value")
+
+
+#: A prefix is known by two independent 64-bit hashes, each the exclusive or over its tokens and their places.
+SALTS = ("a", "b")
+
+
+def _marks(tokens: Column, n: Column) -> list[Column]:
+    """Both hashes of the first n tokens."""
+    fold = lambda salt: F.aggregate(F.transform(F.slice(tokens, F.lit(1), n), lambda t, i: F.xxhash64(F.lit(salt), i, t)), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    return [fold(salt).alias(f"h{salt}") for salt in SALTS]
+
+
+def _path(length: Column, most: int, rounds: int) -> Column:
+    """The lengths up to its own that a binary search over 1..most looks at on its way to a length."""
+
+    def step(state: Column, _: Column) -> Column:
+        at = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        on, down = (state["lo"] <= state["hi"]) & (at <= length), (state["lo"] <= state["hi"]) & (at > length)
+        return F.struct(F.when(on, at + 1).otherwise(state["lo"]).alias("lo"), F.when(down, at - 1).otherwise(state["hi"]).alias("hi"), F.when(on, F.concat(state["ms"], F.array(at))).otherwise(state["ms"]).alias("ms"))
+
+    begun = F.struct(F.lit(1).alias("lo"), F.lit(most).alias("hi"), F.array().cast("array<int>").alias("ms"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begun, step)["ms"]
+
+
+def prefix_markers(stored: DataFrame, most: int, rounds: int) -> DataFrame:
+    """n, ha, hb, best: for each stored sequence the prefixes that a search for it looks at, and the longest stored sequence that starts each."""
+    held = written(stored.where(F.size("tokens") > 0).select("tokens").distinct().select(F.monotonically_increasing_id().alias("s"), "tokens", F.size("tokens").alias("size")), "stored")
+    at = held.select("s", "size", F.posexplode("tokens").alias("i", "t"))
+    upto = Window.partitionBy("s").orderBy("i")
+    marks = [F.bit_xor(F.xxhash64(F.lit(salt), F.col("i"), F.col("t"))).over(upto).alias(f"h{salt}") for salt in SALTS]
+    prefixes = written(at.select("s", "size", (F.col("i") + 1).alias("n"), *marks), "prefixes")
+    whole = prefixes.where(F.col("n") == F.col("size")).select("n", "ha", "hb")
+    inner = prefixes.hint("merge").join(whole.hint("merge"), ["n", "ha", "hb"]).select("s", F.col("n").alias("inner"))
+    looked = held.select("s", F.explode(_path(F.col("size"), most, rounds)).alias("n"))
+    looked = looked.hint("merge").join(prefixes.select("s", "n", "ha", "hb").hint("merge"), ["s", "n"])
+    best = looked.hint("merge").join(inner.hint("merge"), "s").groupBy("n", "ha", "hb").agg(F.coalesce(F.max(F.when(F.col("inner") <= F.col("n"), F.col("inner"))), F.lit(0)).alias("best"))
+    best = written(best, "markers")
+    remove(held, prefixes)
+    return best
 
 
 def longest_prefix_join(queries: DataFrame, stored: DataFrame) -> DataFrame:
     """query_id, matched, hit: the longest stored token sequence that starts each query.
 
-    Prefixes meet stored sequences by length and hash alone; only what meets is fetched and confirmed token by token.
+    A binary search over lengths: a query asks for its prefix of one length; a marker there says that longer stored
+    sequences may follow, and which is the longest so far. A query takes log2(longest stored) + 1 questions, each one
+    small row that is shuffled, and its tokens stay where they are. Prefixes are compared by 128 bits. Repeated and null
+    query_ids are answered each; null and empty sequences start nothing.
     """
-    tried = queries.select("query_id", F.posexplode(_prefix_hashes(F.col("tokens"))).alias("at", "h")).select("query_id", (F.col("at") + 1).alias("n"), "h")
-    known = stored.where(F.size("tokens") > 0).select(F.size("tokens").alias("n"), F.element_at(_prefix_hashes(F.col("tokens")), -1).alias("h"), F.col("tokens").alias("held")).distinct()
-    met = tried.hint("merge").join(known.hint("merge"), ["n", "h"])
-    sure = met.hint("merge").join(queries.select("query_id", "tokens").hint("merge"), "query_id").where(F.slice("tokens", F.lit(1), F.col("n")) == F.col("held"))
-    found = sure.groupBy("query_id").agg(F.max("n").alias("best"))
-    return queries.select("query_id").hint("merge").join(found.hint("merge"), "query_id", "left").select("query_id", F.coalesce("best", F.lit(0)).alias("matched"), F.col("best").isNotNull().alias("hit"))
+    longest = stored.agg(F.max(F.size("tokens")).alias("n")).first().n or 0
+    asked = queries.select(F.monotonically_increasing_id().alias("q"), "query_id", "tokens")
+    if longest < 1:
+        return asked.select("query_id", F.lit(0).alias("matched"), F.lit(False).alias("hit"))
+    rounds = longest.bit_length()
+    markers = prefix_markers(stored, longest, rounds)
+    asked = written(asked, "asked")
+    held = asked.select("q", F.col("tokens")).repartition("q").persist(StorageLevel.MEMORY_AND_DISK)
+    state = written(asked.select("q", "query_id", F.lit(1).alias("lo"), F.lit(longest).alias("hi"), F.lit(0).alias("matched")), "state")
+    for _ in range(rounds):
+        at = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        open_ = state.where("lo <= hi").withColumn("n", at)
+        probes = open_.hint("merge").join(held.hint("merge"), "q").where(F.col("n") <= F.size("tokens"))
+        found = probes.select("q", "n", *_marks(F.col("tokens"), F.col("n"))).hint("merge").join(markers.hint("merge"), ["n", "ha", "hb"]).select(F.col("q").alias("own"), "best")
+        told = state.hint("merge").join(found.hint("merge"), F.col("q") == F.col("own"), "left")
+        hit, going = F.col("best").isNotNull(), F.col("lo") <= F.col("hi")
+        step = told.select("q", "query_id", F.when(hit, at + 1).otherwise(F.col("lo")).alias("lo"), F.when(going & ~hit, at - 1).otherwise(F.col("hi")).alias("hi"), F.greatest("matched", F.coalesce("best", F.lit(0))).alias("matched"))
+        before, state = state, written(step, "state")
+        remove(before)
+    held.unpersist()
+    remove(markers, asked)
+    return state.select("query_id", "matched", (F.col("matched") > 0).alias("hit"))

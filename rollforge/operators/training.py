@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollforge.operators.ordinals import numbered
+from rollforge.sources.scratch import written
 
 
 def group_responses(rows: DataFrame) -> DataFrame:
@@ -91,9 +92,12 @@ def series_downsample(log: DataFrame, by: list[str], value: str, width: int) ->
 
 
 def batch_assign(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
-    """batch_id and place in it: consecutive batches of a fixed size within each key; the last may be shorter."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumn("place", place).withColumn("batch_id", F.floor(F.col("place") / size)).withColumn("place", F.col("place") % size)
+    """batch_id and place in it: consecutive batches of a fixed size within each key; the last may be shorter.
+
+    Rows are numbered by range, so a key of any size is dealt out.
+    """
+    placed = numbered(rows, by, order).drop("place_n")
+    return placed.withColumn("batch_id", F.floor(F.col("place") / size)).withColumn("place", F.col("place") % size)
 
 
 def positional_split(rows: DataFrame, ordinal: str, share: float = 0.9) -> DataFrame:
@@ -113,12 +117,44 @@ def hash_order(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col(key) if isinstance(key, str) else key).cast("string")))
 
 
+#: Hexadecimal digits that one pass over the hashes looks at: 65,536 counts.
+DIGITS = 4
+
+
+def first_by_hash(rows: DataFrame, key: str, n: int, seed: int, out: str = "first") -> DataFrame:
+    """rows with out: whether a row is among the first n by hash_order, then key, then as read. Nothing is sorted.
+
+    Counts by the hash's next four digits narrow the cut to one value; a pass sends 65,536 counts to the driver and only
+    looks at rows that share the digits found so far, so there are few. Rows of the very hash at the cut, which share
+    their key but for clashes, are numbered by range.
+    """
+    hashed = written(rows.select(F.struct(*rows.columns).alias("row"), hash_order(f"row.{key}", seed).alias("h"), F.monotonically_increasing_id().alias("nth")), "hashed")
+    found, left = "", n
+    while len(found) < 32:
+        digits = F.substring("h", len(found) + 1, DIGITS)
+        counts = hashed.where(F.col("h").startswith(found)).groupBy(digits.alias("d")).count().collect()
+        at = None
+        for r in sorted(counts, key=lambda r: r.d):
+            if r["count"] > left:
+                at = r.d
+                break
+            left -= r["count"]
+        if at is None:  # all rows fit
+            return hashed.select("row.*", F.lit(True).alias(out))
+        found += at
+        if left == 0:
+            return hashed.select("row.*", (F.col("h") < found).alias(out))
+    same = numbered(hashed.where(F.col("h") == found).select("row", F.col(f"row.{key}").alias("k"), "nth"), [], ["k", "nth"])
+    sure = hashed.where(F.col("h") != found).select("row.*", (F.col("h") < found).alias(out))
+    return sure.unionByName(same.select("row.*", (F.col("place") < left).alias(out)))
+
+
 def sample_problems(problems: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement, the same for the same seed."""
-    return problems.orderBy(hash_order(key, seed), key).limit(n)
+    return first_by_hash(problems, key, n, seed, "first_").where("first_").drop("first_")
 
 
 def shuffle_split(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """split: train or eval by each row's own hash. Shares are met on average; no row has to know the others."""
-    bucket = F.conv(F.substring(hash_order(key, seed), 1, 6), 16, 10).cast("long")
-    return rows.withColumn("split", F.when(bucket < int(share * (1 << 24)), "train").otherwise("eval"))
+    """split: train for exactly int(share * n) rows of a reproducible shuffle, eval for the rest."""
+    n = rows.count()
+    return first_by_hash(rows, key, int(share * n), seed, "first_").withColumn("split", F.when(F.col("first_"), "train").otherwise("eval")).drop("first_")

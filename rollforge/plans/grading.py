@@ -201,6 +201,29 @@ def check_equation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(*KEY, "step_no", grade.check_equation("step").alias("status"))
 
 
+_KIND = "l_linenumber % 5"
+_SAID = "CASE l_linenumber % 5 WHEN 0 THEN q || '*(x+' || l_linenumber || ')' WHEN 1 THEN q || '*(x+' || l_linenumber || ')' WHEN 2 THEN '(x+' || q || ')^2' WHEN 3 THEN q || '*' || l_linenumber ELSE 'sin(x)+' || q END"
+_MEANT = "CASE l_linenumber % 5 WHEN 0 THEN q || 'x+' || (q * l_linenumber) WHEN 1 THEN q || 'x+' || (q * l_linenumber + 1) WHEN 2 THEN 'x^2+' || (2 * q) || 'x+' || (q * q) WHEN 3 THEN '' || (q * l_linenumber) ELSE q || '+sin(x)' END"
+
+
+def _expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as algebra: expanded, expanded wrongly, a square, a product, and what is no expression."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
+    return items.select("l_orderkey", "l_linenumber", F.expr(_SAID).alias("said"), F.expr(_MEANT).alias("meant"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN {_KIND} IN (0, 2, 3) THEN 'correct' ELSE 'incorrect' END AS status, {_SAID} AS predicted, {_MEANT} AS expected FROM (SELECT *, l_quantity::BIGINT AS q FROM lineitem)")
+def grade_math_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict with its algebraic stage."""
+    return grading.with_math_verdict(_expressions(spark, sf_dir), "said", "meant", "v", algebra=True).select("l_orderkey", "l_linenumber", "v.status", "v.predicted", "v.expected")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN {_KIND} IN (0, 2, 3) THEN 'correct' WHEN {_KIND} = 1 THEN 'incorrect' ELSE 'unknown' END AS status FROM lineitem")
+def check_equation_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = _expressions(spark, sf_dir).withColumn("step", F.concat_ws(" = ", "said", "meant"))
+    return steps.select("l_orderkey", "l_linenumber", grade.check_equation_algebra("step").alias("status"))
+
+
 def _answers_in_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations' replies as code, in the fences that models write."""
     said = chats(spark, sf_dir)

@@ -144,7 +144,8 @@ def checkpoint_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps are order priorities; the snapshot holds the first three."""
     path = new_path(spark, "snapshots")
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("step_name"), F.substring("o_orderpriority", 1, 1).cast("int").alias("step"))
-    o.write.partitionBy("step").parquet(path)
+    for step in range(1, 6):
+        sinks.append_snapshot(o.where(F.col("step") == step), path, step)
     return sinks.snapshot(spark, path, 3).groupBy("step_name").agg(F.count("*").alias("n"))
 
 

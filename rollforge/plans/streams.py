@@ -86,6 +86,16 @@ def stream_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _opened(out, "problem_id:string,sample_idx:long,reasoning:string,is_correct:boolean,verification_confidence:double")
 
 
+@query(f"WITH {GRADED} SELECT DISTINCT problem_id, substr(md5(problem_id || ':' || reasoning), 1, 16) AS path_hash, is_correct, CASE WHEN status = 'incorrect' THEN 0.0 ELSE 1.0 END::DOUBLE AS verification_confidence FROM graded WHERE NOT {BROKEN}")
+def stream_verify_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message is sent twice, in files that come at different times; each path is graded once."""
+    path, rows = new_path(spark, "topic"), _messages(spark, sf_dir)
+    rows.repartition(2).write.parquet(path)
+    rows.repartition(2).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return _run(spark, pipelines.verify_once(stream, "3650 days")).select("problem_id", "path_hash", "is_correct", "verification_confidence")
+
+
 @query(f"WITH {GRADED} SELECT problem_id AS key, 'training_data' AS topic, 'training_sample' AS type, problem_id, sample_idx, reasoning FROM graded WHERE is_correct AND NOT {BROKEN}")
 def stream_to_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     verified = pipelines.stream_verify(_messages(spark, sf_dir))
@@ -109,15 +119,15 @@ def stream_micro_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("SELECT event_type AS key, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT event_type AS key, count(*) AS n, round(sum(2 * value), 2) AS total, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
 def stream_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "event_id", "value")
     out = _run(spark, pipelines.bridge(_source(spark, events), lambda rows: rows.withColumn("value", F.col("value") * 2)))
     back = out.withColumn("r", F.from_json("value", "processed boolean, data struct<event_id:long,value:double>")).where("r.processed")
-    return back.groupBy("key").agg(F.count("r.data.event_id").alias("n"))
+    return back.groupBy("key").agg(F.count("r.data.event_id").alias("n"), F.round(F.sum("r.data.value"), 2).alias("total"), F.sum("r.data.event_id").alias("ids"))
 
 
-@query("SELECT event_type AS key, count(*) AS items, ceil(count(*) / 50.0)::BIGINT AS least_batches FROM events GROUP BY 1")
+@query("SELECT event_type AS key, count(*) AS items, ceil(count(*) / 50.0)::BIGINT AS least_batches, count(*) // 50 AS full_batches, sum(event_id)::BIGINT AS ids, ceil(count(*) / 50.0)::BIGINT - 1 AS last_no FROM events GROUP BY 1")
 def stream_batcher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 50; the end of the source, a row without an item for each key, flushes what a key still holds."""
     events = read(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("item"))
@@ -126,21 +136,20 @@ def stream_batcher(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.select("key", F.lit(None).cast("string").alias("item")).distinct().coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
     out = _run(spark, pipelines.stream_batcher(stream, "key", "item", 50, idle_ms=None))
-    return out.groupBy("key").agg(F.sum(F.size("items")).alias("items"), F.count("*").alias("least_batches"))
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda total, item: total + item.cast("long"))
+    return out.groupBy("key").agg(F.sum(F.size("items")).alias("items"), F.count("*").alias("least_batches"), F.count_if(F.size("items") == 50).alias("full_batches"), F.sum(ids).alias("ids"), F.max("batch_no").alias("last_no"))
 
 
-@query("SELECT event_type AS type, count_if(value >= 5) AS processed, count_if(value < 5) AS errors FROM events GROUP BY 1")
+@query("SELECT CASE WHEN value < 5 THEN 'none' ELSE event_type END AS type, count_if(value >= 5) AS processed, count_if(value < 5) AS errors FROM events GROUP BY 1")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals in complete mode; the last ones are read from the sink's files by foreachBatch."""
     events = read(spark, sf_dir, "events")
     good = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("data")))
     bad = F.concat(F.lit('{"type":"'), "event_type", F.lit('"'))
-    rows = events.select(F.when(F.col("value") < 5, bad).otherwise(good).alias("value"), "event_type")
-    stream = _source(spark, rows)
-    flagged = envelopes.unwrap(stream, "x string").groupBy(F.col("event_type").alias("type")).agg(F.count_if(~F.col("bad")).alias("processed"), F.count_if("bad").alias("errors"))
+    counted = pipelines.stream_counts(_source(spark, events.select(F.when(F.col("value") < 5, bad).otherwise(good).alias("value"))))
     path = new_path(spark, "counts")
     last = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    flagged.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    counted.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
 
 

@@ -101,7 +101,7 @@ def sample_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.sample_problems(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100, 42)
 
 
-@query("SELECT o_orderkey, CASE WHEN ('0x' || substr(md5('42:' || o_orderkey), 1, 6))::BIGINT < floor(0.8 * 16777216) THEN 'train' ELSE 'eval' END AS split FROM orders")
+@query("SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'eval' END AS split FROM orders")
 def shuffle_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.shuffle_split(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.8, 42)
 

@@ -7,11 +7,11 @@ import json
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollforge.operators.pairs import to_dpo_format
+from rollforge.sources.publish import listed, publish, published
 from rollforge.sources.readers import LOG_SCHEMA
 
 
@@ -41,13 +41,18 @@ def write_result_bundle(samples: DataFrame, filtered: DataFrame, raw_pairs: Data
 
 
 def append_snapshot(samples: DataFrame, path: str, step: int) -> None:
-    """The rows of one checkpoint step; writing a step again replaces it."""
-    samples.write.mode("overwrite").parquet(f"{path}/step={step}")
+    """The rows of one checkpoint step; writing a step again replaces it, at once for every reader."""
+    rows = samples.withColumn("step", F.lit(step))
+    publish(samples.sparkSession, f"{path}/{step:010d}", lambda out: rows.write.parquet(out), first=False)
 
 
 def snapshot(spark: SparkSession, path: str, step: int) -> DataFrame:
-    """Everything up to a step; later partitions are not read."""
-    return spark.read.parquet(path).where(F.col("step") <= step)
+    """Everything up to a step, with the step of each row; later steps are not read."""
+    upto = [name for _, name in listed(spark, path) if int(name) <= step]
+    folders = [found for name in sorted(upto) if (found := published(spark, f"{path}/{name}", first=False))]
+    if not folders:
+        raise FileNotFoundError(f"no step up to {step} in {path}")
+    return spark.read.parquet(*folders)
 
 
 def eval_report(summary: DataFrame, details: DataFrame, by: list[str]) -> DataFrame:
@@ -57,15 +62,9 @@ def eval_report(summary: DataFrame, details: DataFrame, by: list[str]) -> DataFr
 
 
 def preference_cache(spark: SparkSession, root: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table made for a key: read if it is there, else made once and written."""
-    name = hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
-    path = f"{root}/pairs-{name}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        made = make()
-        made.write.mode("errorifexists").parquet(path)
-        return spark.read.schema(made.schema).parquet(path)
+    """The table made for a key: read if one was finished, else made and written. Of two makers the first one's counts."""
+    path = f"{root}/pairs-{hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]}"
+    return spark.read.parquet(published(spark, path) or publish(spark, path, lambda out: make().write.parquet(out)))
 
 
 def append_training_log(rows: DataFrame, path: str) -> None:

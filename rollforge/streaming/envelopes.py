@@ -10,7 +10,7 @@ TOPICS = {"raw_reasoning": "raw_reasoning_data", "verified_path": "verified_path
 STAGES = {"raw": "raw_reasoning_data", "verified": "verified_paths", "training": "training_data"}
 TYPES = {"raw": "raw_reasoning", "verified": "verified_path", "training": "training_sample"}
 PRODUCER = {"kafka.acks": "all", "kafka.retries": "3", "kafka.batch.size": "16384", "kafka.linger.ms": "10", "kafka.compression.type": "gzip"}
-ENVELOPE = "type string, data string, timestamp double"
+ENVELOPE = "type string, data string, timestamp string, broken string"
 
 
 def stage_route(stage: str) -> str:
@@ -36,12 +36,11 @@ def unwrap(messages: DataFrame, schema: str, value: str = "value") -> DataFrame:
     are no JSON have bad = true and stay, so a query can send them aside.
     """
     text = F.col(value).cast("string")
-    step = messages.withColumn("envelope_", F.from_json(text, ENVELOPE))
-    step = step.withColumn("inner_", F.coalesce(F.col("envelope_.data"), text))
-    step = step.withColumn("data", F.from_json("inner_", schema))
-    sent = F.timestamp_micros((F.col("envelope_.timestamp") * 1e6).cast("long"))
-    bad = F.to_json(F.from_json(text, "map<string,string>")).isNull()
-    return step.select(*messages.columns, F.col("envelope_.type").alias("type"), "data", sent.alias("sent_at"), bad.alias("bad"))
+    step = messages.withColumn("envelope_", F.from_json(text, ENVELOPE, {"columnNameOfCorruptRecord": "broken"}))
+    bad = text.isNull() | F.col("envelope_.broken").isNotNull()
+    step = step.withColumn("bad_", bad).withColumn("inner_", F.when(~F.col("bad_"), F.coalesce(F.col("envelope_.data"), text)))
+    sent = F.timestamp_micros((F.col("envelope_.timestamp").try_cast("double") * 1e6).cast("long"))
+    return step.select(*messages.columns, F.when(~F.col("bad_"), F.col("envelope_.type")).alias("type"), F.from_json("inner_", schema).alias("data"), sent.alias("sent_at"), F.col("bad_").alias("bad"))
 
 
 def decode(records: DataFrame, schema: str) -> DataFrame:

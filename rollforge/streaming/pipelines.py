@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rollforge.functions.hooks import processor_hook
+from rollforge.functions.text import path_hash
 from rollforge.operators.grading import verify_batch
 from rollforge.streaming.envelopes import unwrap
 
@@ -22,6 +23,17 @@ def stream_verify(messages: DataFrame) -> DataFrame:
     return processor_hook(PATH, lambda rows: verify_batch(rows.where(F.col("reasoning").isNotNull())), data, "verified")(messages)
 
 
+def verify_once(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """stream_verify for topics that may deliver a path again: the first of equal paths counts, by problem and text.
+
+    A path is remembered until the watermark, which trails the latest time of sending by late, has passed its own; a
+    repeat that comes after that is graded again, and one that is older than the watermark is dropped.
+    """
+    rows = unwrap(messages, PATH).where(F.col("data.reasoning").isNotNull()).select("data.*", F.coalesce("sent_at", F.timestamp_seconds(F.lit(0))).alias("sent_at"))
+    first = rows.withColumn("path_hash", path_hash("problem_id", "reasoning")).withWatermark("sent_at", late).dropDuplicatesWithinWatermark(["path_hash"])
+    return verify_batch(first).select("problem_id", "sample_idx", "path_hash", "is_correct", "verification_confidence")
+
+
 def stream_to_training(messages: DataFrame) -> DataFrame:
     """Verified correct paths as training messages."""
     data = lambda _: F.struct("problem_id", "sample_idx", "reasoning")
