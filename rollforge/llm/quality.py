@@ -4,8 +4,8 @@ A text's features are shares and averages over the whole text (letters, capitals
 distinct and repeated words, repeated lines) and their squares, standardised. From labelled rows every pair of a good
 and a poor text is a preference; a bounded sample of texts (max_train) and of pairs (max_pairs) is drawn by hashes of
 doc_id. The chance that one text is preferred is the logistic function of the difference of their scores, so logistic
-loss on feature differences gives the weights. Every text is scored once, and the scores are written. The cut is an
-exact quantile of the scores of all labelled rows outside the held-out fold: the share of poor ones among them. A logistic curve through the cut at 0.7 maps scores to 0 to 1.
+loss on feature differences gives the weights. Every text is scored once, and the scores are written. The cut is a
+quantile, read to a thousandth, of the scores of all labelled rows outside the held-out fold: the share of poor ones among them. A logistic curve through the cut at 0.7 maps scores to 0 to 1.
 
 Null and empty texts have all features 0 and are scored like any other. Repeated rows are scored each. Without labelled
 rows of both classes every score is 0.5. An empty table gives no rows. Other columns are not read.
@@ -106,8 +106,9 @@ def raw_scores(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col
 def with_cut(ranker: Ranker, scored: DataFrame, labels: DataFrame, label: str = "quality") -> Ranker:
     """The cut over the scores of all labelled rows outside the held-out fold. scored: doc_id, raw (a written table).
 
-    The quantiles are exact: scores are numbered in order, and every thousandth is read. Between the two classes' scores
-    at the quantile the cut lies in the middle of the widest gap nearby, so that texts of one kind are not split by it.
+    Scores are numbered in order, and those at 1,001 even places from the lowest to the highest are read, whatever the
+    number of rows (of fewer rows each is read, some for several places). Between the two classes' scores at the quantile
+    the cut lies in the middle of the widest gap nearby, so that texts of one kind are not split by it.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("label")).dropna().where(~held_out("label_id")).groupBy("label_id").agg(F.max("label").alias("label"))
     judged = scored.select("doc_id", "raw").hint("merge").join(known.hint("merge"), F.col("doc_id") == F.col("label_id")).select("raw", "label")
@@ -116,8 +117,9 @@ def with_cut(ranker: Ranker, scored: DataFrame, labels: DataFrame, label: str =
     if not row.n:
         return ranker
     step = (F.col("place_n") - 1) / 1000.0
-    nearest = placed.where(F.floor(F.ceil(F.col("place") / F.greatest(step, F.lit(1e-12))) * step) == F.col("place")) if row.n > 1001 else placed
-    marks = np.array([r.raw for r in nearest.orderBy("place").select("raw").collect()])
+    nearest = placed.where(F.floor(F.ceil(F.col("place") / F.greatest(step, F.lit(1e-12))) * step) == F.col("place"))
+    at = {r.place: r.raw for r in nearest.select("place", "raw").collect()}
+    marks = np.array([at[min(at, key=lambda p: abs(p - i * (row.n - 1) / 1000.0))] for i in range(1001)])
     share = lambda x: min(len(marks) - 1, max(0, round(x * (len(marks) - 1))))
     low, high = share(row.poor - 0.015), share(row.poor + 0.015)
     gaps = np.diff(marks[low : high + 1])
