@@ -135,7 +135,8 @@ def stream_batcher(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.repartition(4).write.parquet(path)
     events.select("key", F.lit(None).cast("string").alias("item")).distinct().coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    out = _run(spark, pipelines.stream_batcher(stream, "key", "item", 50, idle_ms=None))
+    with pipelines.state_in_rocksdb(spark):
+        out = _run(spark, pipelines.stream_batcher(stream, "key", "item", 50, idle_ms=None))
     ids = F.aggregate("items", F.lit(0).cast("long"), lambda total, item: total + item.cast("long"))
     return out.groupBy("key").agg(F.sum(F.size("items")).alias("items"), F.count("*").alias("least_batches"), F.count_if(F.size("items") == 50).alias("full_batches"), F.sum(ids).alias("ids"), F.max("batch_no").alias("last_no"))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from rollforge.functions.hooks import processor_hook
 from rollforge.functions.text import path_hash
@@ -66,38 +68,83 @@ def bridge(messages: DataFrame, process: Callable[[DataFrame], DataFrame]) -> Da
     return out.select("key", F.to_json(F.struct(F.lit(True).alias("processed"), F.struct(*[c for c in out.columns if c != "key"]).alias("data"))).alias("value"))
 
 
-def stream_batcher(rows: DataFrame, key: str, value: str, size: int, idle_ms: int | None = 1000) -> DataFrame:
-    """key, batch_no, items: full batches as they fill, and a shorter one of what is left when a key is flushed.
+class _Batcher(StatefulProcessor):
+    """A key's items in a list that grows by what comes; it is only read when a batch is full or the key is flushed."""
 
-    A row with a null value flushes its key, as the end of a source does; so does a key that is idle for idle_ms. State
-    holds less than one batch for each key. rows: a stream.
-    """
+    def __init__(self, value: str, size: int, idle_ms: int | None):
+        self.value, self.size, self.idle_ms = value, size, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", StructType([StructField("item", StringType())]))
+        self.sums = handle.getValueState("sums", StructType([StructField("batch_no", LongType()), StructField("n", LongType())]))
 
-    def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, held = state.get if state.exists else (0, [])
-        held = list(held)
+    def _emitted(self, key: str, items: list[str], number: int, flushed: bool) -> tuple[list[tuple], list[str], int]:
         out = []
-        if state.hasTimedOut:
-            if held:
-                out.append((k[0], number, held))
-            state.remove()
-        else:
-            ended = False
-            for part in parts:
-                found = part[value].tolist()
-                ended = ended or any(x is None for x in found)
-                held += [x for x in found if x is not None]
-            while len(held) >= size or (ended and held):
-                out.append((k[0], number, held[:size]))
-                number, held = number + 1, held[size:]
-            state.update((number, held))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
+        while len(items) >= self.size or (flushed and items):
+            out.append((key, number, items[: self.size]))
+            number, items = number + 1, items[self.size :]
+        return out, items, number
+
+    def _timer(self, timers) -> None:
+        if self.idle_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        number, n = self.sums.get() if self.sums.exists() else (0, 0)
+        found = [x for part in rows for x in part[self.value].tolist()]
+        flushed = any(x is None for x in found)
+        new = [x for x in found if x is not None]
+        out: list[tuple] = []
+        if n + len(new) >= self.size or flushed:
+            held = [x[0] for x in self.held.get()] if n else []
+            out, left, number = self._emitted(key[0], held + new, number, flushed)
+            self.held.clear()
+            if left:
+                self.held.put([(x,) for x in left])
+            n = len(left)
+        elif new:
+            self.held.appendList([(x,) for x in new])
+            n += len(new)
+        self.sums.update((number, n))
+        self._timer(timerValues)
         yield pd.DataFrame(out, columns=["key", "batch_no", "items"])
 
-    return rows.select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias(value)).groupBy("key").applyInPandasWithState(
-        fold, "key string, batch_no long, items array<string>", "batch_no long, items array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    )
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        number, n = self.sums.get() if self.sums.exists() else (0, 0)
+        out, _, _ = self._emitted(key[0], [x[0] for x in self.held.get()] if n else [], number, True)
+        self.held.clear()
+        self.sums.clear()
+        yield pd.DataFrame(out, columns=["key", "batch_no", "items"])
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which list state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stream_batcher(rows: DataFrame, key: str, value: str, size: int, idle_ms: int | None = 1000) -> DataFrame:
+    """key, batch_no, items: full batches as they fill, and a shorter one of what is left when a key is flushed.
+
+    A row with a null value flushes its key, as the end of a source does; so does a key that is idle for idle_ms, whose
+    batches are numbered from 0 again. State holds less than one batch for each key, and a trigger only writes what is
+    new. rows: a stream; start the query inside state_in_rocksdb.
+    """
+    out = "key string, batch_no long, items array<string>"
+    told = rows.select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias(value))
+    return told.groupBy("key").transformWithStateInPandas(_Batcher(value, size, idle_ms), out, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

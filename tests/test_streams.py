@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollforge.plans import registry, streams
+from rollforge.sources.scratch import new_path
 from rollforge.streaming import envelopes, pipelines
 
 
@@ -31,10 +32,26 @@ def test_an_explicit_partition_goes_with_the_message(spark):
     assert out.columns == ["key", "value", "topic", "partition"] and out.first().partition == 7
 
 
-def test_full_batches_have_the_size(spark, sf_dir):
-    registry.load()
-    got = {r.key: (r.items, r.least_batches) for r in streams.stream_batcher(spark, sf_dir).collect()}
-    assert all(n == -(-items // 50) for items, n in got.values())
+def test_batches_in_order_with_a_restart_in_between(spark):
+    path, out, offsets = new_path(spark, "topic"), new_path(spark, "out"), new_path(spark, "offsets")
+    schema, sent = "key string, item string", {"a": [], "b": []}
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        for key, item in rows:
+            sent[key] += [item] * (item is not None)
+        # a new query each time: offsets, held items and batch numbers come from the checkpoint
+        with pipelines.state_in_rocksdb(spark):
+            pipelines.run_available(pipelines.stream_batcher(spark.readStream.schema(schema).parquet(path), "key", "item", 4, idle_ms=None), out, offsets)
+        return sorted((r.key, r.batch_no, r["items"]) for r in spark.read.schema("key string, batch_no long, items array<string>").parquet(out).collect())
+
+    assert arrive(*[("a", f"a{i}") for i in range(3)]) == []
+    assert arrive(*[("a", f"a{i}") for i in range(3, 9)], ("b", "b0")) == [("a", 0, ["a0", "a1", "a2", "a3"]), ("a", 1, ["a4", "a5", "a6", "a7"])]
+    assert len(arrive(("b", "b1"), ("a", "a9"))) == 2
+    last = arrive(("a", None), ("b", "b2"), ("b", "b3"), ("b", "b4"))
+    assert last[2:] == [("a", 2, ["a8", "a9"]), ("b", 0, ["b0", "b1", "b2", "b3"])]
+    assert [x for k, _, items in last if k == "a" for x in items] == sent["a"]
+    assert arrive(("b", None))[-1] == ("b", 1, ["b4"])
 
 
 def test_routes():
