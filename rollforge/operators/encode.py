@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,6 +92,13 @@ def tokenize_batch(rows: DataFrame, key: list[str], vocab: DataFrame, max_length
     return coded.withColumn("input_ids", F.slice("input_ids", 1, max_length)).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
 
 
+def tokenize_subwords(rows: DataFrame, tokenizer: Callable[[Column], Column], max_length: int = 2048) -> DataFrame:
+    """tokenize_batch with a model's own tokenizer (functions.hooks.tokenizer_hook). No row moves; a row without a text passes with nulls."""
+    given = [F.col(c) for c in ("text", "reasoning") if c in rows.columns]
+    coded = rows.withColumn("input_ids", F.slice(tokenizer(F.coalesce(*given)), 1, max_length))
+    return coded.withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+
+
 def tokenize_pairs(rows: DataFrame, key: list[str], vocab: DataFrame, max_length: int = 2048) -> DataFrame:
     """Rows with prompt, chosen and rejected as id arrays, the prompt up to half the length; a row that lacks one of them passes with nulls."""
     names = {"prompt": max_length // 2, "chosen": max_length, "rejected": max_length}

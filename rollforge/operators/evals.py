@@ -138,3 +138,23 @@ def latency_summary(log: DataFrame, by: list[str], seconds: str = "seconds", min
         n.alias("n"), F.round(F.try_divide(n, F.sum(seconds)), 4).alias("throughput"), ms(F.avg(seconds)).alias("avg_ms"), ms(middle).alias("p50_ms"),
         F.when(n >= min_p95, ms(at(0.95))).otherwise(0.0).alias("p95_ms"), F.when(n >= min_p99, ms(at(0.99))).otherwise(0.0).alias("p99_ms"),
     )
+
+
+#: A sketch of this size is off by less than 2 % of the ranks.
+SKETCH = 400
+
+
+def latency_sketches(log: DataFrame, by: list[str], seconds: str = "seconds") -> DataFrame:
+    """by, n, total, sketch (KLL): mergeable sums, as they are stored by day and worker, of bounded size each."""
+    return log.groupBy(*by).agg(F.count(seconds).alias("n"), F.sum(seconds).alias("total"), F.kll_sketch_agg_double(seconds, SKETCH).alias("sketch"))
+
+
+def latency_of_sketches(sketches: DataFrame, by: list[str], min_p95: int = 21, min_p99: int = 101) -> DataFrame:
+    """latency_summary of stored sketches: percentiles are off by less than 2 % of the ranks, all else is exact."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", SKETCH).alias("sketch"))
+    at = lambda p: F.round(F.kll_sketch_get_quantile_double("sketch", F.lit(p)) * 1000, 4)
+    n = F.col("n")
+    return merged.select(
+        *by, "n", F.round(F.try_divide(n, F.col("total")), 4).alias("throughput"), F.round(F.try_divide(F.col("total"), n) * 1000, 4).alias("avg_ms"), at(0.5).alias("p50_ms"),
+        F.when(n >= min_p95, at(0.95)).otherwise(0.0).alias("p95_ms"), F.when(n >= min_p99, at(0.99)).otherwise(0.0).alias("p99_ms"),
+    )

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from rollforge.functions import text as tx
 from rollforge.operators import clean
+from rollforge.operators.ordinals import numbered
 from rollforge.plans.derived import ANSWERS, answers
 from rollforge.plans.grading import sql_strip
 from rollforge.plans.registry import query
+from rollforge.sources.scratch import written
 
 KEY = ["problem_id", "sample_idx"]
 
@@ -124,11 +126,13 @@ def near_dup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANSWERS}, o AS (SELECT *, lead(reasoning) OVER (PARTITION BY problem_id ORDER BY sample_idx) AS other FROM answers), s AS (SELECT problem_id, sample_idx, list_distinct(list_filter(regexp_split_to_array(lower(reasoning), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(other), '\\s+'), lambda x: x <> '')) AS b FROM o WHERE other IS NOT NULL) SELECT problem_id, sample_idx, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END::DOUBLE, 6) AS jaccard, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE 1 - len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END::DOUBLE, 6) AS diversity FROM s")
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each response against the next one of its problem."""
-    from pyspark.sql import Window
-
-    after = Window.partitionBy("problem_id").orderBy("sample_idx")
-    base = answers(spark, sf_dir).select(*KEY, tx.word_set("reasoning").alias("a")).withColumn("b", F.lead("a").over(after)).where("b is not null")
+    """Each response against the next one of its problem. Ids are numbered; word sets meet by id, not in a group's order."""
+    sets = answers(spark, sf_dir).select(*KEY, tx.word_set("reasoning").alias("words"))
+    placed = written(numbered(answers(spark, sf_dir).select(*KEY), ["problem_id"], ["sample_idx"]), "placed")
+    after = placed.select(F.col("problem_id").alias("p"), (F.col("place") - 1).alias("before"), F.col("sample_idx").alias("next_idx"))
+    pairs = placed.hint("merge").join(after.hint("merge"), (F.col("problem_id") == F.col("p")) & (F.col("place") == F.col("before"))).select(*KEY, "next_idx")
+    side = lambda name, idx: sets.select(F.col("sample_idx").alias(idx), F.col("words").alias(name)).hint("merge")
+    base = pairs.hint("merge").join(side("a", "sample_idx"), "sample_idx").hint("merge").join(side("b", "next_idx"), "next_idx")
     return base.select(*KEY, F.round(tx.jaccard_of(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(tx.diversity_of(F.col("a"), F.col("b"), 0.0), 6).alias("diversity"))
 
 

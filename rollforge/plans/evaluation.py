@@ -12,7 +12,7 @@ from rollforge.operators import evals, metrics, search
 from rollforge.plans.derived import ANSWERS, CHATS, STEPS, answers, chats, read, rollouts, steps
 from rollforge.plans.grading import _MARKED, GRADED, SQL_REWARDS, graded
 from rollforge.plans.registry import query
-from rollforge.sources.scratch import new_path
+from rollforge.sources.scratch import new_path, written
 
 KS = [1, 4, 8]
 _PROBLEMS = "problems AS (SELECT 'p' || o_orderkey AS problem_id, o_orderpriority AS level, o_orderstatus AS type FROM orders)"
@@ -172,6 +172,19 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.latency_summary(steps(spark, sf_dir), ["worker"])
 
 
+@query("SELECT event_type AS worker, count(*) AS n, round(count(*) / sum(value / 1000), 4) AS throughput, round(avg(value / 1000) * 1000, 4) AS avg_ms, true AS near_p50, true AS near_p95, true AS near_p99 FROM events GROUP BY 1")
+def latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by worker and day, written, merged by worker; whether each percentile's rank is within 2 % of what was asked."""
+    log = read(spark, sf_dir, "events").select(F.col("event_type").alias("worker"), F.to_date("ts").alias("day"), (F.col("value") / 1000).alias("seconds"))
+    stored = written(evals.latency_sketches(log, ["worker", "day"]), "sketches")
+    found = written(evals.latency_of_sketches(stored, ["worker"]), "merged")
+    asked = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    ranked = log.select("worker", (F.round(F.col("seconds") * 1000, 4)).alias("ms")).hint("merge").join(found.hint("merge"), "worker")
+    share = lambda test: F.avg(test.cast("double"))
+    near = [((share(F.col("ms") < F.col(f"{c}_ms")) - 0.02 <= p) & (share(F.col("ms") <= F.col(f"{c}_ms")) + 0.02 >= p)).alias(f"near_{c}") for c, p in asked.items()]
+    return ranked.groupBy("worker", "n", "throughput", "avg_ms").agg(*near)
+
+
 @query("WITH s AS (SELECT l_linenumber AS workers, round(count(*) / sum(l_tax + 0.01), 6) AS throughput FROM lineitem GROUP BY 1) SELECT workers, throughput, round(throughput / first_value(throughput) OVER (ORDER BY workers), 4) AS speedup, round(throughput / first_value(throughput) OVER (ORDER BY workers) / workers * 100, 3) AS efficiency FROM s")
 def scaling_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = read(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("workers")).agg(F.round(F.count("*") / F.sum(F.col("l_tax") + 0.01), 6).alias("throughput"))

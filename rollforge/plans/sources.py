@@ -72,6 +72,16 @@ def read_math_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_math(spark, sf_dir)
 
 
+@query("SELECT 'math_train_' || o_orderkey AS id, o_orderkey AS problem_idx, o_custkey::VARCHAR AS problem FROM orders")
+def read_math_first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reader over three places in order, of which only the last is there."""
+    path, o = new_path(spark, "math"), read(spark, sf_dir, "orders")
+    text = F.col("o_custkey").cast("string")
+    o.select(F.col("o_orderkey").alias("idx"), text.alias("problem"), F.lit("so 1").alias("solution"), F.col("o_orderpriority").alias("level"), F.col("o_orderstatus").alias("type")).write.json(f"{path}/third")
+    rows = readers.first_source(spark, [f"{path}/first", f"{path}/second", f"{path}/third"], "idx long, problem string, solution string, level string, type string")
+    return readers.math(rows, "train").select("id", "problem_idx", "problem")
+
+
 @query("SELECT 'gsm8k_test_' || o_orderkey AS id FROM orders")
 def read_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.benchmark("GSM8K", _questions(spark, sf_dir), split="test").select("id")
@@ -194,19 +204,27 @@ def collect_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def echo():
-    """A stand-in generator."""
-    return lambda prompts: [f"Step 1: read {len(p)} signs. Step 2: think about them for a while longer. #### {len(p) % 7}" for p in prompts]
+    """A stand-in generator: texts that pass cleaning. A prompt's first text ends in 0, the next one in 1, and so on."""
+    times: dict[str, int] = {}
+
+    def say(prompt: str) -> str:
+        n = times[prompt] = times.get(prompt, -1) + 1
+        return "Step 1: read the question. Step 2: think. " + " ".join(f"word{n}x{i}" for i in range(60)) + f"\n#### {n}"
 
+    return lambda prompts: [say(p) for p in prompts]
 
-@query("SELECT 'all' AS part, 2 * count(*) AS n FROM part UNION ALL SELECT 'stats', 1")
+
+@query("WITH p AS (SELECT 2 * count(*) AS texts, count_if(p_size % 7 < 2) AS solved FROM part) SELECT 'all' AS part, texts AS n FROM p UNION ALL SELECT 'filtered', texts FROM p UNION ALL SELECT 'correct', solved FROM p UNION ALL SELECT 'full_pairs', solved FROM p UNION ALL SELECT 'dpo_pairs', solved FROM p UNION ALL SELECT 'stats', 1")
 def job_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as problems through the whole command."""
+    """Parts as problems through the whole command: two paths each, one of which is right where the answer is 0 or 1."""
     path, p = new_path(spark, "job"), read(spark, sf_dir, "part")
-    named = p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("problem"), (F.col("p_size") % 7).cast("string").alias("answer"))
+    named = p.select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("problem"), (F.col("p_size") % 7).cast("string").alias("answer"))
     named.write.json(f"{path}/problems")
     jobs.main(["generate", "--problems", f"{path}/problems", "--generator", "rollforge.plans.sources:echo", "--num-paths", "2", "--output", path])
-    sized = lambda part: spark.read.json(f"{path}/{part}").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
-    return sized("all").unionByName(sized("stats"))
+    sized = lambda part, df: df.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+    parts = [sized(part, spark.read.json(f"{path}/{part}")) for part in ("all", "filtered", "full_pairs", "dpo_pairs", "stats")]
+    parts.append(sized("correct", spark.read.json(f"{path}/all").where("is_correct")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _samples_file(spark: SparkSession, sf_dir: str) -> str:

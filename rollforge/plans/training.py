@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollforge.functions import hooks
 from rollforge.operators import encode, training
 from rollforge.plans.derived import ANSWERS, CHATS, ROLLOUTS, STEPS, answers, chats, read, rollouts, steps
 from rollforge.plans.grading import GRADED, graded
@@ -153,6 +154,27 @@ def tokenize_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", _joined("input_ids").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).cast("long").alias("mask"))
 
 
+def subword_tokenizer(name: str = "byte_bpe_50k.json"):
+    """A public tokenizer's encoder by its file's name; special tokens' strings are ordinary text."""
+
+    def make():
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        tokenizer.encode_special_tokens = True
+        return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    return make
+
+
+@query(None, name="tokenize_subwords")
+def subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword ids of every reply by a public tokenizer, which the hook loads; tests hold them against the library."""
+    rows = chats(spark, sf_dir).select("conv_id", "turn", F.col("response").alias("text"))
+    return encode.tokenize_subwords(rows, hooks.tokenizer_hook(subword_tokenizer())).select("conv_id", "turn", "input_ids", "attention_mask")
+
+
 @query(f"{_VOCAB}, rows_ AS (SELECT conv_id, turn, prompt, response AS chosen, CASE WHEN conv_id % 5 > 0 THEN prompt || ' ' || response END AS rejected FROM chats), {_sql_ids('prompt', 1024)}, {_sql_ids('chosen', 2048)}, {_sql_ids('rejected', 2048)} SELECT r.conv_id, r.turn, CASE WHEN rejected IS NOT NULL THEN coalesce(prompt_ids, '') END AS prompt_ids, CASE WHEN rejected IS NOT NULL THEN coalesce(chosen_ids, '') END AS chosen_ids, CASE WHEN rejected IS NOT NULL THEN coalesce(rejected_ids, '') END AS rejected_ids FROM rows_ r LEFT JOIN i_prompt USING (conv_id, turn) LEFT JOIN i_chosen USING (conv_id, turn) LEFT JOIN i_rejected USING (conv_id, turn)")
 def tokenize_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a reply and a worse one; a fifth lacks the worse one and passes without ids."""

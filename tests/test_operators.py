@@ -277,3 +277,32 @@ def test_rewards_come_up_from_any_depth(spark):
     assert got == {i: (40 - i, (40 - i) / 2) for i in range(40)}
     with pytest.raises(ValueError, match="deeper"):
         search.reward_by_node(nodes, max_depth=3)
+
+
+def test_subword_ids_are_the_libraries(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from rollforge.functions import hooks
+    from rollforge.plans.training import subword_tokenizer
+
+    texts = ["Hello  there, you!", None, "", "naïve <|endoftext|> 北京", "a " * 3000, "Hello  there, you!"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3)
+    got = {r.i: r for r in encode.tokenize_subwords(rows, hooks.tokenizer_hook(subword_tokenizer()), 2048).collect()}
+    assert {i: r.input_ids for i, r in got.items()} == {i: None if t is None else tokenizer.encode(t, add_special_tokens=False).ids[:2048] for i, t in enumerate(texts)}
+    assert all(r.input_ids is None or len(r.attention_mask) == len(r.input_ids) for r in got.values())
+
+
+def test_sketched_percentiles_are_near_and_merge(spark):
+    rng = random.Random(3)
+    rows = [(w, d, rng.expovariate(1) if w == "a" else 0.25) for w in ("a", "b") for d in range(5) for _ in range(2000)] + [("few", 0, 1.0)]
+    log = spark.createDataFrame(rows, "worker string, day int, seconds double").repartition(4)
+    got = {r.worker: r for r in evals.latency_of_sketches(evals.latency_sketches(log, ["worker", "day"]), ["worker"]).collect()}
+    mine = sorted(s for w, _, s in rows if w == "a")
+    for name, p in (("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)):
+        rank = sum(s * 1000 <= got["a"][name] + 1e-3 for s in mine) / len(mine)
+        assert abs(rank - p) < 0.02
+        assert got["b"][name] == 250.0
+    assert got["a"].n == 10_000 and (got["few"].p95_ms, got["few"].p99_ms, got["few"].p50_ms) == (0.0, 0.0, 1000.0)
