@@ -5,10 +5,12 @@ words that follow it. A task keeps one counter for each prefix and hands it on w
 elementwise after the shuffle. The merged stripes are one table that answers all that is asked: entries are the counts
 of phrases, totals the counts of prefixes, and a stripe's largest entry is the longest reach of its prefix to the right.
 
-Texts are read three times: for words (the stripe of the empty prefix), for pairs, and for phrases of three and four
-words. Every part of a phrase that occurs LEAST times does so, too, so a pass only looks at frequent parts of the pass
-before. It knows them by a Bloom filter of fixed size: what it lets through by mistake costs time and is counted like
-the rest, and what is rare in the end is dropped by its exact count.
+Phrases of 1, 2, 3 and 4 words are counted one length after the other. Every part of a phrase that occurs LEAST times
+does so, too, so only phrases whose two parts of one word less are frequent are looked at. Of those, a first pass counts
+in 2**BUCKET_BITS buckets by hash, and a second one those in buckets that reach LEAST. Tasks know frequent parts and
+buckets by bit tables of fixed size: what they let through by mistake costs time and is counted like the rest, and what
+is rare in the end is dropped by its exact count. Words are hashed in numpy, and a phrase's text is only looked at once
+in a block of BLOCK bytes; two phrases of a block with one 64-bit hash would be taken for one.
 
 A stripe can be longer than a task should hold. Stripes of the empty prefix, and those of prefixes that make up more
 than one in HOT_SHARE of all words (or begin with such a pair), are dealt out by the next word over SLOTS tasks; there
@@ -26,85 +28,173 @@ An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollforge.llm.shared import remove, slices, written
+from rollforge.llm.textkit import blocks, buffers, shingle_stream, words
 
 LEAST, MOST_WORDS, TOP, SCALE, SUBSUMED = 30, 4, 2000, 2_000_000, 80
-#: Entries that a task counts before it hands its stripes on.
-MOST_HELD = 400_000
+#: Entries and prefixes that a task counts before it hands its stripes on.
+MOST_HELD = 200_000
 HOT_SHARE, SLOTS = 5000, 64
-FILTER_BITS, SEGMENTS = 1 << 25, 64
-KNOWN = 500_000
-_FROM = bytes(range(65, 91)) + b"\t.,;:!?\n\x0b\x0c\r"
-TABLE = bytes.maketrans(_FROM, bytes(range(97, 123)) + b" " + b"\n" * 10)
+KNOWN_BITS, BUCKET_BITS, SEGMENTS = 25, 24, 32
+BLOCK = 1 << 20
+#: A-Z to a-z, tab to space, and what ends a piece to a line feed.
+TABLE = np.arange(256, dtype=np.uint8)
+TABLE[65:91] += 32
+TABLE[9] = 32
+TABLE[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = 10
 STRIPES = "lang string, prefix string, slot int, total long, words array<string>, counts array<long>"
 STRIPE_KINDS = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
 
-def pieces(text: str | None) -> Iterator[list[str]]:
-    """The words of each piece of a text: A-Z lower-cased, cut at .,;:!? and line ends, split at spaces and tabs."""
-    for piece in (text or "").encode().translate(TABLE).decode().split("\n"):
-        words = piece.split(" ")
-        if "" in words:
-            words = [w for w in words if w]
-        if words:
-            yield words
+class Bits:
+    """A table of 2**bits bits, asked by the high bits of hashes."""
+
+    def __init__(self, bits: int, segments: dict[int, bytes]):
+        size = (1 << bits) // 8 // SEGMENTS
+        self.shift = np.uint64(64 - bits)
+        self.held = np.frombuffer(b"".join(segments.get(i, bytes(size)) for i in range(SEGMENTS)), np.uint8)
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> self.shift).astype(np.int64)
+        return (self.held[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def lang_mark(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.md5(lang.encode()).digest()[:8], "little"))
+
+
+class Block:
+    """The words of some texts of one language, and the hashes of all phrases."""
+
+    def __init__(self, lang: str, raw: np.ndarray, offsets: np.ndarray):
+        self.raw = TABLE[raw]
+        self.hashes, self.begin, self.end, at = words(self.raw, offsets)
+        n = len(self.hashes)
+        piece = np.cumsum(self.raw == 10)[self.begin] if n else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        # together[m - 1]: whether the m words from each place on lie in one piece
+        self.together = [np.ones(n, bool)]
+        after = np.zeros(n, bool)
+        if n > 1:
+            after[:-1] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
+        for m in range(2, MOST_WORDS + 1):
+            held = np.zeros(n, bool)
+            held[: n - 1] = after[: n - 1] & self.together[-1][1:]
+            self.together.append(held)
+        self.mark = lang_mark(lang)
+
+    def grams(self, m: int) -> np.ndarray:
+        """The hash of the m words from each place on; 0 where there are not as many."""
+        out = np.zeros(len(self.hashes), np.uint64)
+        found = shingle_stream(self.hashes, m) ^ self.mark
+        out[: len(found)] = found
+        return out
+
+    def frequent(self, m: int, known: list[Bits]) -> np.ndarray:
+        """Where a phrase of m words begins that may be frequent; its parts are."""
+        if m == 0:
+            return np.ones(len(self.hashes), bool)
+        found = self.candidates(m, known)
+        found[found] = known[m - 1][self.grams(m)[found]]
+        return found
 
+    def candidates(self, m: int, known: list[Bits]) -> np.ndarray:
+        """Where a phrase of m words begins whose two parts of one word less may be frequent."""
+        if m == 1:
+            return self.together[0].copy()
+        part = self.frequent(m - 1, known)
+        found = self.together[m - 1] & part
+        found[:-1] &= part[1:]
+        return found
 
-def _bits(lang: str, phrase: str) -> tuple[int, int]:
-    own = f"{lang} {phrase}".encode()
-    return zlib.crc32(own) % FILTER_BITS, zlib.adler32(own, zlib.crc32(own[::-1])) % FILTER_BITS
+    def counted(self, m: int, places: np.ndarray) -> Iterator[tuple[bytes, bytes, int]]:
+        """(prefix, last word, how often) of the different phrases of m words at these places."""
+        if not len(places):
+            return
+        _, first, counts = np.unique(self.grams(m)[places], return_index=True, return_counts=True)
+        raw, at = self.raw.tobytes(), places[first]
+        for i, n in zip(at.tolist(), counts.tolist(), strict=True):
+            last = i + m - 1
+            yield (b" ".join(raw[self.begin[i] : self.end[last - 1]].split()) if m > 1 else b""), raw[self.begin[last] : self.end[last]], n
 
 
-class Filter:
-    """Frequent phrases by two bits each; asks() also remembers its last answers."""
+def texts_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Block]]:
+    """Blocks of the rows (lang, text), each of one language."""
+    for batch in slices(batches):
+        for lang in pc.unique(batch.column(0)).to_pylist():
+            raw, offsets = buffers(batch.column(1).filter(pc.equal(batch.column(0), lang)))
+            for i, j in blocks(offsets, BLOCK):
+                yield lang, Block(lang, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
-    def __init__(self, segments: dict[int, bytes]):
-        size = FILTER_BITS // 8 // SEGMENTS
-        self.bits = b"".join(segments.get(i, bytes(size)) for i in range(SEGMENTS))
 
-    def asks(self, lang: str) -> _Known:
-        return _Known(self.bits, lang)
+def _collected(rows: DataFrame, bits: int) -> Bits:
+    return Bits(bits, {r.segment: bytes(r.bits) for r in rows.collect()})
 
 
-class _Known(dict):
-    def __init__(self, bits: bytes, lang: str):
-        super().__init__()
-        self.bits, self.lang = bits, lang
+def _segment_batch(segments: list[int], held: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(held, pa.binary())], ["segment", "bits"])
 
-    def __missing__(self, phrase: str) -> bool:
-        if len(self) >= KNOWN:
-            self.clear()
-        found = all(self.bits[b >> 3] >> (b & 7) & 1 for b in _bits(self.lang, phrase))
-        self[phrase] = found
-        return found
 
-
-def filter_of(phrases: DataFrame) -> Filter:
-    """The filter of (lang, phrase) rows, made in segments; FILTER_BITS in all, whatever their number."""
-    size = FILTER_BITS // SEGMENTS
+def known_phrases(phrases: DataFrame, m: int) -> Bits:
+    """The bits of (lang, phrase) rows of m words: 2**KNOWN_BITS in all, whatever their number."""
+    size = (1 << KNOWN_BITS) // SEGMENTS
 
     def positions(batches):
         for batch in batches:
-            bits = [b for lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True) for b in _bits(lang, phrase)]
-            yield pa.RecordBatch.from_arrays([pa.array([b // size for b in bits], pa.int32()), pa.array([b % size for b in bits], pa.int32())], ["segment", "bit"])
+            hashes, _, _, _ = words(*buffers(batch.column(1)))
+            marks = np.array([lang_mark(x) for x in batch.column(0).to_pylist()], np.uint64)
+            at = ((shingle_stream(hashes, m)[::m] ^ marks) >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // size, pa.int32()), pa.array(at % size, pa.int32())], ["segment", "bit"])
 
     def filled(batches):
-        made: dict[int, bytearray] = defaultdict(lambda: bytearray(size // 8))
+        made: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(size, np.uint8))
         for batch in batches:
-            for segment, bit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                made[segment][bit >> 3] |= 1 << (bit & 7)
-        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([bytes(x) for x in made.values()], pa.binary())], ["segment", "bits"])
+            segments, bits = (c.to_numpy() for c in batch.columns)
+            for segment in np.unique(segments).tolist():
+                made[segment][bits[segments == segment]] = 1
+        yield _segment_batch(list(made), [np.packbits(x, bitorder="little").tobytes() for x in made.values()])
+
+    rows = phrases.select("lang", "phrase").mapInArrow(positions, "segment int, bit int").repartition(SEGMENTS, "segment")
+    return _collected(rows.mapInArrow(filled, "segment int, bits binary"), KNOWN_BITS)
 
-    rows = phrases.select("lang", "phrase").mapInArrow(positions, "segment int, bit int").repartition(SEGMENTS, "segment").mapInArrow(filled, "segment int, bits binary")
-    return Filter({r.segment: bytes(r.bits) for r in rows.collect()})
+
+def full_buckets(texts: DataFrame, m: int, known: list[Bits]) -> Bits:
+    """The buckets of phrases of m words that reach LEAST, over all texts."""
+    size, shared = (1 << BUCKET_BITS) // SEGMENTS, texts.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches):
+        held = np.zeros(1 << BUCKET_BITS, np.uint8)
+        for _, block in texts_by_lang(batches):
+            found = (block.grams(m)[block.candidates(m, shared.value)] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            at, n = np.unique(found, return_counts=True)
+            held[at] = np.minimum(held[at] + n, LEAST)
+        parts = held.reshape(SEGMENTS, size)
+        some = np.flatnonzero(parts.any(axis=1)).tolist()
+        for i in some:
+            yield _segment_batch([i], [parts[i].tobytes()])
+
+    def merged(batches):
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = made.setdefault(segment, np.zeros(size, np.uint8))
+                np.minimum(own + np.frombuffer(counts, np.uint8), LEAST, out=own)  # both are at most LEAST
+        yield _segment_batch(list(made), [np.packbits(x >= LEAST, bitorder="little").tobytes() for x in made.values()])
+
+    rows = texts.mapInArrow(count, "segment int, bits binary").repartition(SEGMENTS, "segment")
+    return _collected(rows.mapInArrow(merged, "segment int, bits binary"), BUCKET_BITS)
 
 
 class Counter:
@@ -112,42 +202,44 @@ class Counter:
 
     def __init__(self, hot: dict[tuple[str, str], int]):
         self.hot = hot
-        self.nexts: dict[tuple[str, str], dict[str, int]] = {}
-        self.totals: dict[tuple[str, str], int] = defaultdict(int)
+        self.nexts: dict[tuple[str, bytes], dict[bytes, int]] = {}
+        self.totals: dict[tuple[str, bytes], int] = {}
         self.held = 0
 
-    def add(self, key: tuple[str, str], follower: str | None) -> None:
-        self.totals[key] += 1
-        if follower is not None:
-            stripe = self.nexts.get(key)
-            if stripe is None:
-                stripe = self.nexts[key] = {}
-            if follower in stripe:
-                stripe[follower] += 1
-            else:
-                stripe[follower] = 1
-                self.held += 1
-
-    def _long(self, key: tuple[str, str]) -> bool:
-        lang, prefix = key
-        return not prefix or key in self.hot or (prefix.count(" ") > 1 and (lang, prefix.rpartition(" ")[0]) in self.hot)
+    def add(self, lang: str, block: Block, m: int, known: list[Bits], full: Bits | None) -> None:
+        """Counts a block's phrases of m words, and their prefixes."""
+        part = block.frequent(m - 1, known)
+        if m == 1:
+            self.totals[lang, b""] = self.totals.get((lang, b""), 0) + len(part)
+        else:
+            for prefix, word, n in block.counted(m - 1, np.flatnonzero(part)):
+                key = lang, (prefix + b" " + word if prefix else word)
+                self.totals[key] = self.totals.get(key, 0) + n
+        found = block.candidates(m, known)
+        if full is not None:
+            found[found] = full[block.grams(m)[found]]
+        for prefix, word, n in block.counted(m, np.flatnonzero(found)):
+            stripe = self.nexts.setdefault((lang, prefix), {})
+            before = len(stripe)
+            stripe[word] = stripe.get(word, 0) + n
+            self.held += len(stripe) - before
+
+    def _long(self, lang: str, prefix: str) -> bool:
+        return not prefix or (lang, prefix) in self.hot or (prefix.count(" ") > 1 and (lang, prefix.rpartition(" ")[0]) in self.hot)
 
     def rows(self) -> Iterator[tuple]:
         """The stripes, hot ones in slots; the total is in the first row of each."""
-        for key, total in self.totals.items():
-            stripe = self.nexts.get(key, {})
-            if not self._long(key):
-                yield (*key, 0, total, list(stripe), list(stripe.values()))
-                continue
+        for key in dict.fromkeys([*self.totals, *self.nexts]):
+            lang, prefix, total, stripe = key[0], key[1].decode(), self.totals.get(key, 0), self.nexts.get(key, {})
             slots: dict[int, tuple[list, list]] = {0: ([], [])}
+            long = self._long(lang, prefix)
             for word, n in stripe.items():
-                words, counts = slots.setdefault(zlib.crc32(word.encode()) % SLOTS, ([], []))
-                words.append(word)
+                held, counts = slots.setdefault(zlib.crc32(word) % SLOTS if long else 0, ([], []))
+                held.append(word.decode())
                 counts.append(n)
-            for slot, (words, counts) in slots.items():
-                yield (*key, slot, total if slot == 0 else 0, words, counts)
-        self.nexts, self.held = {}, 0
-        self.totals.clear()
+            for slot, (held, counts) in slots.items():
+                yield lang, prefix, slot, total if slot == 0 else 0, held, counts
+        self.nexts, self.totals, self.held = {}, {}, 0
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -159,45 +251,12 @@ def _handed_on(counter: Counter) -> Iterator[pa.RecordBatch]:
     rows = []
     for row in counter.rows():
         rows.append(row)
-        if len(rows) == 20_000:
+        if len(rows) == 5000:
             yield _table(rows)
             rows = []
     yield _table(rows)
 
 
-def _words(counter: Counter, lang: str, words: list[str], known: None) -> None:
-    """Every word follows the empty prefix."""
-    key = lang, ""
-    for word in words:
-        counter.add(key, word)
-
-
-def _pairs(counter: Counter, lang: str, words: list[str], known: list[_Known]) -> None:
-    frequent = [known[0][w] for w in words]
-    last = len(words) - 1
-    for i, word in enumerate(words):
-        if frequent[i]:
-            counter.add((lang, word), words[i + 1] if i < last and frequent[i + 1] else None)
-
-
-def _longer(counter: Counter, lang: str, words: list[str], known: list[_Known]) -> None:
-    """Stripes of pairs and of triples, where the pairs that a phrase is made of are frequent."""
-    one, two = known
-    frequent = [one[w] for w in words]
-    if sum(frequent) < 2:
-        return
-    pair = [frequent[i] and frequent[i + 1] and two[f"{words[i]} {words[i + 1]}"] for i in range(len(words) - 1)]
-    pair += [False, False]
-    for i, found in enumerate(pair):
-        if found:
-            begin = f"{words[i]} {words[i + 1]}"
-            if not pair[i + 1]:
-                counter.add((lang, begin), None)
-                continue
-            counter.add((lang, begin), words[i + 2])
-            counter.add((lang, f"{begin} {words[i + 2]}"), words[i + 3] if pair[i + 2] else None)
-
-
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stripes of one key, next to each other, added up elementwise; entries and totals below LEAST are of no use."""
     now, total, stripe, out = None, 0, {}, []
@@ -217,31 +276,25 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total += n
             for word, count in zip(words, counts, strict=True):
                 stripe[word] = stripe.get(word, 0) + count
-        yield _table(out)
-        out = []
+        if out:
+            yield _table(out)
+            out = []
     if now is not None:
         done()
         yield _table(out)
 
 
-def stripes(texts: DataFrame, look, filters: list[Filter], hot: dict[tuple[str, str], int]) -> DataFrame:
-    """Merged stripes of texts (lang, text), as look counts them."""
-    shared, most = texts.sparkSession.sparkContext.broadcast((filters, hot)), MOST_HELD
+def stripes(texts: DataFrame, m: int, known: list[Bits], full: Bits | None, hot: dict[tuple[str, str], int]) -> DataFrame:
+    """Merged stripes of texts (lang, text) whose prefixes have m - 1 words."""
+    shared, most = texts.sparkSession.sparkContext.broadcast((known, full, hot)), MOST_HELD
 
     def count(batches):
-        filters, hot = shared.value
-        counter, known = Counter(hot), {}
-        for batch in slices(batches):
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = known.get(lang)
-                if own is None:
-                    own = known[lang] = [f.asks(lang) for f in filters]
-                for words in pieces(text):
-                    look(counter, lang, words, own)
-                if counter.held >= most or len(counter.totals) >= most:
-                    yield from _handed_on(counter)
-            if len(known) > 100:
-                known.clear()
+        known, full, hot = shared.value
+        counter = Counter(hot)
+        for lang, block in texts_by_lang(batches):
+            counter.add(lang, block, m, known, full)
+            if counter.held + len(counter.totals) >= most:
+                yield from _handed_on(counter)
         yield from _handed_on(counter)
 
     dealt = texts.mapInArrow(count, STRIPES).repartition("lang", "prefix", "slot").sortWithinPartitions("lang", "prefix", "slot")
@@ -282,18 +335,18 @@ def totals_of(table: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first phrases by score, descending, then a, then phrase."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    first = stripes(texts, _words, [], {})
-    sizes = first.groupBy("lang").agg(F.sum("total").alias("n"))
+    tables = [stripes(texts, 1, [], None, {})]
+    sizes = tables[0].groupBy("lang").agg(F.sum("total").alias("n"))
     n_words = sizes.agg(F.sum("n")).first()[0] or 0
-    words = phrases_of(first)
-    hot = _hot(words, n_words)
-    frequent = filter_of(words)
-    second = stripes(texts, _pairs, [frequent], hot)
-    pairs = phrases_of(second)
-    hot |= _hot(pairs, n_words)
-    third = stripes(texts, _longer, [frequent, filter_of(pairs)], hot)
-    counts = totals_of(second).unionByName(totals_of(third))
-    phrases = pairs.unionByName(phrases_of(third))
+    hot: dict[tuple[str, str], int] = {}
+    known: list[Bits] = []
+    for m in range(2, MOST_WORDS + 1):
+        shorter = phrases_of(tables[-1])
+        hot |= _hot(shorter, n_words)
+        known.append(known_phrases(shorter, m - 1))
+        tables.append(stripes(texts, m, known, full_buckets(texts, m, known), hot))
+    longer = reduce(DataFrame.unionByName, tables[1:])
+    counts, phrases = totals_of(longer), phrases_of(longer)
     # the cut of each phrase that scores lowest
     cuts = phrases.withColumn("w", F.split("phrase", " ")).select("lang", "phrase", "n_words", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k"))
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), _part(F.col("w"), F.lit(1), F.col("k")).alias("part")), F.struct(F.lit("r").alias("side"), _part(F.col("w"), F.col("k") + 1, F.col("n_words") - F.col("k")).alias("part"))))
@@ -303,7 +356,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     scored = scored.withColumn("score", F.expr(f"cast(a as decimal(20, 0)) * {SCALE} div (cast(l as decimal(20, 0)) + cast(r as decimal(20, 0)))"))
     scored = scored.groupBy("lang", "phrase", "n_words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     # how far a phrase reaches to the right is the largest entry of its own stripe; to the left, the phrases that end in it
-    right = second.unionByName(third).where(F.size("counts") > 0).select("lang", F.col("prefix").alias("phrase"), F.array_max("counts").alias("reach"))
+    right = longer.where(F.size("counts") > 0).select("lang", F.col("prefix").alias("phrase"), F.array_max("counts").alias("reach"))
     left = phrases.where(F.col("n_words") > 2).select("lang", F.regexp_replace("phrase", "^[^ ]+ ", "").alias("phrase"), F.col("f").alias("reach"))
     reach = right.unionByName(left).groupBy("lang", "phrase").agg(F.max("reach").alias("reach"))
     left_over = scored.hint("merge").join(reach.hint("merge"), ["lang", "phrase"], "left").where(F.coalesce(F.col("reach").cast("decimal(20, 0)") * 100 < F.col("a").cast("decimal(20, 0)") * SUBSUMED, F.lit(True)))
@@ -311,7 +364,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     ranked = left_over.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     numbered = ranked.hint("merge").join(sizes.hint("merge"), "lang")
     found = written(numbered.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score"), "found")
-    remove(first, second, third)
+    remove(*tables)
     return found
 
 

@@ -185,12 +185,24 @@ def test_collocations_of_nothing(spark):
     assert stripes.collocations(spark.createDataFrame([(None, None), ("a b", "en")], "text string, lang string")).count() == 0
 
 
-def test_a_filter_without_members_finds_nothing_and_scores_are_exact(spark):
-    empty = stripes.Filter({})
-    assert not any(empty.asks("en")[w] for w in ("a", "b c"))
-    full = stripes.filter_of(spark.createDataFrame([("en", f"w{i}") for i in range(3000)], "lang string, phrase string"))
-    asked = full.asks("en")
-    assert all(asked[f"w{i}"] for i in range(3000)) and sum(full.asks("de")[f"w{i}"] for i in range(3000)) < 30
+def test_tables_of_bits(spark):
+    rows = [("en", f"w{i} x") for i in range(3000)]
+    full = stripes.known_phrases(spark.createDataFrame(rows, "lang string, phrase string").repartition(3), 2)
+
+    def block(lang, texts):
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        return stripes.Block(lang, raw, np.cumsum([0, *map(len, texts)]))
+
+    own = block("en", [p for _, p in rows])
+    starts = np.flatnonzero(own.together[1])
+    assert len(starts) == 3000 and full[own.grams(2)[starts]].all()
+    other = block("de", [p for _, p in rows])
+    assert full[other.grams(2)[starts]].sum() < 30 and not stripes.Bits(stripes.KNOWN_BITS, {})[own.grams(2)].any()
+    small = block("en", ["A b. c\td", "e f"])
+    assert sorted(small.counted(2, np.flatnonzero(small.together[1]))) == [(b"a", b"b", 1), (b"c", b"d", 1), (b"e", b"f", 1)]
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
     big = spark.sql(f"select cast(9000000000000000000 as decimal(20, 0)) * {stripes.SCALE} div (cast(9100000000000000000 as decimal(20, 0)) + cast(9200000000000000000 as decimal(20, 0))) as s").first().s
     assert big == 9 * 10**18 * stripes.SCALE // (91 * 10**17 + 92 * 10**17)
 
