@@ -1,21 +1,22 @@
 """Phrase collocations from stripes.
 
 A stripe belongs to a language and a prefix of 0 to 3 words: how often the prefix occurs in all, and a counter of the
-words that follow it. A task keeps one counter for each prefix and hands it on whole; stripes of one prefix are merged
-elementwise after the shuffle. The merged stripes are one table that answers all that is asked: entries are the counts
-of phrases, totals the counts of prefixes, and a stripe's largest entry is the longest reach of its prefix to the right.
-
-Phrases of 1, 2, 3 and 4 words are counted one length after the other. Every part of a phrase that occurs LEAST times
-does so, too, so only phrases whose two parts of one word less are frequent are looked at. Of those, a first pass counts
-in 2**BUCKET_BITS buckets by hash, and a second one those in buckets that reach LEAST. Tasks know frequent parts and
-buckets by bit tables of fixed size: what they let through by mistake costs time and is counted like the rest, and what
-is rare in the end is dropped by its exact count. Words are hashed in numpy, and a phrase's text is only looked at once
-in a block of BLOCK bytes; two phrases of a block with one 64-bit hash would be taken for one.
-
-A stripe can be longer than a task should hold. Stripes of the empty prefix, and those of prefixes that make up more
-than one in HOT_SHARE of all words (or begin with such a pair), are dealt out by the next word over SLOTS tasks; there
-are at most HOT_SHARE such words and pairs, so their list is bounded. A task that merges holds one stripe, or one slot
-of it. Counts of a phrase's parts are the totals of stripes: those of the listed ones are broadcast, all others are
+words that follow it. A task counts its texts' stripes and hands them on in pieces, each with the stripes of many
+prefixes; pieces of the same prefixes are merged elementwise after the shuffle. The merged stripes are one table that
+answers all that is asked: entries are the counts of phrases, totals the counts of prefixes, and a stripe's largest entry
+is the longest reach of its prefix to the right.
+
+Words are 64-bit hashes in numpy until the end, and a phrase is the list of its words' hashes, so it has 64 bits a word;
+two words of one hash would be taken for one. Phrases of 1, 2, 3 and 4 words are counted one length after the other.
+Every part of a phrase that occurs LEAST times does so, too, so only phrases whose two parts of one word less are frequent
+are looked at. Tasks know the frequent ones of the length before by a bit table of fixed size: what it lets through by
+mistake costs time and is counted like the rest, and what is rare in the end is dropped by its exact count. A last pass
+reads the texts of the phrases that are left.
+
+A piece belongs to a shard, by its prefixes' hashes, and the next words' too where a prefix makes up more than one in
+HOT_SHARE of all words (there are at most HOT_SHARE of those for a length), or is empty, or begins with such a pair. There
+are as many shards as keep one at about SHARD_WORDS words of text, so what a task merges at a time is bounded, and a hot
+stripe is spread. Counts of a phrase's parts are the totals of stripes: those of hot parts are broadcast, all others are
 joined, where a part has few rows for its few occurrences.
 
 A candidate lies in a longer one with enough of its occurrences only if it does so in one that is longer by one word:
@@ -29,7 +30,6 @@ An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -37,33 +37,34 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollforge.llm.shared import remove, slices, written
-from rollforge.llm.textkit import blocks, buffers, shingle_stream, words
+from rollforge.llm.textkit import blocks, buffers, mix, shingle_stream, words
 
 LEAST, MOST_WORDS, TOP, SCALE, SUBSUMED = 30, 4, 2000, 2_000_000, 80
-#: Entries and prefixes that a task counts before it hands its stripes on.
-MOST_HELD = 200_000
-HOT_SHARE, SLOTS = 5000, 64
-KNOWN_BITS, BUCKET_BITS, SEGMENTS = 25, 24, 32
+#: Entries that a task counts before it hands its stripes on.
+MOST_HELD = 1_000_000
+HOT_SHARE, SHARD_WORDS, KNOWN_BITS, SEGMENTS = 1000, 4_000_000, 25, 32
 BLOCK = 1 << 20
 #: A-Z to a-z, tab to space, and what ends a piece to a line feed.
 TABLE = np.arange(256, dtype=np.uint8)
 TABLE[65:91] += 32
 TABLE[9] = 32
 TABLE[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = 10
-STRIPES = "lang string, prefix string, slot int, total long, words array<string>, counts array<long>"
-STRIPE_KINDS = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+#: Stripes of a shard: rows of word hashes (a prefix and a next word; a prefix and 0 for its total) and their counts.
+PIECES = "lang string, shard long, words binary, counts binary"
+COUNTS = "lang string, words array<long>, total boolean, n long"
 
 
 class Bits:
-    """A table of 2**bits bits, asked by the high bits of hashes."""
+    """A table of 2**KNOWN_BITS bits, asked by the high bits of hashes."""
 
-    def __init__(self, bits: int, segments: dict[int, bytes]):
-        size = (1 << bits) // 8 // SEGMENTS
-        self.shift = np.uint64(64 - bits)
+    shift = np.uint64(64 - KNOWN_BITS)
+
+    def __init__(self, segments: dict[int, bytes]):
+        size = (1 << KNOWN_BITS) // 8 // SEGMENTS
         self.held = np.frombuffer(b"".join(segments.get(i, bytes(size)) for i in range(SEGMENTS)), np.uint8)
 
     def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
@@ -79,7 +80,7 @@ class Block:
     """The words of some texts of one language, and the hashes of all phrases."""
 
     def __init__(self, lang: str, raw: np.ndarray, offsets: np.ndarray):
-        self.raw = TABLE[raw]
+        self.lang, self.mark, self.raw = lang, lang_mark(lang), TABLE[raw]
         self.hashes, self.begin, self.end, at = words(self.raw, offsets)
         n = len(self.hashes)
         piece = np.cumsum(self.raw == 10)[self.begin] if n else np.zeros(0, np.int64)
@@ -93,7 +94,6 @@ class Block:
             held = np.zeros(n, bool)
             held[: n - 1] = after[: n - 1] & self.together[-1][1:]
             self.together.append(held)
-        self.mark = lang_mark(lang)
 
     def grams(self, m: int) -> np.ndarray:
         """The hash of the m words from each place on; 0 where there are not as many."""
@@ -103,59 +103,71 @@ class Block:
         return out
 
     def frequent(self, m: int, known: list[Bits]) -> np.ndarray:
-        """Where a phrase of m words begins that may be frequent; its parts are."""
-        if m == 0:
-            return np.ones(len(self.hashes), bool)
-        found = self.candidates(m, known)
-        found[found] = known[m - 1][self.grams(m)[found]]
+        """Where a phrase of m words begins that may be frequent, as its parts are."""
+        found = np.ones(len(self.hashes), bool)
+        for i in range(1, m + 1):
+            found = self._grown(found, i)
+            found[found] = known[i - 1][self.grams(i)[found]]
         return found
 
-    def candidates(self, m: int, known: list[Bits]) -> np.ndarray:
-        """Where a phrase of m words begins whose two parts of one word less may be frequent."""
+    def _grown(self, part: np.ndarray, m: int) -> np.ndarray:
+        """Where a phrase of m words begins whose two parts of one word less are at part."""
         if m == 1:
-            return self.together[0].copy()
-        part = self.frequent(m - 1, known)
+            return part.copy()
         found = self.together[m - 1] & part
         found[:-1] &= part[1:]
         return found
 
-    def counted(self, m: int, places: np.ndarray) -> Iterator[tuple[bytes, bytes, int]]:
-        """(prefix, last word, how often) of the different phrases of m words at these places."""
+    def rows(self, m: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different phrases of m words at these places: a row of word hashes each, how often, and the first place."""
         if not len(places):
-            return
+            return np.zeros((0, m), np.uint64), np.zeros(0, np.int64), places
         _, first, counts = np.unique(self.grams(m)[places], return_index=True, return_counts=True)
-        raw, at = self.raw.tobytes(), places[first]
-        for i, n in zip(at.tolist(), counts.tolist(), strict=True):
-            last = i + m - 1
-            yield (b" ".join(raw[self.begin[i] : self.end[last - 1]].split()) if m > 1 else b""), raw[self.begin[last] : self.end[last]], n
+        at = places[first]
+        return self.hashes[at[:, None] + np.arange(m)], counts, at
 
+    def stripes(self, m: int, known: list[Bits]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of m word hashes and their counts: the entries of the stripes of m - 1 words, and their totals (last word 0)."""
+        part = self.frequent(m - 1, known)
+        entries, n, _ = self.rows(m, np.flatnonzero(self._grown(part, m)))
+        if m == 1:
+            prefixes, totals = np.zeros((1, 0), np.uint64), np.array([len(self.hashes)])
+        else:
+            prefixes, totals, _ = self.rows(m - 1, np.flatnonzero(part))
+        return np.vstack([entries, np.hstack([prefixes, np.zeros((len(prefixes), 1), np.uint64)])]), np.concatenate([n, totals])
 
-def texts_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Block]]:
-    """Blocks of the rows (lang, text), each of one language."""
-    for batch in slices(batches):
-        for lang in pc.unique(batch.column(0)).to_pylist():
-            raw, offsets = buffers(batch.column(1).filter(pc.equal(batch.column(0), lang)))
-            for i, j in blocks(offsets, BLOCK):
-                yield lang, Block(lang, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    def text(self, place: int, m: int) -> str:
+        return b" ".join(self.raw[self.begin[place] : self.end[place + m - 1]].tobytes().split()).decode()
 
 
-def _collected(rows: DataFrame, bits: int) -> Bits:
-    return Bits(bits, {r.segment: bytes(r.bits) for r in rows.collect()})
+def merged(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows once, with the sum of their counts."""
+    if not len(rows):
+        return rows, counts
+    order = np.lexsort(rows.T[::-1])
+    rows, counts = rows[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+    return rows[first], np.add.reduceat(counts, first)
 
 
-def _segment_batch(segments: list[int], held: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(held, pa.binary())], ["segment", "bits"])
+def texts_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of the rows (lang, text), each of one language."""
+    for batch in slices(batches, 4000):
+        for lang in pc.unique(batch.column(0)).to_pylist():
+            raw, offsets = buffers(batch.column(1).filter(pc.equal(batch.column(0), lang)))
+            for i, j in blocks(offsets, BLOCK):
+                yield Block(lang, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def known_phrases(phrases: DataFrame, m: int) -> Bits:
-    """The bits of (lang, phrase) rows of m words: 2**KNOWN_BITS in all, whatever their number."""
+def known_phrases(counts: DataFrame, m: int) -> Bits:
+    """The bits of the phrases (lang, words) of m words in counts: 2**KNOWN_BITS in all, whatever their number."""
     size = (1 << KNOWN_BITS) // SEGMENTS
 
     def positions(batches):
         for batch in batches:
-            hashes, _, _, _ = words(*buffers(batch.column(1)))
+            held = batch.column(1).flatten().to_numpy().astype(np.int64).view(np.uint64)
             marks = np.array([lang_mark(x) for x in batch.column(0).to_pylist()], np.uint64)
-            at = ((shingle_stream(hashes, m)[::m] ^ marks) >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+            at = ((shingle_stream(held, m)[::m] ^ marks) >> Bits.shift).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at // size, pa.int32()), pa.array(at % size, pa.int32())], ["segment", "bit"])
 
     def filled(batches):
@@ -164,207 +176,165 @@ def known_phrases(phrases: DataFrame, m: int) -> Bits:
             segments, bits = (c.to_numpy() for c in batch.columns)
             for segment in np.unique(segments).tolist():
                 made[segment][bits[segments == segment]] = 1
-        yield _segment_batch(list(made), [np.packbits(x, bitorder="little").tobytes() for x in made.values()])
-
-    rows = phrases.select("lang", "phrase").mapInArrow(positions, "segment int, bit int").repartition(SEGMENTS, "segment")
-    return _collected(rows.mapInArrow(filled, "segment int, bits binary"), KNOWN_BITS)
-
-
-def full_buckets(texts: DataFrame, m: int, known: list[Bits]) -> Bits:
-    """The buckets of phrases of m words that reach LEAST, over all texts."""
-    size, shared = (1 << BUCKET_BITS) // SEGMENTS, texts.sparkSession.sparkContext.broadcast(known)
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in made.values()], pa.binary())], ["segment", "bits"])
+
+    rows = counts.select("lang", "words").mapInArrow(positions, "segment int, bit int").repartition(SEGMENTS, "segment").mapInArrow(filled, "segment int, bits binary")
+    return Bits({r.segment: bytes(r.bits) for r in rows.collect()})
+
+
+def shards_of(rows: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """A prefix's shard; rows of an empty or a hot prefix, or one that begins with a hot pair, go by the next word, too."""
+    m = rows.shape[1]
+    key = np.zeros(len(rows), np.uint64)
+    for i in range(m - 1):
+        key = mix(key + rows[:, i] + np.uint64(i + 1))
+    begins = key if m < 4 else mix(mix(rows[:, 0] + np.uint64(1)) + rows[:, 1] + np.uint64(2))
+    spread = np.ones(len(rows), bool) if m == 1 else np.isin(begins, hot)
+    key[spread] = mix(key[spread] + rows[spread, m - 1])
+    return (key % np.uint64(shards)).astype(np.int64)
+
+
+def _hot_keys(table: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """Totals and entries that make up more than one in HOT_SHARE of n words, at most HOT_SHARE; as rows and as shard keys."""
+    found = table.where((F.col("n") > max(LEAST, n // HOT_SHARE)) & ~F.col("total")).collect()
+    keys = []
+    for r in found:
+        key = np.zeros(1, np.uint64)
+        for i, w in enumerate(r.words):
+            key = mix(key + np.array([w], np.int64).view(np.uint64) + np.uint64(i + 1))
+        keys.append(key[0])
+    return found, np.array(keys, np.uint64)
+
+
+def stripes(texts: DataFrame, m: int, known: list[Bits], hot: np.ndarray, shards: int) -> DataFrame:
+    """COUNTS of the merged stripes of texts (lang, text) whose prefixes have m - 1 words: entries, and totals without a last word."""
+    shared, most = texts.sparkSession.sparkContext.broadcast((known, hot)), MOST_HELD
+
+    def handed_on(lang: str, parts: list[tuple[np.ndarray, np.ndarray]]):
+        rows, counts = merged(np.vstack([r for r, _ in parts]), np.concatenate([c for _, c in parts]))
+        shard = shards_of(rows, shared.value[1], shards)
+        order = np.argsort(shard, kind="stable")
+        rows, counts, shard = rows[order], counts[order], shard[order]
+        cuts = [*np.flatnonzero(np.diff(shard, prepend=-1)).tolist(), len(shard)]
+        for i in range(0, len(cuts) - 1, 1000):
+            spans = list(zip(cuts[i : i + 1000], cuts[i + 1 : i + 1001], strict=False))
+            columns = [[lang] * len(spans), [int(shard[a]) for a, _ in spans], [rows[a:b].tobytes() for a, b in spans], [counts[a:b].astype(np.int64).tobytes() for a, b in spans]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["lang", "shard", "words", "counts"])
 
     def count(batches):
-        held = np.zeros(1 << BUCKET_BITS, np.uint8)
-        for _, block in texts_by_lang(batches):
-            found = (block.grams(m)[block.candidates(m, shared.value)] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            at, n = np.unique(found, return_counts=True)
-            held[at] = np.minimum(held[at] + n, LEAST)
-        parts = held.reshape(SEGMENTS, size)
-        some = np.flatnonzero(parts.any(axis=1)).tolist()
-        for i in some:
-            yield _segment_batch([i], [parts[i].tobytes()])
-
-    def merged(batches):
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for segment, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = made.setdefault(segment, np.zeros(size, np.uint8))
-                np.minimum(own + np.frombuffer(counts, np.uint8), LEAST, out=own)  # both are at most LEAST
-        yield _segment_batch(list(made), [np.packbits(x >= LEAST, bitorder="little").tobytes() for x in made.values()])
-
-    rows = texts.mapInArrow(count, "segment int, bits binary").repartition(SEGMENTS, "segment")
-    return _collected(rows.mapInArrow(merged, "segment int, bits binary"), BUCKET_BITS)
-
-
-class Counter:
-    """A task's stripes: by language and prefix, how often the prefix occurs, and how often each next word follows."""
-
-    def __init__(self, hot: dict[tuple[str, str], int]):
-        self.hot = hot
-        self.nexts: dict[tuple[str, bytes], dict[bytes, int]] = {}
-        self.totals: dict[tuple[str, bytes], int] = {}
-        self.held = 0
-
-    def add(self, lang: str, block: Block, m: int, known: list[Bits], full: Bits | None) -> None:
-        """Counts a block's phrases of m words, and their prefixes."""
-        part = block.frequent(m - 1, known)
-        if m == 1:
-            self.totals[lang, b""] = self.totals.get((lang, b""), 0) + len(part)
-        else:
-            for prefix, word, n in block.counted(m - 1, np.flatnonzero(part)):
-                key = lang, (prefix + b" " + word if prefix else word)
-                self.totals[key] = self.totals.get(key, 0) + n
-        found = block.candidates(m, known)
-        if full is not None:
-            found[found] = full[block.grams(m)[found]]
-        for prefix, word, n in block.counted(m, np.flatnonzero(found)):
-            stripe = self.nexts.setdefault((lang, prefix), {})
-            before = len(stripe)
-            stripe[word] = stripe.get(word, 0) + n
-            self.held += len(stripe) - before
-
-    def _long(self, lang: str, prefix: str) -> bool:
-        return not prefix or (lang, prefix) in self.hot or (prefix.count(" ") > 1 and (lang, prefix.rpartition(" ")[0]) in self.hot)
-
-    def rows(self) -> Iterator[tuple]:
-        """The stripes, hot ones in slots; the total is in the first row of each."""
-        for key in dict.fromkeys([*self.totals, *self.nexts]):
-            lang, prefix, total, stripe = key[0], key[1].decode(), self.totals.get(key, 0), self.nexts.get(key, {})
-            slots: dict[int, tuple[list, list]] = {0: ([], [])}
-            long = self._long(lang, prefix)
-            for word, n in stripe.items():
-                held, counts = slots.setdefault(zlib.crc32(word) % SLOTS if long else 0, ([], []))
-                held.append(word.decode())
-                counts.append(n)
-            for slot, (held, counts) in slots.items():
-                yield lang, prefix, slot, total if slot == 0 else 0, held, counts
-        self.nexts, self.totals, self.held = {}, {}, 0
-
-
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * len(STRIPE_KINDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, STRIPE_KINDS, strict=True)], [x.split()[0] for x in STRIPES.split(", ")])
-
-
-def _handed_on(counter: Counter) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for row in counter.rows():
-        rows.append(row)
-        if len(rows) == 5000:
-            yield _table(rows)
-            rows = []
-    yield _table(rows)
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes of one key, next to each other, added up elementwise; entries and totals below LEAST are of no use."""
-    now, total, stripe, out = None, 0, {}, []
-
-    def done() -> None:
-        kept = {w: n for w, n in stripe.items() if n >= LEAST}
+        known, _ = shared.value
+        held: dict[str, list] = defaultdict(list)
+        size = 0
+        for block in texts_by_lang(batches):
+            found = block.stripes(m, known)
+            held[block.lang].append(found)
+            size += len(found[1])
+            if size >= most:
+                for lang, parts in held.items():
+                    held[lang] = [merged(np.vstack([r for r, _ in parts]), np.concatenate([c for _, c in parts]))]
+                size = sum(len(c) for parts in held.values() for _, c in parts)
+                if size >= most // 2:
+                    for lang, parts in held.items():
+                        yield from handed_on(lang, parts)
+                    held.clear()
+                    size = 0
+        for lang, parts in held.items():
+            yield from handed_on(lang, parts)
+
+    def of_shard(lang: str, parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        rows, n = merged(np.vstack([np.frombuffer(w, np.uint64).reshape(-1, m) for w, _ in parts]), np.concatenate([np.frombuffer(c, np.int64) for _, c in parts]))
         # the empty prefix keeps its total in any case: it is the number of words
-        if kept or total >= LEAST or not now[1]:
-            out.append((*now, total, list(kept), list(kept.values())))
-
-    for batch in batches:
-        for lang, prefix, slot, n, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (lang, prefix, slot) != now:
-                if now is not None:
-                    done()
-                now, total, stripe = (lang, prefix, slot), 0, {}
-            total += n
-            for word, count in zip(words, counts, strict=True):
-                stripe[word] = stripe.get(word, 0) + count
-        if out:
-            yield _table(out)
-            out = []
-    if now is not None:
-        done()
-        yield _table(out)
-
-
-def stripes(texts: DataFrame, m: int, known: list[Bits], full: Bits | None, hot: dict[tuple[str, str], int]) -> DataFrame:
-    """Merged stripes of texts (lang, text) whose prefixes have m - 1 words."""
-    shared, most = texts.sparkSession.sparkContext.broadcast((known, full, hot)), MOST_HELD
-
-    def count(batches):
-        known, full, hot = shared.value
-        counter = Counter(hot)
-        for lang, block in texts_by_lang(batches):
-            counter.add(lang, block, m, known, full)
-            if counter.held + len(counter.totals) >= most:
-                yield from _handed_on(counter)
-        yield from _handed_on(counter)
-
-    dealt = texts.mapInArrow(count, STRIPES).repartition("lang", "prefix", "slot").sortWithinPartitions("lang", "prefix", "slot")
-    return written(dealt.mapInArrow(_merged, STRIPES), "stripes")
-
-
-def _hot(phrases: DataFrame, n: int) -> dict[tuple[str, str], int]:
-    """(lang, phrase): count of those that make up more than one in HOT_SHARE of n words: at most HOT_SHARE for a length."""
-    return {(r.lang, r.phrase): r.f for r in phrases.where(F.col("f") > max(LEAST, n // HOT_SHARE)).select("lang", "phrase", "f").collect()}
-
-
-def phrases_of(table: DataFrame) -> DataFrame:
-    """lang, phrase, n_words, f: the entries of merged stripes, each a prefix and one of its next words."""
-    entries = table.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    named = F.concat_ws(" ", F.when(F.col("prefix") != "", F.col("prefix")), F.col("e.words"))
-    n_words = F.when(F.col("prefix") == "", 1).otherwise(F.size(F.split("prefix", " ")) + 1)
-    return entries.select("lang", named.alias("phrase"), n_words.alias("n_words"), F.col("e.counts").alias("f"))
-
-
-def _part(words: Column, begin: Column | int, length: Column | int) -> Column:
-    return F.array_join(F.slice(words, begin, length), " ")
-
-
-def _with_counts(asked: DataFrame, counts: DataFrame, hot: dict[tuple[str, str], int]) -> DataFrame:
+        keep = (n >= LEAST) | ((m == 1) & (rows[:, -1] == 0))
+        rows, n = rows[keep], n[keep]
+        total = rows[:, -1] == 0
+        lists = [x[: m - 1] if t else x for x, t in zip(rows.view(np.int64).tolist(), total.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(lists, pa.list_(pa.int64())), pa.array(total), pa.array(n, pa.int64())], ["lang", "words", "total", "n"])
+
+    def merge(batches):
+        now, parts = None, []
+        for batch in batches:
+            for lang, shard, rows, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, shard) != now:
+                    if parts:
+                        yield of_shard(now[0], parts)
+                    now, parts = (lang, shard), []
+                parts.append((rows, counts))
+        if parts:
+            yield of_shard(now[0], parts)
+
+    dealt = texts.mapInArrow(count, PIECES).repartition("lang", "shard").sortWithinPartitions("lang", "shard")
+    return written(dealt.mapInArrow(merge, COUNTS), "stripes")
+
+
+def named(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """lang, words, phrase: the texts of phrases (lang, words) of 2 and more words, from a last pass over the texts."""
+    known = {m: known_phrases(phrases.where(F.size("words") == m), m) for m in range(2, MOST_WORDS + 1)}
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def read(batches):
+        seen: set[tuple[str, int, int]] = set()
+        for block in texts_by_lang(batches):
+            lists, said = [], []
+            for m, bits in shared.value.items():
+                found, grams = block.together[m - 1].copy(), block.grams(m)
+                found[found] = bits[grams[found]]
+                rows, _, at = block.rows(m, np.flatnonzero(found))
+                for row, place, gram in zip(rows.view(np.int64).tolist(), at.tolist(), grams[at].tolist(), strict=True):
+                    if (block.lang, m, gram) not in seen:
+                        seen.add((block.lang, m, gram))
+                        lists.append(row)
+                        said.append(block.text(place, m))
+            if len(seen) > MOST_HELD:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([block.lang] * len(said), pa.string()), pa.array(lists, pa.list_(pa.int64())), pa.array(said, pa.string())], ["lang", "words", "phrase"])
+
+    told = texts.mapInArrow(read, "lang string, words array<long>, phrase string").groupBy("lang", "words").agg(F.min("phrase").alias("phrase"))
+    return phrases.hint("merge").join(told.hint("merge"), ["lang", "words"])
+
+
+def _with_counts(asked: DataFrame, counts: DataFrame, hot: list) -> DataFrame:
     """asked (lang, part, ...) with f of each part: hot ones from a broadcast list, the others by a join on the part."""
-    spark = asked.sparkSession
-    listed = spark.createDataFrame([(*k, f) for k, f in hot.items()], "hot_lang string, hot_part string, hot_f long")
+    listed = asked.sparkSession.createDataFrame([(r.lang, r.words, r.n) for r in hot], "hot_lang string, hot_part array<long>, hot_f long")
     both = written(asked.join(F.broadcast(listed), (F.col("lang") == F.col("hot_lang")) & (F.col("part") == F.col("hot_part")), "left").drop("hot_lang", "hot_part"), "asked")
-    rest = both.where(F.col("hot_f").isNull()).drop("hot_f").hint("merge").join(counts.withColumnRenamed("phrase", "part").hint("merge"), ["lang", "part"])
+    rest = both.where(F.col("hot_f").isNull()).drop("hot_f").hint("merge").join(counts.select("lang", F.col("words").alias("part"), F.col("n").alias("f")).hint("merge"), ["lang", "part"])
     return both.where(F.col("hot_f").isNotNull()).withColumnRenamed("hot_f", "f").unionByName(rest)
 
 
-def totals_of(table: DataFrame) -> DataFrame:
-    """lang, phrase, f: the prefixes of merged stripes. A stripe's total is in its first slot."""
-    return table.where((F.col("prefix") != "") & (F.col("slot") == 0) & (F.col("total") >= LEAST)).select("lang", F.col("prefix").alias("phrase"), F.col("total").alias("f"))
-
-
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first phrases by score, descending, then a, then phrase."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    tables = [stripes(texts, 1, [], None, {})]
-    sizes = tables[0].groupBy("lang").agg(F.sum("total").alias("n"))
-    n_words = sizes.agg(F.sum("n")).first()[0] or 0
-    hot: dict[tuple[str, str], int] = {}
-    known: list[Bits] = []
+    # at least 16 bytes a shard's word, so that the first pass needs no count
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(16, -(-chars // (4 * SHARD_WORDS)))
+    tables = [stripes(texts, 1, [], np.zeros(0, np.uint64), shards)]
+    sizes = tables[0].where("total").groupBy("lang").agg(F.sum("n").alias("size"))
+    n_words = sizes.agg(F.sum("size")).first()[0] or 0
+    hot, keys, known = [], np.zeros(0, np.uint64), []
     for m in range(2, MOST_WORDS + 1):
-        shorter = phrases_of(tables[-1])
-        hot |= _hot(shorter, n_words)
-        known.append(known_phrases(shorter, m - 1))
-        tables.append(stripes(texts, m, known, full_buckets(texts, m, known), hot))
+        more, more_keys = _hot_keys(tables[-1], n_words)
+        hot, keys = hot + more, np.concatenate([keys, more_keys])
+        known.append(known_phrases(tables[-1].where("not total"), m - 1))
+        tables.append(stripes(texts, m, known, keys, shards))
     longer = reduce(DataFrame.unionByName, tables[1:])
-    counts, phrases = totals_of(longer), phrases_of(longer)
+    counts, phrases = longer.where("total").drop("total"), longer.where("not total").select("lang", "words", F.col("n").alias("a"))
     # the cut of each phrase that scores lowest
-    cuts = phrases.withColumn("w", F.split("phrase", " ")).select("lang", "phrase", "n_words", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k"))
-    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), _part(F.col("w"), F.lit(1), F.col("k")).alias("part")), F.struct(F.lit("r").alias("side"), _part(F.col("w"), F.col("k") + 1, F.col("n_words") - F.col("k")).alias("part"))))
-    asked = cuts.select("lang", "phrase", "n_words", "a", "k", sides.alias("s")).select("lang", "phrase", "n_words", "a", "k", "s.side", "s.part")
-    known = _with_counts(asked, counts, hot)
-    scored = known.groupBy("lang", "phrase", "n_words", "a", "k").agg(F.max(F.when(F.col("side") == "l", F.col("f"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("f"))).alias("r"))
+    cuts = phrases.select("lang", "words", "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
+    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.slice("words", F.lit(1), F.col("k")).alias("part")), F.struct(F.lit("r").alias("side"), F.slice("words", F.col("k") + 1, F.size("words") - F.col("k")).alias("part"))))
+    asked = cuts.select("lang", "words", "a", "k", sides.alias("s")).select("lang", "words", "a", "k", "s.side", "s.part")
+    scored = _with_counts(asked, counts, hot).groupBy("lang", "words", "a", "k").agg(F.max(F.when(F.col("side") == "l", F.col("f"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("f"))).alias("r"))
     scored = scored.withColumn("score", F.expr(f"cast(a as decimal(20, 0)) * {SCALE} div (cast(l as decimal(20, 0)) + cast(r as decimal(20, 0)))"))
-    scored = scored.groupBy("lang", "phrase", "n_words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    scored = scored.groupBy("lang", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     # how far a phrase reaches to the right is the largest entry of its own stripe; to the left, the phrases that end in it
-    right = longer.where(F.size("counts") > 0).select("lang", F.col("prefix").alias("phrase"), F.array_max("counts").alias("reach"))
-    left = phrases.where(F.col("n_words") > 2).select("lang", F.regexp_replace("phrase", "^[^ ]+ ", "").alias("phrase"), F.col("f").alias("reach"))
-    reach = right.unionByName(left).groupBy("lang", "phrase").agg(F.max("reach").alias("reach"))
-    left_over = scored.hint("merge").join(reach.hint("merge"), ["lang", "phrase"], "left").where(F.coalesce(F.col("reach").cast("decimal(20, 0)") * 100 < F.col("a").cast("decimal(20, 0)") * SUBSUMED, F.lit(True)))
+    three = phrases.where(F.size("words") > 2)
+    ends = [F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1)]
+    reach = reduce(DataFrame.unionByName, [three.select("lang", e.alias("words"), F.col("a").alias("reach")) for e in ends]).groupBy("lang", "words").agg(F.max("reach").alias("reach"))
+    free = F.coalesce(F.col("reach").cast("decimal(20, 0)") * 100 < F.col("a").cast("decimal(20, 0)") * SUBSUMED, F.lit(True))
+    left_over = written(scored.hint("merge").join(reach.hint("merge"), ["lang", "words"], "left").where(free).drop("reach"), "left_over")
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = left_over.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = named(texts, left_over).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     numbered = ranked.hint("merge").join(sizes.hint("merge"), "lang")
-    found = written(numbered.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score"), "found")
-    remove(*tables)
+    found = written(numbered.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", F.col("size").alias("n"), "cut.score"), "found")
+    remove(*tables, left_over)
     return found
 
 

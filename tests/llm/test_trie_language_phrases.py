@@ -185,21 +185,31 @@ def test_collocations_of_nothing(spark):
     assert stripes.collocations(spark.createDataFrame([(None, None), ("a b", "en")], "text string, lang string")).count() == 0
 
 
-def test_tables_of_bits(spark):
-    rows = [("en", f"w{i} x") for i in range(3000)]
-    full = stripes.known_phrases(spark.createDataFrame(rows, "lang string, phrase string").repartition(3), 2)
+def block_of(lang, texts):
+    return stripes.Block(lang, np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
 
-    def block(lang, texts):
-        raw = np.frombuffer("".join(texts).encode(), np.uint8)
-        return stripes.Block(lang, raw, np.cumsum([0, *map(len, texts)]))
 
-    own = block("en", [p for _, p in rows])
+def test_tables_of_bits(spark):
+    texts = [f"w{i} x" for i in range(3000)]
+    own, other = block_of("en", texts), block_of("de", texts)
     starts = np.flatnonzero(own.together[1])
-    assert len(starts) == 3000 and full[own.grams(2)[starts]].all()
-    other = block("de", [p for _, p in rows])
-    assert full[other.grams(2)[starts]].sum() < 30 and not stripes.Bits(stripes.KNOWN_BITS, {})[own.grams(2)].any()
-    small = block("en", ["A b. c\td", "e f"])
-    assert sorted(small.counted(2, np.flatnonzero(small.together[1]))) == [(b"a", b"b", 1), (b"c", b"d", 1), (b"e", b"f", 1)]
+    rows = [("en", x) for x in own.rows(2, starts)[0].view(np.int64).tolist()]
+    full = stripes.known_phrases(spark.createDataFrame(rows, "lang string, words array<long>").repartition(3), 2)
+    assert len(rows) == 3000 and full[own.grams(2)[starts]].all()
+    assert full[other.grams(2)[starts]].sum() < 30 and not stripes.Bits({})[own.grams(2)].any()
+
+
+def test_phrases_stay_in_their_piece_and_stripes_add_up():
+    small = block_of("en", ["A b. c\td", "e f", "a  b"])
+    rows, counts, at = small.rows(2, np.flatnonzero(small.together[1]))
+    assert sorted((small.text(i, 2), n) for i, n in zip(at.tolist(), counts.tolist(), strict=True)) == [("a b", 2), ("c d", 1), ("e f", 1)]
+    twice, n = stripes.merged(np.vstack([rows, rows]), np.concatenate([counts, counts]))
+    assert sorted(map(tuple, twice.tolist())) == sorted(map(tuple, rows.tolist())) and n.sum() == 2 * counts.sum()
+    hot = np.zeros(0, np.uint64)
+    same = np.hstack([np.repeat(rows[:1, :1], 50, axis=0), np.arange(50, dtype=np.uint64)[:, None]])
+    assert len(set(stripes.shards_of(same, hot, 16).tolist())) == 1
+    key = stripes.mix(same[:1, 0] + np.uint64(1))
+    assert len(set(stripes.shards_of(same, key, 16).tolist())) > 8 and len(set(stripes.shards_of(same[:, 1:], hot, 16).tolist())) > 8
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
