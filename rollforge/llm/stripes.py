@@ -11,7 +11,7 @@ two words of one hash would be taken for one. Phrases of 1, 2, 3 and 4 words are
 Every part of a phrase that occurs LEAST times does so, too, so only phrases whose two parts of one word less are frequent
 are looked at. Tasks know the frequent ones of the length before by a bit table of fixed size: what it lets through by
 mistake costs time and is counted like the rest, and what is rare in the end is dropped by its exact count. A last pass
-reads the texts of the phrases that are left.
+reads the texts of the phrases whose score and count may be among a language's first; ties for the last place all stay.
 
 A piece belongs to a shard, by its prefixes' hashes, and the next words' too where a prefix makes up more than one in
 HOT_SHARE of all words (there are at most HOT_SHARE of those for a length), or is empty, or begins with such a pair. There
@@ -329,7 +329,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     ends = [F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1)]
     reach = reduce(DataFrame.unionByName, [three.select("lang", e.alias("words"), F.col("a").alias("reach")) for e in ends]).groupBy("lang", "words").agg(F.max("reach").alias("reach"))
     free = F.coalesce(F.col("reach").cast("decimal(20, 0)") * 100 < F.col("a").cast("decimal(20, 0)") * SUBSUMED, F.lit(True))
-    left_over = written(scored.hint("merge").join(reach.hint("merge"), ["lang", "words"], "left").where(free).drop("reach"), "left_over")
+    # ties for the last place stay until their texts are known
+    by_score = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"))
+    best = scored.hint("merge").join(reach.hint("merge"), ["lang", "words"], "left").where(free).drop("reach").withColumn("place", F.rank().over(by_score)).where(F.col("place") <= top).drop("place")
+    left_over = written(best, "left_over")
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
     ranked = named(texts, left_over).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     numbered = ranked.hint("merge").join(sizes.hint("merge"), "lang")
