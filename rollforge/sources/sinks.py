@@ -40,6 +40,19 @@ def write_result_bundle(samples: DataFrame, filtered: DataFrame, raw_pairs: Data
         samples.unpersist()
 
 
+def publish_result_bundle(samples: DataFrame, filtered: DataFrame, raw_pairs: DataFrame, smart_pairs: DataFrame, stats: DataFrame, path: str) -> str:
+    """A result bundle whose outputs all appear at once; a later bundle of the path replaces it. Gives the bundle's folder."""
+    return publish(samples.sparkSession, path, lambda out: write_result_bundle(samples, filtered, raw_pairs, smart_pairs, stats, out), first=False)
+
+
+def result_bundle(spark: SparkSession, path: str) -> str:
+    """The folder of the newest whole bundle that was published below path."""
+    found = published(spark, path, first=False)
+    if found is None:
+        raise FileNotFoundError(f"no finished bundle in {path}")
+    return found
+
+
 def append_snapshot(samples: DataFrame, path: str, step: int) -> None:
     """The rows of one checkpoint step; writing a step again replaces it, at once for every reader."""
     rows = samples.withColumn("step", F.lit(step))

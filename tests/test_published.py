@@ -142,3 +142,29 @@ def test_messages_that_are_no_json_are_told_apart(spark):
     df = spark.createDataFrame([(t,) for t in texts], "value string")
     got = [(r.type, r.data.x if r.data else None, r.sent_at is not None, r.bad) for r in envelopes.unwrap(df, "x string").collect()]
     assert got == [("x", "1", True, False), (None, "2", False, False), (None, None, False, True), (None, None, False, True), ("x", None, False, False), ("x", None, False, False), (None, None, False, True)]
+
+
+def test_a_bundle_is_read_whole_or_not_at_all(spark):
+    path = new_path(spark, "bundle")
+    schema = "problem_id string, reasoning string, is_correct boolean"
+    pair = "prompt string, chosen string, rejected string"
+
+    def publish_rows(n, stats):
+        rows = spark.createDataFrame([(str(i), f"text {i}", i % 2 == 0) for i in range(n)], schema)
+        raw = spark.createDataFrame([("p", "c", "r")] * n, pair)
+        return sinks.publish_result_bundle(rows, rows, raw, spark.createDataFrame([], pair), stats, path)
+
+    counted = lambda: {p: spark.read.json(f"{sinks.result_bundle(spark, path)}/{p}").count() for p in ("all", "by_verdict", "filtered", "full_pairs", "dpo_pairs", "stats")}
+    # the last output fails, after all others were written
+    broken = spark.range(1).select(F.raise_error(F.lit("gone")).alias("n"))
+    with pytest.raises(Exception, match="gone"):
+        publish_rows(2, broken)
+    with pytest.raises(FileNotFoundError):
+        sinks.result_bundle(spark, path)
+    publish_rows(3, spark.range(1))
+    assert counted() == {"all": 3, "by_verdict": 3, "filtered": 3, "full_pairs": 3, "dpo_pairs": 3, "stats": 1}
+    with pytest.raises(Exception, match="gone"):
+        publish_rows(5, broken)
+    assert counted()["all"] == 3
+    publish_rows(4, spark.range(1))
+    assert counted() == {"all": 4, "by_verdict": 4, "filtered": 4, "full_pairs": 4, "dpo_pairs": 4, "stats": 1}
