@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rollforge.functions import hooks
 from rollforge.functions.text import eval_step_count
@@ -34,11 +35,22 @@ def _opened(messages: DataFrame, data: str) -> DataFrame:
     return messages.withColumn("e", F.from_json("value", f"type string, data struct<{data}>, timestamp double")).select("key", "topic", "e.type", "e.data.*")
 
 
-def _source(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """rows as files, read as a stream a few files at a time."""
+def _files(spark: SparkSession, sf_dir: str, table: str) -> int:
+    """Into how many files the rows that come from a table go: more for a larger table, so that a file's size is bounded."""
+    return 4 * read(spark, sf_dir, table).rdd.getNumPartitions()
+
+
+def _read_in_turns(spark: SparkSession, path: str, schema: StructType, turns: int = 2) -> DataFrame:
+    """A folder's files as a stream that takes them in a few turns, however many there are; each turn reads them side by side."""
+    n = len(spark.read.schema(schema).parquet(path).inputFiles())
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-n // turns))).parquet(path)
+
+
+def _source(spark: SparkSession, rows: DataFrame, sf_dir: str, table: str = "lineitem") -> DataFrame:
+    """rows as files, read as a stream in a few turns."""
     path = new_path(spark, "topic")
-    rows.repartition(4).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    rows.repartition(_files(spark, sf_dir, table)).write.parquet(path)
+    return _read_in_turns(spark, path, rows.schema)
 
 
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -69,20 +81,20 @@ def kafka_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _wrapped(rollouts(spark, sf_dir)).withColumns({"partition": (number % 4).cast("int"), "offset": sample.cast("long")})
     held = held.withColumn("value", F.when(number % 97 == 0, F.substring("value", 2, 40)).otherwise(F.col("value")))
     records = held.select(F.col("key").cast("binary"), F.col("value").cast("binary"), "topic", "partition", "offset")
-    return _run(spark, envelopes.decode(_source(spark, records), ROLLOUT)).select("key", "topic", "partition", "offset", "type", "data.sample_idx", "bad")
+    return _run(spark, envelopes.decode(_source(spark, records, sf_dir), ROLLOUT)).select("key", "topic", "partition", "offset", "type", "data.sample_idx", "bad")
 
 
 @query(f"WITH {ROLLOUTS} SELECT problem_id AS key, 'raw_reasoning_data' AS topic, (problem_idx % 3)::INTEGER AS partition, 'raw_reasoning' AS type, sample_idx, reasoning FROM rollouts")
 def kafka_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stream hands to the sink, with an explicit partition: written by a stream of the same columns."""
     rows = rollouts(spark, sf_dir).select("problem_id", "problem_idx", "sample_idx", "reasoning", "expected")
-    sent = _run(spark, _wrapped(_source(spark, rows), F.col("problem_idx") % 3))
+    sent = _run(spark, _wrapped(_source(spark, rows, sf_dir), F.col("problem_idx") % 3))
     return sent.withColumn("e", F.from_json("value", "type string, data struct<sample_idx:long,reasoning:string>")).select("key", "topic", "partition", "e.type", "e.data.sample_idx", "e.data.reasoning")
 
 
 @query(f"WITH {GRADED} SELECT problem_id AS key, 'verified_paths' AS topic, 'verified_path' AS type, problem_id, sample_idx, reasoning, is_correct, CASE WHEN status = 'incorrect' THEN 0.0 ELSE 1.0 END::DOUBLE AS verification_confidence FROM graded WHERE NOT {BROKEN}")
 def stream_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(spark, pipelines.stream_verify(_source(spark, _messages(spark, sf_dir))))
+    out = _run(spark, pipelines.stream_verify(_source(spark, _messages(spark, sf_dir), sf_dir)))
     return _opened(out, "problem_id:string,sample_idx:long,reasoning:string,is_correct:boolean,verification_confidence:double")
 
 
@@ -90,16 +102,16 @@ def stream_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_verify_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message is sent twice, in files that come at different times; each path is graded once."""
     path, rows = new_path(spark, "topic"), _messages(spark, sf_dir)
-    rows.repartition(2).write.parquet(path)
-    rows.repartition(2).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    for _ in range(2):
+        rows.repartition(_files(spark, sf_dir, "lineitem")).write.mode("append").parquet(path)
+    stream = _read_in_turns(spark, path, rows.schema)
     return _run(spark, pipelines.verify_once(stream, "3650 days")).select("problem_id", "path_hash", "is_correct", "verification_confidence")
 
 
 @query(f"WITH {GRADED} SELECT problem_id AS key, 'training_data' AS topic, 'training_sample' AS type, problem_id, sample_idx, reasoning FROM graded WHERE is_correct AND NOT {BROKEN}")
 def stream_to_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     verified = pipelines.stream_verify(_messages(spark, sf_dir))
-    return _opened(_run(spark, pipelines.stream_to_training(_source(spark, verified))), "problem_id:string,sample_idx:long,reasoning:string")
+    return _opened(_run(spark, pipelines.stream_to_training(_source(spark, verified, sf_dir))), "problem_id:string,sample_idx:long,reasoning:string")
 
 
 @query("SELECT topic, sum(n)::BIGINT AS n FROM (SELECT 'raw_reasoning_data' AS topic, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'verified_paths', count(*) FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT 'training_data', count(*) FROM orders WHERE o_orderkey % 3 = 2) GROUP BY 1")
@@ -115,14 +127,14 @@ def stream_micro_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
     path = new_path(spark, "batches")
     writer = pipelines.process_each(lambda batch: batch.withColumn("error", F.when(F.col("value").isNull(), "no value")), path)
-    _source(spark, events).writeStream.foreachBatch(writer).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    _source(spark, events, sf_dir, "events").writeStream.foreachBatch(writer).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("SELECT event_type AS key, count(*) AS n, round(sum(2 * value), 2) AS total, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
 def stream_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "event_id", "value")
-    out = _run(spark, pipelines.bridge(_source(spark, events), lambda rows: rows.withColumn("value", F.col("value") * 2)))
+    out = _run(spark, pipelines.bridge(_source(spark, events, sf_dir, "events"), lambda rows: rows.withColumn("value", F.col("value") * 2)))
     back = out.withColumn("r", F.from_json("value", "processed boolean, data struct<event_id:long,value:double>")).where("r.processed")
     return back.groupBy("key").agg(F.count("r.data.event_id").alias("n"), F.round(F.sum("r.data.value"), 2).alias("total"), F.sum("r.data.event_id").alias("ids"))
 
@@ -132,9 +144,9 @@ def stream_batcher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 50; the end of the source, a row without an item for each key, flushes what a key still holds."""
     events = read(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("item"))
     path = new_path(spark, "topic")
-    events.repartition(4).write.parquet(path)
+    events.repartition(_files(spark, sf_dir, "events")).write.parquet(path)
     events.select("key", F.lit(None).cast("string").alias("item")).distinct().coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    stream = _read_in_turns(spark, path, events.schema)
     with pipelines.state_in_rocksdb(spark):
         out = _run(spark, pipelines.stream_batcher(stream, "key", "item", 50, idle_ms=None))
     ids = F.aggregate("items", F.lit(0).cast("long"), lambda total, item: total + item.cast("long"))
@@ -147,7 +159,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     good = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("data")))
     bad = F.concat(F.lit('{"type":"'), "event_type", F.lit('"'))
-    counted = pipelines.stream_counts(_source(spark, events.select(F.when(F.col("value") < 5, bad).otherwise(good).alias("value"))))
+    counted = pipelines.stream_counts(_source(spark, events.select(F.when(F.col("value") < 5, bad).otherwise(good).alias("value")), sf_dir, "events"))
     path = new_path(spark, "counts")
     last = lambda batch, _: batch.write.mode("overwrite").parquet(path)
     counted.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()

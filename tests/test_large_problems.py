@@ -62,3 +62,23 @@ def test_raw_pairs_are_made_only_without_ranked_ones(spark, tmp_path):
     for least, times in ((0.2, 0), (2.0, 1)):
         sinks.write_result_bundle(df, df, raw, pairs.smart_pair_join(df, least), df, f"file://{tmp_path}/{times}")
         assert len(asked) == times and spark.read.json(f"file://{tmp_path}/{times}/dpo_pairs").count() == 1
+
+
+def test_streams_deal_larger_tables_out_over_more_files(spark, tmp_path, monkeypatch):
+    """A file of a stream's source does not grow with the table, and the number of turns does not either."""
+    from rollforge.plans import streams
+
+    rows = spark.range(4000).selectExpr("id as l_orderkey", "repeat('x', 50) as value")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        for parts in (1, 6):
+            rows.repartition(parts).write.parquet(f"file://{tmp_path}/{parts}/lineitem.parquet")
+            monkeypatch.setattr(streams, "new_path", lambda _, name: f"file://{tmp_path}/{parts}/{name}")  # noqa: B023
+            stream = streams._source(spark, rows, f"file://{tmp_path}/{parts}")
+            query = stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/{parts}/out").option("checkpointLocation", f"file://{tmp_path}/{parts}/at").trigger(availableNow=True).start()
+            query.awaitTermination()
+            assert len([p for p in query.recentProgress if p["numInputRows"]]) == 2
+            assert spark.read.parquet(f"file://{tmp_path}/{parts}/out").count() == 4000
+            assert len(spark.read.parquet(f"file://{tmp_path}/{parts}/topic").inputFiles()) == 4 * parts
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
