@@ -82,3 +82,21 @@ def test_streams_deal_larger_tables_out_over_more_files(spark, tmp_path, monkeyp
             assert len(spark.read.parquet(f"file://{tmp_path}/{parts}/topic").inputFiles()) == 4 * parts
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_tokenizer_gets_bounded_blocks(spark):
+    """However many texts a batch has, a call gets few characters; ids and nulls stay with their rows."""
+    from rollforge.functions import hooks
+
+    def make():
+        def coded(texts):
+            assert len(texts) == 1 or sum(map(len, texts)) <= 500_000
+            return [[len(t), len(texts)] for t in texts]
+
+        return coded
+
+    rows = [(i, None if i % 7 == 3 else "x" * (i % 9) * 20_000) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, text string").coalesce(1)
+    got = {r.i: r.ids for r in df.select("i", hooks.tokenizer_hook(make)("text").alias("ids")).collect()}
+    assert {i: ids and ids[0] for i, ids in got.items()} == {i: None if t is None else len(t) for i, t in rows}
+    assert list(hooks._blocks(["a" * 60, "b" * 50, "c" * 300, "", "d"], 100)) == [["a" * 60], ["b" * 50], ["c" * 300], ["", "d"]]
