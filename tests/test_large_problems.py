@@ -55,6 +55,30 @@ def test_only_close_sets_are_fetched(spark, monkeypatch):
     assert made["pairs"].count() <= 2 * len(want)
 
 
+def test_words_of_a_set_are_held_once(spark, monkeypatch):
+    """A pass keeps words in one table: what sets are found by has none, and small groups are compared in their pass."""
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        words = rows[-1][2].split() if i % 3 else [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        words[: 3 * (i % 3)] = [f"new{i}x{j}" for j in range(3 * (i % 3))]
+        rows.append(("pq"[i % 2], i, " ".join(words), rng.random()))
+    df = spark.createDataFrame(rows, "problem_id string, sample_idx long, reasoning string, confidence double").coalesce(1)
+    made, plain = [], clean.written
+    monkeypatch.setattr(clean, "written", lambda found, name: made.append((name, found.columns)) or plain(found, name))
+    got = {r.sample_idx for r in clean.dedup_greedy(df, 0.6).collect()}
+    want = set()
+    for p in "pq":
+        kept = []
+        for row in [r for r in rows if r[0] == p]:
+            rival = next((k for k in kept if jaccard(k[2], row[2]) > 0.6), None)
+            if rival is None or row[3] > rival[3]:
+                kept = [k for k in kept if k is not rival] + [row]
+        want |= {k[1] for k in kept}
+    assert got == want and len(want) < 60
+    assert [name for name, columns in made if "tokens" in columns] == ["samples"]
+    assert "links" not in dict(made)
+
+
 def test_raw_pairs_are_made_only_without_ranked_ones(spark, tmp_path):
     df = spark.createDataFrame([("p", 0, "a b c", True, 0.5), ("p", 1, "d e f", False, 0.5)], "problem_id string, sample_idx long, reasoning string, is_correct boolean, confidence double")
     asked = []
