@@ -53,10 +53,16 @@ def number(c: Column) -> Column:
     return F.when(c.rlike(PLAIN_FLOAT), c.try_cast("double"))
 
 
+def _digits(c: Column) -> Column:
+    """Nothing but digits, as most ground truths are: no pattern hits or changes such a text."""
+    return c.rlike(r"\A[0-9]+\z")
+
+
 def extract_final_answer(c: Column | str) -> Column:
     """The last hit of the first pattern that hits, without math and text wrappers."""
     found = strip(F.coalesce(*[last_hit(col(c), p) for p in ANSWER_CASCADE]))
-    return F.regexp_replace(F.regexp_replace(found, r"^\$|\$$", ""), r"^\\text\{|\}$", "")
+    bare = F.regexp_replace(F.regexp_replace(found, r"^\$|\$$", ""), r"^\\text\{|\}$", "")
+    return F.when(~_digits(col(c)), bare)
 
 
 def extract_gsm8k_answer(c: Column | str) -> Column:
@@ -70,7 +76,7 @@ def normalize_answer(c: Column | str) -> Column:
     out = F.replace(F.regexp_replace(out, "(?i)" + UNITS, ""), F.lit(FRACTION), F.lit(""))
     out = F.regexp_replace(out, THOUSANDS, "$1$2")
     out = F.regexp_replace(F.regexp_replace(out, COMMAND, ""), BRACES, "")
-    return strip(out)
+    return F.when(_digits(col(c)), col(c)).otherwise(strip(out))
 
 
 def numeric_of(text: Column) -> Column:
@@ -80,7 +86,7 @@ def numeric_of(text: Column) -> Column:
     ratio = F.try_divide(number(parts[0]), number(F.get(parts, F.lit(1))))
     mixed = r"^(-?\d+)\s+(\d+)/(\d+)"
     piece = lambda i: F.nullif(F.regexp_extract(text, mixed, i), F.lit("")).try_cast("double")
-    return F.when(slashes == 1, ratio).when(slashes > 1, piece(1) + F.try_divide(piece(2), piece(3))).otherwise(number(text))
+    return F.when(~text.contains("/"), number(text)).when(slashes == 1, ratio).when(slashes > 1, piece(1) + F.try_divide(piece(2), piece(3))).otherwise(number(text))
 
 
 def same_number(p: Column, e: Column, tolerance: float = 1e-6) -> Column:
