@@ -205,7 +205,7 @@ def scorer_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GRADED} SELECT problem_id AS key, 'verified_paths' AS topic, 'verified_path' AS type, problem_id, sample_idx FROM graded WHERE is_correct AND NOT {BROKEN}")
 def processor_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's step between two topics: it grades and leaves out what is not correct."""
-    keep = hooks.processor_hook(ROLLOUT, lambda rows: verify_batch(rows).where("is_correct"), lambda _: F.struct("problem_id", "sample_idx"), "verified")
+    keep = hooks.processor_hook(ROLLOUT, lambda rows: envelopes.chosen_late(verify_batch(rows), F.col("is_correct")), lambda _: F.struct("problem_id", "sample_idx"), "verified")
     return _opened(_messages(spark, sf_dir).transform(keep), "problem_id:string,sample_idx:long")
 
 

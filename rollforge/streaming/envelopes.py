@@ -20,6 +20,15 @@ def stage_route(stage: str) -> str:
     return STAGES[stage]
 
 
+def chosen_late(rows: DataFrame, flag: Column) -> DataFrame:
+    """The rows where flag holds, for batches and streams. flag's columns are computed once.
+
+    A plain filter goes below the steps that make its columns and computes them again; one that also asks for a column
+    that is no function of the row stays where it is.
+    """
+    return rows.withColumn("_at_", F.spark_partition_id()).where(flag & (F.col("_at_") >= 0)).drop("_at_")
+
+
 def wrap(rows: DataFrame, kind: Column | str, data: Column, key: Column | str, at: Column, partition: Column | None = None) -> DataFrame:
     """key, value and topic of each row, and its partition where one is given; at: epoch seconds."""
     kind = F.col(kind) if isinstance(kind, str) else kind
