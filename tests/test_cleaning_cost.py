@@ -68,3 +68,12 @@ def test_prefixes_hold_a_word_of_every_similar_set():
             both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
             if a >= skip and both / (len(sets[a]) + len(sets[b]) - both) > 0.85:
                 assert found[a - skip] & found[b - skip]
+
+
+def test_evaluation_reads_verdicts_that_were_written(spark):
+    from rollforge import jobs
+
+    rows = spark.createDataFrame([("a", 0, "#### 1", "1"), ("a", 1, "#### 2", "1"), ("b", 0, "#### 3", "4")], "problem_id string, sample_idx long, reasoning string, expected string")
+    found = jobs.evaluate(rows.select("problem_id").distinct(), rows, [1])
+    assert "regexp_extract" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.method: r.solved for r in found.collect()} == {"pass@1": 1, "verifier_guided": 1, "majority": 1}
