@@ -37,11 +37,10 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     if k == 1 or n <= 1:
         return np.zeros(n, np.int64)
     parent = np.full(1 + n + n * k, -1, np.int64)
-    heap, free = [], 1 + n
-    for i, size in enumerate(sizes.tolist()):
-        sums, sets = np.zeros(k, np.int64), np.zeros(k, np.int64)
-        sums[0], sets[0] = size, 1 + i
-        heap.append((-size, i, sums, sets))
+    free = 1 + n
+    all_sums, all_sets = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+    all_sums[:, 0], all_sets[:, 0] = sizes, np.arange(1, 1 + n)
+    heap = [(-size, i, all_sums[i], all_sets[i]) for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     turn = n
     while len(heap) > 1:

@@ -155,7 +155,8 @@ class WordBpe:
 
     def _learn(self, chunks: list[str]) -> None:
         plain = [c for c in chunks if len(c) <= LONG and PLAIN.fullmatch(c)]
-        pieces = [PIECES.findall(c.lower()) for c in plain]
+        # letters alone are one piece
+        pieces = [[c.lower()] if c.isalpha() else PIECES.findall(c.lower()) for c in plain]
         if len(self.piece_ids) > KEPT:
             self.piece_ids = {}
         ids = self.piece_ids
@@ -176,7 +177,7 @@ class WordBpe:
         known, older = self.known, self.older
         new: set[str] = set()
         for chunks in split:
-            new.update([c for c in chunks if c not in known])
+            new.update(set(chunks).difference(known))
         fresh = []
         for chunk in new:
             kept = older.get(chunk)
