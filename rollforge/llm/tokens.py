@@ -20,7 +20,8 @@ VOCABULARY = "word_bpe_49k.json"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Printable ASCII without "<" (it opens special tokens) and Latin letters whose lower case is one stable letter.
 PLAIN = re.compile("[\x21-\x3b\x3d-\x7e¡-¬®-įı-ňŊ-ž]+")
-KEPT = 150_000
+#: Chunks and pieces that a worker remembers: about 100 bytes each, and up to twice as many chunks.
+KEPT = 400_000
 #: Longer chunks go to the library, whose work does not grow with the square of a word's length.
 LONG = 64
 
@@ -154,20 +155,24 @@ class WordBpe:
             rank[k, h] = self._rank(made[more], ids[k + 1, h])
 
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if len(c) <= LONG and PLAIN.fullmatch(c)]
-        # letters alone are one piece
-        pieces = [[c.lower()] if c.isalpha() else PIECES.findall(c.lower()) for c in plain]
         if len(self.piece_ids) > KEPT:
             self.piece_ids = {}
-        ids = self.piece_ids
-        fresh = list({p for found in pieces for p in found if p not in ids})
+        ids, known, is_plain = self.piece_ids, self.known, PLAIN.fullmatch
+        words, mixed, hard = [], [], []
+        for chunk in chunks:
+            if len(chunk) > LONG or not is_plain(chunk):
+                hard.append(chunk)
+            else:  # letters alone are one piece
+                (words if chunk.isalpha() else mixed).append(chunk)
+        low = [w.lower() for w in words]
+        pieces = [PIECES.findall(c.lower()) for c in mixed]
+        fresh = list(set().union(low, *pieces).difference(ids))
         ids.update(zip(fresh, self.merged([p.encode() for p in fresh]), strict=True))
-        for chunk, found in zip(plain, pieces, strict=True):
-            self.known[chunk] = ids[found[0]] if len(found) == 1 else b"".join([ids[p] for p in found])
-        if len(plain) < len(chunks):
-            hard = [c for c in chunks if c not in self.known]
+        known.update(zip(words, map(ids.__getitem__, low), strict=True))
+        known.update((c, b"".join([ids[p] for p in found])) for c, found in zip(mixed, pieces, strict=True))
+        if hard:
             for chunk, coded in zip(hard, self.library.encode_batch(hard, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(coded.ids, "<u4").tobytes()
+                known[chunk] = np.array(coded.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
