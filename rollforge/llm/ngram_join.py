@@ -48,6 +48,8 @@ PART_ROWS, QUERY_PARTS = 50_000, 16
 PROBE_WEIGHT = 0.02
 STAR_ROUNDS, STAR_SHARE, STAR_LEAST = ([1], [2, 3, 4, 5], [*range(6, 14)], [*range(14, 22)]), 4, 2
 CENTRAL = 32
+#: Longs of a set's sketch, by the most shingles that a set has for it; the largest sets have none.
+SKETCH_LONGS = ((1500, 16), (6000, 64), (25_000, 256))
 
 
 def needed(n: int, m: int) -> int:
@@ -67,6 +69,15 @@ def node_of(found: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
     return signature(found, 2) if first in shared else first
 
 
+def sketch_of(found: np.ndarray) -> np.ndarray | None:
+    """Which residues an odd number of a set's hashes has, as bits: sets that differ in d shingles differ in d bits at most."""
+    longs = next((longs for most, longs in SKETCH_LONGS if len(found) <= most), None)
+    if longs is None:
+        return None
+    odd = np.bincount((found & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
@@ -168,19 +179,20 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, frozenset[int]]:
-    """doc_id, row (64 bits of doc_id and text, see row_key), n_shingles, node as a written table; and the signatures that different sets share."""
+    """doc_id, row (64 bits of doc_id and text, see row_key), n_shingles, node, sketch as a written table; and the signatures that different sets share."""
 
     def sets(batches):
         for batch in slices(batches):
             sizes, nodes, checks = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            sketches: list[np.ndarray | None] = [None] * batch.num_rows
             for row, found in shingle_sets(batch.column(1), K):
                 sizes[row] = len(found)
                 if len(found):
-                    nodes[row], checks[row] = signature(found), signature(found, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(nodes), pa.array(checks)], ["doc_id", "row", "n_shingles", "node", "check"])
+                    nodes[row], checks[row], sketches[row] = signature(found), signature(found, 1), sketch_of(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(nodes), pa.array(checks), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "row", "n_shingles", "node", "check", "sketch"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row"))
-    held = written(chosen.mapInArrow(sets, "doc_id long, row long, n_shingles long, node long, check long"), "sets")
+    held = written(chosen.mapInArrow(sets, "doc_id long, row long, n_shingles long, node long, check long, sketch array<long>"), "sets")
     clashes = held.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node")
     shared = frozenset(r.node for r in clashes.collect())
     return (held.drop("check"), shared) if not shared else (_renamed(held, docs, shared, id_col, text_col), shared)
@@ -201,7 +213,7 @@ def _renamed(held: DataFrame, docs: DataFrame, shared: frozenset[int], id_col: s
     # equal rows have one key and one text
     found = texts.hint("merge").join(rows.hint("merge"), "own_row", "left_semi").mapInArrow(rename, "own_row long, new_node long").distinct()
     joined = held.hint("merge").join(found.hint("merge"), F.col("row") == F.col("own_row"), "left")
-    return written(joined.select("doc_id", "row", "n_shingles", F.coalesce("new_node", "node").alias("node")), "sets")
+    return written(joined.select("doc_id", "row", "n_shingles", F.coalesce("new_node", "node").alias("node"), "sketch"), "sets")
 
 
 def frequent_shingles(docs: DataFrame, rows: int, id_col: str, text_col: str) -> Order:
@@ -258,15 +270,33 @@ def _groups(batches) -> Iterator[tuple[int, list[tuple]]]:
         yield key[0], held
 
 
+def may_link(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Of pairs (query, node) those that may link, written; all that link are there.
+
+    Linked sets of n and m shingles differ in at most (n + m) / 7 of them, so their sketches differ in no more bits.
+    Sets whose sketches are of different lengths, or that have none, stay.
+    """
+    side = lambda name: heads.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch")).hint("merge")
+    n, m = F.col("query_n"), F.col("node_n")
+    both = F.zip_with("query_sketch", "node_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.when(F.size("query_sketch") == F.size("node_sketch"), F.aggregate(both, F.lit(0), lambda total, x: total + x))
+    met = pairs.hint("merge").join(side("query"), "query").hint("merge").join(side("node"), "node")
+    return written(met.where((n * 4 >= m * 3) & (m * 4 >= n * 3) & F.coalesce(bits * 7 <= n + m, F.lit(True))).select("query", "node"), "near")
+
+
 def linked(docs: DataFrame, pairs: DataFrame, heads: DataFrame, shared: frozenset[int], id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (query, node) those that link, as u, v, written. heads: node, head (the row, as row_key has it, whose text is read for it)."""
+    """Of pairs (query, node) those that link, as u, v, written. heads: node, head (the row, as row_key has it, whose text is read for it), n, sketch.
+
+    Only pairs whose sketches leave it open fetch texts.
+    """
+    pairs = may_link(pairs, heads)
     sizes = written(pairs.groupBy("query").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     # only queries with many partners are looked up, each under QUERY_PARTS keys, so that no task gets all its partners
     large = sizes.where("blocks > 1").select("query", "blocks", F.explode(F.sequence(F.lit(0), F.lit(QUERY_PARTS - 1))).alias("part"))
     parts = pairs.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(QUERY_PARTS)).cast("int")).hint("merge").join(large.hint("merge"), ["query", "part"], "left")
     parts = parts.select("query", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int").alias("salt"), "node", F.lit(False).alias("is_query"))
     own = sizes.select("query", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.col("query").alias("node"), F.lit(True).alias("is_query"))
-    heads = heads.withColumnRenamed("node", "head_node")
+    heads = heads.select(F.col("node").alias("head_node"), "head")
     wanted = written(parts.unionByName(own).hint("merge").join(heads.hint("merge"), F.col("node") == F.col("head_node")).select("query", "salt", "node", "is_query", "head"), "wanted")
     texts = docs.select(row_key(id_col, text_col).alias("own_row"), F.col(text_col).cast("string").alias("text"))
     # few enough rows, counted, are sent to every task so that texts move once; more are joined by shuffling both sides
@@ -293,7 +323,7 @@ def linked(docs: DataFrame, pairs: DataFrame, heads: DataFrame, shared: frozense
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     links = written(routed.mapInArrow(verify, "u long, v long").distinct(), "links")
-    remove(sizes, wanted)
+    remove(pairs, sizes, wanted)
     return links
 
 
@@ -363,7 +393,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def classed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """similarity_classes with row, and first: the (doc_id, row) that its class is kept by, null ids last."""
     sets, shared = document_sets(docs, id_col, text_col)
-    heads = written(sets.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("head")), "heads")
+    heads = written(sets.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("head"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "heads")
     order = frequent_shingles(docs, sets.count(), id_col, text_col)
     find = lambda pairs: linked(docs, pairs, heads, shared, id_col, text_col)
     by_list = Window.partitionBy("h", "part")
