@@ -9,7 +9,16 @@ import pyarrow as pa
 
 from rollforge.sources.scratch import new_path, remove, written
 
-__all__ = ["new_path", "remove", "slices", "written"]
+__all__ = ["give_back", "new_path", "remove", "slices", "written"]
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -22,8 +31,4 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             for begin in range(0, batch.num_rows, rows):
                 yield batch.slice(begin, rows)
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollforge.llm.shared import slices
+from rollforge.llm.shared import give_back, slices
 
 BITS, ORDERS, WINDOW = 20, (3, 4, 5, 6, 7), 256
 MAX_TRAIN, MAX_TRAIN_CHARS, THRESHOLD = 4000, 20_000, 0.3
@@ -196,7 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
         for row, found in text_windows([r.text for r in rows[begin : begin + 100]]):
             held[row].append(found)
         features += [np.unique(np.concatenate(parts)) for parts in held]
-    return fit(features, np.array([r.label for r in rows]))
+    labels_ = np.array([r.label for r in rows])
+    del rows
+    model = fit(features, labels_)
+    # the driver does without the texts and their features from here on
+    del features
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
