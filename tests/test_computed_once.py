@@ -54,6 +54,13 @@ def test_padding_is_text_before_it_is_joined(spark):
     assert [r[0] for r in ids.select(encode.pad(F.col("ids"), 3, "0")).collect()] == [["5", "6", "0"], ["0"] * 3, None, ["1"] * 3]
 
 
+def test_what_fills_a_text_of_ids_is_no_element(spark):
+    assert "array_repeat" not in plan_of(training.encode_reward_pair(spark, SMALL))
+    ids = spark.createDataFrame([(["5", "6"],), ([],), (None,), (["1"] * 5,), (["7"] * 4,), ([None, "8"],), (["", "9"],)], "ids array<string>")
+    both = [tuple(r) for r in ids.select(encode.padded_text(F.col("ids"), 4), F.array_join(encode.pad(F.col("ids"), 4, "0"), ",")).collect()]
+    assert both == [(x, x) for x in ["5,6,0,0", "0,0,0,0", None, "1,1,1,1", "7,7,7,7", "8,0,0", ",9,0,0"]]
+
+
 def test_texts_of_digits_meet_no_pattern(spark):
     texts = ["42", "007", "4 2", "4\n", "", None, "1,000", "#### 3", "-5", "3/4", "$12"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
