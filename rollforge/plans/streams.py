@@ -101,11 +101,14 @@ def stream_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GRADED} SELECT DISTINCT problem_id, substr(md5(problem_id || ':' || reasoning), 1, 16) AS path_hash, is_correct, CASE WHEN status = 'incorrect' THEN 0.0 ELSE 1.0 END::DOUBLE AS verification_confidence FROM graded WHERE NOT {BROKEN}")
 def stream_verify_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message is sent twice, in files that come at different times; each path is graded once."""
-    path, rows = new_path(spark, "topic"), _messages(spark, sf_dir)
-    for _ in range(2):
-        rows.repartition(_files(spark, sf_dir, "lineitem")).write.mode("append").parquet(path)
+    path, rows, files = new_path(spark, "topic"), _messages(spark, sf_dir), _files(spark, sf_dir, "lineitem")
+    rows.repartition(files).write.parquet(path)
+    # the files that are listed here are those of the first time
+    spark.read.schema(rows.schema).parquet(path).repartition(files).write.mode("append").parquet(path)
     stream = _read_in_turns(spark, path, rows.schema)
-    return _run(spark, pipelines.verify_once(stream, "3650 days")).select("problem_id", "path_hash", "is_correct", "verification_confidence")
+    with pipelines.state_in_rocksdb(spark):
+        out = _run(spark, pipelines.verify_once(stream, "3650 days"))
+    return out.select("problem_id", "path_hash", "is_correct", "verification_confidence")
 
 
 @query(f"WITH {GRADED} SELECT problem_id AS key, 'training_data' AS topic, 'training_sample' AS type, problem_id, sample_idx, reasoning FROM graded WHERE is_correct AND NOT {BROKEN}")
