@@ -54,3 +54,5 @@ def test_a_bundle_keeps_no_second_copy(spark, samples, monkeypatch):
     split = spark.read.schema(more.schema).json([f"{path}/by_verdict/verdict=correct", f"{path}/by_verdict/verdict=incorrect"])
     assert sorted(map(str, split.collect())) == sorted(map(str, more.collect()))
     assert spark.read.json(f"{path}/by_verdict").where("verdict = 'incorrect'").count() == 21
+    files = [name for part in ("all", "filtered", "dpo_pairs") for name in os.listdir(f"{path}/{part}".removeprefix("file://")) if name.startswith("part-")]
+    assert files and all(name.endswith(".json.gz") for name in files)
